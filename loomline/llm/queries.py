@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, chat, dedup, packing, warc
 
-MODULES = (bpe, packing)
+MODULES = (bpe, chat, dedup, packing, warc)
 
 
 def queries() -> dict:
