@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, dedup, packing, warc
+from . import bpe, chat, dedup, packing, quality, warc
 
-MODULES = (bpe, chat, dedup, packing, warc)
+MODULES = (bpe, chat, dedup, packing, quality, warc)
 
 
 def queries() -> dict:
