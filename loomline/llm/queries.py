@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, dedup, packing, quality, topk, warc
+from . import bpe, chat, dedup, html, packing, quality, topk, warc
 
-MODULES = (bpe, chat, dedup, packing, quality, topk, warc)
+MODULES = (bpe, chat, dedup, html, packing, quality, topk, warc)
 
 
 def queries() -> dict:
