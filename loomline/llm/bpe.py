@@ -1,11 +1,10 @@
 """BPE encoding by tree concatenation, and decoding.
 
-Text is cut at ASCII white space, where no token crosses; ordinary runs are encoded by the tokenizers library. Each
-worker keeps a bounded cache: of pre-tokens for texts in ASCII and Latin-1 letters, for which the vocabulary's
-pre-tokenizer is restated here, and of whole runs for all other texts. A run longer than `leaf` characters is unsplit text: its pre-tokens are halved until they
-are at most `leaf` characters, the leaves are encoded by parallel tasks, and neighbours are joined pairwise, level by
-level: a window of tokens around the join is encoded again and grows until its first tokens agree with the left side
-and its last tokens with the right side.
+Text is cut at ASCII white space, which no token crosses, and runs are encoded by the tokenizers library, with bounded
+caches in each worker; for texts in ASCII and Latin-1 letters the vocabulary's pre-tokenizer is restated here. A run
+longer than `leaf` characters is unsplit text: its pre-tokens are halved until they are at most `leaf` characters, the
+leaves are encoded by parallel tasks, and neighbours are joined pairwise, level by level: a window of tokens around the
+join is encoded again and grows until its first tokens agree with the left side and its last tokens with the right side.
 
 Null text counts as empty; empty text gives no tokens. Repeated rows give repeated rows; null ids stay null. Columns
 other than the id and the text are dropped, so clashing names do no harm.
@@ -13,6 +12,7 @@ other than the id and the text are dropped, so clashing names do no harm.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SPACE = "\\x20\\x09-\\x0D"
 RUN = re.compile(f"[^{SPACE}]+")
 #: The pattern of word_bpe_49k.json's pre-tokenizer, and the same for lower-cased text of PLAIN characters.
@@ -57,11 +59,11 @@ def default_vocabulary() -> str:
 class Encoder:
     """The tokenizer of one worker, with a bounded cache of encoded runs."""
 
-    def __init__(self, vocabulary: str, leaf: int = 4096, cached: int = 400_000):
+    def __init__(self, vocabulary: str, leaf: int = 4096, cached: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
+        self.vocabulary = vocabulary
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -70,14 +72,20 @@ class Encoder:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         #: Whether the pre-tokenizer is the one restated above.
         self.restated = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern") == {"Regex": WORD_PATTERN} and all(a.startswith("<|") for a in self.special_texts(spec))
-        #: The same merges for text that ends inside a pre-token.
-        self.inner = BPE(model["vocab"], merges)
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens") or []}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    @functools.cached_property
+    def inner(self):
+        """The same merges for text that ends inside a pre-token."""
+        from tokenizers.models import BPE
+
+        with open(self.vocabulary, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        return BPE(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+
     @staticmethod
     def special_texts(spec: dict) -> list[str]:
         return [a["content"] for a in spec.get("added_tokens") or []]
@@ -196,6 +204,21 @@ class Encoder:
         return leaves[0] if leaves else []
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(vocabulary: str, leaf: int) -> Encoder:
+    """The worker's own encoder: tasks that follow one another in a worker share it."""
+    return Encoder(vocabulary, leaf)
+
+
+@functools.lru_cache(maxsize=2)
+def decoder(vocabulary: str):
+    """The worker's tokenizer, and its tokens by id where decoding only joins them."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary)
+    return tok, [tok.id_to_token(i) for i in range(tok.get_vocab_size())] if tok.decoder is None else None
+
+
 def halves(text: str, leaf: int) -> list[str]:
     """Leaves of the tree of halves."""
     if len(text) <= leaf:
@@ -216,8 +239,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     unsplit = F.expr(f"text rlike '(?:^|[{SPACE}])[^{SPACE}]{{{leaf + 1}}}'")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(vocabulary, leaf)
-        for b in batches:
+        enc = encoder(vocabulary, leaf)
+        for b in slices(batches):
             ids = pa.array([enc.ids(t) for t in b.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["id", "ids"])
 
@@ -231,7 +254,7 @@ def _encode_unsplit(rows: DataFrame, kind: str, vocabulary: str, leaf: int) -> D
     schema = f"id {kind}, key string, copies long, part int, leaf boolean, first boolean, last boolean, payload binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(vocabulary, leaf)
+        enc = encoder(vocabulary, leaf)
         for b in batches:
             for i in range(b.num_rows):
                 parts = list(enc.parts(b.column("text")[i].as_py())) or [(False, True, True, b"")]
@@ -251,7 +274,7 @@ def _encode_unsplit(rows: DataFrame, kind: str, vocabulary: str, leaf: int) -> D
                 )
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(vocabulary, leaf)
+        enc = encoder(vocabulary, leaf)
         for b in batches:
             out = [
                 np.asarray(enc.piece(p.decode(), last), dtype="<u4").tobytes() if is_leaf else p
@@ -260,7 +283,7 @@ def _encode_unsplit(rows: DataFrame, kind: str, vocabulary: str, leaf: int) -> D
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], b.schema.names)
 
     def assemble(t: pa.Table) -> pa.Table:
-        enc = Encoder(vocabulary, leaf)
+        enc = encoder(vocabulary, leaf)
         order = np.argsort(t.column("part").to_numpy())
         payload, is_leaf, first = t.column("payload").to_pylist(), t.column("leaf").to_pylist(), t.column("first").to_pylist()
         out, open_leaves = [], []
@@ -291,11 +314,8 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(vocabulary)
-        table = [tok.id_to_token(i) for i in range(tok.get_vocab_size())] if tok.decoder is None else None
-        for b in batches:
+        tok, table = decoder(vocabulary)
+        for b in slices(batches):
             out = []
             for ids in b.column(1).to_pylist():
                 ids = np.frombuffer(ids or b"", dtype="<u4").tolist()
