@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import attach_group, bloom_of, bloom_test, materialise
+from .common import attach_group, bloom_of, bloom_test, materialise, slices
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes that a chunk has at least and at most, and the bits of the rolling hash that are 0 at a cut: about 1 KB a chunk.
@@ -73,7 +73,7 @@ def recipes_of(docs: DataFrame, id_col: str, text_col: str, id_bytes: int) -> Da
     rows = rows.select("id", F.length("text").cast("long").alias("n_chars"), F.col("text").cast("binary").alias("data"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             shas, recipes, keys = [], [], []
             for data in b.column(2).to_pylist():
                 data = data.translate(None, SPACE)
@@ -94,7 +94,7 @@ def ambiguous_ids(docs: DataFrame, text_col: str, id_bytes: int, shared: np.ndar
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()  # of this task; a chunk goes out once, however many copies the task sees
-        for b in batches:
+        for b in slices(batches):
             ids, parts = [], []
             cut = [chunks(d.translate(None, SPACE)) for d in b.column(0).to_pylist()]
             keys = np.asarray([recipe_key(recipe(c, id_bytes)) for c in cut], dtype=np.int64)

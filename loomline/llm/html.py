@@ -209,7 +209,7 @@ def costs(block: Block) -> tuple[float, float]:
         boilerplate += 0.5
     elif node.tag in ("li", "td", "th", "dd", "dt"):
         content += 0.4
-    if re.match(r"(?:©|\(c\)|copyright\b|all rights reserved)", text, re.I):
+    if node.good < 3 and re.match(r"(?:©|\(c\)|copyright\b|all rights reserved)", text, re.I):
         content += 6.0
     return content, boilerplate
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 
 #: Feature names, in the order of features().
 FEATURES = ("symbols", "digits", "bars", "upper", "mean_word", "repeat_pairs", "punctuation", "log_length")
@@ -58,7 +58,7 @@ def add_features(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", features array<double>"
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [features(t) for t in b.column(len(keep)).to_pylist()]
             flat = pa.array(np.concatenate(rows) if rows else np.zeros(0))
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES))
