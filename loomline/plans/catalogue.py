@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from . import blocks, corpus
+
+MODULES = (corpus, blocks)
 
 
 def queries() -> dict:
