@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blocks, corpus
+from . import blocks, corpus, evaluation, scoring
 
-MODULES = (corpus, blocks)
+MODULES = (corpus, blocks, scoring, evaluation)
 
 
 def queries() -> dict:
