@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blocks, corpus, evaluation, scoring
+from . import blocks, corpus, evaluation, files, scoring
 
-MODULES = (corpus, blocks, scoring, evaluation)
+MODULES = (corpus, blocks, scoring, evaluation, files)
 
 
 def queries() -> dict:
