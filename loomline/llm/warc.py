@@ -130,10 +130,13 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     words = data[8 : 8 + size]
     if len(words) != size:
         raise ValueError("the dictionary frame is cut off")
-    if words[:4] == struct.pack("<I", ZSTD_MAGIC):
-        words = zstandard.ZstdDecompressor().decompress(words)
-    kind = zstandard.DICT_TYPE_FULLDICT if words[:4] == struct.pack("<I", DICTIONARY_MAGIC) else zstandard.DICT_TYPE_RAWCONTENT
-    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words, dict_type=kind))
+    try:
+        if words[:4] == struct.pack("<I", ZSTD_MAGIC):
+            words = zstandard.ZstdDecompressor().decompress(words)
+        kind = zstandard.DICT_TYPE_FULLDICT if words[:4] == struct.pack("<I", DICTIONARY_MAGIC) else zstandard.DICT_TYPE_RAWCONTENT
+        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words, dict_type=kind))
+    except zstandard.ZstdError as e:
+        raise ValueError(f"the dictionary can't be read: {e}") from e
     at, view = 8 + size, memoryview(data)
     while at < len(data):
         end = frame_end(data, at)
