@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blocks, corpus, evaluation, files, scoring
+from . import blocks, corpus, evaluation, files, scoring, tokens
 
-MODULES = (corpus, blocks, scoring, evaluation, files)
+MODULES = (corpus, blocks, scoring, evaluation, files, tokens)
 
 
 def queries() -> dict:
