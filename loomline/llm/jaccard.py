@@ -7,7 +7,7 @@ at least l shingles of both l-prefixes. Each class lengthens its prefix by the c
 expect, and a pair needs as many shared prefix shingles, each within both of the shorter reaches, as the smaller l says.
 
 Components are what counts, so links inside a known component need no pairs: first each class is verified against the
-smallest class of each prefix shingle (a star, linear in the rows); then, exactly, every pair of classes in different
+smallest class of its prefix shingles that it shares most with (a star, linear in the rows); then, exactly, every pair of classes in different
 components so far that shares enough prefix shingles. Shingles whose classes all lie in one component drop out, and
 within a shingle only pairs that cross components are formed, so a large group of copies never meets itself.
 
@@ -229,9 +229,22 @@ def shared_prefixes(packed: DataFrame, groups: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(run, "token long, key long, n int, reach int, level int, leader long")
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) -> DataFrame:
-    """(key, shingles) of each class that the filter holds, once."""
-    words = docs.sparkSession.sparkContext.broadcast(wanted)
+def marked(keys, ids):
+    """A class's hash with a row's id mixed into all of its parts, alike for JVM columns and arrays."""
+    if isinstance(keys, np.ndarray):
+        return keys ^ ids ^ (ids << np.int64(21)) ^ (ids << np.int64(42))
+    return keys.bitwiseXOR(ids).bitwiseXOR(F.shiftleft(ids, 21)).bitwiseXOR(F.shiftleft(ids, 42))
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, shingles) of each class in the pairs. The row with the smallest id alone sends its class's set.
+
+    A Bloom filter of these rows, of bounded size, says where they are; what it lets through besides drops out in joins.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    first = table.where("n > 0").groupBy("key").agg(F.coalesce(F.min("id"), F.lit(-1)).alias("id"))
+    senders = first.join(ends, F.col("key") == F.col("k")).select(marked(F.col("key"), F.col("id")).alias("mark"))
+    words = docs.sparkSession.sparkContext.broadcast(bloom_of(senders, "mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -239,7 +252,8 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) ->
             sets = shingle_sets(b.column(1).to_pylist())
             keys = np.asarray([set_key(s) for s in sets], dtype=np.int64)
             out = []
-            for i in np.flatnonzero(bloom_test(words.value, keys.view(np.uint64))).tolist():
+            marks = marked(keys, b.column(0).fill_null(-1).to_numpy())
+            for i in np.flatnonzero(bloom_test(words.value, marks.view(np.uint64))).tolist():
                 if int(keys[i]) not in sent:
                     sent.add(int(keys[i]))
                     out.append(i)
@@ -253,9 +267,9 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) ->
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    own = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    centre = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
+    both = pairs.join(own, "b").join(centre, "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -322,14 +336,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialise(shared_prefixes(prefixes(docs, id_col, text_col, sketch, percent, groups), groups), "prefixes")
     # links inside components: every class against the smallest class of its shingles
     stars = shared.where("key <> leader").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("reach").alias("need")).where("c >= need")
+    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("c", F.col("a"))).alias("a"))  # the star that shares most
     stars = materialise(stars.select("a", "b"), "stars")
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    links = materialise(verified(stars, sets_of(docs, id_col, text_col, bloom_of(ends(stars), "key")), percent), "links")
+    links = materialise(verified(stars, sets_of(docs, id_col, text_col, table, stars), percent), "links")
     comps = materialise(components(links), "components")
     # links across components
     pairs = materialise(crossing_pairs(shared, comps, percent), "pairs")
     if not pairs.isEmpty():
-        more = materialise(verified(pairs, sets_of(docs, id_col, text_col, bloom_of(ends(pairs), "key")), percent), "links")
+        more = materialise(verified(pairs, sets_of(docs, id_col, text_col, table, pairs), percent), "links")
         if not more.isEmpty():
             comps = materialise(components(links.unionByName(more)), "components")
 
