@@ -6,9 +6,9 @@ shingles that must share at least T = ceil(t * n), the first n - T + l shingles
 at least l shingles of both l-prefixes. Each class lengthens its prefix by the candidates that the sketch makes it
 expect, and a pair needs as many shared prefix shingles, each within both of the shorter reaches, as the smaller l says.
 
-Components are what counts, so links inside a known component need no pairs: first each class is verified against the
-smallest class of its prefix shingles that it shares most with (a star, linear in the rows); then, exactly, every pair of classes in different
-components so far that shares enough prefix shingles. Shingles whose classes all lie in one component drop out, and
+Components are what counts, so links inside a known component need no pairs: first each class is verified against one
+central class of its prefix shingles (a star, linear in the rows); then, exactly, every pair of classes in different
+components so far that shares enough prefix shingles and whose bounds leave room for the similarity. Shingles whose classes all lie in one component drop out, and
 within a shingle only pairs that cross components are formed, so a large group of copies never meets itself.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Repeated rows belong to
@@ -140,20 +140,20 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, pe
     heavy = max(HEAVY, HEAVY_TIMES * mean)
     width = U((1 << 64) // groups + 1)
 
-    def pack(keys, sizes, reach, tokens, owner, level) -> Iterator[pa.RecordBatch]:
+    def pack(keys, sizes, reach, tokens, owner, place) -> Iterator[pa.RecordBatch]:
         keys, sizes, reach = np.asarray(keys, dtype=np.int64), np.asarray(sizes, dtype=np.int32), np.asarray(reach, dtype=np.int8)
-        tokens, owner, level = np.concatenate(tokens), np.concatenate(owner), np.concatenate(level)
+        tokens, owner, place = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
         part = (tokens // width).astype(np.int64)
         hot = shared.value[cells_of(tokens)] >= heavy
         part[hot] = groups + keys[owner[hot]] % SALTS
         order = np.argsort(part, kind="stable")
-        part, tokens, owner, level = part[order], tokens[order], owner[order], level[order]
+        part, tokens, owner, place = part[order], tokens[order], owner[order], place[order]
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=np.iinfo(np.int64).max))
         parts, blobs = [], []
         for a, b in zip(cuts, cuts[1:], strict=False):
             docs_here, own = np.unique(owner[a:b], return_inverse=True)
             head = np.array([len(docs_here), b - a], dtype=np.int64)
-            blobs.append(b"".join(x.tobytes() for x in (head, keys[docs_here], sizes[docs_here], reach[docs_here], tokens[a:b], own.astype(np.int32), level[a:b])))
+            blobs.append(b"".join(x.tobytes() for x in (head, keys[docs_here], sizes[docs_here], reach[docs_here], tokens[a:b], own.astype(np.int32), place[a:b])))
             parts.append(int(part[a]))
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
@@ -185,7 +185,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, pe
                 held[2].append(1 + longer)
                 held[3].append(s[taken])
                 held[4].append(np.full(len(taken), len(held[0]) - 1, dtype=np.int64))
-                held[5].append(np.maximum(1, np.arange(len(taken)) - base + 2).astype(np.int8))
+                held[5].append(np.arange(len(taken), dtype=np.int32))
                 rows += len(taken)
             if rows >= 500_000:
                 yield from pack(*held)
@@ -197,36 +197,66 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, pe
 
 
 def shared_prefixes(packed: DataFrame, groups: int) -> DataFrame:
-    """Rows of shingles that more than one class has in its prefix: (token, key, n, reach, level, leader)."""
+    """Rows of shingles that more than one class has in its prefix: (token, key, n, reach, place)."""
 
     def run(t: pa.Table) -> pa.Table:
         columns: list[list] = [[], [], [], [], []]
         for blob in t.column("blob").to_pylist():
             n_docs, n = np.frombuffer(blob, dtype=np.int64, count=2)
             at, got = 16, []
-            for kind, k in ((np.int64, n_docs), (np.int32, n_docs), (np.int8, n_docs), (np.uint64, n), (np.int32, n), (np.int8, n)):
+            for kind, k in ((np.int64, n_docs), (np.int32, n_docs), (np.int8, n_docs), (np.uint64, n), (np.int32, n), (np.int32, n)):
                 got.append(np.frombuffer(blob, dtype=kind, count=k, offset=at))
                 at += got[-1].nbytes
-            keys, sizes, reach, tokens, own, level = got
-            for c, x in zip(columns, (tokens, keys[own], sizes[own], reach[own], level), strict=True):
+            keys, sizes, reach, tokens, own, place = got
+            for c, x in zip(columns, (tokens, keys[own], sizes[own], reach[own], place), strict=True):
                 c.append(x)
-        tokens, keys, sizes, reach, level = (np.concatenate(c) for c in columns)
+        tokens, keys, sizes, reach, place = (np.concatenate(c) for c in columns)
         order = np.lexsort((keys, tokens))
-        tokens, keys, sizes, reach, level = (x[order] for x in (tokens, keys, sizes, reach, level))
+        tokens, keys, sizes, reach, place = (x[order] for x in (tokens, keys, sizes, reach, place))
         new = np.ones(len(tokens), dtype=bool)
         new[1:] = tokens[1:] != tokens[:-1]
         once = new.copy()
         once[1:] |= keys[1:] != keys[:-1]  # a class that several tasks sent
-        tokens, keys, sizes, reach, level, new = (x[once] for x in (tokens, keys, sizes, reach, level, new))
+        tokens, keys, sizes, reach, place, new = (x[once] for x in (tokens, keys, sizes, reach, place, new))
         group = np.cumsum(new) - 1
-        leader = keys[np.flatnonzero(new)][group]
         keep = np.bincount(group)[group] > 1
         if t.column("part")[0].as_py() >= groups:  # other tasks have more rows of these shingles
             keep[:] = True
-        cols = [tokens[keep].view(np.int64), keys[keep], sizes[keep], reach[keep].astype(np.int32), level[keep].astype(np.int32), leader[keep]]
-        return pa.table({k: pa.array(c) for k, c in zip(("token", "key", "n", "reach", "level", "leader"), cols, strict=True)})
+        cols = [tokens[keep].view(np.int64), keys[keep], sizes[keep], reach[keep].astype(np.int32), place[keep]]
+        return pa.table({k: pa.array(c) for k, c in zip(("token", "key", "n", "reach", "place"), cols, strict=True)})
 
-    return packed.groupBy("part").applyInArrow(run, "token long, key long, n int, reach int, level int, leader long")
+    return packed.groupBy("part").applyInArrow(run, "token long, key long, n int, reach int, place int")
+
+
+def with_bounds(shared: DataFrame, percent: int) -> DataFrame:
+    """Adds level, the least l whose prefix holds the row, and most, a bound of what the class shares with any other.
+
+    In the common order nothing before a class's first shared prefix shingle can lie in another candidate, so a class
+    shares at most the shingles from there on.
+    """
+    first = shared.groupBy("key").agg(F.min("place").alias("first")).select(F.col("key").alias("k"), "first")
+    base = F.expr(f"n - cast(ceil({percent} * n / 100D) as int) + 1")
+    out = shared.join(first, F.col("key") == F.col("k"))
+    return out.select("token", "key", "n", "reach", F.greatest(F.lit(1), F.col("place") - base + 2).alias("level"), (F.col("n") - F.col("first")).alias("most"))
+
+
+def possible(a: str, b: str, percent: int) -> str:
+    """SQL: whether the bounds of two classes leave room for the similarity; exact, it never drops a link."""
+    return f"{100 + percent} * least(most{a}, most{b}) >= {percent} * (n{a} + n{b}) AND greatest(level{a}, level{b}) <= least(reach{a}, reach{b})"
+
+
+def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the most central class of its prefix shingles that it shares most with.
+
+    Central is what has the largest share of shingles in common with others: the text that a group was copied from.
+    """
+    central = F.struct((F.col("most") / F.col("n")).alias("share"), "key")
+    heads = shared.groupBy("token").agg(F.max(F.struct(central.alias("c"), "n", "reach", "level", "most")).alias("h"))
+    heads = heads.select(F.col("token").alias("t"), F.col("h.c.key").alias("a"), *[F.col(f"h.{c}").alias(f"{c}_a") for c in ("n", "reach", "level", "most")])
+    rows = shared.select("token", F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "reach", "level", "most")])
+    met = rows.join(heads, F.col("token") == F.col("t")).where(f"a <> b AND {possible('_a', '_b', percent)}")
+    counts = met.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
 
 
 def marked(keys, ids):
@@ -310,16 +340,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def crossing_pairs(shared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components that share enough prefix shingles."""
     known = comps.select(F.col("key").alias("k"), "comp")
-    rows = shared.join(known, F.col("key") == F.col("k"), "left").select("token", "key", "n", "reach", "level", F.coalesce("comp", "key").alias("comp"))
+    rows = shared.join(known, F.col("key") == F.col("k"), "left").select("token", "key", "n", "reach", "level", "most", F.coalesce("comp", "key").alias("comp"))
     counted = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counted.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    rows = materialise(rows.join(mixed.select(F.col("token").alias("t"), "most"), F.col("token") == F.col("t")).drop("t"), "mixed")
+    mixed = counted.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    rows = materialise(rows.join(mixed.select(F.col("token").alias("t"), "main"), F.col("token") == F.col("t")).drop("t"), "mixed")
     # within a shingle: rows outside its largest component against all rows of other components
-    few = rows.where("comp <> most").select("token", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "reach", "level", "comp")])
-    all_ = rows.select("token", "most", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "reach", "level", "comp")])
-    met = few.join(all_, "token").where(
-        f"comp_a <> comp_b AND (comp_b = most OR key_a < key_b) AND 100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a AND greatest(level_a, level_b) <= least(reach_a, reach_b)"
-    )
+    columns = ("key", "n", "reach", "level", "most", "comp")
+    few = rows.where("comp <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
+    all_ = rows.select("token", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
+    met = few.join(all_, "token").where(f"comp_a <> comp_b AND (comp_b = main OR key_a < key_b) AND {possible('_a', '_b', percent)}")
     counts = met.groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("reach_a", "reach_b")).alias("need"))
     return counts.where("c >= need").select("a", "b")
 
@@ -334,10 +363,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = max(16, int(sketch.sum()) * (100 - percent + 10) // 100 // GROUP_ROWS)
 
     shared = materialise(shared_prefixes(prefixes(docs, id_col, text_col, sketch, percent, groups), groups), "prefixes")
-    # links inside components: every class against the smallest class of its shingles
-    stars = shared.where("key <> leader").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("reach").alias("need")).where("c >= need")
-    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("c", F.col("a"))).alias("a"))  # the star that shares most
-    stars = materialise(stars.select("a", "b"), "stars")
+    shared = materialise(with_bounds(shared, percent), "bounds")
+    # links inside components: every class against the most central class of its shingles
+    stars = materialise(star_pairs(shared, percent), "stars")
     links = materialise(verified(stars, sets_of(docs, id_col, text_col, table, stars), percent), "links")
     comps = materialise(components(links), "components")
     # links across components
