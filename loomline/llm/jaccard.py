@@ -8,7 +8,7 @@ expect, and a pair needs as many shared prefix shingles, each within both of the
 
 Components are what counts, so links inside a known component need no pairs: first each class is verified against one
 central class of its prefix shingles (a star, linear in the rows); then, exactly, every pair of classes in different
-components so far that shares enough prefix shingles and whose bounds leave room for the similarity. Shingles whose classes all lie in one component drop out, and
+components so far that shares enough prefix shingles and whose places in the order leave room for the similarity. Shingles whose classes all lie in one component drop out, and
 within a shingle only pairs that cross components are formed, so a large group of copies never meets itself.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Repeated rows belong to
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import attach_group, bloom_of, bloom_test, materialise, slices
@@ -229,20 +230,33 @@ def shared_prefixes(packed: DataFrame, groups: int) -> DataFrame:
 
 
 def with_bounds(shared: DataFrame, percent: int) -> DataFrame:
-    """Adds level, the least l whose prefix holds the row, and most, a bound of what the class shares with any other.
+    """Adds level, the least l whose prefix holds the row; before, how many shared prefix shingles its class has before
+    it; rest, the class's shingles from it on; and share, the share of the class's prefix that is shared.
 
-    In the common order nothing before a class's first shared prefix shingle can lie in another candidate, so a class
-    shares at most the shingles from there on.
+    What two similar classes have in common before a shared shingle lies in both prefixes, as all follow one order. So
+    at any shingle that they share they have at most least(before) + least(rest) in common.
     """
-    first = shared.groupBy("key").agg(F.min("place").alias("first")).select(F.col("key").alias("k"), "first")
-    base = F.expr(f"n - cast(ceil({percent} * n / 100D) as int) + 1")
-    out = shared.join(first, F.col("key") == F.col("k"))
-    return out.select("token", "key", "n", "reach", F.greatest(F.lit(1), F.col("place") - base + 2).alias("level"), (F.col("n") - F.col("first")).alias("most"))
+    own = W.partitionBy("key")
+    need = F.expr(f"cast(ceil({percent} * n / 100D) as int)")
+    return shared.select(
+        "token",
+        "key",
+        "n",
+        "reach",
+        F.greatest(F.lit(1), F.col("place") - (F.col("n") - need + 1) + 2).alias("level"),
+        (F.row_number().over(own.orderBy("place")) - 1).alias("before"),
+        (F.col("n") - F.col("place")).alias("rest"),
+        (F.count(F.lit(1)).over(own) / (F.col("n") - need + F.col("reach"))).alias("share"),
+    )
 
 
 def possible(a: str, b: str, percent: int) -> str:
-    """SQL: whether the bounds of two classes leave room for the similarity; exact, it never drops a link."""
-    return f"{100 + percent} * least(most{a}, most{b}) >= {percent} * (n{a} + n{b}) AND greatest(level{a}, level{b}) <= least(reach{a}, reach{b})"
+    """SQL: whether a shared shingle leaves room for the similarity; exact, every row of a similar pair passes."""
+    return f"{100 + percent} * (least(before{a}, before{b}) + least(rest{a}, rest{b})) >= {percent} * (n{a} + n{b}) AND greatest(level{a}, level{b}) <= least(reach{a}, reach{b})"
+
+
+#: What a row says of its class and its place in it.
+ROW = ("n", "reach", "level", "before", "rest")
 
 
 def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
@@ -250,10 +264,9 @@ def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
 
     Central is what has the largest share of shingles in common with others: the text that a group was copied from.
     """
-    central = F.struct((F.col("most") / F.col("n")).alias("share"), "key")
-    heads = shared.groupBy("token").agg(F.max(F.struct(central.alias("c"), "n", "reach", "level", "most")).alias("h"))
-    heads = heads.select(F.col("token").alias("t"), F.col("h.c.key").alias("a"), *[F.col(f"h.{c}").alias(f"{c}_a") for c in ("n", "reach", "level", "most")])
-    rows = shared.select("token", F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "reach", "level", "most")])
+    heads = shared.groupBy("token").agg(F.max(F.struct("share", "key", *ROW)).alias("h"))
+    heads = heads.select(F.col("token").alias("t"), F.col("h.key").alias("a"), *[F.col(f"h.{c}").alias(f"{c}_a") for c in ROW])
+    rows = shared.select("token", F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ROW])
     met = rows.join(heads, F.col("token") == F.col("t")).where(f"a <> b AND {possible('_a', '_b', percent)}")
     counts = met.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c"))
     return counts.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
@@ -340,12 +353,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def crossing_pairs(shared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components that share enough prefix shingles."""
     known = comps.select(F.col("key").alias("k"), "comp")
-    rows = shared.join(known, F.col("key") == F.col("k"), "left").select("token", "key", "n", "reach", "level", "most", F.coalesce("comp", "key").alias("comp"))
+    rows = shared.join(known, F.col("key") == F.col("k"), "left").select("token", "key", *ROW, F.coalesce("comp", "key").alias("comp"))
     counted = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = counted.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
     rows = materialise(rows.join(mixed.select(F.col("token").alias("t"), "main"), F.col("token") == F.col("t")).drop("t"), "mixed")
     # within a shingle: rows outside its largest component against all rows of other components
-    columns = ("key", "n", "reach", "level", "most", "comp")
+    columns = ("key", *ROW, "comp")
     few = rows.where("comp <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
     all_ = rows.select("token", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
     met = few.join(all_, "token").where(f"comp_a <> comp_b AND (comp_b = main OR key_a < key_b) AND {possible('_a', '_b', percent)}")
