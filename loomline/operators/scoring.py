@@ -95,11 +95,11 @@ def ensemble(stores: list[DataFrame], keys: list[str], out_k: int) -> DataFrame:
     """(keys, topk): the mean of several top-k stores. A token a store lacks counts 0 there; the out_k largest stay, ties
     in the order of the first store, then by index; their sum is brought to 1."""
     n = len(stores)
-    parts = [s.select(*keys, F.posexplode("topk").alias("pos", "e")).select(*keys, F.lit(i).alias("model"), "pos", F.col("e.idx").alias("idx"), F.col("e.prob").alias("prob")) for i, s in enumerate(stores)]
+    parts = [s.select(*keys, F.posexplode("topk").alias("__pos", "e")).select(*keys, F.lit(i).alias("model"), "__pos", F.col("e.idx").alias("idx"), F.col("e.prob").alias("prob")) for i, s in enumerate(stores)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    means = rows.groupBy(*keys, "idx").agg((F.sum("prob") / n).alias("prob"), F.min(F.struct("model", "pos")).alias("seen"))
+    means = rows.groupBy(*keys, "idx").agg((F.sum("prob") / n).alias("prob"), F.min(F.struct("model", "__pos")).alias("seen"))
     ranked = means.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.round("prob", 9).desc(), "seen", "idx"))).where(F.col("r") <= out_k)
     packed = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "idx", "prob"))).alias("t"), F.sum("prob").alias("s"))
     return packed.select(*keys, F.transform("t", lambda e: F.struct(e["idx"].alias("idx"), F.when(F.col("s") > 0, e["prob"] / F.col("s")).otherwise(e["prob"]).alias("prob"))).alias("topk"))
