@@ -23,6 +23,22 @@ def pack_blocks(df: DataFrame, key: str, ids: str, block: int, keep_rest: bool =
     return out if keep_rest else out.where(F.size("ids") == block)
 
 
+def pack_text(df: DataFrame, key: str, text: str, block: int) -> DataFrame:
+    """(block, text) where tokens are characters: the texts in key order, concatenated and cut; the rest is dropped.
+
+    Texts stay strings, and only blocks that hold ends of documents are shuffled.
+    """
+    n = F.length(text)
+    placed = running_sum(df.select(key, text, n.cast("bigint").alias("__n")), [key], F.col("__n"), id_bucket(key), "__start").where("__n > 0")
+    head = F.least(F.pmod(-F.col("__start"), F.lit(block)), F.col("__n")).cast("int")
+    cut = F.regexp_extract_all(F.substring(text, head + 1, n), F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    parts = F.when(head > 0, F.concat(F.array(F.substring(text, F.lit(1), head)), cut)).otherwise(cut)
+    pieces = placed.select(F.col("__start").alias("at"), F.posexplode(parts).alias("i", "part")).select((F.floor(F.col("at") / block) + F.col("i")).alias("block"), "at", "part")
+    ends = pieces.where(F.length("part") < block).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    met = ends.select("block", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text")).where(F.length("text") == block)
+    return pieces.where(F.length("part") == block).select("block", F.col("part").alias("text")).unionByName(met)
+
+
 def with_end(ids: Column, end) -> Column:
     """A token list with the end token after it."""
     return F.array_append(ids, end)

@@ -32,6 +32,11 @@ def strided_windows(s, d):
     return B.gather(windows, _blocks(s, d, 1024, keep_rest=True), 1024, 301, total).select("rank", "step", "start", _md5(B.shift("ids")[0]).alias("x_md5"), _md5(B.shift("ids")[1]).alias("y_md5"))
 
 
+def shift_xy(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(END)).alias("text"))
+    return B.pack_text(docs, "doc_id", "text", 65).select(F.col("block").cast("bigint").alias("block"), F.substring("text", 1, 64).alias("x"), F.substring("text", 2, 64).alias("y"))
+
+
 def _sources(s):
     return s.createDataFrame(WEIGHTS, "source string, weight double")
 
@@ -56,7 +61,7 @@ QUERIES = {
     "required_sequences": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.ceil(F.sum(F.length("text") + 1) / 513).cast("bigint").alias("sequences")),
     "doc_marks": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.ceil(F.sum(F.length("text") + 1) / 33).cast("bigint").alias("n")).select("source", F.explode(B.document_marks(F.col("n"))).alias("mark")).select("source", F.col("mark").cast("bigint").alias("mark")),
     "strided_windows": strided_windows,
-    "shift_xy": lambda s, d: _blocks(s, d, 65).select(F.col("block").cast("bigint").alias("block"), F.array_join(B.shift("ids")[0], "").alias("x"), F.array_join(B.shift("ids")[1], "").alias("y")).where("block < 200"),
+    "shift_xy": shift_xy,
     "batch_sequential": lambda s, d: B.batches(table(s, d, "documents").select("doc_id"), "doc_id", 48).select("doc_id", F.col("batch").cast("bigint").alias("batch"), F.col("place").cast("bigint").alias("place")),
     "batch_shuffled": lambda s, d: B.batches(table(s, d, "documents").select("doc_id"), "doc_id", 48, 5).select("doc_id", F.col("batch").cast("bigint").alias("batch"), F.col("place").cast("bigint").alias("place")),
     "weighted_draw": lambda s, d: _draws(s),
