@@ -38,9 +38,10 @@ def clip(text: Column, keep: int) -> Column:
     return F.when(n > 2 * keep, F.concat(F.substring(text, 1, keep), F.lit(" ... ["), (n - 2 * keep).cast("string"), F.lit(" omitted] ... "), F.right(text, F.lit(keep)))).otherwise(text)
 
 
-def flat_line(text: Column, keep: int = 20) -> Column:
-    """Newlines escaped, then cut to `keep` characters."""
-    return F.substring(F.replace(text, F.lit("\n"), F.lit("\\n")), 1, keep)
+def flat_line(text: Column, keep: int | None = 20) -> Column:
+    """Newlines escaped, then cut to `keep` characters, or whole for None."""
+    line = F.replace(text, F.lit("\n"), F.lit("\\n"))
+    return line if keep is None else F.substring(line, 1, keep)
 
 
 def choice_letter(index: Column) -> Column:

@@ -38,14 +38,15 @@ def _pairs(s, d):
 
 
 def few_shot(s, d):
-    rows = table(s, d, "benchmark").select("item_id", F.substring("text", 1, 30).alias("q"), F.right("text", F.lit(10)).alias("a"))
+    # an item is one text: its last 10 characters are the answer, all before them the question
+    rows = table(s, d, "benchmark").select("item_id", F.substring(c("text"), F.lit(1), F.greatest(F.length("text") - 10, F.lit(0))).alias("q"), F.right("text", F.lit(10)).alias("a"))
     ranked = rank(rows, ["item_id"], id_bucket("item_id"), "i")
     return E.few_shot(ranked, "i", "q", "a", 3, rows.count()).select("item_id", "prompt")
 
 
 def qa_pad(s, d):
     codes = lambda t: F.transform(F.filter(F.split(t, ""), lambda x: x != ""), lambda x: F.ascii(x))
-    rows = _pairs(s, d).select("conv_id", "turn", codes(F.substring("question", 1, 40)).alias("q"), codes(F.substring("answer", 1, 60)).alias("a"))
+    rows = _pairs(s, d).select("conv_id", "turn", codes("question").alias("q"), codes("answer").alias("a"))
     x, y = E.qa_example(c("q"), c("a"), 64, -1)
     text = lambda v: F.array_join(F.transform(v, lambda i: i.cast("string")), " ")
     return rows.select("conv_id", "turn", text(x).alias("x"), text(y).alias("y"))
@@ -79,7 +80,7 @@ QUERIES = {
     "pairwise_wins": lambda s, d: _scored(s, d).groupBy("y").agg(*E.wins(F.round("loss", 9), F.round("ref", 9))).withColumn("first_share", F.round("first_share", 6)),
     "topk_hit": lambda s, d: Q._store(s, d, c("z"), 5).agg(_r(F.avg(F.array_contains(F.transform("topk", lambda e: e["idx"]), c("y")).cast("double")) * 100, "accuracy")),
     "source_loss": lambda s, d: _scored(s, d).withColumn("split", F.when(c("b") % 5 == 0, "val").otherwise("train")).groupBy("y", "split").agg(_r(F.avg("loss"), "loss")),
-    "qa_pairs": lambda s, d: _pairs(s, d).select("conv_id", "turn", F.concat(F.lit("Q: "), flat_line(c("question"), 40), F.lit("\nA: "), flat_line(c("answer"), 40)).alias("text")),
+    "qa_pairs": lambda s, d: _pairs(s, d).select("conv_id", "turn", F.concat(F.lit("Q: "), flat_line(c("question"), None), F.lit("\nA: "), flat_line(c("answer"), None)).alias("text")),
     "qa_join_options": lambda s, d: table(s, d, "part").select("p_partkey", F.array("p_brand", "p_type", "p_name").alias("o")).select("p_partkey", F.array_join("o", "; ").alias("options"), F.element_at("o", (F.pmod("p_partkey", F.lit(3)) + 1).cast("int")).alias("answer"), F.array_position("o", F.element_at("o", 2)).cast("bigint").alias("position")),
     "few_shot": few_shot,
     "qa_pad": qa_pad,

@@ -29,3 +29,32 @@ def test_pack_text_cuts_the_stream(spark):
         stream = "".join(texts)
         got = {r["block"]: r["text"] for r in B.pack_text(df, "id", "text", block).collect()}
         assert got == {i: stream[block * i : block * i + block] for i in range(len(stream) // block)}
+
+
+def pairs(sf):
+    turns = sorted(rows(sf, "conversations", "conv_id", "turn", "role", "text"), key=lambda r: (r["conv_id"], r["turn"]))
+    return {(a["conv_id"], a["turn"]): (a["text"], b["text"]) for a, b in zip(turns, turns[1:]) if a["conv_id"] == b["conv_id"] and (a["role"], b["role"]) == ("user", "assistant")}
+
+
+def test_qa_pad_keeps_the_end_of_the_answer(spark, sf):
+    want = {}
+    for k, (q, a) in pairs(sf).items():
+        x, y = [ord(ch) for ch in q + a], [-1] * (len(q) - 1) + [ord(ch) for ch in a] + [-1]
+        more = max(0, 64 - len(x))
+        want[k] = tuple(" ".join(map(str, v[-64:])) for v in (x + x[-1:] * more, y + [-1] * more))
+    got = {(r["conv_id"], r["turn"]): (r["x"], r["y"]) for r in run(spark, sf, "qa_pad")}
+    assert got == want and any(len(a) > 60 for _, a in pairs(sf).values())
+
+
+def test_qa_pairs_are_whole(spark, sf):
+    line = lambda t: t.replace("\n", "\\n")
+    want = {k: f"Q: {line(q)}\nA: {line(a)}" for k, (q, a) in pairs(sf).items()}
+    assert {(r["conv_id"], r["turn"]): r["text"] for r in run(spark, sf, "qa_pairs")} == want
+
+
+def test_few_shot_prompts_are_whole(spark, sf):
+    items = sorted(rows(sf, "benchmark", "item_id", "text"), key=lambda r: r["item_id"])
+    texts = [r["text"] for r in items]
+    shots = [f"{t[:-10]}\n{t[-10:]}\n\n" for t in texts]
+    want = {r["item_id"]: "".join(shots[i - k] for k in (1, 2, 3)) + texts[i][:-10] for i, r in enumerate(items)}
+    assert {r["item_id"]: r["prompt"] for r in run(spark, sf, "few_shot")} == want
