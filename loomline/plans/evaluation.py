@@ -90,7 +90,7 @@ QUERIES = {
     "metric_join": lambda s, d: A.metric_table(_log(s, d), "run", "step", "metric", "value", ["click", "view"]).where("step >= 3").select("run", "step", _r("click", "click"), _r("view", "view"), _r("mean", "mean")),
     "unpivot_accuracy": lambda s, d: wide_accuracy(s).unpivot("k", [f"model_{m}" for m in range(1, 5)], "model", "accuracy"),
     "power_fit": lambda s, d: A.power_fit(s.range(1, 41).select((c("id") % 3).alias("run"), c("id").cast("double").alias("x"), ((c("id") % 3 + 2) * F.pow(c("id").cast("double"), F.lit(-0.5)) + 1).alias("y")), "run", "x", "y", [i / 20 for i in range(1, 41)]).select("run", _r("alpha", "alpha"), _r("a", "a"), _r("c", "c")),
-    "cosine_pairs": lambda s, d: A.cosine_pairs(table(s, d, "embeddings").orderBy("vec_id").limit(40), "vec_id", "embedding").select("i", "j", _r("cosine", "cosine")),
+    "cosine_pairs": lambda s, d: A.cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding").select("i", "j", _r("cosine", "cosine")),
     "cluster_report": lambda s, d: A.cluster_report(table(s, d, "documents").select(c("source").alias("cluster"), "n_chars", "lang"), "cluster", "n_chars", "lang").select("cluster", "lang", "size", _r("mean_position", "mean_position"), _r("std_position", "std_position"), _r("percent", "percent")),
     "cluster_top_tokens": lambda s, d: A.top_tokens(table(s, d, "documents").select("lang", F.explode(F.split("text", " ")).alias("token")).where("token <> ''"), "lang", "token").select("lang", "token", "n", c("rank").cast("bigint").alias("rank")),
     "special_token_exclusion": lambda s, d: table(s, d, "embeddings").select("vec_id", "label").join(F.broadcast(s.createDataFrame([(3,), (7,)], "label int")), "label", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("n")),

@@ -1,7 +1,11 @@
 """Queries over whole tables, held against plain Python: no cap on rows, no cut of texts."""
 
+import itertools
+
+import numpy as np
 import pyarrow.parquet as pq
 
+from loomline.operators import analytics as A
 from loomline.operators import blocks as B
 from loomline.plans import catalogue
 
@@ -58,3 +62,19 @@ def test_few_shot_prompts_are_whole(spark, sf):
     shots = [f"{t[:-10]}\n{t[-10:]}\n\n" for t in texts]
     want = {r["item_id"]: "".join(shots[i - k] for k in (1, 2, 3)) + texts[i][:-10] for i, r in enumerate(items)}
     assert {r["item_id"]: r["prompt"] for r in run(spark, sf, "few_shot")} == want
+
+
+def test_cosine_pairs_covers_all_vectors(spark, sf):
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in rows(sf, "embeddings", "vec_id", "embedding")}
+    unit = {k: v / np.sqrt(v @ v) for k, v in vectors.items()}
+    got = run(spark, sf, "cosine_pairs")
+    assert {(r["i"], r["j"]) for r in got} == set(itertools.combinations(sorted(unit), 2)) and len(got) == len(unit) * (len(unit) - 1) // 2
+    assert all(abs(r["cosine"] - unit[r["i"]] @ unit[r["j"]]) < 1e-6 for r in got)
+
+
+def test_cosine_pairs_of_many_blocks(spark):
+    data = [(i, [float(i % 7), 1.0] if i else [0.0, 0.0]) for i in range(60)] + [(60, None)]
+    for block in (5, 10, 61):
+        got = A.cosine_pairs(spark.createDataFrame(data, "id long, v array<float>"), "id", "v", block).collect()
+        assert sorted((r["i"], r["j"]) for r in got) == list(itertools.combinations(range(61), 2))
+        assert all((r["cosine"] is None) == (r["i"] == 0 or r["j"] == 60) for r in got)
