@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_hash
+from ..operators import blocks as B
 from ..operators import synthesis as Y
 from ..operators import tokens as T
+from ..operators.ordering import rank
 from ..session import table
 
 END = 50256
@@ -40,9 +42,12 @@ def store_files(s, d):
 
 
 def mix_synthetic(s, d):
-    made = Y.arithmetic(s, 200, 99, 3).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("key"), F.length("text").cast("bigint").alias("n"))
-    real = table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.length("text").cast("bigint").alias("n"))
-    return made.unionByName(real).withColumn("h", draw_hash(42, F.col("key"))).orderBy("h", "key").limit(100).select("key", F.when(F.startswith("key", F.lit("d")), F.col("n")).alias("n_real"))
+    """Synthetic and real text, each encoded and cut into blocks of 128 tokens; all blocks with their places in a seeded shuffle."""
+    made = Y.arithmetic(s, 200, 99, 3).select("id", "text")
+    real = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    blocks = lambda rows, kind: B.pack_blocks(T.encode(rows, "id", "text", *_vocabulary(), END), "id", "ids", 128).select(F.concat(F.lit(kind), F.col("block").cast("string")).alias("key"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary")).alias("md5"), "n_docs")
+    mixed = blocks(made, "s").unionByName(blocks(real, "d")).withColumn("h", draw_hash(42, F.col("key")))
+    return rank(mixed, ["h", "key"], F.substring("h", 1, 3)).select("rank", "key", "md5", "n_docs")
 
 
 QUERIES = {"bpe_encode": bpe_encode, "bpe_round_trip": bpe_round_trip, "qa_separate": qa_separate, "store_files": store_files, "mix_synthetic": mix_synthetic}

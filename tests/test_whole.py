@@ -1,9 +1,11 @@
 """Queries over whole tables, held against plain Python: no cap on rows, no cut of texts."""
 
+import hashlib
 import itertools
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from loomline.operators import analytics as A
 from loomline.operators import blocks as B
@@ -78,3 +80,20 @@ def test_cosine_pairs_of_many_blocks(spark):
         got = A.cosine_pairs(spark.createDataFrame(data, "id long, v array<float>"), "id", "v", block).collect()
         assert sorted((r["i"], r["j"]) for r in got) == list(itertools.combinations(range(61), 2))
         assert all((r["cosine"] is None) == (r["i"] == 0 or r["j"] == 60) for r in got)
+
+
+def test_mix_synthetic_gives_every_block(spark, sf):
+    pytest.importorskip("tiktoken")
+    from loomline.operators import synthesis as Y
+    from loomline.operators import tokens as T
+    from loomline.plans.tokens import END, _vocabulary
+
+    enc, want = T.encoding(*_vocabulary()), {}
+    real = sorted((r["doc_id"], r["text"]) for r in rows(sf, "documents", "doc_id", "text"))
+    made = sorted((r["id"], r["text"]) for r in Y.arithmetic(spark, 200, 99, 3).collect())
+    for kind, texts in (("s", made), ("d", real)):
+        ids = [i for _, t in texts for i in [*enc.encode_ordinary(t), END]]
+        want |= {f"{kind}{k}": hashlib.md5(" ".join(map(str, ids[128 * k : 128 * k + 128])).encode()).hexdigest() for k in range(len(ids) // 128)}
+    order = sorted(want, key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))
+    got = sorted((r["rank"], r["key"], r["md5"]) for r in run(spark, sf, "mix_synthetic"))
+    assert got == [(i, k, want[k]) for i, k in enumerate(order)] and {k[0] for k in order} == {"s", "d"}
