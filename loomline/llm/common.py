@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one if none is set on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="loomline-")
             spark.sparkContext.setCheckpointDir(folder)
@@ -36,7 +38,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written to the shared folder, with a number of its own in each row; and the new column's name."""
+    row = "__row"
+    while row in df.columns:
+        row += "_"
+    return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
+def without(rows: DataFrame, row: str, dropped: DataFrame, name: str) -> DataFrame:
+    """Numbered rows but those whose number is in the one column of `dropped`, without their number.
+
+    The numbers are written first: Spark then knows their size and, within its broadcast threshold, moves no text.
+    """
+    gone = materialise(dropped.toDF("__gone"), name)
+    return rows.join(gone, rows[row] == gone["__gone"], "left_anti").drop(row)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -70,18 +99,23 @@ def attach_group(
 
 
 #: Bits to shift a 64-bit key by for each of a Bloom filter's positions.
-BLOOM_SHIFTS = (0, 20, 40)
+BLOOM_SHIFTS = (0, 18, 36)
+#: Fewest and most 64-bit words of a filter: it has 12 bits a key up to about 11 million keys, and 16 MB at most.
+BLOOM_WORDS = (1 << 12, 1 << 21)
 
 
-def bloom_of(keys: DataFrame, column: str, words: int = 1 << 17) -> np.ndarray:
-    """A Bloom filter over a column of 64-bit hashes: `words` (a power of 2) 64-bit words, whatever the number of keys."""
+def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter over a column of 64-bit hashes. Past its largest size it lets more through, but never loses a key."""
+    keys = materialise(keys.select(column), "bloom")  # counted first, then read again
+    words = min(max(BLOOM_WORDS[0], 1 << (keys.count() * 12 // 64).bit_length()), BLOOM_WORDS[1])
     bits = F.explode(F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(words * 64 - 1)) for s in BLOOM_SHIFTS]))
     rows = keys.select(bits.alias("bit")).select(
         F.shiftrightunsigned("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")
     )
-    found = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    found = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    discard(keys)
     out = np.zeros(words, dtype=np.int64)
-    out[found["word"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64)
+    out[found["word"].to_numpy()] = found["mask"].to_numpy()
     return out.view(np.uint64)
 
 

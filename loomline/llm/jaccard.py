@@ -8,12 +8,15 @@ expect, and a pair needs as many shared prefix shingles, each within both of the
 
 Components are what counts, so links inside a known component need no pairs: first each class is verified against one
 central class of its prefix shingles (a star, linear in the rows); then, exactly, every pair of classes in different
-components so far that shares enough prefix shingles and whose places in the order leave room for the similarity. Shingles whose classes all lie in one component drop out, and
-within a shingle only pairs that cross components are formed, so a large group of copies never meets itself.
+components so far that shares enough prefix shingles and whose places in the order leave room for the similarity.
+Shingles whose classes all lie in one component drop out, and within a shingle only pairs that cross components are
+formed, so a large group of copies never meets itself. Before whole sets are sent and compared, signatures of the
+classes, a sixteenth of a set's size or less, bound from below how far two sets differ and drop most other pairs.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Repeated rows belong to
-one class. Null ids take part, but never name a component unless it has no other. An empty table gives an empty result.
-Extra columns are dropped. A set's size and an intersection err only if two shingles share a 64-bit hash.
+one class. Null ids take part, but never name a component unless it has no other. Very long texts are read whole, each
+as one row. An empty table gives an empty result. Extra columns are dropped, whatever their names. A set's size and an
+intersection err only if two shingles share a 64-bit hash; classes go by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,15 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import attach_group, bloom_of, bloom_test, materialise, slices
+from .common import attach_group, bloom_of, bloom_test, discard, materialise, numbered, slices, without
 
 WORDS = 5
-#: Cells of the frequency sketch (its size bounds what is broadcast), and prefix rows that one group of them holds.
-CELL_BITS, GROUP_ROWS = 19, 2_000_000
+#: The frequency sketch has 2^19 to 2^22 cells (16 MB at most are broadcast), about one for each KB of input, and
+#: travels in chunks of so many cells.
+CELL_BITS, CHUNK = (19, 22), 8192
+#: Prefix rows that one group of them holds.
+GROUP_ROWS = 2_000_000
+#: Pairs of one class that meet its set in one place; more are dealt over several.
+PAIRS_A_PLACE = 2000
 #: Expected candidates at which a class's prefix gets one shingle longer.
 COSTS = (64, 1024, 16_384)
-#: Shingles that the sketch counts so often, or so many times its mean, are dealt over SALTS groups.
-HEAVY, HEAVY_TIMES, SALTS = 20_000, 4, 64
+#: Shingles that the sketch counts so often, or so many times its mean, are dealt over groups of their own, by class.
+HEAVY, HEAVY_TIMES = 20_000, 4
 
 U = np.uint64
 _rng = np.random.default_rng(5)
@@ -97,56 +105,113 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def set_key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+class Names:
+    """64-bit keys of sets: the first half of a 128-bit hash, or its second half for the keys in `clashing`."""
+
+    def __init__(self, bits: int = 64, clashing: frozenset[int] = frozenset()):
+        self.mask = (1 << bits) - 1
+        self.clashing = clashing
+
+    def halves(self, s: np.ndarray) -> tuple[int, int]:
+        d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+        first = int.from_bytes(d[:8], "little") & self.mask
+        return first - (first >> 63 << 64), int.from_bytes(d[8:], "little", signed=True)
+
+    def key(self, s: np.ndarray) -> int:
+        first, second = self.halves(s)
+        return second if first in self.clashing else first
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Parities of how many hashes fall on each of 2n to 4n bits. Two sets differ by no fewer hashes than parities."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the size of two sets' symmetric difference, from their signatures."""
+    x, y = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def mark_of(first: int, second: int, row_id: int | None) -> int:
+    """64-bit hash of a set and of a row's id."""
+    text = f"{first},{second},{row_id}"
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
 
 
-def cells_of(s: np.ndarray) -> np.ndarray:
-    return (s >> U(64 - CELL_BITS)).astype(np.int64)
+def cell_bits(docs: DataFrame) -> int:
+    """Bits of a cell's number, from Spark's estimate of the input's bytes; the fewest if it has none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(CELL_BITS[0], (size >> 10).bit_length()), CELL_BITS[1]) if size < 1 << 60 else CELL_BITS[0]
 
 
-def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, key) of every row, and each task's part of the sketch: (cells, counts)."""
+def cells_of(s: np.ndarray, cells: int) -> np.ndarray:
+    return (s >> U(65 - cells.bit_length())).astype(np.int64)
+
+
+def summaries(docs: DataFrame, id_col: str, text_col: str, cells: int, names: Names) -> DataFrame:
+    """(id, n, first, second, mark, sign) of every row, and chunks of each task's part of the sketch: (chunk, counts)."""
+    columns = ["id", "n", "first", "second", "mark", "sign", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        counts = np.zeros(cells, dtype=np.int64)
         for b in slices(batches):
             sets = shingle_sets(b.column(1).to_pylist())
-            counts += np.bincount(cells_of(np.concatenate(sets)), minlength=len(counts))
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_key(s) for s in sets], pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))],
-                ["id", "n", "key", "cells", "counts"],
-            )
-        used = np.flatnonzero(counts)
-        for at in range(0, len(used), 8192):
-            c = used[at : at + 8192]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([c.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[c]], pa.list_(pa.int64()))],
-                ["id", "n", "key", "cells", "counts"],
-            )
-
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n int, key long, cells array<int>, counts array<long>")
-
-
-def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, percent: int, groups: int) -> DataFrame:
-    """(part, blob): prefix shingles of every class, packed by the range of the shingle."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)
+            at, n = np.unique(cells_of(np.concatenate(sets), cells), return_counts=True)
+            counts[at] += n
+            both = [names.halves(s) for s in sets]
+            marks = [mark_of(x, y, i) for (x, y), i in zip(both, b.column(0).to_pylist(), strict=True)]
+            first, second = ([h[k] for h in both] for k in (0, 1))
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(c, pa.int64()) for c in (first, second, marks)), pa.array([signature(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], columns)
+        for k in range(cells // CHUNK):
+            part = counts[k * CHUNK : (k + 1) * CHUNK]
+            if part.any():
+                cols = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], columns)
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n int, first long, second long, mark long, sign binary, chunk int, counts binary")
+
+
+def sketch_of(noted: DataFrame, cells: int) -> np.ndarray:
+    """The sum of the tasks' parts: summed where they are read, then by chunk; one row a chunk reaches the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(blob, dtype=np.int64)
+                total[k] = total[k] + part if k in total else part
+        for k, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    kind = "chunk int, counts binary"
+    summed = noted.where("chunk IS NOT NULL").select("chunk", "counts").mapInArrow(add, kind).repartition("chunk").mapInArrow(add, kind).toArrow()
+    out = np.zeros(cells, dtype=np.int64)
+    for k, blob in zip(summed["chunk"].to_pylist(), summed["counts"].to_pylist(), strict=True):
+        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(blob, dtype=np.int64)
+    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, names: Names, percent: int, groups: int, heavy: int, heavy_groups: int) -> DataFrame:
+    """(part, blob): prefix shingles of every class, packed by the range of the shingle, or by class if it is heavy."""
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
     mean = int(sketch.mean())
-    heavy = max(HEAVY, HEAVY_TIMES * mean)
     width = U((1 << 64) // groups + 1)
 
     def pack(keys, sizes, reach, tokens, owner, place) -> Iterator[pa.RecordBatch]:
         keys, sizes, reach = np.asarray(keys, dtype=np.int64), np.asarray(sizes, dtype=np.int32), np.asarray(reach, dtype=np.int8)
         tokens, owner, place = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
         part = (tokens // width).astype(np.int64)
-        hot = shared.value[cells_of(tokens)] >= heavy
-        part[hot] = groups + keys[owner[hot]] % SALTS
+        hot = shared.value[cells_of(tokens, len(sketch))] >= heavy
+        part[hot] = groups + keys[owner[hot]] % heavy_groups
         order = np.argsort(part, kind="stable")
         part, tokens, owner, place = part[order], tokens[order], owner[order], place[order]
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=np.iinfo(np.int64).max))
@@ -168,14 +233,14 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, pe
                 n = len(s)
                 if not n:
                     continue
-                key = set_key(s)
+                key = names.key(s)
                 if key in seen:
                     continue
                 if len(seen) > 2_000_000:
                     seen.clear()
                 seen.add(key)
                 need = -(-percent * n // 100)
-                frequency = counts[cells_of(s)]
+                frequency = counts[cells_of(s, len(counts))].astype(np.int64)
                 order = np.lexsort((s, frequency))
                 base = n - need + 1
                 cost = int(np.maximum(frequency[order[:base]] - 2 * mean, 0).sum())
@@ -272,47 +337,59 @@ def star_pairs(shared: DataFrame, percent: int) -> DataFrame:
     return counts.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
 
 
-def marked(keys, ids):
-    """A class's hash with a row's id mixed into all of its parts, alike for JVM columns and arrays."""
-    if isinstance(keys, np.ndarray):
-        return keys ^ ids ^ (ids << np.int64(21)) ^ (ids << np.int64(42))
-    return keys.bitwiseXOR(ids).bitwiseXOR(F.shiftleft(ids, 21)).bitwiseXOR(F.shiftleft(ids, 42))
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures leave room for the similarity; exact, every similar pair passes."""
+    side = lambda end: classes.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("sign").alias(f"sign_{end}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sign_a", "sign_b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2048):
+            differ = np.asarray([least_difference(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], dtype=np.int64)
+            total = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            rows = pa.array(np.flatnonzero((100 + percent) * (total - differ) >= 2 * percent * total))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows)], ["a", "b"])
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, table: DataFrame, pairs: DataFrame) -> DataFrame:
+    return both.mapInArrow(run, "a long, b long")
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, names: Names, pairs: DataFrame) -> DataFrame:
     """(key, shingles) of each class in the pairs. The row with the smallest id alone sends its class's set.
 
     A Bloom filter of these rows, of bounded size, says where they are; what it lets through besides drops out in joins.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    first = table.where("n > 0").groupBy("key").agg(F.coalesce(F.min("id"), F.lit(-1)).alias("id"))
-    senders = first.join(ends, F.col("key") == F.col("k")).select(marked(F.col("key"), F.col("id")).alias("mark"))
+    senders = classes.join(ends, F.col("key") == F.col("k")).select("least.mark")
     words = docs.sparkSession.sparkContext.broadcast(bloom_of(senders, "mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for b in slices(batches):
             sets = shingle_sets(b.column(1).to_pylist())
-            keys = np.asarray([set_key(s) for s in sets], dtype=np.int64)
-            out = []
-            marks = marked(keys, b.column(0).fill_null(-1).to_numpy())
+            marks = np.asarray([mark_of(*names.halves(s), i) for s, i in zip(sets, b.column(0).to_pylist(), strict=True)], dtype=np.int64)
+            keys, out = [], []
             for i in np.flatnonzero(bloom_test(words.value, marks.view(np.uint64))).tolist():
-                if int(keys[i]) not in sent:
-                    sent.add(int(keys[i]))
-                    out.append(i)
+                key = names.key(sets[i])
+                if len(sets[i]) and key not in sent:
+                    sent.add(key)
+                    keys.append(key)
+                    out.append(sets[i].tobytes())
             if len(sent) > 2_000_000:
                 sent.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array([sets[i].tobytes() for i in out], pa.binary())], ["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "shingles"])
 
     rows = _texts(docs, id_col, text_col).mapInArrow(run, "key long, shingles binary")
     return rows.groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    own = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    centre = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    both = pairs.join(own, "b").join(centre, "a").select("a", "b", "x", "y")
+    """The pairs (a, b) whose sets are similar enough. The set of a class a of many pairs is sent to several places."""
+    hubs = pairs.groupBy(F.col("a").alias("hub")).agg(F.floor((F.count(F.lit(1)) - 1) / PAIRS_A_PLACE).cast("int").alias("last")).where("last > 0")
+    rows = pairs.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.col("last") + 1).cast("int").alias("place"))
+    rows = rows.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    single = rows.where("place IS NULL").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+    spread = hubs.select(F.col("hub").alias("a"), F.explode(F.sequence(F.lit(0), "last")).alias("place"))
+    spread = spread.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+    both = single.select("a", "b", "x", "y").unionByName(rows.join(spread, ["a", "place"]).select("a", "b", "x", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -366,33 +443,51 @@ def crossing_pairs(shared: DataFrame, comps: DataFrame, percent: int) -> DataFra
     return counts.where("c >= need").select("a", "b")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def named_rows(noted: DataFrame, names: Names) -> DataFrame:
+    """(id, n, key, mark, sign) of every row; keys that stand for two different 128-bit hashes, a handful at any size, are
+    replaced and put into names."""
+    rows = noted.where("n IS NOT NULL")
+    two = rows.where("n > 0").groupBy("first").agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x <> y")
+    names.clashing = frozenset(r[0] for r in two.select("first").collect())
+    key = F.when(F.col("first").isin(*names.clashing), F.col("second")).otherwise(F.col("first")) if names.clashing else F.col("first")
+    return rows.select("id", "n", key.alias("key"), "mark", "sign")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, key_bits: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
-    noted = materialise(summaries(docs, id_col, text_col), "summaries")
-    table = noted.where("n IS NOT NULL").select("id", "n", "key")
-    counted = noted.where("cells IS NOT NULL").select(F.explode(F.arrays_zip("cells", "counts")).alias("e")).groupBy("e.cells").agg(F.sum("e.counts").alias("n")).toPandas()
-    sketch = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    sketch[counted["cells"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
-    groups = max(16, int(sketch.sum()) * (100 - percent + 10) // 100 // GROUP_ROWS)
-
-    shared = materialise(shared_prefixes(prefixes(docs, id_col, text_col, sketch, percent, groups), groups), "prefixes")
-    shared = materialise(with_bounds(shared, percent), "bounds")
+    cells, names = 1 << cell_bits(docs), Names(key_bits)
+    noted = materialise(summaries(docs, id_col, text_col, cells, names), "summaries")
+    table = named_rows(noted, names)
+    sketch = sketch_of(noted, cells)
+    classes = materialise(table.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("id", "mark")).alias("least"), F.first("sign").alias("sign")), "classes")
+    rows_in = lambda counts: max(16, int(counts.sum(dtype=np.int64)) * (100 - percent + 10) // 100 // GROUP_ROWS)
+    heavy = max(HEAVY, HEAVY_TIMES * int(sketch.mean()))
+    groups, heavy_groups = rows_in(sketch), rows_in(sketch[sketch >= heavy])
+
+    def linked(found: DataFrame) -> DataFrame:
+        """Of the pairs found, those that are similar: by signatures first, then by whole sets."""
+        likely = materialise(plausible(found, classes, percent), "likely")
+        links = materialise(verified(likely, sets_of(docs, id_col, text_col, classes, names, likely), percent), "links")
+        discard(likely)
+        return links
+
+    packed = prefixes(docs, id_col, text_col, sketch, names, percent, groups, heavy, heavy_groups)
+    prefix_rows = materialise(shared_prefixes(packed, groups), "prefixes")
+    shared = materialise(with_bounds(prefix_rows, percent), "bounds")
     # links inside components: every class against the most central class of its shingles
-    stars = materialise(star_pairs(shared, percent), "stars")
-    links = materialise(verified(stars, sets_of(docs, id_col, text_col, table, stars), percent), "links")
+    links = linked(star_pairs(shared, percent))
     comps = materialise(components(links), "components")
     # links across components
-    pairs = materialise(crossing_pairs(shared, comps, percent), "pairs")
-    if not pairs.isEmpty():
-        more = materialise(verified(pairs, sets_of(docs, id_col, text_col, table, pairs), percent), "links")
-        if not more.isEmpty():
-            comps = materialise(components(links.unionByName(more)), "components")
+    more = linked(crossing_pairs(shared, comps, percent))
+    if not more.isEmpty():
+        comps = materialise(components(links.unionByName(more)), "components")
 
     named = table.where("n > 0").join(comps.select(F.col("key").alias("k"), "comp"), F.col("key") == F.col("k"), "left")
     named = materialise(named.select("id", "n", F.coalesce("comp", "key").alias("comp"), F.monotonically_increasing_id().alias("row")), "named")
-    linked = attach_group(named, ["comp"], {"m": F.min("id")}, {"component_id": F.min("m")}, salt_on=F.col("row")).select("id", "n", "component_id")
+    discard(prefix_rows, shared, classes, links, more, comps)
+    linked_rows = attach_group(named, ["comp"], {"m": F.min("id")}, {"component_id": F.min("m")}, salt_on=F.col("row")).select("id", "n", "component_id")
     alone = table.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return linked_rows.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -400,9 +495,14 @@ def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one whose id names it, or any row of a component without ids."""
-    dropped = near_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("__id"), "left_anti").select(*docs.columns)
+    """One row of each component: that with the smallest id, null ids last, then the first of them. Nulls, empty and
+    repeated texts are treated as by near_components; an empty text is alone in its component and always stays."""
+    rows, row = numbered(docs, "jaccard-rows")
+    found = materialise(near_components(rows, row), "jaccard-found").where("n_shingles > 0")
+    ids = found.join(rows.select(row, F.col("doc_id").alias("__id")), row)
+    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col(row).alias("row"))
+    first = ids.groupBy("component_id").agg(F.min(place)["row"].alias("stays"))
+    return without(rows, row, found.join(first, F.col(row) == F.col("stays"), "left_anti").select(row), "jaccard-dropped")
 
 
 QUERIES = {"op5_jaccard_join": op5_jaccard_join}
