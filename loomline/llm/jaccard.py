@@ -39,7 +39,7 @@ CELL_BITS, CHUNK = (19, 22), 8192
 #: Prefix rows that one group of them holds.
 GROUP_ROWS = 2_000_000
 #: Pairs of one class that meet its set in one place; more are dealt over several.
-PAIRS_A_PLACE = 2000
+PAIRS_A_PLACE = 256
 #: Expected candidates at which a class's prefix gets one shingle longer.
 COSTS = (64, 1024, 16_384)
 #: Shingles that the sketch counts so often, or so many times its mean, are dealt over groups of their own, by class.
