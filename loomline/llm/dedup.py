@@ -8,8 +8,9 @@ identifiers. Texts are equal when their lists of verified identifiers are equal;
 compare documents.
 
 Null text counts as empty; empty texts are equal to one another. Of equal texts the row with the most code points in the
-original text stays, then the smallest id (null ids last), then one of the repeated rows. An empty table gives an empty
-result. Ids are integers. Columns other than the id and the text are dropped.
+original text stays, then the smallest id (null ids last), then one of the repeated rows. Very long texts are read whole;
+a task holds one of them at a time and its chunks are bounded. An empty table gives an empty result. Ids are integers.
+Columns other than the id and the text are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import attach_group, bloom_of, bloom_test, materialise, slices
+from .common import attach_group, bloom_of, bloom_test, materialise, numbered, slices, without
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes that a chunk has at least and at most, and the bits of the rolling hash that are 0 at a cut: about 1 KB a chunk.
@@ -66,24 +66,25 @@ def recipe_key(r: bytes) -> int:
     return int.from_bytes(hashlib.sha256(r).digest()[:8], "little", signed=True)
 
 
-def recipes_of(docs: DataFrame, id_col: str, text_col: str, id_bytes: int) -> DataFrame:
-    """(id, n_chars, text_sha256, recipe, key) of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def recipes_of(docs: DataFrame, id_col: str, text_col: str, id_bytes: int, row_col: str | None = None) -> DataFrame:
+    """(id, row, n_chars, text_sha256, recipe, key) of every row; without a column of row numbers, row is null."""
+    row = F.col(row_col) if row_col else F.lit(None)
+    rows = docs.select(F.col(id_col).alias("id"), row.cast("long").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.select("id", F.length("text").cast("long").alias("n_chars"), F.col("text").cast("binary").alias("data"))
+    rows = rows.select("id", "row", F.length("text").cast("long").alias("n_chars"), F.col("text").cast("binary").alias("data"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             shas, recipes, keys = [], [], []
-            for data in b.column(2).to_pylist():
+            for data in b.column(3).to_pylist():
                 data = data.translate(None, SPACE)
                 shas.append(hashlib.sha256(data).hexdigest())
                 recipes.append(recipe(chunks(data), id_bytes))
                 keys.append(recipe_key(recipes[-1]))
-            cols = [b.column(0), b.column(1), pa.array(shas, pa.string()), pa.array(recipes, pa.binary()), pa.array(keys, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n_chars", "text_sha256", "recipe", "key"])
+            cols = [*b.columns[:3], pa.array(shas, pa.string()), pa.array(recipes, pa.binary()), pa.array(keys, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "row", "n_chars", "text_sha256", "recipe", "key"])
 
-    return rows.mapInArrow(cut, f"id {kind}, n_chars long, text_sha256 string, recipe binary, key long")
+    return rows.mapInArrow(cut, f"id {kind}, row long, n_chars long, text_sha256 string, recipe binary, key long")
 
 
 def ambiguous_ids(docs: DataFrame, text_col: str, id_bytes: int, shared: np.ndarray) -> DataFrame:
@@ -114,10 +115,14 @@ def ambiguous_ids(docs: DataFrame, text_col: str, id_bytes: int, shared: np.ndar
     return sent.groupBy("chunk_id").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("chunk_id")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 16) -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256, n_chunks) of every row."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 16, row_col: str | None = None) -> DataFrame:
+    """(id, row, keep_id, group_size, kept, text_sha256, n_chunks) of every row.
+
+    row is what the column row_col holds, if it is given: different numbers of the rows; else the operator numbers them.
+    """
     while True:
-        table = materialise(recipes_of(docs, id_col, text_col, id_bytes).withColumn("row", F.monotonically_increasing_id()), "recipes")
+        table = recipes_of(docs, id_col, text_col, id_bytes, row_col)
+        table = materialise(table if row_col else table.withColumn("row", F.monotonically_increasing_id()), "recipes")
         by_salt = table.groupBy("key", F.pmod("row", F.lit(64)).alias("salt")).agg(F.count(F.lit(1)).alias("n"))
         shared = by_salt.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
         if ambiguous_ids(docs, text_col, id_bytes, bloom_of(shared, "key")).isEmpty():
@@ -125,12 +130,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if id_bytes >= 32:
             raise ValueError("two different chunks have the same SHA-256")
         id_bytes = min(32, 2 * id_bytes)
-    best = F.max(F.struct("n_chars", (-F.col("id")).alias("minus_id"), (-F.col("row")).alias("minus_row"), "id", "row"))
+    best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), "id", "row"))
     out = attach_group(
-        table, ["recipe"], {"n": F.count(F.lit(1)), "best": best}, {"group_size": F.sum("n"), "stays": F.max("best")}, salt_on=F.col("row")
+        table, ["recipe"], {"n": F.count(F.lit(1)), "best": best}, {"group_size": F.sum("n"), "stays": F.min("best")}, salt_on=F.col("row")
     )
     return out.select(
         F.col("id").alias(id_col),
+        "row",
         F.col("stays.id").alias("keep_id"),
         "group_size",
         (F.col("row") == F.col("stays.row")).alias("kept"),
@@ -140,17 +146,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("n_chunks")
+    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("row", "n_chunks")
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay; of repeated rows (same id, same text) one."""
-    stay = exact_groups(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    squeezed = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]", "")
-    keyed = docs.withColumn("__doc_sha", F.sha2(squeezed.cast("binary"), 256))
-    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__doc_sha") == F.col("__sha")), "left_semi")
-    same = W.partitionBy("doc_id", "__doc_sha").orderBy(F.length("text").desc_nulls_last())
-    return found.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*docs.columns)
+    """The rows that stay, one of each group of equal texts, whatever their ids; nulls and ties as in exact_groups."""
+    rows, row = numbered(docs, "dedup-rows")
+    found = exact_groups(rows.select(F.col("doc_id").alias("id"), F.col("text").alias("text"), F.col(row).alias("n")), "id", "text", row_col="n")
+    return without(rows, row, found.where(~F.col("kept")).select("row"), "dedup-dropped")
 
 
 QUERIES = {"op9_exact_dedup": op9_exact_dedup}

@@ -2,15 +2,17 @@
 
 A logistic model gives every document a probability of being good from features of its whole text. Grouped sums of
 these probabilities give each host, and each path within a host, a posterior: a path is shrunk towards its host and a
-host towards the global mean, with strengths estimated by moments from all groups, so sparse sites stay near the global
-prior. A document's score adds to its own log-odds the weighted shift of its path's log-odds from the global ones, bounded so that a site can
-tip an unclear document but not outvote clear evidence.
+host towards the global mean, with strengths estimated by moments from all groups (variance within groups over variance
+between them), so sparse sites stay near the global prior. A document's own probability is left out of its site's sums,
+so it does not count twice. Its score adds to its own log-odds the weighted shift of its path's log-odds from the global
+ones, bounded so that a site can tip an unclear document but not outvote clear evidence.
 
 The model is fitted on at most `sample_rows` labelled rows, those with the smallest hash of their id (a documented
-bound); everything else covers all rows. Null text counts as empty; an empty text has no evidence and gets the score of
-its site, and is kept or not by that. Null hosts or paths form a group of their own. Labels that are null or belong to
-no document are left out; with one class only, or without labels, all documents count as good. Repeated rows are scored
-each for themselves. An empty table gives an empty result.
+bound; of rows that repeat a labelled id, that with the smallest features); everything else covers all rows. Null text
+counts as empty; an empty text has no evidence and gets the score of its site, and is kept or not by that. Very long
+texts are read whole. Null hosts or paths form a group of their own. Labels that are null or belong to no document are
+left out; with one class only, or without labels, all documents count as good. Repeated rows are scored each for
+themselves. Extra columns are dropped, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, numbered, slices, without
 
 #: Feature names, in the order of features().
 FEATURES = ("symbols", "digits", "bars", "upper", "mean_word", "repeat_pairs", "punctuation", "log_length")
@@ -96,38 +98,50 @@ def logit(p: Column) -> Column:
     return F.log(p / (F.lit(1.0) - p))
 
 
+#: Rows dealt over so many places before a site's rows are summed and where they meet its sums.
+SALTS = 64
+
+
+def strength(sums: tuple) -> float:
+    """Rows that a group's prior is worth: variance within groups over variance between them, by moments; between 1 and
+    the number of rows. sums: rows, groups, sum of squared probabilities, of group sums squared over their rows, of
+    squared group sizes, and of rows times the squared distance of a group's mean to its centre."""
+    n, k, squares, own, sizes, apart = (x or 0.0 for x in sums)
+    within = max(squares - own, 0.0) / max(n - k, 1.0)
+    between = (apart - max(k - 1.0, 0.0) * within) / max(n - sizes / max(n, 1.0), 1.0)
+    return float(min(max(within / between if between > 0 else n, 1.0), max(n, 1.0)))
+
+
 def site_posteriors(scored: DataFrame, host_col: str, path_col: str, site_weight: float, most_shift: float) -> DataFrame:
-    """Adds host_posterior, path_posterior, prior and score to rows with their probability p."""
+    """Adds host_posterior, path_posterior, prior and score to rows with their probability p and their evidence."""
     table = materialise(scored.withColumn("__row", F.monotonically_increasing_id()), "scored")
     # grouped sums: rows of a path are dealt over salts first, so no site lands in one task
-    salted = table.groupBy(host_col, path_col, F.pmod("__row", F.lit(64)).alias("s")).agg(F.sum("p").alias("sp"), F.count(F.lit(1)).alias("n"))
-    paths = salted.groupBy(host_col, path_col).agg(F.sum("sp").alias("sp"), F.sum("n").alias("n"))
-    hosts = paths.groupBy(host_col).agg(F.sum("sp").alias("sp"), F.sum("n").alias("n"))
+    salted = table.groupBy(host_col, path_col, F.pmod("__row", F.lit(SALTS)).alias("s")).agg(F.sum("p").alias("sp"), F.sum(F.col("p") * F.col("p")).alias("sq"), F.count(F.lit(1)).alias("n"))
+    paths = salted.groupBy(host_col, path_col).agg(*[F.sum(c).alias(c) for c in ("sp", "sq", "n")])
+    hosts = paths.groupBy(host_col).agg(*[F.sum(c).alias(c) for c in ("sp", "sq", "n")])
     total = hosts.agg(F.sum("sp"), F.sum("n")).first()
     if not total[1]:
         return table.select(*scored.columns, *[F.lit(None).cast("double").alias(c) for c in ("host_posterior", "path_posterior", "score")])
     # a tiny share on both sides keeps every log-odds finite
     prior = (total[0] + 0.5) / (total[1] + 1.0)
 
-    def strength(groups: DataFrame, centre: Column) -> float:
-        """Prior rows that a group's mean is worth: p (1 - p) over the variance between groups, by moments."""
-        m = groups.select("n", (F.col("sp") / F.col("n")).alias("m"), centre.alias("c"))
-        spread, rows, k = m.agg(F.sum(F.col("n") * (F.col("m") - F.col("c")) ** 2), F.sum("n"), F.count(F.lit(1))).first()
-        variance = prior * (1 - prior)
-        between = max((spread or 0.0) - (k or 0) * variance, 0.0) / max(rows or 1, 1)
-        return float(min(max(variance / max(between, 1e-9) - 1, 10.0), 10_000.0))
+    def strength_of(groups: DataFrame, centre: Column) -> float:
+        mean = F.col("sp") / F.col("n")
+        return strength(groups.agg(F.sum("n"), F.count(F.lit(1)), F.sum("sq"), F.sum(F.col("sp") * mean), F.sum(F.col("n") * F.col("n")), F.sum(F.col("n") * (mean - centre) ** 2)).first())
 
-    host_strength = strength(hosts, F.lit(prior))
+    host_strength = strength_of(hosts, F.lit(prior))
     with_host = paths.join(hosts.select(F.col(host_col).alias("h"), F.col("sp").alias("hsp"), F.col("n").alias("hn")), paths[host_col].eqNullSafe(F.col("h")))
-    host_mean = (F.col("hsp") + F.lit(host_strength * prior)) / (F.col("hn") + F.lit(host_strength))
-    path_strength = strength(with_host, host_mean)
+    path_strength = strength_of(with_host, F.col("hsp") / F.col("hn"))
     known = with_host.select(F.col(host_col).alias("h"), F.col(path_col).alias("q"), F.col("sp").alias("path_sp"), F.col("n").alias("path_n"), F.col("hsp").alias("host_sp"), F.col("hn").alias("host_n"))
     known = salted.select(host_col, path_col, "s").join(known, salted[host_col].eqNullSafe(F.col("h")) & salted[path_col].eqNullSafe(F.col("q"))).drop("h", "q")
     known = known.select(F.col(host_col).alias("h"), F.col(path_col).alias("q"), F.col("s").alias("own"), "path_sp", "path_n", "host_sp", "host_n")
-    out = table.join(known, table[host_col].eqNullSafe(F.col("h")) & table[path_col].eqNullSafe(F.col("q")) & (F.pmod("__row", F.lit(64)) == F.col("own")))
-    out = out.withColumn("host_posterior", (F.col("host_sp") + F.lit(host_strength * prior)) / (F.col("host_n") + F.lit(host_strength)))
-    out = out.withColumn("path_posterior", (F.col("path_sp") + F.lit(path_strength) * F.col("host_posterior")) / (F.col("path_n") + F.lit(path_strength)))
-    shift = F.lit(site_weight) * (logit(F.col("path_posterior")) - F.lit(float(np.log(prior / (1 - prior)))))
+    out = table.join(known, table[host_col].eqNullSafe(F.col("h")) & table[path_col].eqNullSafe(F.col("q")) & (F.pmod("__row", F.lit(SALTS)) == F.col("own")))
+    # the sums of a group, without the row's own probability, and the mean that they are shrunk to
+    shrunk = lambda name, worth, centre: (F.greatest(F.col(f"{name}_sp") - F.col("p"), F.lit(0.0)) + F.lit(worth) * centre) / (F.col(f"{name}_n") - 1 + F.lit(worth))
+    out = out.withColumn("host_posterior", shrunk("host", host_strength, F.lit(prior)))
+    out = out.withColumn("path_posterior", shrunk("path", path_strength, F.col("host_posterior")))
+    inside = F.least(F.greatest(F.col("path_posterior"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    shift = F.lit(site_weight) * (logit(inside) - F.lit(float(np.log(prior / (1 - prior)))))
     shift = F.greatest(F.lit(-most_shift), F.least(F.lit(most_shift), shift))
     return out.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("evidence") + shift)))).select(*scored.columns, "host_posterior", "path_posterior", "score")
 
@@ -144,29 +158,28 @@ def classify(
     threshold: float = 0.5,
     site_weight: float = 0.5,
     most_shift: float = 1.0,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """(id, row_key, host, path, p, host_posterior, path_posterior, score, keep) of every row of docs.
+    """(id, row, host, path, evidence, p, host_posterior, path_posterior, score, keep) of every row of docs.
 
-    row_key is a hash of the row's id, text and site; equal rows have equal keys and decisions.
+    row is what the column row_col holds, null without one.
     """
+    row = F.col(row_col) if row_col else F.lit(None)
     site = [F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path")]
-    thin = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col, host_col, path_col).alias("row_key"), *site, F.col(text_col).alias("text"))
-    known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where("l_id IS NOT NULL AND label IN (0, 1)")
+    thin = docs.select(F.col(id_col).alias("id"), row.cast("long").alias("row"), *site, F.col(text_col).alias("text"))
+    known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where("l_id IS NOT NULL AND label IN (0, 1)").distinct()
     chosen = known.orderBy(F.xxhash64("l_id"), "l_id", "label").limit(sample_rows)
-    sample = add_features(thin.join(F.broadcast(chosen), F.col("id") == F.col("l_id")), "text", ["id", "label"]).limit(4 * sample_rows).toPandas()
-    x = np.stack(sample["features"].to_list()) if len(sample) else np.zeros((0, len(FEATURES)))
-    model = fit_logistic(x, sample["label"].to_numpy(dtype=np.float64))
+    sample = add_features(thin.join(F.broadcast(chosen), F.col("id") == F.col("l_id")), "text", ["id", "label"])
+    sample = sample.groupBy("id", "label").agg(F.min("features").alias("features")).orderBy("id", "label").toArrow().to_pydict()
+    x = np.asarray(sample["features"], dtype=np.float64).reshape(-1, len(FEATURES))
+    model = fit_logistic(x, np.asarray(sample["label"], dtype=np.float64))
 
-    scored = add_features(thin, "text", ["id", "row_key", "host", "path"]).withColumn("evidence", evidence(model)).drop("features")
+    scored = add_features(thin, "text", ["id", "row", "host", "path"]).withColumn("evidence", evidence(model)).drop("features")
     scored = scored.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("evidence"))))
     out = site_posteriors(scored, "host", "path", site_weight, most_shift)
     return out.withColumn("keep", F.col("score") >= threshold).withColumnRenamed("id", id_col)
 
 
-def row_key(*columns: str) -> Column:
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
-
-
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(
@@ -175,10 +188,10 @@ def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier keeps."""
-    out = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where(~F.col("keep")).select(F.col("row_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__row_key", row_key("doc_id", "text", "source", "lang"))
-    return keyed.join(out, F.col("__row_key") == F.col("__key"), "left_anti").select(*docs.columns)
+    """The rows that the classifier keeps, each decided for itself; nulls, empty texts and empty tables as in classify."""
+    rows, row = numbered(docs, "quality-rows")
+    out = classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row)
+    return without(rows, row, out.where(~F.col("keep")).select("row"), "quality-dropped")
 
 
 QUERIES = {"op7_quality_classifier": op7_quality_classifier}
