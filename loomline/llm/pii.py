@@ -2,18 +2,22 @@
 
 Base spans come from four patterns (email, ip, card, phone) over every whole text, leftmost and non-overlapping for each
 kind; matches that fail their check are dropped. The semi-Markov model adds what has no fixed pattern: obfuscated
-addresses, national phone numbers, identity numbers, IPv6 addresses and secrets. Around each character that such data
-needs, the text is cut into tokens; candidate segments of at most MOST_TOKENS tokens are scored by features of the whole
-span and its context, and dynamic programming over segments chooses boundaries and types jointly. Base spans stay: no
-added span overlaps one. The model's weights are fitted here, on sentences that a generator makes, by the exact
-likelihood of their segmentations.
-
-Null text counts as empty and has no spans. Offsets are code points, ends exclusive. Repeated rows are read each for
-themselves; null ids stay null. An empty table gives an empty result. Extra columns are dropped.
+addresses, national phone numbers, identity numbers, IPv6 addresses and secrets. Words that hold a digit, an @, an "(at)"
+or follow the name of a secret form chains with such words next to them. Every span of at most MOST_TOKENS tokens of a
+chain that could be an entity is a candidate segment, scored by features of the whole span and its context and by the
+type of the segment before it; dynamic programming over segments chooses boundaries and types jointly. A run of letters,
+digits and the signs of encoded data is one token however long it is, and so is a key block, so no secret is too long
+for a segment; other entities have at most MOST_CHARS characters. Base spans stay: no added span overlaps one. The
+model's weights are fitted here, on sentences that a generator makes, by the exact likelihood of their segmentations.
+
+Null text counts as empty and has no spans. Offsets are code points, ends exclusive. Very long texts are read whole;
+between chains the model's choices don't depend on one another. Repeated rows are read each for themselves; null ids stay
+null. An empty table gives an empty result. Extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -21,6 +25,7 @@ import random
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,129 +83,242 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # The semi-Markov model.
 
 TYPES = ("email", "ip", "phone", "identity", "secret")
-MOST_TOKENS = 16
-#: Characters around a trigger that are read, and longest span.
-AROUND = 160
-TRIGGER = re.compile(r"[0-9@=\[(]")
-TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_+")
+#: Tokens of a segment, and characters of a segment of several tokens.
+MOST_TOKENS, MOST_CHARS = 20, 96
+#: A key block, a long run of encoded data, a word, a sign.
+KEY = r"-----BEGIN [A-Z0-9 ]{1,40}-----(?:(?:\s+[A-Za-z-]+: [^\n]*)*+(?:\s*[A-Za-z0-9+/=]+)*+\s*-----END [A-Z0-9 ]{1,40}-----|(?:\s+[A-Za-z0-9+/=]{20,})*+)"
+RUN = r"[A-Za-z0-9][A-Za-z0-9_+/.~-]{18,}[A-Za-z0-9_+/~-]={0,2}"
+TOKEN = re.compile(rf"{KEY}|{RUN}|[^\W_]+|[^\w\s]|_+")
+KEY_BLOCK = re.compile(KEY)
+SECRET_NAME = r"(?:token|secret|passwo?r?d|passwd|passphrase|pwd|passcode|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|authorization|bearer|credential)s?"
 SHAPES = {
     "phone": re.compile(r"\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5}"),
     "identity": re.compile(r"\d{3}-\d{2}-\d{4}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"),
     "email": re.compile(r"[A-Za-z0-9._+-]+ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]+)+", re.I),
     "ip": re.compile(r"(?:[0-9A-Fa-f]{1,4}:){2,7}:?(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}"),
-    "secret": re.compile(r"(?=[^\s]*\d)(?=[^\s]*[A-Za-z])[A-Za-z0-9_+/.-]{16,}={0,2}"),
+    "secret": re.compile(r"(?=[^\s]*\d)(?=[^\s]*[A-Za-z])[A-Za-z0-9_+/.~-]{16,}={0,2}"),
 }
 CONTEXT = {
     "phone": re.compile(r"\b(?:tel|phone|call|fax|mobile|cell|whatsapp)\b[^\n]{0,12}$", re.I),
     "identity": re.compile(r"\b(?:ssn|social security|passport|iban|national id|tax id)\b[^\n]{0,12}$", re.I),
     "email": re.compile(r"\b(?:e-?mail|contact|write to|reach)\b[^\n]{0,12}$", re.I),
     "ip": re.compile(r"\b(?:ip|host|address|server)\b[^\n]{0,12}$", re.I),
-    "secret": re.compile(r"(?:token|secret|passwo?r?d|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential)s?[\"']?\s*(?:[:=]|is|\s)\s*[\"']?$", re.I),
+    "secret": re.compile(SECRET_NAME + r"[\"']?\s*(?:[:=]|\s)\s*[\"']?$", re.I),
 }
 SHAPE_NAMES = tuple(SHAPES)
-N_FEATURES = 2 * len(SHAPE_NAMES) + 10
 GOES_ON = re.compile(r"[ :]{0,2}[0-9A-F]{1,4}\b", re.I)
-
-
-def span_features(text: str, start: int, end: int) -> list[int]:
+#: Beginnings of well-known kinds of tokens (fixed values).
+PREFIX = re.compile(r"ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|sk_test_|pk_live_|rk_live_|AKIA|ASIA|AIza|xox[abps]-|ya29\.|eyJ[A-Za-z0-9_-]+\.eyJ|npm_|hf_|SG\.|dop_v1_")
+ASSIGNED = re.compile(SECRET_NAME + r"[\"']?\s*[:=]\s*[\"']?$", re.I)
+LETTERS = re.compile(r"[A-Za-z]{2}|[/\\]$")
+MARKED = re.compile(r"[\[(] ?at ?[\])]", re.I)
+DOTTED = re.compile(r"[\[(] ?dot ?[\])]", re.I)
+ADDRESS = re.compile(r"(?:https?|ftp|file)://\S*$|www\.\S*$|[/\\]$", re.I)
+WORDY = re.compile(r"(?:[a-z]{3,}[-_/.]){2,}|^[a-z]+(?:[-_/.][a-z]+)+", re.I)
+CALENDAR = re.compile(r"\d{4}-\d\d-\d\d|\d\d?:\d\d|\d\d?[./]\d\d?[./]\d{2,4}$")
+HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+TURNS = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+DOT_FOLLOWS = re.compile(r" ?(?:[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9]", re.I)
+#: Signs that a segment may hold inside it, unless it is the value of a secret.
+INSIDE = set("()[]+-./:@_~#")
+END_OF_VALUE = re.compile(r"[\"';,.)]{0,2}(?:\s|$)|[\"']")
+FLAGS = (
+    "varied", "half_digits", "spaced", "no_digits", "inside", "all_digits", "small_number", "goes_on", "colons", "several", "mixed", "hex", "long", "very_long", "turns", "prefix", "key_block", "address",
+    "value", "part_of_value", "digits_7", "digits_9", "digits_10", "digits_12", "at", "dot", "wordy", "calendar", "ends_in_sign", "ends_in_stop", "dot_follows", "letters_only",
+)
+N_FEATURES = 1 + 2 * len(SHAPE_NAMES) + len(FLAGS)
+#: Labels that a segment can follow: none (the chain's start or a token outside), or an entity of a type.
+N_LABELS = len(TYPES) + 1
+
+
+NOTHING: tuple[list[int], bool, bool] = ([], False, False)
+
+
+def left_features(text: str, start: int) -> tuple[list[int], bool, bool]:
+    """Features of what stands before a span, whether it is given as the value of a secret, and whether in an address."""
+    left = text[max(0, start - 40) : start]
+    if not LETTERS.search(left):
+        return NOTHING
+    found = [1 + len(SHAPE_NAMES) + i for i, k in enumerate(SHAPE_NAMES) if CONTEXT[k].search(left)]
+    return found, bool(ASSIGNED.search(left)), bool(ADDRESS.search(left))
+
+
+def span_features(text: str, start: int, end: int, left: tuple[list[int], bool, bool] | None = None) -> list[int]:
     """Numbers of the features that hold for a whole span."""
-    span, left = text[start:end], text[max(0, start - 32) : start]
-    out = [0]
-    n = len(SHAPE_NAMES)
+    span = text[start:end]
+    before, assigned, address = left or left_features(text, start)
+    out = [0, *before]
     for i, k in enumerate(SHAPE_NAMES):
         if SHAPES[k].fullmatch(span):
             out.append(1 + i)
-        if CONTEXT[k].search(left):
-            out.append(1 + n + i)
-    at = 1 + 2 * n
-    digits = sum(map(str.isdigit, span))
+    at, n = 1 + 2 * len(SHAPE_NAMES), end - start
+    digits = len(DIGIT.findall(span))
+    spaced = " " in span
+    complete = bool(END_OF_VALUE.match(text, end)) and not spaced
+    one = n >= 16 and not spaced
     flags = (
-        len(set(span)) >= 10 and len(span) >= 20,
-        digits * 2 >= len(span),
-        " " in span,
+        n >= 20 and len(set(span)) >= 10,
+        digits * 2 >= n,
+        spaced,
         not digits,
         start > 0 and (text[start - 1].isalnum() or text[start - 1] in "._-+/") or end < len(text) and (text[end].isalnum() or text[end] in "_-+/@"),
-        digits == len(span),
-        1 <= digits <= 4 and len(span) < 12,
+        digits == n,
+        1 <= digits <= 4 and n < 12,
         bool(GOES_ON.match(text, end)),
         start > 1 and text[start - 1] == ":" and text[start - 2].isalnum() or text[end : end + 1] == ":",
+        not span.isalnum(),
+        one and digits > 0 and span.lower() != span and span.upper() != span,
+        bool(HEX.fullmatch(span)),
+        n >= 32,
+        n >= 60,
+        one and len(TURNS.findall(span, 0, 400)) >= 5,
+        n >= 14 and bool(PREFIX.match(span)),
+        span.startswith("-----BEGIN "),
+        address or "://" in span or span.startswith("www."),
+        assigned and complete,
+        assigned and not complete,
+        7 <= digits <= 8,
+        digits == 9,
+        10 <= digits <= 11,
+        digits >= 12,
+        bool(MARKED.search(span)),
+        bool(DOTTED.search(span)),
+        bool(WORDY.search(span)),
+        bool(CALENDAR.match(span)),
+        not (span[-1].isalnum() or span[-1] in ")]="),
+        span[-1] in ",.;:",
+        bool(DOT_FOLLOWS.match(text, end)),
+        span.isalpha(),
     )
     return out + [at + i for i, f in enumerate(flags) if f]
 
 
 def candidates(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-    """(first token, token after the last, features) of the segments that may be entities; others are outside."""
+    """(first token, token after the last, features) of the segments that may be entities; others are outside.
+
+    A segment of one token has at least 7 characters. One of several has 7 to MOST_CHARS characters, a digit, an @ or an
+    "(at)", and only signs that stand inside numbers and addresses; with digits alone, 7 to 15 of them in at most six
+    groups. What is given as the value of a secret has at least 4 characters and goes on to white space or a quote.
+    """
     out = []
+    free = [True] * len(tokens)
+    for x, y in taken:
+        for t in range(max(0, bisect.bisect_left(tokens, (x, x)) - 1), bisect.bisect_left(tokens, (y, y))):
+            free[t] = free[t] and tokens[t][1] <= x
+    words = [text[a:b] for a, b in tokens]
     for i, (a, _) in enumerate(tokens):
-        if not (text[a].isalnum() or text[a] in "(["):
+        first = words[i]
+        if not free[i] or not (first[0].isalnum() or first[0] == "(" or len(first) > 20 or text[a - 1 : a] in "\"'=:") or first in "\"'":
             continue
+        left = None
+        digits, groups, plain, signal = 0, 0, True, False
         for j in range(i, min(i + MOST_TOKENS, len(tokens))):
-            b = tokens[j][1]
-            if b - a > AROUND or "\n" in text[a:b]:
+            b, word = tokens[j][1], words[j]
+            if not free[j] or word in "\"'" or j > i and (b - a > MOST_CHARS or "\n" in text[tokens[j - 1][1] : tokens[j][0]]):
+                break
+            if word.isdigit():
+                digits, groups, signal = digits + len(word), groups + 1, True
+            elif word in INSIDE:
+                plain, signal = plain and word not in ":@", signal or word == "@"
+            elif word[0].isalnum():
+                plain, signal = False, signal or word.lower() == "at" or bool(DIGIT.search(word))
+            else:
+                plain = False
+            if plain and (digits > 15 or groups > 6):
                 break
-            if b - a < 7 or not (text[b - 1].isalnum() or text[b - 1] in "="):
+            left = left or left_features(text, a)
+            value = left[1]
+            if len(word) == 1 and not word.isalnum() and word not in INSIDE and not value:
+                break
+            if b - a < (4 if value else 7) or not (signal or value or b - a >= 20) or plain and digits < 7 and not value:
                 continue
-            if any(x < b and a < y for x, y in taken):
+            if value and j > i and not END_OF_VALUE.match(text, b) or not value and not (text[b - 1].isalnum() or text[b - 1] in "=-~_"):
                 continue
-            features = span_features(text, a, b)
-            if any(1 <= f <= len(SHAPE_NAMES) for f in features):
-                out.append((i, j + 1, features))
+            out.append((i, j + 1, span_features(text, a, b, left)))
     return out
 
 
-def score(weights: list[list[float]], kind: int, features: list[int]) -> float:
+def score(weights, kind: int, features: list[int]) -> float:
     w = weights[kind]
-    return sum(w[f] for f in features)
+    return sum([w[f] for f in features])
 
 
-def decode(n: int, segments: list[tuple[int, int, list[int]]], weights: list[list[float]]) -> list[tuple[int, int, int]]:
-    """The best segmentation of n tokens: (first, after last, type) of its entities. Outside tokens score 0."""
+def decode(n: int, segments: list[tuple[int, int, list[int]]], weights) -> list[tuple[int, int, int]]:
+    """The best segmentation of n tokens: (first, after last, type) of its entities. A token outside scores 0 by itself,
+    and each segment adds the weight of its label after the label before."""
+    if not segments:
+        return []
+    follows = weights[len(TYPES) :]  # follows[a][b]: a segment of label b after one of label a; label 0 is outside
     ends: dict[int, list] = {}
     for i, j, features in segments:
-        s, kind = max((score(weights, k, features), k) for k in range(len(TYPES)))
-        ends.setdefault(j, []).append((i, s, kind))
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, s, kind in ends.get(j, ()):
-            if best[i] + s > best[j] + 1e-12:
-                best[j], back[j] = best[i] + s, (i, kind)
+        ends.setdefault(j, []).append((i, [score(weights, k, features) for k in range(len(TYPES))]))
+    best = [[-math.inf] * N_LABELS for _ in range(n + 1)]
+    back: list[list] = [[None] * N_LABELS for _ in range(n + 1)]
+    best[0][0] = 0.0
+    into: list[list] = []
+    for j in range(n + 1):
+        if j:
+            source = max(range(N_LABELS), key=lambda y: best[j - 1][y] + follows[y][0])  # noqa: B023
+            best[j][0], back[j][0] = best[j - 1][source] + follows[source][0], (j - 1, source)
+            for i, scores in ends.get(j, ()):
+                for k, s in enumerate(scores):
+                    value, source = into[i][k]
+                    if value + s > best[j][k + 1]:
+                        best[j][k + 1], back[j][k + 1] = value + s, (i, source)
+        now = best[j]
+        into.append([max((now[y] + follows[y][k + 1], -y) for y in range(N_LABELS)) for k in range(len(TYPES))])
+        into[j] = [(v, -y) for v, y in into[j]]
+    label = max(range(N_LABELS), key=lambda y: best[n][y] + follows[y][0])
     out, j = [], n
     while j > 0:
-        if back[j] is None:
-            j -= 1
-        else:
-            i, kind = back[j]
-            out.append((i, j, kind))
-            j = i
+        i, before = back[j][label]
+        if label:
+            out.append((i, j, label - 1))
+        j, label = i, before
     return out[::-1]
 
 
-def _log_add(a: float, b: float) -> float:
-    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
-
-
-def expected(n: int, segments: list[tuple[int, int, list[int]]], weights: list[list[float]]) -> tuple[float, list[list[float]]]:
-    """Log partition over all segmentations, and each segment's probability for each type."""
-    scores = [[score(weights, k, f) for k in range(len(TYPES))] for _, _, f in segments]
+def lattice(n: int, segments: list[tuple[int, int, list[int]]], weights):
+    """(log partition over all segmentations, log probability mass of each segment and type, of each label after another)."""
+    follows = np.asarray(weights[len(TYPES) :], dtype=np.float64)
+    scores = np.asarray([[score(weights, k, f) for k in range(len(TYPES))] for _, _, f in segments]).reshape(-1, len(TYPES))
     by_end: dict[int, list[int]] = {}
     by_start: dict[int, list[int]] = {}
     for x, (i, j, _) in enumerate(segments):
         by_end.setdefault(j, []).append(x)
         by_start.setdefault(i, []).append(x)
-    forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        forward[j] = forward[j - 1]
-        for x in by_end.get(j, ()):
-            for s in scores[x]:
-                forward[j] = _log_add(forward[j], forward[segments[x][0]] + s)
+    starts = [i for i, _, _ in segments]
+    ends = [j for _, j, _ in segments]
+    forward = np.full((n + 1, N_LABELS), -np.inf)  # of segmentations up to here whose last label is this
+    into = np.full((n + 1, N_LABELS), -np.inf)  # the same, with the next segment's label
+    forward[0, 0] = 0.0
+    for j in range(n + 1):
+        if j:
+            forward[j, 0] = into[j - 1, 0]
+            if j in by_end:
+                xs = by_end[j]
+                forward[j, 1:] = np.logaddexp.reduce(into[[starts[x] for x in xs], 1:] + scores[xs], axis=0)
+        into[j] = np.logaddexp.reduce(forward[j][:, None] + follows, axis=0)
+    backward = np.full((n + 1, N_LABELS), -np.inf)  # of what follows a segment of this label that ends here
+    leave = np.full((n + 1, N_LABELS), -np.inf)  # of what begins here with this label
+    backward[n] = follows[:, 0]
     for i in range(n - 1, -1, -1):
-        backward[i] = backward[i + 1]
-        for x in by_start.get(i, ()):
-            for s in scores[x]:
-                backward[i] = _log_add(backward[i], backward[segments[x][1]] + s)
-    total = forward[n]
-    return total, [[math.exp(min(0.0, forward[i] + s + backward[j] - total)) for s in scores[x]] for x, (i, j, _) in enumerate(segments)]
+        leave[i, 0] = backward[i + 1, 0]
+        if i in by_start:
+            xs = by_start[i]
+            leave[i, 1:] = np.logaddexp.reduce(scores[xs] + backward[[ends[x] for x in xs], 1:], axis=0)
+        backward[i] = np.logaddexp.reduce(follows + leave[i][None, :], axis=1)
+    total = into[n, 0]
+    mass = into[starts, 1:] + scores + backward[ends, 1:] - total if segments else np.zeros((0, len(TYPES)))
+    turns = np.exp(np.minimum(forward[:n, :, None] + follows[None] + leave[:n, None, :] - total, 0)).sum(0)
+    turns[:, 0] += np.exp(np.minimum(forward[n] + follows[:, 0] - total, 0))
+    return total, mass, turns
+
+
+def expected(n: int, segments: list[tuple[int, int, list[int]]], weights) -> tuple[float, list[list[float]]]:
+    """Log partition over all segmentations, and each segment's probability for each type."""
+    total, mass, _ = lattice(n, segments, weights)
+    return float(total), np.exp(np.minimum(mass, 0)).tolist()
 
 
 def generated(seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -208,29 +326,44 @@ def generated(seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     x = lambda k, a="0123456789abcdef": "".join(r.choice(a) for _ in range(k))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9)))
     words = lambda k: " ".join(word() for _ in range(k))
+    name = lambda: r.choice(['token = "', "api_key: ", 'password="', "secret = '", "Authorization: Bearer ", "access_key=", "API key: ", "token: ", "Bearer "])
+    jwt = lambda: f"eyJ{x(r.randint(17, 33), mixed)}.eyJ{x(r.randint(30, 200), mixed + '_-')}.{x(43, mixed)}"
+    password = lambda: word() + r.choice([d(1), d(3), d(4), "!", "#1", "$", "*"]) + r.choice(["", "!", "#", "$", "?!", "*"]) + r.choice(["", word(), d(2)])
+    secrets = [
+        lambda: (name(), x(r.choice([20, 24, 32, 40, 64]))),
+        lambda: (name(), x(r.choice([24, 40, 64, 240]), mixed)),
+        lambda: ("", r.choice(["ghp_", "gho_", "glpat-", "sk-", "sk_live_", "AKIA", "AIza", "xoxb-", "npm_", "hf_"]) + x(r.randint(20, 40), mixed)),
+        lambda: (r.choice(["", "", name()]), jwt()),
+        lambda: ("", x(r.choice([44, 64, 88, 240]), mixed + "+/") + r.choice(["", "=", "=="])),
+        lambda: (r.choice(["password: ", "Password: ", "pwd=", "passwd: ", 'password = "', "secret: "]), password().ljust(6, "x")),
+        lambda: ("", f"-----BEGIN {r.choice(['RSA ', '', 'EC '])}PRIVATE KEY-----\n" + "\n".join(x(64, mixed + "+/") for _ in range(r.randint(1, 6))) + f"\n-----END {r.choice(['RSA ', ''])}PRIVATE KEY-----"),
+    ]
     yes = {
-        "secret": lambda: (r.choice(['token = "', "api_key: ", 'password="', "secret = '", "Authorization: Bearer ", "access_key="]), r.choice([x(40), x(32), x(24, "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789")])),
-        "phone": lambda: (r.choice(["", "", "call ", "phone: ", "tel "]), r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"])),
-        "identity": lambda: (r.choice(["", "SSN ", "ssn: "]), f"{d(3)}-{d(2)}-{d(4)}") if r.random() < 0.6 else (r.choice(["", "IBAN "]), f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}"),
-        "email": lambda: (r.choice(["", "contact "]), r.choice([f"{word()} [at] {word()} [dot] com", f"{word()}.{d(2)}(at){word()}.org", f"{word()}[at]{word()}[dot]net"])),
+        "secret": lambda: r.choice(secrets)(),
+        "phone": lambda: (r.choice(["", "", "call ", "phone: ", "tel "]), r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}"])),
+        "identity": lambda: (r.choice(["", "SSN ", "ssn: "]), f"{d(3)}-{d(2)}-{d(4)}") if r.random() < 0.6 else (r.choice(["", "IBAN "]), r.choice([f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", f"GB{d(2)} {x(4, 'ABCDWXYZ')} {d(4)} {d(4)} {d(4)} {d(2)}", f"DE{d(20)}"])),
+        "email": lambda: (r.choice(["", "contact "]), r.choice([f"{word()} [at] {word()} [dot] com", f"{word()}.{d(2)}(at){word()}.org", f"{word()}[at]{word()}[dot]net", f"{word()} (at) {word()} (dot) {word()} (dot) com", f"{word()}(at){word()}.de"])),
         "ip": lambda: (r.choice(["", "host "]), ":".join(x(4) for _ in range(8)) if r.random() < 0.6 else f"{x(4)}:{x(3)}::{x(4)}:{x(2)}"),
     }
     no = [
         lambda: d(16), lambda: f"version {d(1)}.{d(1)}", lambda: f"{d(2)}/{d(2)}/19{d(2)}", lambda: f"x = {d(5)}", lambda: f"({d(4)})", lambda: f"{d(1)}.{d(2)}.{d(1)}", lambda: f"[{word()}]",
         lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"id={word()}", lambda: f"${d(3)},{d(3)}.{d(2)}", lambda: f"{word()}-{word()}-{word()}-{d(2)}", lambda: f"https://{word()}.com/{word()}/{d(6)}", lambda: f"{word()}{d(2)}.{word()}.html", lambda: x(40), lambda: f"sha1 {x(40)}", lambda: f"{d(3)} {d(3)} {d(3)} {d(3)}", lambda: f"commit {x(32)}",
+        lambda: d(r.randint(7, 15)), lambda: f"{d(2)} {d(2)} {d(4)} {d(1)}", lambda: f"sha256:{x(64)}", lambda: f"{x(8)}-{x(4)}-{x(4)}-{x(4)}-{x(12)}", lambda: f"{word()}_{word()}_{d(3)}.{word()}", lambda: f"ISBN {d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"{word()}/{word()}/{word()}-{d(4)}/{word()}.txt", lambda: f"{d(2)}:{d(2)}", lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"{word()}.{word()}.{word()}({word()}, {d(2)})", lambda: f"the {r.choice(['password', 'token', 'secret', 'api key'])} {word()} {word()}",
+        lambda: f"https://{word()}.org/{word()}?{word()}={d(4)}&{word()}={word()}", lambda: f"{word()}{word()}{word()}{word()}{word()}", lambda: f"{d(4)}/{d(4)}/{d(4)}", lambda: f"no. {d(4)} {d(4)}", lambda: f"@{word()}{d(2)}", lambda: f"{d(2)}% of {d(4)}", lambda: f"{r.choice(['password', 'token', 'auth'])}: {word()}", lambda: f"the password is {word()}", lambda: f"{r.choice(['tokens', 'keys'])}: {d(4)}",
     ]
     out = []
     for i in range(n):
         text, spans = words(r.randint(1, 5)) + " ", []
         for _ in range(r.randint(1, 2)):
             if i % 2:
-                kind = r.choice(TYPES)
+                kind = r.choice((*TYPES, "secret", "secret"))
                 before, span = yes[kind]()
                 text += before
                 spans.append((len(text), len(text) + len(span), kind))
-                text += span + r.choice([" ", ". ", '" ', ", "])
+                text += span + (r.choice(['" ', '", ', '"']) if before.endswith('"') else r.choice([" ", ". ", ", "]) if not before.lower().startswith("p") else " ")
             else:
                 text += r.choice(no)() + r.choice([" ", ". ", ", "])
             text += words(r.randint(1, 4)) + " "
@@ -239,46 +372,80 @@ def generated(seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]
 
 
 @functools.lru_cache(maxsize=4)
-def fitted(sentences: int = 400, steps: int = 60, ridge: float = 0.02, seed: int = 7) -> tuple[tuple[float, ...], ...]:
-    """The weights of each type, by gradient ascent (Adagrad) on the likelihood of generated sentences."""
+def fitted(sentences: int = 700, steps: int = 45, ridge: float = 0.01, seed: int = 7) -> tuple[tuple[float, ...], ...]:
+    """A row of weights for each type, then one for each label of what may follow it; by gradient ascent (Adagrad) on the
+    likelihood of a fixed number of generated sentences."""
     data = []
     for text, spans in generated(seed, sentences):
-        tokens = [m.span() for m in TOKEN.finditer(text)]
-        segments = candidates(text, tokens, [])
         gold = {(a, b): TYPES.index(k) for a, b, k in spans}
-        data.append((len(tokens), segments, [gold.get((tokens[i][0], tokens[j - 1][1])) for i, j, _ in segments]))
-    weights = [[0.0] * N_FEATURES for _ in TYPES]
-    squares = [[1e-6] * N_FEATURES for _ in TYPES]
+        base = [(x, y) for _, x, y in base_spans(text)]
+        for a, b in chains(text):
+            tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
+            segments = candidates(text, tokens, base)
+            if segments:
+                truth = [gold.get((tokens[i][0], tokens[j - 1][1]), -1) for i, j, _ in segments]
+                data.append((len(tokens), segments, np.asarray(truth)))
+    k = len(TYPES)
+    weights, squares = np.zeros((k, N_FEATURES)), np.full((k, N_FEATURES), 1e-6)
+    follows, follow_squares = np.zeros((N_LABELS, N_LABELS)), np.full((N_LABELS, N_LABELS), 1e-6)
+    seen = [[f for _, _, f in segments] for _, segments, _ in data]
+    indexes = [(np.concatenate([np.full(len(f), x) for x, f in enumerate(s)]), np.concatenate(s)) for s in seen]
     for _ in range(steps):
-        grad = [[-ridge * w * len(data) / 50 for w in row] for row in weights]
-        for n, segments, truth in data:
-            if not segments:
-                continue
-            _, p = expected(n, segments, weights)
-            for (_, _, features), probs, true in zip(segments, p, truth, strict=True):
-                for k in range(len(TYPES)):
-                    g = (k == true) - probs[k]
-                    if abs(g) > 1e-9:
-                        row = grad[k]
-                        for f in features:
-                            row[f] += g
-        for k in range(len(TYPES)):
-            for f in range(N_FEATURES):
-                squares[k][f] += grad[k][f] ** 2
-                weights[k][f] += 0.8 * grad[k][f] / math.sqrt(squares[k][f])
-    return tuple(map(tuple, weights))
-
-
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Parts of the text around triggers, merged where they meet, cut at white space."""
+        grad, turn_grad = -ridge * weights * len(data) / 50, -ridge * follows * len(data) / 50
+        rows = weights.tolist() + follows.tolist()
+        for (n, segments, truth), (row, feature) in zip(data, indexes, strict=True):
+            _, mass, turns = lattice(n, segments, rows)
+            delta = -np.exp(np.minimum(mass, 0))
+            delta[np.flatnonzero(truth >= 0), truth[truth >= 0]] += 1
+            for y in range(k):
+                np.add.at(grad[y], feature, delta[row, y])
+            turn_grad += true_turns(n, segments, truth) - turns
+        squares += grad**2
+        weights += 0.8 * grad / np.sqrt(squares)
+        turn_grad[0, 0] = 0.0  # outside after outside is the unit
+        follow_squares += turn_grad**2
+        follows += 0.4 * turn_grad / np.sqrt(follow_squares)
+    return tuple(map(tuple, weights.tolist() + follows.tolist()))
+
+
+def true_turns(n: int, segments: list[tuple[int, int, list[int]]], truth: np.ndarray) -> np.ndarray:
+    """How often each label follows another in the true segmentation."""
+    out = np.zeros((N_LABELS, N_LABELS))
+    entity = {i: (j, int(t) + 1) for (i, j, _), t in zip(segments, truth, strict=True) if t >= 0}
+    at, label = 0, 0
+    while at < n:
+        end, now = entity.get(at, (at + 1, 0))
+        out[label, now] += 1
+        at, label = end, now
+    out[label, 0] += 1
+    return out
+
+
+#: A word with a digit or an @; "(at)" with a word on either side; what a secret's name is given as; a key block's begin.
+SIGNAL = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+MARK = re.compile(r"(?:(?<!\S)\S{1,64} ?)?[\[(] ?(?:at|dot) ?[\])](?: ?\S+)?", re.I)
+GIVEN = re.compile(SECRET_NAME + r"[\"']?[ \t]*[:=][ \t]*[\"']?(?=\S)([^\s\"']+)", re.I)
+BETWEEN = re.compile(r"[ \t]{0,2}|[ \t]?[A-Z]{4}[ \t]?")
+MAY_HOLD = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]|-----BEGIN |(?:pass|pwd|secret|token|key|auth|bearer|credential)[a-z]{0,8}[\"']?[ \t]*[:=]", re.I)
+
+
+def chains(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of the text that may hold entities: signals and what stands next to them."""
+    found = [m.span() for m in SIGNAL.finditer(text)]
+    if "(" in text or "[" in text:
+        found += [m.span() for m in MARK.finditer(text)]
+    found += [m.span(1) for m in GIVEN.finditer(text)]
+    if "-----BEGIN " in text:
+        found += [m.span() for m in KEY_BLOCK.finditer(text)]
+    found.sort()
     start = end = -1
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.start() + AROUND)
-        if a > end:
-            if end >= 0:
-                yield start, end
-            start = a
-        end = b
+    for a, b in found:
+        if end >= 0 and (a <= end or a - end <= 6 and BETWEEN.fullmatch(text, end, a)):
+            end = max(end, b)
+            continue
+        if end >= 0:
+            yield start, end
+        start, end = a, b
     if end >= 0:
         yield start, end
 
@@ -286,33 +453,22 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
 def added_spans(text: str, base: list[tuple[str, int, int]], weights) -> list[tuple[str, int, int]]:
     """What the model finds beside the base spans."""
     out = []
-    for a, b in windows(text):
-        while a > 0 and not text[a - 1].isspace() and not text[a].isspace() and a > b - 4 * AROUND:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b < a + 100_000:
-            b += 1
-        part = text[a:b]
-        if not any(s.search(part) for s in SEARCH):
+    taken = [(x, y) for _, x, y in base]
+    starts = [x for x, _ in taken]
+    longest = max((y - x for x, y in taken), default=0)
+    for a, b in chains(text):
+        if b - a < 4:
             continue
-        taken = [(x - a, y - a) for _, x, y in base if x < b and y > a]
-        tokens = [m.span() for m in TOKEN.finditer(part)]
-        segments = candidates(part, tokens, taken)
-        for i, j, kind in decode(len(tokens), segments, weights):
-            out.append((TYPES[kind], a + tokens[i][0], a + tokens[j - 1][1]))
-    unique, last = [], -1
-    for s in sorted(set(out), key=lambda s: (s[1], -s[2])):
-        if s[1] >= last:
-            unique.append(s)
-            last = s[2]
-    return unique
-
-
-SEARCH = [SHAPES[k] for k in SHAPE_NAMES]
+        here = taken[bisect.bisect_left(starts, a - longest) : bisect.bisect_left(starts, b)]
+        tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
+        for i, j, kind in decode(len(tokens), candidates(text, tokens, here), weights):
+            out.append((TYPES[kind], tokens[i][0], tokens[j - 1][1]))
+    return out
 
 
 def all_spans(text: str, weights) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, base and added spans), by start, then kind, then end."""
-    if not TRIGGER.search(text):
+    if not MAY_HOLD.search(text):
         return [], []
     base = base_spans(text)
     rank = {k: i for i, k in enumerate((*BASE, "identity", "secret"))}
@@ -373,7 +529,7 @@ def joined(spans: str):
 def op1_pii_semicrf(spark, sf_dir: str) -> DataFrame:
     found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
