@@ -51,11 +51,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(columns: Sequence[str], name: str) -> str:
+    """A name for a column that none of these has (Spark's names don't tell cases apart)."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df, written to the shared folder, with a number of its own in each row; and the new column's name."""
-    row = "__row"
-    while row in df.columns:
-        row += "_"
+    row = free_name(df.columns, "__row")
     return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 

@@ -4,8 +4,10 @@ The packing is planned over the histogram of piece lengths, which has at most `c
 bin takes the longest length left and, by a bitset subset-sum over the lengths available, the fullest combination that
 fits beside it; the combination is then removed, as often as the counts allow. The plan (combinations and how often
 each is used) is bounded by the capacity too; pieces find their place in it by their rank among pieces of their length.
+Each task ranks its own pieces of a length as they pass, and only the tasks' counts are summed over tasks, so no length,
+however common, lands in one task.
 
-Null and empty texts give one piece that holds only the end id. Repeated rows are packed each for themselves; null ids
+Very long texts are cut into pieces one after another. Null and empty texts give one piece that holds only the end id. Repeated rows are packed each for themselves; null ids
 stay null. An empty table gives an empty result. Columns other than those named are dropped.
 """
 
@@ -22,10 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import encode
-from .common import materialise, slices
-
-#: Ranks of a length are counted within each of so many buckets, dealt over the tasks.
-BUCKETS = 64
+from .common import free_name, materialise, slices
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -103,12 +102,34 @@ def cut_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(cut, schema).withColumnRenamed("id", id_col)
 
 
+def ranked_by_task(pieces: DataFrame, length_col: str, capacity: int, task_col: str, rank_col: str) -> DataFrame:
+    """pieces with the number of the task that read them and their rank among its pieces of their length."""
+    names, at = pieces.columns, pieces.columns.index(length_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        for b in batches:
+            n = b.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(n) and (n.min() < 1 or n.max() > capacity):
+                raise ValueError("lengths must lie between 1 and the capacity")
+            order = np.argsort(n, kind="stable")
+            rank = np.empty(len(n), dtype=np.int64)
+            rank[order] = np.arange(len(n)) - np.searchsorted(n[order], n[order])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), task, dtype=np.int32)), pa.array(rank + seen[n])], [*names, task_col, rank_col])
+            seen += np.bincount(n, minlength=capacity + 1)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return pieces.mapInArrow(run, f"{fields}, `{task_col}` int, `{rank_col}` long")
+
+
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = 4096) -> DataFrame:
     """pieces with sequence_id and offset. The pieces are written to the shared folder once, as two passes read them."""
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "__bucket")]
-    stored = materialise(pieces.select(*names).withColumn("__bucket", F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS)).cast("int")), "pieces")
-    counted = stored.groupBy(F.col(length_col).cast("long").alias("__n"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__count"))
-    counted = materialise(counted, "lengths")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    task, own, size, before_col = (free_name(names, c) for c in ("__task", "__own", "__size", "__before"))
+    stored = materialise(ranked_by_task(pieces.select(*names), length_col, capacity, task, own), "pieces")
+    counted = materialise(stored.groupBy(F.col(length_col).cast("long").alias("__n"), F.col(task).alias("__t")).agg(F.count(F.lit(1)).alias("__count")), "lengths")
     counts = {r[0]: r[1] for r in counted.groupBy("__n").agg(F.sum("__count")).collect()}
     plan = plan_bins(counts, capacity)
 
@@ -125,15 +146,11 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = 4096) ->
     p_n, p_first, p_many, p_base, p_offset = (np.asarray([r[i] for r in rows], dtype=np.int64) for i in range(5))
     starts = np.searchsorted(p_n, np.arange(capacity + 2))
 
-    # at most capacity * BUCKETS rows, whatever the input
-    before = counted.withColumn("__before", F.sum("__count").over(W.partitionBy("__n").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)))
-    before = F.broadcast(before.select("__n", "__b", F.coalesce("__before", F.lit(0)).alias("__before")))
-    own = W.partitionBy(F.col(length_col), "__bucket").orderBy(*[F.col(c) for c in names])
-    ranked = (
-        stored.withColumn("__own", F.row_number().over(own))
-        .join(before, (F.col(length_col) == F.col("__n")) & (F.col("__bucket") == F.col("__b")))
-        .select(*names, (F.col("__before") + F.col("__own") - 1).alias("__rank"))
-    )
+    # one row for each length in each task; written, so that Spark knows whether it is small enough to be broadcast
+    sums = F.sum("__count").over(W.partitionBy("__n").orderBy("__t").rowsBetween(W.unboundedPreceding, -1))
+    before = materialise(counted.select(F.col("__n").alias(size), F.col("__t").alias(task), F.coalesce(sums, F.lit(0)).alias(before_col)), "before")
+    known = (stored[length_col].cast("long") == before[size]) & (stored[task] == before[task])
+    ranked = stored.join(before, known).select(*[stored[c] for c in names], (before[before_col] + stored[own]).alias(own))
     at = names.index(length_col)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
