@@ -336,5 +336,14 @@ def op8_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_bpe_encode_decode": op8_bpe_encode_decode}
+def bpe_unsplit_runs(spark, sf_dir: str) -> DataFrame:
+    """Every whole text without its white space, signs and digits: one unsplit run each, so that all but the shortest go
+    through tree concatenation, with leaves of 64 characters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", "").alias("text"))
+    return decode(encode(docs, leaf=64)).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {"op8_bpe_encode_decode": op8_bpe_encode_decode, "bpe_unsplit_runs": bpe_unsplit_runs}
 SQL: dict[str, str] = {}
