@@ -72,9 +72,9 @@ def format_preferences(pairs: DataFrame, learned_role: str = "assistant") -> Dat
 
 
 def op6_preference_format(spark, sf_dir: str) -> DataFrame:
-    """Pairs conversation 2k (chosen) with conversation 2k + 1 (rejected)."""
+    """Pairs conversation 2k (chosen) with conversation 2k + 1 (rejected), for negative k too."""
     conv = conversations_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    sides = conv.select(F.expr("conv_id div 2").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "turns")
+    sides = conv.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "turns")
     pairs = sides.groupBy("pair_id").agg(F.first(F.when(F.col("is_chosen"), F.col("turns")), ignorenulls=True).alias("chosen"), F.first(F.when(~F.col("is_chosen"), F.col("turns")), ignorenulls=True).alias("rejected"))
     text = lambda c: F.array_join(F.transform(c, lambda s: s["text"]), "")
     mask = lambda c: F.array_join(F.transform(c, lambda s: s["mask"].cast("string")), "")
