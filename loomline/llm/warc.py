@@ -37,15 +37,19 @@ CRLF = b"\r\n"
 TRAIN_BYTES, DICTIONARY_BYTES = 2_000_000, 16_384
 
 
+def record_name(page_id, digest: str) -> str:
+    """The record id of a page's payload; what a revisit of it refers to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{digest}')}>"
+
+
 def record(page_id, url, payload: bytes, n_bytes: int, digest: str, refers_to) -> bytes:
     """One WARC record: a response with its payload, or a revisit without."""
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n_bytes
     block = http + (payload if refers_to is None else b"")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{digest}")
     headers = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{name}>"),
+        ("WARC-Record-ID", record_name(page_id, digest)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")),
         ("WARC-Payload-Digest", f"sha-256:{digest}"),
@@ -53,7 +57,7 @@ def record(page_id, url, payload: bytes, n_bytes: int, digest: str, refers_to) -
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if refers_to is not None:
-        headers += [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page-Id", str(refers_to))]
+        headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_name(refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to))]
     headers.append(("Content-Length", str(len(block))))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
     return head.encode() + block + CRLF + CRLF
@@ -161,8 +165,14 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[int, bytes]:
             raise ValueError(f"the payload has {len(payload)} bytes instead of {n}")
         if algorithm == "sha-256" and hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError("the payload doesn't match its digest")
-    elif headers["WARC-Type"] == "revisit" and payload:
-        raise ValueError("a revisit holds a payload")
+    elif headers["WARC-Type"] == "revisit":
+        if payload:
+            raise ValueError("a revisit holds a payload")
+        if "WARC-Refers-To" not in headers:
+            raise ValueError("a revisit refers to nothing")
+        page = headers.get("X-Refers-To-Page-Id")
+        if page is not None and record_name(page, digest) != headers["WARC-Refers-To"]:
+            raise ValueError("a revisit refers to a record of another payload")
     return n, payload
 
 
