@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -56,6 +57,15 @@ def test_query_against_the_library(spark, sf, library):
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_unsplit_runs_against_the_library(spark, sf, library):
+    """Every text as one run: the query's rows come out of tree concatenation."""
+    docs = {r["doc_id"]: "".join(c for c in r["text"] or "" if c.isalpha()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = bpe.bpe_unsplit_runs(spark, sf).collect()
+    assert len(out) == len(docs) and sum(len(t) > 64 for t in docs.values()) > 0.9 * len(docs)
+    wrong = [r["doc_id"] for r in out if r["ids_sha256"] != hashlib.sha256(np.asarray(library.encode(docs[r["doc_id"]], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()]
+    assert not wrong
+
+
 def best_sum(counts, gap):
     reach = {0}
     for n, c in counts.items():
@@ -114,6 +124,26 @@ def test_empty_tables(spark):
     assert packing.pack(packing.cut_pieces(bpe.encode(empty))).count() == 0
 
 
+def test_pieces_against_the_library(spark, sf, library):
+    """start, length and ids_crc32 of every piece, from the library's own ids."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = set()
+    for i, t in docs.items():
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = np.asarray(ids[at : at + 4096], "<u4")
+            want.add((i, k, at, len(part), zlib.crc32(part.tobytes())))
+    got = [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.op3_best_fit_packing(spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_one_common_length_over_many_tasks(spark):
+    rows = spark.range(0, 5000, 1, 37).selectExpr("id AS doc_id", "cast(CASE WHEN id % 5 < 3 THEN 64 ELSE 1 + id % 63 END AS long) AS length", "1 AS __rank")
+    out = packing.pack(rows, capacity=64).collect()
+    assert len(out) == 5000 and len({(r["sequence_id"], r["offset"]) for r in out}) == 5000
+    assert check_places(out, 64) <= -(-sum(r["length"] for r in out) // 64) + 2
+
+
 def test_packing_query(spark, sf):
     out = packing.op3_best_fit_packing(spark, sf).collect()
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

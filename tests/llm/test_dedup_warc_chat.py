@@ -92,6 +92,38 @@ def test_preferences(spark):
     assert out[2]["n_prompt"] == 0 and len(out[2]["chosen"]) == 1 and out[2]["rejected"] == []
 
 
+def test_revisits_must_match_their_response():
+    digest = "a" * 64
+    headers, block = warc.parse_record(warc.record(4, "http://x", b"", 120, digest, 2))
+    assert headers["WARC-Refers-To"] == warc.record_name(2, digest)
+    assert warc.parse_record(warc.record(2, "http://x", b"x" * 120, 120, digest, None))[0]["WARC-Record-ID"] == headers["WARC-Refers-To"]
+    with pytest.raises(ValueError):
+        warc.payload_of({k: v for k, v in headers.items() if k != "WARC-Refers-To"}, block)
+    with pytest.raises(ValueError):
+        warc.payload_of(headers | {"WARC-Payload-Digest": "sha-256:" + "b" * 64}, block)
+
+
+def test_preference_query_on_odd_tables(spark, tmp_path):
+    """Negative, null and repeated ids, equal turn numbers, clashing columns, and an empty table."""
+    kind = "conv_id long, turn long, role string, text string, pair_id int, chosen int"
+    rows = [(-2, 0, "user", "a", 1, 1), (-1, 0, "user", "a", 1, 1), (-1, 1, "assistant", "b", 1, 1), (1, 0, "user", "z", 1, 1), (None, 0, "user", "n", 1, 1), (4, 0, "user", "x", 1, 1), (4, 0, "user", "w", 1, 1), (4, 0, "user", "w", 1, 1), (5, 0, "user", "w", 1, 1), (5, 0, None, None, 1, 1)]
+    for name, data in (("full", rows), ("none", [])):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+    out = {r["pair_id"]: r for r in chat.op6_preference_format(spark, f"{tmp_path}/full").collect()}
+    assert set(out) == {-1, 0, 2}
+    assert out[-1]["n_prompt"] == 1 and out[-1]["chosen_text"] == "" and out[-1]["rejected_mask"] == "1"
+    assert out[0]["n_prompt"] == 0 and out[0]["chosen_text"] == "" and out[0]["rejected_text"] == "<|user|>\nz<|end|>\n"
+    assert out[2]["n_prompt"] == 0 and out[2]["chosen_text"].count("<|user|>") == 3 and out[2]["rejected_text"].startswith("<|")
+    assert chat.op6_preference_format(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_the_smallest_and_largest_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    df = spark.createDataFrame([(high, "ab"), (low, "a b"), (low, "ab"), (0, "a b")], "doc_id long, text string")
+    out = dedup.exact_groups(df).collect()
+    assert {r["keep_id"] for r in out} == {low} and sum(r["kept"] for r in out) == 1
+
+
 def test_preferences_stay_in_the_jvm(spark, sf):
     plan = chat.op6_preference_format(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -115,6 +115,55 @@ def test_search_against_brute_force(spark):
     assert len(few) == 2
 
 
+def test_search_with_a_hot_vector_and_several_lengths(spark):
+    """A third of the rows are one vector; one vector is longer than all others; ids repeat."""
+    rng = np.random.default_rng(4)
+    v = [rng.normal(size=6) for _ in range(300)]
+    for i in range(100, 200):
+        v[i] = v[100]
+    v[7] = rng.normal(size=9) * 3
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(50, v[100].tolist())] * 3 + [(120, v[100].tolist())] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = topk.search(topk.integer_vectors(df, "vec_id", "embedding"), F.col("id") % 50 == 0, pivots=6, annuli=4, block=16, first_cells=1).collect()
+    w = [(i, np.floor(256 * np.pad(np.asarray(x), (0, 9 - len(x)))).astype(np.int64)) for i, x in rows]
+    for q in range(0, 300, 50):
+        own = [x for i, x in w if i == q]
+        pairs = {(tuple(x), i, k): int(x @ y) for x in own for k, (i, y) in enumerate(w) if i != q}
+        distinct = {}
+        for (x, i, k), s in pairs.items():
+            distinct.setdefault(x, []).append((-s, i))
+        want = sorted(((-s, i) for x in {tuple(o) for o in own} for s, i in ((a, b) for a, b in distinct[x])), key=lambda p: (-p[0], p[1]))[:5]
+        got = [(r["score"], r["vec_id"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert got == want
+
+
+def test_near_duplicates_of_the_table_against_all_pairs(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.op5_jaccard_join(spark, sf).collect()}
+    assert got == jaccard.brute_force(docs)
+
+
+def test_clashing_keys_and_odd_ids(spark):
+    """Keys of 3 bits make nearly all classes clash; ids are null or repeated."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[i % 20 : i % 20 + 16]) for i in range(60)] + ["", None, "one two"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in jaccard.near_components(df, key_bits=3).collect()}
+    assert got == jaccard.brute_force(dict(enumerate(texts)))
+    odd = spark.createDataFrame([(None, texts[0]), (None, texts[0]), (7, texts[0]), (7, texts[0]), (7, texts[5]), (None, None)], df.schema)
+    out = jaccard.near_components(odd).collect()
+    assert len(out) == 6 and {r["component_id"] for r in out if r["n_shingles"]} == {7}
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 63, int(rng.integers(0, 100)), dtype=np.uint64)]))
+        if len(b):
+            assert jaccard.least_difference(jaccard.signature(a), jaccard.signature(b)) <= len(np.setxor1d(a, b))
+
+
 def test_quality_on_held_out_labels(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -132,6 +181,43 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), none).count() == 0
 
 
+def brute_posteriors(rows, site_weight, most_shift):
+    """id -> (host posterior, path posterior, score), from the definitions, one row at a time."""
+    import math
+
+    def worth(groups, centres):
+        n, k = sum(map(len, groups)), len(groups)
+        within = sum(sum((x - np.mean(g)) ** 2 for x in g) for g in groups) / max(n - k, 1)
+        apart = sum(len(g) * (np.mean(g) - c) ** 2 for g, c in zip(groups, centres, strict=True))
+        between = (apart - max(k - 1, 0) * within) / max(n - sum(len(g) ** 2 for g in groups) / n, 1)
+        return min(max(within / between if between > 0 else n, 1.0), n)
+
+    hosts, paths = {}, {}
+    for _, h, q, p, _ in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    prior = (sum(r[3] for r in rows) + 0.5) / (len(rows) + 1)
+    a = worth(list(hosts.values()), [prior] * len(hosts))
+    b = worth(list(paths.values()), [np.mean(hosts[h]) for h, _ in paths])
+    out = {}
+    for i, h, q, p, e in rows:
+        host = (sum(hosts[h]) - p + a * prior) / (len(hosts[h]) - 1 + a)
+        path = (sum(paths[h, q]) - p + b * host) / (len(paths[h, q]) - 1 + b)
+        shift = site_weight * (math.log(path / (1 - path)) - math.log(prior / (1 - prior)))
+        out[i] = (host, path, 1 / (1 + math.exp(-(e + min(max(shift, -most_shift), most_shift)))))
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"h{int(rng.integers(9)) ** 2 // 8}", [None, "a", "b"][int(rng.integers(3))], float(rng.beta(3, 1 + i % 4)), float(rng.normal())) for i in range(400)] + [(400, None, None, 0.9, 0.0), (401, "alone", "x", 0.2, 0.0)]
+    got = quality.site_posteriors(spark.createDataFrame(rows, "id long, host string, path string, p double, evidence double"), "host", "path", 0.5, 1.0).collect()
+    want = brute_posteriors(rows, 0.5, 1.0)
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.allclose((r["host_posterior"], r["path_posterior"], r["score"]), want[r["id"]], atol=1e-9)
+
+
 def test_sites_shrink_to_the_prior(spark):
     rows = [(i, "big", "p", 1.0 if i % 10 else 0.0) for i in range(2000)] + [(9001, "small", "p", 0.0)]
     df = spark.createDataFrame(rows, "id long, host string, path string, p double").withColumn("evidence", F.lit(0.0))
