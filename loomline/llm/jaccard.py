@@ -7,11 +7,12 @@ at least l shingles of both l-prefixes. Each class lengthens its prefix by the c
 expect, and a pair needs as many shared prefix shingles, each within both of the shorter reaches, as the smaller l says.
 
 Components are what counts, so links inside a known component need no pairs: first each class is verified against one
-central class of its prefix shingles (a star, linear in the rows); then, exactly, every pair of classes in different
-components so far that shares enough prefix shingles and whose places in the order leave room for the similarity.
-Shingles whose classes all lie in one component drop out, and within a shingle only pairs that cross components are
-formed, so a large group of copies never meets itself. Before whole sets are sent and compared, signatures of the
-classes, a sixteenth of a set's size or less, bound from below how far two sets differ and drop most other pairs.
+central class of its prefix shingles (a star, linear in the rows). Then, exactly, every pair of classes in different
+components so far: classes around one centre, which share their shingles with one another, are compared in blocks by
+signatures, a sixteenth of a set's size or less, which bound from below how far two sets differ; all others must share
+enough prefix shingles whose places in the order leave room for the similarity, and pass the signatures too. Shingles
+whose classes all lie around one centre drop out, so a large group of near copies forms no pairs but those that the
+signatures leave, and few whole sets are sent and compared.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Repeated rows belong to
 one class. Null ids take part, but never name a component unless it has no other. Very long texts are read whole, each
@@ -21,6 +22,7 @@ intersection err only if two shingles share a 64-bit hash; classes go by 128-bit
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,13 +35,15 @@ from pyspark.sql import functions as F
 from .common import attach_group, bloom_of, bloom_test, discard, materialise, numbered, slices, without
 
 WORDS = 5
-#: The frequency sketch has 2^19 to 2^22 cells (16 MB at most are broadcast), about one for each KB of input, and
-#: travels in chunks of so many cells.
-CELL_BITS, CHUNK = (19, 22), 8192
+#: The frequency sketch has 2^19 to 2^24 cells (32 MB at most are broadcast), about one for each 128 bytes of input, and
+#: travels in chunks of so many cells. Cells are broadcast as logarithms, so many steps to a doubling.
+CELL_BITS, CHUNK, STEPS = (19, 24), 8192, 2048
 #: Prefix rows that one group of them holds.
 GROUP_ROWS = 2_000_000
 #: Pairs of one class that meet its set in one place; more are dealt over several.
 PAIRS_A_PLACE = 256
+#: Classes of a cluster that are compared in one block.
+BLOCK = 1024
 #: Expected candidates at which a class's prefix gets one shingle longer.
 COSTS = (64, 1024, 16_384)
 #: Shingles that the sketch counts so often, or so many times its mean, are dealt over groups of their own, by class.
@@ -128,12 +132,18 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(sign: bytes, width: int) -> np.ndarray:
+    """A signature in fewer bytes: what it would be with fewer bits."""
+    x = np.frombuffer(sign, dtype=np.uint64)
+    while x.nbytes > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """A lower bound of the size of two sets' symmetric difference, from their signatures."""
-    x, y = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    width = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum())
 
 
 def mark_of(first: int, second: int, row_id: int | None) -> int:
@@ -149,7 +159,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def cell_bits(docs: DataFrame) -> int:
     """Bits of a cell's number, from Spark's estimate of the input's bytes; the fewest if it has none."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(CELL_BITS[0], (size >> 10).bit_length()), CELL_BITS[1]) if size < 1 << 60 else CELL_BITS[0]
+    return min(max(CELL_BITS[0], (size >> 7).bit_length()), CELL_BITS[1]) if size < 1 << 60 else CELL_BITS[0]
 
 
 def cells_of(s: np.ndarray, cells: int) -> np.ndarray:
@@ -161,11 +171,11 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, cells: int, names: Na
     columns = ["id", "n", "first", "second", "mark", "sign", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(cells, dtype=np.int64)
+        counts = np.zeros(cells, dtype=np.uint32)
         for b in slices(batches):
             sets = shingle_sets(b.column(1).to_pylist())
             at, n = np.unique(cells_of(np.concatenate(sets), cells), return_counts=True)
-            counts[at] += n
+            counts[at] += n.astype(np.uint32)
             both = [names.halves(s) for s in sets]
             marks = [mark_of(x, y, i) for (x, y), i in zip(both, b.column(0).to_pylist(), strict=True)]
             first, second = ([h[k] for h in both] for k in (0, 1))
@@ -175,42 +185,66 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, cells: int, names: Na
             part = counts[k * CHUNK : (k + 1) * CHUNK]
             if part.any():
                 cols = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], columns)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([k], pa.int32()), pa.array([small(part)], pa.binary())], columns)
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n int, first long, second long, mark long, sign binary, chunk int, counts binary")
 
 
+def small(counts: np.ndarray) -> bytes:
+    """Counts in the least number of bytes each, after that number."""
+    width = next(w for w in (1, 2, 4, 8) if counts.max() < 1 << 8 * w - (w == 8))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
 def sketch_of(noted: DataFrame, cells: int) -> np.ndarray:
-    """The sum of the tasks' parts: summed where they are read, then by chunk; one row a chunk reaches the driver."""
+    """The sum of the tasks' parts: summed where they are read, then by chunk; one row a chunk reaches the driver.
+
+    Each cell holds STEPS times the binary logarithm of one more than its count."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(blob, dtype=np.int64)
-                total[k] = total[k] + part if k in total else part
+                if k in total:
+                    total[k] += unpacked(blob)
+                else:
+                    total[k] = unpacked(blob)
         for k, part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([small(part)], pa.binary())], ["chunk", "counts"])
+
+    def logarithms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in add(batches):
+            logs = np.minimum(STEPS * np.log2(1 + unpacked(b.column(1)[0].as_py())), 65535).astype("<u2")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([logs.tobytes()], pa.binary())], ["chunk", "counts"])
 
     kind = "chunk int, counts binary"
-    summed = noted.where("chunk IS NOT NULL").select("chunk", "counts").mapInArrow(add, kind).repartition("chunk").mapInArrow(add, kind).toArrow()
-    out = np.zeros(cells, dtype=np.int64)
+    summed = noted.where("chunk IS NOT NULL").select("chunk", "counts").mapInArrow(add, kind).repartition("chunk").mapInArrow(logarithms, kind).toArrow()
+    out = np.zeros(cells, dtype=np.uint16)
     for k, blob in zip(summed["chunk"].to_pylist(), summed["counts"].to_pylist(), strict=True):
-        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(blob, dtype=np.int64)
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(blob, dtype="<u2")
+    return out
+
 
+def counts_in(sketch: np.ndarray) -> np.ndarray:
+    """The counts that cells of the sketch stand for."""
+    return np.exp2(sketch.astype(np.float64) / STEPS) - 1
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, names: Names, percent: int, groups: int, heavy: int, heavy_groups: int) -> DataFrame:
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, names: Names, percent: int, groups: int, mean: float, heavy: float, heavy_groups: int) -> DataFrame:
     """(part, blob): prefix shingles of every class, packed by the range of the shingle, or by class if it is heavy."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    mean = int(sketch.mean())
+    heavy_mark = int(STEPS * np.log2(1 + heavy))
     width = U((1 << 64) // groups + 1)
 
     def pack(keys, sizes, reach, tokens, owner, place) -> Iterator[pa.RecordBatch]:
         keys, sizes, reach = np.asarray(keys, dtype=np.int64), np.asarray(sizes, dtype=np.int32), np.asarray(reach, dtype=np.int8)
         tokens, owner, place = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
         part = (tokens // width).astype(np.int64)
-        hot = shared.value[cells_of(tokens, len(sketch))] >= heavy
+        hot = shared.value[cells_of(tokens, len(sketch))] >= heavy_mark
         part[hot] = groups + keys[owner[hot]] % heavy_groups
         order = np.argsort(part, kind="stable")
         part, tokens, owner, place = part[order], tokens[order], owner[order], place[order]
@@ -240,10 +274,10 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, na
                     seen.clear()
                 seen.add(key)
                 need = -(-percent * n // 100)
-                frequency = counts[cells_of(s, len(counts))].astype(np.int64)
+                frequency = counts[cells_of(s, len(counts))]
                 order = np.lexsort((s, frequency))
                 base = n - need + 1
-                cost = int(np.maximum(frequency[order[:base]] - 2 * mean, 0).sum())
+                cost = float(np.maximum(counts_in(frequency[order[:base]]) - 2 * mean, 0).sum())
                 longer = min(sum(cost >= c for c in COSTS), need - 1)
                 taken = order[: base + longer]
                 held[0].append(key)
@@ -427,18 +461,90 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("key"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def crossing_pairs(shared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share enough prefix shingles."""
-    known = comps.select(F.col("key").alias("k"), "comp")
-    rows = shared.join(known, F.col("key") == F.col("k"), "left").select("token", "key", *ROW, F.coalesce("comp", "key").alias("comp"))
-    counted = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counted.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+def clusters_of(stars: DataFrame) -> DataFrame:
+    """(key, cluster) of every class in the stars: the centre four steps up. Each step leads to a more central class."""
+    up = stars.select(F.col("b").alias("key"), F.col("a").alias("cluster"))
+    for _ in range(2):
+        above = up.select(F.col("key").alias("k"), F.col("cluster").alias("c"))
+        up = up.join(above, F.col("cluster") == F.col("k"), "left").select("key", F.coalesce("c", "cluster").alias("cluster"))
+    up = materialise(up, "clusters")
+    tops = stars.select(F.col("a").alias("key")).distinct().join(up, "key", "left_anti").select("key", F.col("key").alias("cluster"))
+    return up.unionByName(tops)
+
+
+def cluster_pairs(known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of one cluster and different components whose signatures leave room for the similarity.
+
+    All classes of a cluster are compared, in blocks of about BLOCK of them, but only such pairs leave a block. A cluster
+    of two is a star, whose pair is known.
+    """
+    sizes = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select(F.col("cluster").alias("c"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = known.join(sizes, F.col("cluster") == F.col("c")).select(F.col("key").alias("k"), "comp", "cluster", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own"))
+    rows = rows.join(classes, F.col("k") == F.col("key")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "comp", "n", "sign")
+
+    def compare(key, comp, own, n, sign, crossed: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Survivors among the rows of two blocks (crossed: one of each), or of one."""
+        width = np.asarray([len(x) for x in sign])
+        for w in np.unique(width):
+            wide = np.flatnonzero((width == w) | (width == 2 * w))  # others differ too much in size
+            bits = np.stack([folded(sign[x], int(w)) for x in wide])
+            for p in range(len(wide)):
+                x = wide[p]
+                if width[x] != w:
+                    continue
+                total = n[x] + n[wide]
+                may = (comp[wide] != comp[x]) & ((width[wide] > w) | (wide > x)) & (100 * np.minimum(n[x], n[wide]) >= percent * np.maximum(n[x], n[wide]))
+                if crossed:
+                    may &= own[wide] != own[x]
+                q = np.flatnonzero(may)
+                if len(q):
+                    differ = np.bitwise_count(bits[q] ^ bits[p]).sum(1, dtype=np.int64)
+                    q = wide[q[(100 + percent) * (total[q] - differ) >= 2 * percent * total[q]]]
+                    if len(q):
+                        yield np.minimum(key[x], key[q]), np.maximum(key[x], key[q])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            key, comp, own, n = (t[c].to_numpy().astype(np.int64) for c in ("key", "comp", "own", "n"))
+            if now[1] != now[2] and (own == own[0]).all():
+                return
+            for a, b in compare(key, comp, own, n, t["sign"].to_pylist(), now[1] != now[2]):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            c, i, j = (batch.column(x).to_numpy() for x in ("cluster", "i", "j"))
+            cuts = np.flatnonzero((c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(c)], strict=True):
+                if x == y:
+                    continue
+                if now is not None and now != (c[x], i[x], j[x]):
+                    yield from close()
+                    held = []
+                now = (c[x], i[x], j[x])
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from close()
+
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def crossing_pairs(shared: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components and clusters that share enough prefix shingles."""
+    known = known.select(F.col("key").alias("k"), "comp", "cluster")
+    rows = shared.join(known, F.col("key") == F.col("k"), "left").select("token", "key", *ROW, F.coalesce("comp", "key").alias("comp"), F.coalesce("cluster", "key").alias("cluster"))
+    counted = rows.groupBy("token", "cluster").agg(F.count(F.lit(1)).alias("c"))
+    mixed = counted.groupBy("token").agg(F.max_by("cluster", F.struct("c", "cluster")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
     rows = materialise(rows.join(mixed.select(F.col("token").alias("t"), "main"), F.col("token") == F.col("t")).drop("t"), "mixed")
-    # within a shingle: rows outside its largest component against all rows of other components
-    columns = ("key", *ROW, "comp")
-    few = rows.where("comp <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
+    # within a shingle: rows outside its largest cluster against all rows of other clusters
+    columns = ("key", *ROW, "comp", "cluster")
+    few = rows.where("cluster <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
     all_ = rows.select("token", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
-    met = few.join(all_, "token").where(f"comp_a <> comp_b AND (comp_b = main OR key_a < key_b) AND {possible('_a', '_b', percent)}")
+    met = few.join(all_, "token").where(f"cluster_a <> cluster_b AND comp_a <> comp_b AND (cluster_b = main OR key_a < key_b) AND {possible('_a', '_b', percent)}")
     counts = met.groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("reach_a", "reach_b")).alias("need"))
     return counts.where("c >= need").select("a", "b")
 
@@ -460,31 +566,37 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = named_rows(noted, names)
     sketch = sketch_of(noted, cells)
     classes = materialise(table.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min(F.struct("id", "mark")).alias("least"), F.first("sign").alias("sign")), "classes")
-    rows_in = lambda counts: max(16, int(counts.sum(dtype=np.int64)) * (100 - percent + 10) // 100 // GROUP_ROWS)
-    heavy = max(HEAVY, HEAVY_TIMES * int(sketch.mean()))
-    groups, heavy_groups = rows_in(sketch), rows_in(sketch[sketch >= heavy])
-
-    def linked(found: DataFrame) -> DataFrame:
-        """Of the pairs found, those that are similar: by signatures first, then by whole sets."""
-        likely = materialise(plausible(found, classes, percent), "likely")
-        links = materialise(verified(likely, sets_of(docs, id_col, text_col, classes, names, likely), percent), "links")
-        discard(likely)
+    counts = counts_in(sketch)
+    rows_in = lambda some: max(16, int(some.sum() * (100 - percent + 10) / 100 / GROUP_ROWS))
+    mean = float(counts.mean())
+    heavy = max(HEAVY, HEAVY_TIMES * mean)
+    groups, heavy_groups = rows_in(counts), rows_in(counts[counts >= heavy])
+    del counts
+
+    def linked(*likely: DataFrame) -> DataFrame:
+        """Of the pairs that the signatures left, those whose whole sets are similar."""
+        pairs = materialise(functools.reduce(DataFrame.unionByName, likely), "likely")
+        links = materialise(verified(pairs, sets_of(docs, id_col, text_col, classes, names, pairs), percent), "links")
+        discard(pairs)
         return links
 
-    packed = prefixes(docs, id_col, text_col, sketch, names, percent, groups, heavy, heavy_groups)
+    packed = prefixes(docs, id_col, text_col, sketch, names, percent, groups, mean, heavy, heavy_groups)
     prefix_rows = materialise(shared_prefixes(packed, groups), "prefixes")
     shared = materialise(with_bounds(prefix_rows, percent), "bounds")
     # links inside components: every class against the most central class of its shingles
-    links = linked(star_pairs(shared, percent))
+    stars = materialise(star_pairs(shared, percent), "stars")
+    links = linked(plausible(stars, classes, percent))
     comps = materialise(components(links), "components")
-    # links across components
-    more = linked(crossing_pairs(shared, comps, percent))
+    # links across components: inside each cluster of stars, then across clusters
+    known = clusters_of(stars).join(comps.select(F.col("key").alias("k"), "comp"), F.col("key") == F.col("k"), "left")
+    known = materialise(known.select("key", "cluster", F.coalesce("comp", "key").alias("comp")), "known")
+    more = linked(cluster_pairs(known, classes, percent), plausible(crossing_pairs(shared, known, percent), classes, percent))
     if not more.isEmpty():
         comps = materialise(components(links.unionByName(more)), "components")
 
     named = table.where("n > 0").join(comps.select(F.col("key").alias("k"), "comp"), F.col("key") == F.col("k"), "left")
     named = materialise(named.select("id", "n", F.coalesce("comp", "key").alias("comp"), F.monotonically_increasing_id().alias("row")), "named")
-    discard(prefix_rows, shared, classes, links, more, comps)
+    discard(prefix_rows, shared, classes, stars, known, links, more, comps)
     linked_rows = attach_group(named, ["comp"], {"m": F.min("id")}, {"component_id": F.min("m")}, salt_on=F.col("row")).select("id", "n", "component_id")
     alone = table.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked_rows.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
