@@ -68,11 +68,13 @@ def gather(windows: DataFrame, blocks: DataFrame, block: int, length: int, total
     Each window asks for the few blocks that it touches by an equi-join.
     """
     names = windows.columns
-    asked = windows.select(*names, F.posexplode(F.sequence(F.lit(0), F.lit(length - 1))).alias("i", "__"))
-    # the runs of a window that lie in one block: cut where the block or the round changes
-    pos = (F.col("start") + F.col("i")) % total
-    runs = asked.select(*names, "i", pos.alias("pos")).withColumn("block", F.floor(F.col("pos") / block)).withColumn("round", F.floor((F.col("start") + F.col("i")) / total))
-    runs = runs.groupBy(*names, "block", "round").agg(F.min("i").alias("i"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    start, end = F.col("start"), F.col("start") + length
+    # the rounds of the stream that a window reaches into, and in each the blocks
+    rounds = windows.withColumn("__round", F.explode(F.sequence(F.floor(start / total), F.floor((end - 1) / total))))
+    low, high = F.greatest(start - F.col("__round") * total, F.lit(0)), F.least(end - F.col("__round") * total, F.lit(total))
+    asked = rounds.withColumns({"__low": low, "__high": high}).withColumn("block", F.explode(F.sequence(F.floor(F.col("__low") / block), F.floor((F.col("__high") - 1) / block))))
+    pos = F.greatest(F.col("__low"), F.col("block") * block)
+    runs = asked.select(*names, "block", pos.alias("pos"), (F.col("__round") * total + pos - start).alias("i"), (F.least("__high", (F.col("block") + 1) * block) - pos).alias("n"))
     met = runs.join(blocks.select(F.col("block"), F.col("ids").alias("__ids")), "block")
     part = F.slice("__ids", (F.col("pos") - F.col("block") * block + 1).cast("int"), F.col("n").cast("int"))
     out = met.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("i", part.alias("part")))).alias("parts"))

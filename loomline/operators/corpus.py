@@ -54,7 +54,9 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     """(ch, id): distinct characters in code-point order. Bounded by Unicode, so one task may rank it."""
     from pyspark.sql import Window as W
 
-    return characters(df, text).distinct().select("ch", (F.row_number().over(W.orderBy("ch")) - 1).alias("id"))
+    # the characters of a document are made distinct before any is exploded
+    own = df.select(F.explode(F.array_distinct(F.split(text, ""))).alias("ch")).where("ch <> ''")
+    return own.distinct().select("ch", (F.row_number().over(W.orderBy("ch")) - 1).alias("id"))
 
 
 def encode_characters(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
@@ -74,6 +76,14 @@ def offsets(df: DataFrame, key: str, length: Column, name: str = "start") -> Dat
     return running_sum(df, [key], length, id_bucket(key), name)
 
 
+def corpus_cut(df: DataFrame, key: str, text: str, share: float) -> DataFrame:
+    """Adds `cut`: how many characters of a text lie before floor(share * n) of the whole corpus in key order."""
+    placed = running_sum(df.withColumn("__n", F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")), [key], F.col("__n"), id_bucket(key), "__start")
+    total = df.agg(F.coalesce(F.sum(F.length(text).cast("bigint")), F.lit(0)).alias("__total"))
+    cut = F.greatest(F.lit(0), F.least(F.col("__n"), F.floor(F.col("__total") * F.lit(share)) - F.col("__start")))
+    return placed.join(F.broadcast(total)).withColumn("cut", cut.cast("bigint")).drop("__n", "__start", "__total")
+
+
 def contiguous_shards(df: DataFrame, key: str, n: int, name: str = "shard") -> DataFrame:
     """Adds the number of n balanced contiguous shards; the first count mod n get one row more."""
     ranked = rank(df, [key], id_bucket(key), "__rank")

@@ -86,15 +86,71 @@ def distill_loss(z: Column, y: Column, teacher: Column, temperature: float, rati
     return F.lit(1 - ratio) * token_loss(z, y) + F.lit(ratio * temperature**2) * forward_kl(teacher, log_softmax(z, temperature))
 
 
+def distill(df: DataFrame, row: str, position: str, z: Column, y: Column, teacher: Column, temperature: float = 2.0, ratio: float = 0.9, keep: float = 1.0, k: int = 0, reverse: bool = False) -> DataFrame:
+    """Adds `loss`: (1 - ratio) * cross-entropy + ratio * temperature^2 * divergence from the teacher's logits.
+
+    k > 0 leaves the teacher its k largest probabilities (ties at the least stay), renormalised; reverse takes the reverse
+    divergence; keep < 1 leaves the int(keep * t) positions of a row with the largest excess of the student's cross-entropy
+    over the teacher's.
+    """
+    soft = softmax(teacher, temperature)
+    soft = top_k_mask(soft, k) if k else soft
+    log_q = log_softmax(z, temperature)
+    parts = df.withColumns({"__soft": soft, "__logq": log_q, "__ce": token_loss(z, y)})
+    divergence = (reverse_kl if reverse else forward_kl)(F.col("__soft"), F.col("__logq"))
+    out = parts.withColumn("loss", F.lit(1 - ratio) * F.col("__ce") + F.lit(ratio * temperature**2) * divergence)
+    if keep < 1:
+        out = select_top(out, row, position, F.col("__ce") - token_loss(teacher, y), keep).where("selected").drop("rank", "selected")
+    return out.drop("__soft", "__logq", "__ce")
+
+
+def attention_select(df: DataFrame, row: str, position: str, diff: Column, attention: Column, ratio: float) -> DataFrame:
+    """(row, place, position): int(ratio * t / 2) + 1 positions by the largest loss difference, then as many by attention.
+
+    A position's attention is the sum of what all positions of its row pay it; it speaks for the token before it, so the
+    first position drops out and all others move back by one. A position can be chosen twice. Ties go to the left.
+    """
+    rows = df.select(row, position, diff.alias("__d"), attention.alias("__a"))
+    sizes = F.count(F.lit(1)).over(W.partitionBy(row))
+    n = F.floor(sizes * F.lit(ratio) * 0.5) + 1
+    first = rows.withColumns({"place": F.row_number().over(W.partitionBy(row).orderBy(F.round("__d", 9).desc(), position)) - 1, "__n": n}).where("place < __n")
+    counts = rows.groupBy(row).agg((F.floor(F.count(F.lit(1)) * F.lit(ratio) * 0.5) + 1).alias("__n"))
+    paid = rows.select(row, F.posexplode("__a").alias("__j", "__w")).groupBy(row, "__j").agg(F.sum("__w").alias("__s")).where("__j > 0")
+    ranked = paid.withColumn("__r", F.row_number().over(W.partitionBy(row).orderBy(F.round("__s", 9).desc(), "__j")) - 1).join(counts, row).where("__r < __n")
+    second = ranked.select(row, (F.col("__n") + F.col("__r")).cast("bigint").alias("place"), (F.col("__j") - 1).cast("bigint").alias(position))
+    return first.select(row, F.col("place").cast("bigint").alias("place"), F.col(position).cast("bigint").alias(position)).unionByName(second)
+
+
+def ensemble_logits(df: DataFrame, keys: list[str], z: str) -> DataFrame:
+    """(keys, z): the element-wise mean of several models' logits for the same position."""
+    parts = df.select(*keys, F.posexplode(z).alias("__i", "__x")).groupBy(*keys, "__i").agg(F.avg("__x").alias("__x"))
+    packed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__x"))).alias("__p"))
+    return packed.select(*keys, F.transform("__p", lambda p: p["__x"]).alias(z))
+
+
+def shifted_loss(df: DataFrame, row: str, position: str, z: str, token: str) -> DataFrame:
+    """(row, position, loss): cross-entropy of each position's logits against the token after it; the last has none."""
+    after = F.lead(token).over(W.partitionBy(row).orderBy(position))
+    return df.withColumn("__y", after).where("__y IS NOT NULL").select(row, position, token_loss(F.col(z), F.col("__y")).alias("loss"))
+
+
+def utilisation(parameters: Column, layers: Column, heads: Column, width: Column, block: Column, sequences: Column, seconds: Column, peak: float = 312e12) -> Column:
+    """Share of a device's peak that training uses: (6 N + 12 L H Q T) T operations a sequence, over its time."""
+    operations = (F.lit(6.0) * parameters + F.lit(12.0) * layers * heads * (width / heads) * block) * block * sequences
+    return operations / seconds / F.lit(peak)
+
+
 def exploded(store: DataFrame, keys: list[str], column: str = "topk") -> DataFrame:
     """(keys, idx, prob) of a top-k store."""
     return store.select(*keys, F.explode(column).alias("e")).select(*keys, F.col("e.idx").alias("idx"), F.col("e.prob").alias("prob"))
 
 
-def ensemble(stores: list[DataFrame], keys: list[str], out_k: int) -> DataFrame:
+def ensemble(stores: list[DataFrame], keys: list[str], out_k: int | None = None) -> DataFrame:
     """(keys, topk): the mean of several top-k stores. A token a store lacks counts 0 there; the out_k largest stay, ties
-    in the order of the first store, then by index; their sum is brought to 1."""
+    in the order of the first store, then by index; their sum is brought to 1. out_k is the largest input k if not given."""
     n = len(stores)
+    if out_k is None:
+        out_k = max(s.agg(F.max(F.size("topk"))).first()[0] or 0 for s in stores)
     parts = [s.select(*keys, F.posexplode("topk").alias("__pos", "e")).select(*keys, F.lit(i).alias("model"), "__pos", F.col("e.idx").alias("idx"), F.col("e.prob").alias("prob")) for i, s in enumerate(stores)]
     rows = parts[0]
     for p in parts[1:]:

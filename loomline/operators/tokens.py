@@ -47,6 +47,46 @@ def decode(df: DataFrame, key: str, ids: str, ranks: str, pattern: str, end: int
     return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer(path: str):
+    """A worker's tokenizer, from its public JSON file."""
+    import tokenizers
+
+    out = tokenizers.Tokenizer.from_file(path)
+    out.no_padding()
+    out.no_truncation()
+    return out
+
+
+def encode_file(df: DataFrame, key: str, text: str, path: str, end: int | None = None, special: bool = False) -> DataFrame:
+    """(key, ids, len) by the tokenizer in a file: without special tokens and with an end id after them, or, for a preview,
+    with the special tokens that the tokenizer adds. A null text counts as empty."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, tail = tokenizer(path), [] if end is None else [end]
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids = [tok.encode(t or "", add_special_tokens=special).ids + tail for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int32())], ["key", "ids", "len"])
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>, len int").withColumnRenamed("key", key)
+
+
+def decode_file(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
+    """(key, text): the whole decoded text, special tokens included."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(path)
+        for b in batches:
+            out = [tok.decode(x or [], skip_special_tokens=False) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["key", "text"])
+
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+
+
 def separate_pair(question: Column, answer: Column, end: int) -> tuple[Column, Column, Column]:
     """(question ids, answer ids, their length together), each with an end token after it."""
     q, a = F.array_append(question, F.lit(end)), F.array_append(answer, F.lit(end))

@@ -28,7 +28,7 @@ def _blocks(s, d, block: int, end: bool = True, keep_rest: bool = False):
 
 def strided_windows(s, d):
     total = table(s, d, "documents").agg(F.sum(F.length("text") + 1)).first()[0]
-    windows = B.window_starts(s, F.lit(total), 300, 4, 40)
+    windows = B.window_starts(s, F.lit(total), 300, 4, -(-total // 1200) + 1)  # once through the stream and round its end
     return B.gather(windows, _blocks(s, d, 1024, keep_rest=True), 1024, 301, total).select("rank", "step", "start", _md5(B.shift("ids")[0]).alias("x_md5"), _md5(B.shift("ids")[1]).alias("y_md5"))
 
 
@@ -88,8 +88,8 @@ SQL = {
     "pack_budget": "WITH t AS (SELECT doc_id, (length(text) + 1)::BIGINT AS n, coalesce(sum(length(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM documents) SELECT doc_id, \"offset\", least(n, 100000 - \"offset\") AS taken FROM t WHERE \"offset\" < 100000",
     "required_sequences": "SELECT source, ceil(sum(length(text) + 1) / 513)::BIGINT AS sequences FROM documents GROUP BY source",
     "doc_marks": "WITH s AS (SELECT source, ceil(sum(length(text) + 1) / 33)::BIGINT AS n FROM documents GROUP BY source) SELECT DISTINCT source, unnest(list_append(range(100, n + 1, 100), n))::BIGINT AS mark FROM s",
-    "strided_windows": f"WITH t AS (SELECT string_agg(text || '{END}', '' ORDER BY doc_id) AS all_text, sum(length(text) + 1)::BIGINT AS total FROM documents), w AS (SELECT i % 4 AS rank, i // 4 AS step, ((i % 4 + (i // 4) * 4) * 300) % total AS start, all_text || left(all_text, 400) AS s FROM range(160) r(i), t) SELECT rank, step, start, md5(substr(s, start + 1, 300)) AS x_md5, md5(substr(s, start + 2, 300)) AS y_md5 FROM w",
-    "shift_xy": _packed(END, 65) + "SELECT block, left(text, 64) AS x, right(text, 64) AS y FROM b WHERE block < 200",
+    "strided_windows": f"WITH t AS (SELECT string_agg(text || '{END}', '' ORDER BY doc_id) AS all_text, sum(length(text) + 1)::BIGINT AS total FROM documents), w AS (SELECT i % 4 AS rank, i // 4 AS step, ((i % 4 + (i // 4) * 4) * 300) % total AS start, all_text || left(all_text, 400) AS s FROM t, range((SELECT (ceil(sum(length(text) + 1) / 1200.0)::BIGINT + 1) * 4 FROM documents)) r(i)) SELECT rank, step, start, md5(substr(s, start + 1, 300)) AS x_md5, md5(substr(s, start + 2, 300)) AS y_md5 FROM w",
+    "shift_xy": _packed(END, 65) + "SELECT block, left(text, 64) AS x, right(text, 64) AS y FROM b",
     "batch_sequential": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 48 AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 48 AS place FROM documents",
     "batch_shuffled": "SELECT doc_id, (row_number() OVER (ORDER BY md5('5:' || doc_id), doc_id) - 1) // 48 AS batch, (row_number() OVER (ORDER BY md5('5:' || doc_id), doc_id) - 1) % 48 AS place FROM documents",
     "weighted_draw": f"WITH {_iv} SELECT draw, source FROM dr",

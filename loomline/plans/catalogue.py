@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blocks, corpus, evaluation, files, scoring, tokens
+from . import blocks, corpus, evaluation, files, scoring, sinks, stores, tokens
 
-MODULES = (corpus, blocks, scoring, evaluation, files, tokens)
+MODULES = (corpus, blocks, scoring, stores, evaluation, files, sinks, tokens)
 
 
 def queries() -> dict:

@@ -50,8 +50,8 @@ QUERIES = {
     "qa_text": lambda s, d: table(s, d, "customer").select("c_custkey", F.format_string("Question: %s\nAnswer: %s", F.concat(F.lit("segment of "), "c_name"), "c_mktsegment").alias("text")),
     "cast_union": lambda s, d: table(s, d, "customer").select(F.lit("nation").alias("field"), F.col("c_nationkey").cast("string").alias("answer")).unionByName(table(s, d, "customer").select(F.lit("segment").alias("field"), F.col("c_mktsegment").alias("answer"))).groupBy("field", "answer").agg(F.count(F.lit(1)).alias("n")),
     "shuffled_head": lambda s, d: C.shuffled_head(table(s, d, "documents").select("doc_id", "lang"), "doc_id", 50),
-    "file_intersection": lambda s, d: table(s, d, "documents").select(F.concat("source", F.lit(".npz")).alias("file")).where("doc_id % 3 = 0").intersect(table(s, d, "documents").where("doc_id % 5 = 0 AND lang = 'en'").select(F.concat("source", F.lit(".npz")).alias("file"))),
-    "missing_sources": lambda s, d: table(s, d, "documents").select("source").distinct().join(table(s, d, "documents").where("doc_id % 7 = 0").select("source").distinct(), "source", "left_semi"),
+    "file_intersection": lambda s, d: table(s, d, "documents").select(F.concat("source", F.lit(".npz")).alias("file")).where("lang = 'de'").intersect(table(s, d, "documents").where("lang = 'en'").select(F.concat("source", F.lit(".npz")).alias("file"))),
+    "missing_sources": lambda s, d: table(s, d, "documents").select("source").distinct().join(table(s, d, "documents").where("lang = 'fr'").select("source").distinct(), "source", "left_semi"),
     "shard_name": lambda s, d: s.range(25, 50).select(F.format_string("%05d.parquet", F.col("id")).alias("file"), F.lpad(F.col("id").cast("string"), 7, "0").alias("step")),
     "url_parts": lambda s, d: table(s, d, "pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("base"), F.substring_index("url", "://", 1).alias("scheme"), F.endswith("url", F.lit("#top")).alias("has_anchor")),
 }
@@ -82,8 +82,8 @@ SQL = {
     "qa_text": "SELECT c_custkey, 'Question: segment of ' || c_name || chr(10) || 'Answer: ' || c_mktsegment AS text FROM customer",
     "cast_union": "SELECT field, answer, count(*) AS n FROM (SELECT 'nation' AS field, c_nationkey::VARCHAR AS answer FROM customer UNION ALL SELECT 'segment', c_mktsegment FROM customer) GROUP BY field, answer",
     "shuffled_head": "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
-    "file_intersection": "SELECT source || '.npz' AS file FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT source || '.npz' FROM documents WHERE doc_id % 5 = 0 AND lang = 'en'",
-    "missing_sources": "SELECT DISTINCT source FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 7 = 0)",
+    "file_intersection": "SELECT source || '.npz' AS file FROM documents WHERE lang = 'de' INTERSECT SELECT source || '.npz' FROM documents WHERE lang = 'en'",
+    "missing_sources": "SELECT DISTINCT source FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'fr')",
     "shard_name": "SELECT printf('%05d.parquet', i) AS file, lpad(i::VARCHAR, 7, '0') AS step FROM range(25, 50) t(i)",
     "url_parts": "SELECT page_id, split_part(url, '/', -1) AS base, split_part(url, '://', 1) AS scheme, ends_with(url, '#top') AS has_anchor FROM pages",
 }

@@ -107,7 +107,7 @@ QUERIES = {
 
 _S = Q._D + ", sc AS (SELECT *, y <> 3 AS valid FROM g)"
 _P = "p AS (SELECT * FROM (SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"
-_flat = lambda t: f"left(replace({t}, chr(10), '\\n'), 40)"
+_flat = lambda t: f"replace({t}, chr(10), '\\n')"
 _tick = lambda by, u: f"(round(v / {by} * 10)::BIGINT // 10) || CASE WHEN round(v / {by} * 10)::BIGINT % 10 = 0 THEN '' ELSE '.' || (round(v / {by} * 10)::BIGINT % 10) END || '{u}'"
 _codes = lambda t: f"list_transform(list_filter(string_split({t}, ''), lambda x: x <> ''), lambda x: unicode(x))"
 _a = lambda k, n: f"floor({sql_uniform('3.' + k, 'id')} * {n})::BIGINT"
@@ -122,15 +122,15 @@ SQL = {
     "source_loss": f"{_S} SELECT y, CASE WHEN b % 5 = 0 THEN 'val' ELSE 'train' END AS split, round(avg(loss), 6) AS loss FROM sc GROUP BY ALL",
     "qa_pairs": f"WITH {_P} SELECT conv_id, turn, 'Q: ' || {_flat('question')} || chr(10) || 'A: ' || {_flat('answer')} AS text FROM p",
     "qa_join_options": "SELECT p_partkey, p_brand || '; ' || p_type || '; ' || p_name AS options, [p_brand, p_type, p_name][p_partkey % 3 + 1] AS answer, list_position([p_brand, p_type, p_name], p_type)::BIGINT AS position FROM part",
-    "few_shot": "WITH r AS (SELECT item_id, left(text, 30) AS q, right(text, 10) AS a, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark), k AS (SELECT unnest([1, 2, 3]) AS k) SELECT x.item_id, string_agg(e.q || chr(10) || e.a || chr(10) || chr(10), '' ORDER BY k) || any_value(x.q) AS prompt FROM r x, k JOIN r e ON e.i = (x.i - k + x.n) % x.n GROUP BY x.item_id",
-    "qa_pad": f"WITH {_P}, t AS (SELECT conv_id, turn, {_codes('left(question, 40)')} AS q, {_codes('left(answer, 60)')} AS a FROM p), j AS (SELECT *, list_concat(q, a) AS ids, list_concat(list_transform(range(len(q) - 1), lambda i: -1), a, [-1]) AS sh FROM t), f AS (SELECT conv_id, turn, list_concat(ids, list_transform(range(greatest(0, 64 - len(ids))), lambda i: ids[-1])) AS x, list_concat(sh, list_transform(range(greatest(0, 64 - len(ids))), lambda i: -1)) AS y FROM j) SELECT conv_id, turn, array_to_string(x[len(x) - 63:], ' ') AS x, array_to_string(y[len(y) - 63:], ' ') AS y FROM f",
+    "few_shot": "WITH r AS (SELECT item_id, left(text, greatest(length(text) - 10, 0)) AS q, right(text, 10) AS a, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark), k AS (SELECT unnest([1, 2, 3]) AS k) SELECT x.item_id, string_agg(e.q || chr(10) || e.a || chr(10) || chr(10), '' ORDER BY k) || any_value(x.q) AS prompt FROM r x, k JOIN r e ON e.i = (x.i - k + x.n) % x.n GROUP BY x.item_id",
+    "qa_pad": f"WITH {_P}, t AS (SELECT conv_id, turn, {_codes('question')} AS q, {_codes('answer')} AS a FROM p), j AS (SELECT *, list_concat(q, a) AS ids, list_concat(list_transform(range(len(q) - 1), lambda i: -1), a, [-1]) AS sh FROM t), f AS (SELECT conv_id, turn, list_concat(ids, list_transform(range(greatest(0, 64 - len(ids))), lambda i: ids[-1])) AS x, list_concat(sh, list_transform(range(greatest(0, 64 - len(ids))), lambda i: -1)) AS y FROM j) SELECT conv_id, turn, array_to_string(x[len(x) - 63:], ' ') AS x, array_to_string(y[len(y) - 63:], ' ') AS y FROM f",
     "multiple_choice": "WITH v AS (SELECT DISTINCT c_mktsegment AS v FROM customer), o AS (SELECT c_custkey, c_mktsegment AS t, v, row_number() OVER (PARTITION BY c_custkey ORDER BY md5('1:' || c_custkey || '|' || v), v) AS r FROM customer JOIN v ON v <> c_mktsegment), k AS (SELECT c_custkey, t, v FROM o WHERE r <= 3 UNION ALL SELECT c_custkey, c_mktsegment, c_mktsegment FROM customer), s AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY md5('2:' || c_custkey || '|' || v), v) AS n FROM k) SELECT c_custkey, string_agg(v, '|' ORDER BY n) AS choices, '(' || chr((64 + max(n) FILTER (WHERE v = t))::INTEGER) || ')' AS answer FROM s GROUP BY c_custkey",
     "results_flatten": "WITH r AS (SELECT quality, count(*) AS n, avg(toxic) AS t FROM labels GROUP BY quality) SELECT 'set' || quality || '/n' AS name, n::VARCHAR AS value FROM r UNION ALL SELECT 'set' || quality || '/acc', round(t, 4)::VARCHAR FROM r",
     "eval_grid": "SELECT i AS checkpoint, lang, 'ckpt-' || i || '/' || lang AS task FROM range(1000, 5001, 1000) t(i), (SELECT DISTINCT lang FROM documents)",
     "metric_join": f"WITH e AS ({RUNS}), a AS (SELECT * FROM e WHERE metric = 'click'), b AS (SELECT * FROM e WHERE metric = 'view') SELECT run, step, round(a.value, 6) AS click, round(b.value, 6) AS view, round((a.value + b.value) / 2, 6) AS mean FROM a JOIN b USING (run, step) WHERE step >= 3 AND a.value IS NOT NULL AND b.value IS NOT NULL",
     "unpivot_accuracy": "SELECT i * 5 AS k, 'model_' || m AS model, i * 2.5::DOUBLE + m AS accuracy FROM range(1, 9) t(i), range(1, 5) u(m)",
     "power_fit": "SELECT run, 0.5::DOUBLE AS alpha, (run + 2)::DOUBLE AS a, 1.0::DOUBLE AS c FROM range(3) t(run)",
-    "cosine_pairs": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings ORDER BY vec_id LIMIT 40) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id",
+    "cosine_pairs": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id",
     "cluster_report": "SELECT source AS cluster, lang, any_value(size) AS size, round(any_value(m), 6) AS mean_position, round(any_value(sd), 6) AS std_position, round(count(*) / any_value(size) * 100, 6) AS percent FROM (SELECT source, lang, count(*) OVER w AS size, avg(n_chars) OVER w AS m, stddev(n_chars) OVER w AS sd FROM documents WINDOW w AS (PARTITION BY source)) GROUP BY source, lang",
     "cluster_top_tokens": "WITH t AS (SELECT lang, unnest(string_split(text, ' ')) AS token FROM documents), k AS (SELECT lang, token, count(*) AS n FROM t WHERE token <> '' GROUP BY lang, token), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM k) SELECT lang, token, n, rank FROM r WHERE rank <= 10",
     "special_token_exclusion": "SELECT label, count(*) AS n FROM embeddings WHERE label NOT IN (3, 7) GROUP BY label",

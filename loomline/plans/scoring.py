@@ -68,8 +68,6 @@ QUERIES = {
     "masked_teacher": lambda s, d: _logits(s, d).select("vec_id", S.top_k_mask(S.softmax(c("r")), 5).alias("p")).select("vec_id", F.size(F.filter("p", lambda x: x > 0)).cast("bigint").alias("n"), _r(F.array_max("p"), "most")),
     "nucleus_teacher": lambda s, d: _logits(s, d).select("vec_id", S.nucleus_mask(S.softmax(c("z")), 0.9).alias("p")).select("vec_id", F.size(F.filter("p", lambda x: x > 0)).cast("bigint").alias("n"), _r(F.array_max("p"), "most")),
     "topk_store": lambda s, d: _store(s, d, c("z"), 4).select("step", "rank", "t", "y", F.transform("topk", lambda e: e["idx"].cast("bigint")).alias("idx")),
-    "step_half": lambda s, d: _store(s, d, c("z"), 4).where((c("step") == 3 % 10) & (c("t") < 5)).select("step", "rank", "t", "y"),
-    "step_sample": lambda s, d: s.range(6).select(c("id").alias("draw"), F.floor(uniform(9, c("id")) * 10).alias("t")).join(_store(s, d, c("z"), 4).where("step = 2 AND rank = 1"), "t").select("draw", "t", "vec_id"),
     "ensemble_topk": lambda s, d: _flat(S.ensemble(_two(s, d), ["vec_id"], 8)),
     "ensemble_kl": ensemble_kl,
     "logit_mean_ce": lambda s, d: _rows(s, d, "loss", S.token_loss(S.mean_arrays([c("z"), c("r")]), c("y"))),
@@ -116,8 +114,6 @@ SQL = {
     "masked_teacher": f"{_L}, s AS (SELECT vec_id, {_soft('r')} AS p FROM m), k AS (SELECT vec_id, list_filter(p, lambda x: x >= list_reverse_sort(p)[5]) AS p FROM s) SELECT vec_id, len(p) AS n, round(list_max(p) / list_sum(p), 6) AS most FROM k",
     "nucleus_teacher": _E + ", cs AS (SELECT vec_id, pa, coalesce(sum(pa) OVER (PARTITION BY vec_id ORDER BY pa DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p2) SELECT vec_id, count(*) AS n, round(max(pa) / sum(pa), 6) AS most FROM cs WHERE before <= 0.9 GROUP BY vec_id",
     "topk_store": _E + " SELECT any_value(b) // 5 AS step, any_value(b) % 5 AS rank, any_value(t) AS t, any_value(y) AS y, list(idx ORDER BY ra) AS idx FROM p2 JOIN l USING (vec_id) WHERE ra <= 4 GROUP BY vec_id",
-    "step_half": f"{_L} SELECT b // 5 AS step, b % 5 AS rank, t, y FROM m WHERE b // 5 = 3 AND t < 5",
-    "step_sample": f"{_L}, k AS (SELECT i AS draw, floor({sql_uniform(9, 'i')} * 10)::BIGINT AS t FROM range(6) x(i)) SELECT draw, k.t, vec_id FROM k JOIN m ON k.t = m.t AND b // 5 = 2 AND b % 5 = 1",
     "ensemble_topk": _E + ", u AS (SELECT vec_id, idx, ((CASE WHEN ra <= 8 THEN pa ELSE 0 END) + (CASE WHEN rb <= 8 THEN pb ELSE 0 END)) / 2 AS prob, CASE WHEN ra <= 8 THEN ra ELSE 1000 + rb END AS seen FROM p2 WHERE ra <= 8 OR rb <= 8), v AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(prob, 9) DESC, seen, idx) AS n FROM u) SELECT vec_id, n - 1 AS pos, idx, round(prob / sum(prob) OVER (PARTITION BY vec_id), 6) AS prob FROM v WHERE n <= 8",
     "ensemble_kl": _E + f", st AS (SELECT vec_id, {_half} AS h FROM m), lq AS (SELECT vec_id, h, {_lse('h')} AS lse FROM st), ka AS (SELECT vec_id, idx, pa / sum(pa) OVER (PARTITION BY vec_id) AS p FROM p2 WHERE ra <= 8 UNION ALL SELECT vec_id, idx, pb / sum(pb) OVER (PARTITION BY vec_id) FROM p2 WHERE rb <= 8) SELECT vec_id, round(sum(p * (ln(p) - (h[idx + 1] - lse))) / 2, 6) AS kl FROM ka JOIN lq USING (vec_id) GROUP BY vec_id",
     "logit_mean_ce": f"{_L}, k AS (SELECT vec_id, y, list_transform(list_zip(z, r), lambda e: (e[1] + e[2]) / 2) AS w FROM m) SELECT vec_id, round({_lse('w')} - w[y + 1], 6) AS loss FROM k",

@@ -55,5 +55,4 @@ SQL = {
     "bpe_round_trip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "qa_separate": "SELECT c_custkey, length(c_name) + 1 AS n_question, least(length(c_mktsegment) + 1, 8) AS n_answer, length(c_name) + length(c_mktsegment) + 2 AS len FROM customer",
     "store_files": "SELECT printf('topk_step%07d_rank%d_%d.npz', vec_id // 50, vec_id % 5, vec_id * 13) AS file, vec_id // 50 AS step, vec_id % 5 AS rank, vec_id * 13 AS ts FROM embeddings",
-    "mix_synthetic": "SELECT key, n AS n_real FROM (SELECT 's' || i AS key, NULL::BIGINT AS n FROM range(200) t(i) UNION ALL SELECT 'd' || doc_id, length(text) FROM documents) ORDER BY md5('42:' || key), key LIMIT 100",
 }

@@ -15,6 +15,19 @@ def shard_names(start: int, end: int, total: int, pattern: str = "{:03d}_{:05d}.
     return [pattern.format(0, i) for i in range(start, end)]
 
 
+def shard_range(path: str, ranges: dict[str, tuple[int, int]], pattern: str = "{:03d}_{:05d}.parquet", group: int = 10) -> list[str]:
+    """Names of the shards that an output path's ending stands for, `group` shards to a group; another ending is an error."""
+    for ending, (start, end) in ranges.items():
+        if path.endswith(ending):
+            return [pattern.format(i // group, i % group) for i in range(start, end)]
+    raise ValueError(f"the ending of {path} says no range of shards")
+
+
+def limit_files(names: Sequence[str], most: int | None) -> list[str]:
+    """The first `most` names in order, or all."""
+    return sorted(names)[: len(names) if most is None else most]
+
+
 def read_shards(spark: SparkSession, folder: str, start: int, end: int, total: int, pattern: str = "{:03d}_{:05d}.parquet") -> DataFrame:
     return spark.read.parquet(*[f"{folder}/{n}" for n in shard_names(start, end, total, pattern)])
 
@@ -25,8 +38,11 @@ def read_prefix(spark: SparkSession, root: str, prefix: str, fmt: str = "parquet
     return rows.withColumn("source", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
-def read_subsets(spark: SparkSession, root: str, names: Sequence[str], fmt: str = "json") -> DataFrame:
-    """Named subsets under root as one table, columns by name."""
+def read_subsets(spark: SparkSession, root: str, names: Sequence[str] | None = None, fmt: str = "json") -> DataFrame:
+    """Named subsets under root, or all that lie there, as one table, columns by name."""
+    from .sinks import folders
+
+    names = folders(spark, root) if names is None else names
     out = None
     for n in names:
         part = spark.read.format(fmt).load(f"{root}/{n}").withColumn("subset", F.lit(n))
@@ -47,7 +63,7 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
 
 def line_list(spark: SparkSession, path: str) -> DataFrame:
     """Lines without white space at their ends; empty ones are left out."""
-    return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
+    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
 
 
 def existing(sources: DataFrame, listing: DataFrame, path: str) -> DataFrame:

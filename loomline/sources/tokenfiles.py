@@ -32,12 +32,27 @@ def _save(folder: str, name: str, data: bytes) -> None:
         f.write(data)
 
 
-def write_flat(blocks: DataFrame, folder: str, dtype: str, block: int, parts: int = 8) -> DataFrame:
+#: Bytes of a part file, about.
+PART_BYTES = 256 << 20
+
+
+def parts_for(tokens: int, dtype: str, least: int = 8) -> int:
+    """Part files for so many tokens: `least`, or as many as keep a part near PART_BYTES."""
+    return max(least, -(-tokens * np.dtype(dtype).itemsize // PART_BYTES))
+
+
+def write_flat(blocks: DataFrame, folder: str, dtype: str, block: int, parts: int | None = None, capacity: int | None = None) -> DataFrame:
     """Writes (block, ids) of packed blocks as a flat stream; gives the manifest (first, n, name, dtype).
 
-    A task holds one block at a time. Ids that the type can't hold are an error.
+    A task holds one block at a time. Ids that the type can't hold are an error, and so are more tokens than `capacity`,
+    before anything is written.
     """
     limits = np.iinfo(dtype)
+    if parts is None or capacity is not None:
+        tokens = blocks.agg(F.sum(F.size("ids").cast("long"))).first()[0] or 0
+        if capacity is not None and tokens > capacity:
+            raise ValueError(f"{tokens} tokens exceed the capacity of {capacity}")
+        parts = parts or parts_for(tokens, dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -84,6 +99,38 @@ def read_flat(spark: SparkSession, folder: str, step: int = 1 << 20) -> DataFram
     return pieces.repartition("name", "at").mapInArrow(run, "pos long, ids array<long>")
 
 
+def read_bin(spark: SparkSession, path: str, dtype: str, step: int = 1 << 20) -> DataFrame:
+    """(pos, ids): a bare file of tokens, without a manifest, in pieces of at most `step` tokens that many tasks read."""
+    kind = np.dtype(dtype).newbyteorder("<")
+    (size,) = spark.read.format("binaryFile").load(path).select("length").first()
+    if size % kind.itemsize:
+        raise ValueError(f"{path} doesn't hold whole tokens of type {dtype}")
+    folder, _, name = path.rpartition("/")
+    n = size // kind.itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _open(folder)
+        for b in batches:
+            with store.open_input_file(f"{base}/{name}") as f:
+                for at in b.column(0).to_pylist():
+                    data = f.read_at(min(step, n - at) * kind.itemsize, at * kind.itemsize)
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.frombuffer(data, kind).astype(np.int64)])], ["pos", "ids"])
+
+    return spark.range(0, n, step, max(1, min(-(-n // step), 10_000))).mapInArrow(run, "pos long, ids array<long>")
+
+
+def ends_of(spark: SparkSession, path: str, dtype: str, n: int = 20) -> tuple[int, list[int], list[int]]:
+    """(tokens, the first n, the last n) of a bare file, to look at what was written."""
+    kind = np.dtype(dtype).newbyteorder("<")
+    (size,) = spark.read.format("binaryFile").load(path).select("length").first()
+    folder, _, name = path.rpartition("/")
+    store, base = _open(folder)
+    most = min(n * kind.itemsize, size)
+    with store.open_input_file(f"{base}/{name}") as f:
+        head, tail = f.read_at(most, 0), f.read_at(most, size - most)
+    return size // kind.itemsize, np.frombuffer(head, kind).tolist(), np.frombuffer(tail, kind).tolist()
+
+
 def index_bytes(sizes: np.ndarray, documents: np.ndarray, dtype: str) -> bytes:
     """An index: header, sizes, byte pointers, starts of documents."""
     code = next(k for k, v in CODES.items() if v == dtype)
@@ -105,27 +152,32 @@ def parse_index(data: bytes) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     return CODES[code], sizes, pointers, np.frombuffer(data, "<i8", d, at + 12 * n)
 
 
-def write_indexed(rows: DataFrame, key: str, ids: str, folder: str, dtype: str = "int32", parts: int = 8, per_document: int = 100) -> DataFrame:
-    """Writes sequences in key order as index and data files; a document ends after every `per_document` sequences and at the end."""
+def write_indexed(rows: DataFrame, key: str, ids: str, folder: str, dtype: str = "int32", parts: int | None = None, per_document: int = 100) -> DataFrame:
+    """Writes sequences in key order as index and data files; a document ends after every `per_document` sequences of a part
+    and at its end. Data goes to its file as it comes; a task holds only the sizes."""
     if dtype not in CODES.values():
         raise ValueError(f"the index has no code for {dtype}")
+    parts = parts or parts_for(rows.agg(F.sum(F.size(ids).cast("long"))).first()[0] or 0, dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sizes: list[int] = []
-        data, name, first = [], "", None
+        out, name, first = None, "", None
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if first is None:
+                if out is None:
                     first, name = k, f"part-{k:012d}-{TaskContext.get().taskAttemptId()}"
+                    store, base = _open(folder)
+                    store.create_dir(base, recursive=True)
+                    out = store.open_output_stream(f"{base}/{name}.bin", compression=None)
                 values = x.values.to_numpy()
                 sizes.append(len(values))
-                data.append(values.astype(np.dtype(dtype).newbyteorder("<")).tobytes())
-        if first is not None:
+                out.write(values.astype(np.dtype(dtype).newbyteorder("<")).tobytes())
+        if out is not None:
+            out.close()
             n = len(sizes)
             marks = np.unique(np.r_[np.arange(0, n, per_document), n])
-            _save(folder, f"{name}.bin", b"".join(data))
             _save(folder, f"{name}.idx", index_bytes(np.asarray(sizes), marks, dtype))
             yield pa.RecordBatch.from_pydict({"first": [first], "n": [n], "name": [name]})
 
@@ -134,23 +186,51 @@ def write_indexed(rows: DataFrame, key: str, ids: str, folder: str, dtype: str =
     return rows.sparkSession.read.parquet(f"{folder}/manifest")
 
 
+def _samples(f_idx: bytes, data, first: int, at: int, until: int) -> tuple[list[int], list[np.ndarray]]:
+    """Numbers and ids of the samples `at` to `until` of an index and its open data file."""
+    dtype, sizes, pointers, _ = f_idx
+    kind = np.dtype(dtype).newbyteorder("<")
+    out = [np.frombuffer(data.read_at(n * kind.itemsize, p), kind).astype(np.int64) for n, p in zip(sizes[at:until].tolist(), pointers[at:until].tolist(), strict=True)]
+    return list(range(first + at, first + at + len(out))), out
+
+
 def read_indexed(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, sample, ids) of every sequence; one sequence is a filter, a batch a range of samples."""
-    manifest = spark.read.parquet(f"{folder}/manifest").select("name")
+    """(name, sample, ids) of every sequence, numbered through all parts; one sequence is a filter on its number, a batch
+    a range of numbers, the length a count."""
+    from pyspark.sql import Window as W
+
+    # parts, not rows: their list passes through one task
+    start = F.coalesce(F.sum("n").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    manifest = spark.read.parquet(f"{folder}/manifest").select("name", start.cast("long").alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
         for b in batches:
-            for name in b.column(0).to_pylist():
+            for name, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{base}/{name}.idx") as f:
-                    dtype, sizes, pointers, _ = parse_index(f.read())
+                    index = parse_index(f.read())
                 with store.open_input_file(f"{base}/{name}.bin") as f:
-                    for at in range(0, len(sizes), 256):
-                        out = []
-                        for n, p in zip(sizes[at : at + 256].tolist(), pointers[at : at + 256].tolist(), strict=True):
-                            kind = np.dtype(dtype).newbyteorder("<")
-                            out.append(np.frombuffer(f.read_at(n * kind.itemsize, p), kind).astype(np.int64))
-                        k = len(out)
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * k), pa.array(range(at, at + k), pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["name", "sample", "ids"])
+                    for at in range(0, len(index[1]), 256):
+                        numbers, out = _samples(index, f, first, at, at + 256)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array(numbers, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["name", "sample", "ids"])
 
     return manifest.repartition("name").mapInArrow(run, "name string, sample long, ids array<long>")
+
+
+def read_pair(spark: SparkSession, prefix: str, tasks: int = 64) -> DataFrame:
+    """(sample, ids) of a bare prefix.idx and prefix.bin; each of the tasks reads its range of samples."""
+    folder, _, name = prefix.rpartition("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _open(folder)
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                with store.open_input_file(f"{base}/{name}.idx") as f:
+                    index = parse_index(f.read())
+                n = len(index[1])
+                with store.open_input_file(f"{base}/{name}.bin") as f:
+                    for at in range(n * k // tasks, n * (k + 1) // tasks, 256):
+                        numbers, out = _samples(index, f, 0, at, min(at + 256, n * (k + 1) // tasks))
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["sample", "ids"])
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, "sample long, ids array<long>")
