@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import operator
 import tempfile
@@ -74,12 +75,26 @@ def without(rows: DataFrame, row: str, dropped: DataFrame, name: str) -> DataFra
     return rows.join(gone, rows[row] == gone["__gone"], "left_anti").drop(row)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in small slices, so that what a worker makes of them stays small; frees Arrow memory at once."""
+def release() -> None:
+    """Gives what a worker no longer needs back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows and, but for single rows, bytes, so that what a worker makes of them stays
+    small; frees Arrow memory at once."""
     pa.set_memory_pool(pa.system_memory_pool())
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > most_bytes:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
+    release()
 
 
 def attach_group(

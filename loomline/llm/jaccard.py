@@ -38,8 +38,10 @@ WORDS = 5
 #: The frequency sketch has 2^19 to 2^24 cells (32 MB at most are broadcast), about one for each 128 bytes of input, and
 #: travels in chunks of so many cells. Cells are broadcast as logarithms, so many steps to a doubling.
 CELL_BITS, CHUNK, STEPS = (19, 24), 8192, 2048
-#: Prefix rows that one group of them holds.
-GROUP_ROWS = 2_000_000
+#: Prefix rows that one group of them holds, and that a task holds before it sends them.
+GROUP_ROWS, HELD_ROWS = 2_000_000, 150_000
+#: Text that a worker makes sets of at a time, but for longer single texts: arrays of it take some fifty times as much.
+TEXT_BYTES = 1 << 18
 #: Pairs of one class that meet its set in one place; more are dealt over several.
 PAIRS_A_PLACE = 256
 #: Classes of a cluster that are compared in one block.
@@ -172,7 +174,7 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, cells: int, names: Na
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cells, dtype=np.uint32)
-        for b in slices(batches):
+        for b in slices(batches, 256, TEXT_BYTES):
             sets = shingle_sets(b.column(1).to_pylist())
             at, n = np.unique(cells_of(np.concatenate(sets), cells), return_counts=True)
             counts[at] += n.astype(np.uint32)
@@ -262,7 +264,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, na
         seen: set[int] = set()
         held: tuple[list, ...] = ([], [], [], [], [], [])
         rows = 0
-        for b in slices(batches):
+        for b in slices(batches, 256, TEXT_BYTES):
             for s in shingle_sets(b.column(1).to_pylist()):
                 n = len(s)
                 if not n:
@@ -287,7 +289,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, sketch: np.ndarray, na
                 held[4].append(np.full(len(taken), len(held[0]) - 1, dtype=np.int64))
                 held[5].append(np.arange(len(taken), dtype=np.int32))
                 rows += len(taken)
-            if rows >= 500_000:
+            if rows >= HELD_ROWS:
                 yield from pack(*held)
                 held, rows = ([], [], [], [], [], []), 0
         if rows:
@@ -397,7 +399,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, nam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for b in slices(batches):
+        for b in slices(batches, 256, TEXT_BYTES):
             sets = shingle_sets(b.column(1).to_pylist())
             marks = np.asarray([mark_of(*names.halves(s), i) for s, i in zip(sets, b.column(0).to_pylist(), strict=True)], dtype=np.int64)
             keys, out = [], []
