@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_hash
 from ..functions.formats import choice_letter
+from .ordering import bounded
 
 
 def micro_perplexity(loss: str, valid: str) -> tuple[Column, Column]:
@@ -26,6 +27,26 @@ def token_perplexity(probability: Column) -> Column:
     return F.avg(1 / (probability + 1e-10))
 
 
+def bits_per_byte(loss: Column, text: Column) -> Column:
+    """Summed loss in bits over the texts' UTF-8 bytes."""
+    return F.sum(loss) / F.log(F.lit(2.0)) / F.sum(F.octet_length(text))
+
+
+def hit_rate(topk: Column, target: Column) -> Column:
+    """Percentage of positions whose target is among the top k."""
+    return F.avg(F.array_contains(F.transform(topk, lambda e: e["idx"]), target).cast("double")) * 100
+
+
+def latest_by_number(name: str) -> Column:
+    """The name with the largest number at its end, such as a checkpoint's."""
+    return F.max_by(name, F.regexp_extract(name, r"(\d+)$", 1).cast("bigint"))
+
+
+def tally(df: DataFrame, status: str) -> DataFrame:
+    """(status, n)."""
+    return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
 def wins(first: Column, second: Column) -> list[Column]:
     """Counts and shares of tokens on which each of two models has the lower perplexity; ties go to the second."""
     n, a = F.count(F.lit(1)), F.count_if(first < second)
@@ -55,9 +76,9 @@ def qa_example(question: Column, answer: Column, block: int, ignore: int) -> tup
 def multiple_choice(df: DataFrame, key: str, truth: str, values: DataFrame, value: str, seed: int = 1, wrong: int = 3) -> DataFrame:
     """(key, choices, answer): the truth and `wrong` different other values in a seeded order; answer is the truth's letter.
 
-    values holds the distinct values of a short attribute and is broadcast; it must not grow with the rows.
+    values holds the distinct values of a short attribute and is broadcast; more than 1000 are an error.
     """
-    own = df.select(key, F.col(truth).alias("__t")).join(F.broadcast(values.select(F.col(value).alias("__v"))), F.col("__t") != F.col("__v"))
+    own = df.select(key, F.col(truth).alias("__t")).join(bounded(values.select(F.col(value).alias("__v")), 1000, value), F.col("__t") != F.col("__v"))
     order = W.partitionBy(key).orderBy(draw_hash(seed, F.concat(F.col(key).cast("string"), F.lit("|"), "__v")), "__v")
     others = own.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= wrong).groupBy(key, "__t").agg(F.collect_list("__v").alias("__o"))
     shuffled = F.array_sort(F.transform(F.array_append("__o", F.col("__t")), lambda v: F.struct(F.md5(F.concat(F.lit(f"{seed + 1}:"), F.col(key).cast("string"), F.lit("|"), v)).alias("h"), v.alias("v"))))

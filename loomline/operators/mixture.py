@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_hash, uniform
+from .ordering import bounded
 
 
 def parse_weights(ratio: str) -> list[float]:
@@ -32,9 +33,9 @@ def intervals(sources: DataFrame, source: str, weight: str) -> DataFrame:
 
 
 def weighted_draws(spark, sources: DataFrame, source: str, weight: str, n: int, seed: int) -> DataFrame:
-    """(draw, source): n draws with replacement. The list of sources is short and broadcast."""
+    """(draw, source): n draws with replacement. The list of sources is broadcast; more than 100,000 are an error."""
     draws = spark.range(n).select(F.col("id").alias("draw"), uniform(seed, F.col("id")).alias("u"))
-    parts = F.broadcast(intervals(sources, source, weight))
+    parts = bounded(intervals(sources, source, weight), 100_000, source)
     return draws.join(parts, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", source)
 
 

@@ -21,11 +21,26 @@ def running_sum(df: DataFrame, order: Sequence[str], value: Column, bucket: Colu
     return rows.withColumn("__within", within).join(before, "__bucket").withColumn(name, F.col("__base") + F.col("__within")).drop("__bucket", "__value", "__within", "__base")
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, marked for a broadcast; more than `most` rows are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"{what} has more than {most} rows")
+    return F.broadcast(df)
+
+
 def rank(df: DataFrame, order: Sequence[str], bucket: Column, name: str = "rank") -> DataFrame:
     """Adds the number of rows before a row in the order."""
     return running_sum(df, order, F.lit(1), bucket, name)
 
 
 def id_bucket(column: str, width: int = 4096) -> Column:
-    """A bucket for an integer order key."""
+    """A bucket for an integer order key whose values lie close together."""
     return F.floor(F.col(column) / width)
+
+
+def even_bucket(df: DataFrame, column: str, rows: int = 4096) -> Column:
+    """A bucket for an integer order key: `rows` of them to a bucket on average, however far apart the keys lie, so that
+    there are never more buckets than one for `rows` rows."""
+    low, high, n = df.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
+    width = max(rows, (high - low + 1) * rows // n) if n and low is not None else rows
+    return F.floor((F.col(column).cast("decimal(38,0)") - F.lit(low or 0)) / F.lit(width)) if width >= 1 << 40 else F.floor((F.col(column) - F.lit(low or 0)) / F.lit(width))

@@ -140,6 +140,13 @@ def utilisation(parameters: Column, layers: Column, heads: Column, width: Column
     return operations / seconds / F.lit(peak)
 
 
+def alignment(first: DataFrame, second: DataFrame, keys: list[str], y: str = "y") -> DataFrame:
+    """(keys, status) of every entry of a store: whether another store has it, of the same size and target."""
+    other = second.select(*keys, F.col(y).alias("__y"), F.size("topk").alias("__k"), F.lit(True).alias("__there"))
+    status = F.when(F.col("__there").isNull(), "error: missing").when(F.size("topk") != F.col("__k"), "skip: shape").when(~F.col(y).eqNullSafe(F.col("__y")), "error: targets").otherwise("ok")
+    return first.join(other, keys, "left").select(*keys, status.alias("status"))
+
+
 def exploded(store: DataFrame, keys: list[str], column: str = "topk") -> DataFrame:
     """(keys, idx, prob) of a top-k store."""
     return store.select(*keys, F.explode(column).alias("e")).select(*keys, F.col("e.idx").alias("idx"), F.col("e.prob").alias("prob"))

@@ -7,15 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
 
-#: (category, its share, whether it suits additions only, template)
-TEMPLATES = [
-    ("plain", 0.25, False, "{a} {op} {b} = {c}"),
-    ("plain", 0.25, False, "The result of {a} {op} {b} is {c}."),
-    ("story", 0.35, True, "A box holds {a} pens. After {b} more go in, it holds {c}."),
-    ("story", 0.35, False, "Start at {a}, go {op} {b}, and you stand at {c}."),
-    ("choice", 0.25, False, "{a} {op} {b}? Options: {d1}, {c}, {d2}. Answer: {c}."),
-    ("check", 0.15, False, "Is {a} {op} {b} equal to {w}? No, it is {c}."),
-]
+#: Each category's share, and its templates; those in ADDS suit additions only and give way to the first of their category.
+SHARES = {"plain": 0.25, "story": 0.35, "choice": 0.25, "check": 0.15}
+TEMPLATES = {
+    "plain": [
+        "{a} {op} {b} = {c}", "The result of {a} {op} {b} is {c}.", "{a} {op} {b} makes {c}.", "Work out {a} {op} {b}: {c}.", "If you take {a} {op} {b}, you get {c}.", "{c} is what {a} {op} {b} comes to.",
+        "Answer to {a} {op} {b}: {c}", "Calculate {a} {op} {b}. It is {c}.", "We write {a} {op} {b} = {c}.", "From {a} {op} {b} follows {c}.", "{a} {op} {b} equals {c}, no more and no less.", "Q: {a} {op} {b} A: {c}",
+    ],
+    "story": [
+        "Start at {a}, go {op} {b}, and you stand at {c}.", "A box holds {a} pens. After {b} more go in, it holds {c}.", "A train carries {a} people. At the next stop the count changes by {op}{b}, so {c} ride on.", "There are {a} apples in one basket and {b} in another, {c} in all.",
+        "The thermometer shows {a} degrees. It moves {op}{b} and shows {c}.", "Anna has {a} coins and finds {b} more. Now she has {c}.", "A shelf with {a} books gets {b} new ones and holds {c}.", "The counter reads {a}; after {op}{b} it reads {c}.",
+        "{a} birds sit on a wire, {b} more land, and {c} sit there.", "A runner has done {a} laps and runs {b} further ones: {c} laps.", "The score was {a} and changed by {op}{b} to {c}.",
+    ],
+    "choice": [
+        "{a} {op} {b}? Options: {d1}, {c}, {d2}. Answer: {c}.", "Choose the value of {a} {op} {b}: {c}, {d1} or {d2}? {c}.", "Which is {a} {op} {b}? A: {d1} B: {d2} C: {c}. It is C.", "{a} {op} {b} is one of {d2}, {d1}, {c}; it is {c}.", "Pick one for {a} {op} {b}: {d1}/{c}/{d2} -> {c}",
+        "Not {d1}, not {d2}: {a} {op} {b} is {c}.", "Of {c}, {d1} and {d2}, only {c} is {a} {op} {b}.", "Test: {a} {op} {b}. (1) {c} (2) {d1} (3) {d2}. Correct: (1).", "Is {a} {op} {b} {d1}, {d2} or {c}? The last.", "Mark {a} {op} {b}: [ ] {d1} [x] {c} [ ] {d2}", "Guess between {d1}, {d2}, {c} for {a} {op} {b}: {c} is right.",
+    ],
+    "check": [
+        "Is {a} {op} {b} equal to {w}? No, it is {c}.", "Someone says {a} {op} {b} is {w}. Wrong: {c}.", "True or false: {a} {op} {b} = {w}. False, {c}.", "{w} is not {a} {op} {b}; {c} is.", "Correct the mistake: {a} {op} {b} = {w}. Right: {c}.", "He wrote {w} for {a} {op} {b}, but it is {c}.",
+        "Check {a} {op} {b} = {w}: fails, {c}.", "{a} {op} {b} was marked as {w}; it should be {c}.", "Almost: {w}. Exactly: {a} {op} {b} = {c}.", "Does {w} solve {a} {op} {b}? It doesn't, {c} does.", "The note says {w}; {a} {op} {b} gives {c}.",
+    ],
+}
+ADDS = {"story": {1, 3, 5, 6, 8, 9}}
 
 
 def fill(template: Column, values: dict[str, Column]) -> Column:
@@ -25,15 +38,20 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
 
 
 def arithmetic(spark, n: int, most: int, seed: int) -> DataFrame:
-    """(id, text): n sentences; differences never fall below 0; a template for additions only is replaced by the first of its kind."""
+    """(id, text): n sentences; differences never fall below 0; a template for additions only gives way to the first of its category."""
     u = lambda k: uniform(f"{seed}.{k}", F.col("id"))
     pick = lambda k, size: F.floor(u(k) * size)
     rows = spark.range(n).select("id", pick("a", most + 1).alias("x"), pick("b", most + 1).alias("y"), F.when(u("op") < 0.5, "+").otherwise("-").alias("op"), u("cat").alias("u"))
     rows = rows.withColumns({"a": F.when((F.col("op") == "-"), F.greatest("x", "y")).otherwise(F.col("x")), "b": F.when(F.col("op") == "-", F.least("x", "y")).otherwise(F.col("y"))})
     rows = rows.withColumn("c", F.when(F.col("op") == "+", F.col("a") + F.col("b")).otherwise(F.col("a") - F.col("b")))
-    story = F.when((pick("t", 2) == 0) & (F.col("op") == "+"), TEMPLATES[2][3]).otherwise(TEMPLATES[3][3])
-    plain = F.when(pick("t", 2) == 0, TEMPLATES[0][3]).otherwise(TEMPLATES[1][3])
-    template = F.when(F.col("u") < 0.25, plain).when(F.col("u") < 0.6, story).when(F.col("u") < 0.85, TEMPLATES[4][3]).otherwise(TEMPLATES[5][3])
+    template, below = None, 0.0
+    for name, share in SHARES.items():
+        kind, adds = TEMPLATES[name], ADDS.get(name, set())
+        at = pick(f"t.{name}", len(kind)).cast("int")
+        at = F.when((F.col("op") == "-") & at.isin(*adds), 0).otherwise(at) if adds else at
+        one = F.element_at(F.array(*map(F.lit, kind)), at + 1)
+        below += share
+        template = F.when(F.col("u") < round(below, 9), one) if template is None else template.when(F.col("u") < round(below, 9), one)
     wrong = F.col("c") + F.element_at(F.array(*map(F.lit, (-2, -1, 1, 2))), (pick("w", 4) + 1).cast("int"))
     values = {k: F.col(k) for k in ("a", "op", "b", "c")} | {"w": wrong, "d1": F.col("c") + 1 + pick("d1", 10), "d2": F.col("c") + 11 + pick("d2", 10)}
     return rows.select("id", fill(template, values).alias("text"))

@@ -10,7 +10,7 @@ from ..functions.formats import duration, flat_line, tick
 from ..operators import analytics as A
 from ..operators import evaluation as E
 from ..operators import synthesis as Y
-from ..operators.ordering import id_bucket, rank
+from ..operators.ordering import bounded, even_bucket, rank
 from ..session import table
 from . import scoring as Q
 
@@ -40,7 +40,7 @@ def _pairs(s, d):
 def few_shot(s, d):
     # an item is one text: its last 10 characters are the answer, all before them the question
     rows = table(s, d, "benchmark").select("item_id", F.substring(c("text"), F.lit(1), F.greatest(F.length("text") - 10, F.lit(0))).alias("q"), F.right("text", F.lit(10)).alias("a"))
-    ranked = rank(rows, ["item_id"], id_bucket("item_id"), "i")
+    ranked = rank(rows, ["item_id"], even_bucket(rows, "item_id"), "i")
     return E.few_shot(ranked, "i", "q", "a", 3, rows.count()).select("item_id", "prompt")
 
 
@@ -76,9 +76,9 @@ QUERIES = {
     "ppl_micro": lambda s, d: _scored(s, d).groupBy("b").agg(_r(E.micro_perplexity("loss", "valid")[0], "ppl"), E.micro_perplexity("loss", "valid")[1].alias("n_valid")),
     "ppl_macro": lambda s, d: E.macro_perplexity(_scored(s, d), "b", "loss").select(_r("perplexity", "ppl")),
     "ppl_token_mean": lambda s, d: _scored(s, d).groupBy("y").agg(F.round(E.token_perplexity(F.exp(-c("loss"))), 4).alias("ppl")),
-    "bits_per_byte": lambda s, d: _scored(s, d).join(table(s, d, "documents"), c("vec_id") == c("doc_id")).groupBy("lang").agg(_r(F.sum("loss") / F.log(F.lit(2.0)) / F.sum(F.octet_length("text")), "bpb")),
+    "bits_per_byte": lambda s, d: _scored(s, d).join(table(s, d, "documents"), c("vec_id") == c("doc_id")).groupBy("lang").agg(_r(E.bits_per_byte(c("loss"), c("text")), "bpb")),
     "pairwise_wins": lambda s, d: _scored(s, d).groupBy("y").agg(*E.wins(F.round("loss", 9), F.round("ref", 9))).withColumn("first_share", F.round("first_share", 6)),
-    "topk_hit": lambda s, d: Q._store(s, d, c("z"), 5).agg(_r(F.avg(F.array_contains(F.transform("topk", lambda e: e["idx"]), c("y")).cast("double")) * 100, "accuracy")),
+    "topk_hit": lambda s, d: Q._store(s, d, c("z"), 5).agg(_r(E.hit_rate(c("topk"), c("y")), "accuracy")),
     "source_loss": lambda s, d: _scored(s, d).withColumn("split", F.when(c("b") % 5 == 0, "val").otherwise("train")).groupBy("y", "split").agg(_r(F.avg("loss"), "loss")),
     "qa_pairs": lambda s, d: _pairs(s, d).select("conv_id", "turn", F.concat(F.lit("Q: "), flat_line(c("question"), None), F.lit("\nA: "), flat_line(c("answer"), None)).alias("text")),
     "qa_join_options": lambda s, d: table(s, d, "part").select("p_partkey", F.array("p_brand", "p_type", "p_name").alias("o")).select("p_partkey", F.array_join("o", "; ").alias("options"), F.element_at("o", (F.pmod("p_partkey", F.lit(3)) + 1).cast("int")).alias("answer"), F.array_position("o", F.element_at("o", 2)).cast("bigint").alias("position")),
@@ -86,7 +86,7 @@ QUERIES = {
     "qa_pad": qa_pad,
     "multiple_choice": multiple_choice,
     "results_flatten": results_flatten,
-    "eval_grid": lambda s, d: s.range(1000, 5001, 1000).select(c("id").alias("checkpoint")).crossJoin(F.broadcast(table(s, d, "documents").select("lang").distinct())).select("checkpoint", "lang", F.concat(F.lit("ckpt-"), c("checkpoint").cast("string"), F.lit("/"), "lang").alias("task")),
+    "eval_grid": lambda s, d: s.range(1000, 5001, 1000).select(c("id").alias("checkpoint")).crossJoin(bounded(table(s, d, "documents").select("lang").distinct(), 1000, "lang")).select("checkpoint", "lang", F.concat(F.lit("ckpt-"), c("checkpoint").cast("string"), F.lit("/"), "lang").alias("task")),
     "metric_join": lambda s, d: A.metric_table(_log(s, d), "run", "step", "metric", "value", ["click", "view"]).where("step >= 3").select("run", "step", _r("click", "click"), _r("view", "view"), _r("mean", "mean")),
     "unpivot_accuracy": lambda s, d: wide_accuracy(s).unpivot("k", [f"model_{m}" for m in range(1, 5)], "model", "accuracy"),
     "power_fit": lambda s, d: A.power_fit(s.range(1, 41).select((c("id") % 3).alias("run"), c("id").cast("double").alias("x"), ((c("id") % 3 + 2) * F.pow(c("id").cast("double"), F.lit(-0.5)) + 1).alias("y")), "run", "x", "y", [i / 20 for i in range(1, 41)]).select("run", _r("alpha", "alpha"), _r("a", "a"), _r("c", "c")),
@@ -98,9 +98,9 @@ QUERIES = {
     "fitted_curve": lambda s, d: s.range(400).select("id", (F.lit(1.0) + c("id") * (99.0 / 399)).alias("x")).select("id", _r("x", "x"), _r(F.lit(2.0) * F.pow("x", F.lit(-0.5)) + 1, "y")),
     "tick_format": lambda s, d: table(s, d, "documents").select("doc_id", (c("n_chars") * c("n_chars") * 41).alias("v")).select("doc_id", tick(c("v")).alias("tick")),
     "duration_format": lambda s, d: table(s, d, "documents").select("doc_id", duration(c("n_chars") * 977).alias("duration")),
-    "latest_checkpoint": lambda s, d: table(s, d, "documents").select("source", F.concat(F.lit("ckpt-"), c("doc_id").cast("string")).alias("ckpt")).groupBy("source").agg(F.max_by("ckpt", F.regexp_extract("ckpt", r"(\d+)$", 1).cast("bigint")).alias("latest"), F.max("ckpt").alias("last_by_name")),
+    "latest_checkpoint": lambda s, d: table(s, d, "documents").select("source", F.concat(F.lit("ckpt-"), c("doc_id").cast("string")).alias("ckpt")).groupBy("source").agg(E.latest_by_number("ckpt").alias("latest"), F.max("ckpt").alias("last_by_name")),
     "log_scrape": log_scrape,
-    "status_tally": lambda s, d: table(s, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")),
+    "status_tally": lambda s, d: E.tally(table(s, d, "orders"), "o_orderstatus"),
     "arithmetic_sentences": lambda s, d: Y.arithmetic(s, 2000, 99, 3),
     "kmeans_tokens": lambda s, d: A.kmeans_clusters(table(s, d, "embeddings"), "embedding", 8, 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")),
 }
@@ -111,7 +111,22 @@ _flat = lambda t: f"replace({t}, chr(10), '\\n')"
 _tick = lambda by, u: f"(round(v / {by} * 10)::BIGINT // 10) || CASE WHEN round(v / {by} * 10)::BIGINT % 10 = 0 THEN '' ELSE '.' || (round(v / {by} * 10)::BIGINT % 10) END || '{u}'"
 _codes = lambda t: f"list_transform(list_filter(string_split({t}, ''), lambda x: x <> ''), lambda x: unicode(x))"
 _a = lambda k, n: f"floor({sql_uniform('3.' + k, 'id')} * {n})::BIGINT"
-_T = [t[3] for t in Y.TEMPLATES]
+
+
+def _tpl() -> str:
+    """CASE branches that pick a template, from the same table as the operator."""
+    out, below = [], 0.0
+    for name, share in Y.SHARES.items():
+        kind, adds = Y.TEMPLATES[name], Y.ADDS.get(name, set())
+        listed = ", ".join("'" + t.replace("'", "''") + "'" for t in kind)
+        at = _a(f"t.{name}", len(kind))
+        if adds:
+            at = f"CASE WHEN op = '-' AND {at} IN ({', '.join(map(str, sorted(adds)))}) THEN 0 ELSE {at} END"
+        below += share
+        out.append(f"WHEN u < {round(below, 9)} THEN [{listed}][({at}) + 1]")
+    return " ".join(out)
+
+
 SQL = {
     "ppl_micro": f"{_S} SELECT b, round(CASE WHEN count(*) FILTER (WHERE valid) > 0 THEN exp(sum(loss) FILTER (WHERE valid) / count(*) FILTER (WHERE valid)) ELSE 'inf'::DOUBLE END, 6) AS ppl, count(*) FILTER (WHERE valid) AS n_valid FROM sc GROUP BY b",
     "ppl_macro": f"{_S} SELECT round(exp(avg(m)), 6) AS ppl FROM (SELECT avg(loss) AS m FROM sc GROUP BY b)",
@@ -141,5 +156,5 @@ SQL = {
     "latest_checkpoint": "SELECT source, 'ckpt-' || max(doc_id) AS latest, max('ckpt-' || doc_id) AS last_by_name FROM documents GROUP BY source",
     "log_scrape": "SELECT arg_min(props, event_id) AS line, regexp_extract(arg_min(props, event_id), '\"(\\w+)\":', 1) AS first_key FROM events WHERE contains(props, ':')",
     "status_tally": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
-    "arithmetic_sentences": f"WITH r AS (SELECT id, {_a('a', 100)} AS x, {_a('b', 100)} AS y, CASE WHEN {sql_uniform('3.op', 'id')} < 0.5 THEN '+' ELSE '-' END AS op, {sql_uniform('3.cat', 'id')} AS u, {_a('t', 2)} AS t, {_a('w', 4)} AS w, {_a('d1', 10)} AS d1, {_a('d2', 10)} AS d2 FROM range(2000) z(id)), k AS (SELECT *, CASE WHEN op = '-' THEN greatest(x, y) ELSE x END AS a, CASE WHEN op = '-' THEN least(x, y) ELSE y END AS b FROM r), m AS (SELECT *, CASE WHEN op = '+' THEN a + b ELSE a - b END AS c FROM k), f AS (SELECT *, CASE WHEN u < 0.25 THEN CASE WHEN t = 0 THEN '{_T[0]}' ELSE '{_T[1]}' END WHEN u < 0.6 THEN CASE WHEN t = 0 AND op = '+' THEN '{_T[2]}' ELSE '{_T[3]}' END WHEN u < 0.85 THEN '{_T[4]}' ELSE '{_T[5]}' END AS tpl FROM m) SELECT id, replace(replace(replace(replace(replace(replace(replace(tpl, '{{a}}', a::VARCHAR), '{{op}}', op), '{{b}}', b::VARCHAR), '{{c}}', c::VARCHAR), '{{w}}', (c + [-2, -1, 1, 2][w + 1])::VARCHAR), '{{d1}}', (c + 1 + d1)::VARCHAR), '{{d2}}', (c + 11 + d2)::VARCHAR) AS text FROM f",
+    "arithmetic_sentences": f"WITH r AS (SELECT id, {_a('a', 100)} AS x, {_a('b', 100)} AS y, CASE WHEN {sql_uniform('3.op', 'id')} < 0.5 THEN '+' ELSE '-' END AS op, {sql_uniform('3.cat', 'id')} AS u, {_a('w', 4)} AS w, {_a('d1', 10)} AS d1, {_a('d2', 10)} AS d2 FROM range(2000) z(id)), k AS (SELECT *, CASE WHEN op = '-' THEN greatest(x, y) ELSE x END AS a, CASE WHEN op = '-' THEN least(x, y) ELSE y END AS b FROM r), m AS (SELECT *, CASE WHEN op = '+' THEN a + b ELSE a - b END AS c FROM k), f AS (SELECT *, CASE {_tpl()} END AS tpl FROM m) SELECT id, replace(replace(replace(replace(replace(replace(replace(tpl, '{{a}}', a::VARCHAR), '{{op}}', op), '{{b}}', b::VARCHAR), '{{c}}', c::VARCHAR), '{{w}}', (c + [-2, -1, 1, 2][w + 1])::VARCHAR), '{{d1}}', (c + 1 + d1)::VARCHAR), '{{d2}}', (c + 11 + d2)::VARCHAR) AS text FROM f",
 }

@@ -49,9 +49,7 @@ def ensemble_kl(s, d):
 
 def alignment_check(s, d):
     first, second = _two(s, d)
-    other = second.select(c("vec_id"), c("y").alias("y2"), F.size("topk").alias("k2"))
-    status = F.when(c("y2").isNull(), "error: missing").when(F.size("topk") != c("k2"), "skip: shape").when(c("y") != c("y2"), "error: targets").otherwise("ok")
-    return first.join(other.where("vec_id % 17 <> 0"), "vec_id", "left").select(status.alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return S.alignment(first, second.where("vec_id % 17 <> 0"), ["vec_id"]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {

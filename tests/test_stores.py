@@ -159,3 +159,23 @@ def test_windows_go_round_the_end(spark):
         windows = spark.createDataFrame([(s,) for s in range(0, 23, 3)], "start long")
         got = {r["start"]: r["ids"] for r in B.gather(windows, blocks, 5, length, 23).collect()}
         assert got == {s: [(s + k) % 23 for k in range(length)] for s in range(0, 23, 3)}
+
+
+def test_buckets_of_sparse_and_far_ids(spark):
+    from loomline.operators.ordering import even_bucket, rank
+
+    ids = [-(1 << 63), -5, 0, 1, 2, 3, 10**6, 10**12, 10**15, (1 << 63) - 1]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = rank(df, ["id"], even_bucket(df, "id", 2)).collect()
+    assert {r["id"]: r["rank"] for r in got} == {i: k for k, i in enumerate(sorted(ids))}
+    sparse = spark.range(0, 10**9, 10**5)
+    assert rank(sparse, ["id"], even_bucket(sparse, "id", 100)).agg(F.max("rank")).first()[0] == 9999
+    assert sparse.select(even_bucket(sparse, "id", 100)).distinct().count() <= 101
+    assert rank(df.limit(0), ["id"], even_bucket(df.limit(0), "id")).count() == 0
+
+
+def test_templates_are_filled(spark):
+    from loomline.operators import synthesis as Y
+
+    texts = [r["text"] for r in Y.arithmetic(spark, 3000, 50, 1).collect()]
+    assert sum(map(len, Y.TEMPLATES.values())) == 45 and not any("{" in t for t in texts) and len(set(texts)) > 2500
