@@ -175,7 +175,8 @@ def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: the documents' pieces and their places."""
+    """The last stage: the documents' pieces and their places. Null and empty texts give one piece, repeated rows and null
+    ids are packed each for themselves, other columns are dropped, an empty table gives an empty result."""
     return pack(cut_pieces(encode(docs.select("doc_id", "text"))))
 
 

@@ -533,7 +533,8 @@ def op1_pii_semicrf(spark, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their personal data replaced."""
+    """Every row, with its personal data replaced. Null and empty texts stay as they are, repeated rows are read each for
+    themselves, other columns are kept, an empty table gives an empty result."""
     return redact(docs)
 
 
