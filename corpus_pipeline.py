@@ -1,4 +1,10 @@
-"""A training corpus in five stages: each reads what the one before it kept, written as Parquet."""
+"""A training corpus in five stages: each reads what the one before it kept, written as Parquet.
+
+Stages decide rows, not ids: null and repeated ids lose no row. Null and empty texts count as empty; of several the exact
+deduplication keeps one, which becomes one piece. Ties go to the longest text, then to the smallest id, nulls last, then
+to the first row. Very long texts are read whole. Further columns of the documents stay up to the last stage, whatever
+their names. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
