@@ -98,6 +98,11 @@ def batches(df: DataFrame, key: str, size: int, seed: int | None = None) -> Data
     return ranked.withColumns({"batch": F.floor(F.col("__rank") / size), "place": F.col("__rank") % size}).drop("__rank")
 
 
+def first_batches(df: DataFrame, key: str, size: int, most: int, seed: int | None = None) -> DataFrame:
+    """The rows of the first `most` batches."""
+    return batches(df, key, size, seed).where(F.col("batch") < most)
+
+
 def pad_right(ids: Column, n: int, value: Column) -> Column:
     """A list cut or filled up to n tokens."""
     return F.slice(F.concat(ids, F.array_repeat(value, F.greatest(F.lit(0), F.lit(n) - F.size(ids)))), 1, n)

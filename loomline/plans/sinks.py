@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.formats import clip
 from ..operators import analytics as A
 from ..operators import blocks as B
 from ..operators import corpus as C
@@ -15,6 +16,7 @@ from ..sources import readers as R
 from ..sources import sinks as S
 from ..sources import tokenfiles as T
 from ..sources.workspace import new_folder
+from ..streaming import metrics as M
 from .files import _C, _codes, _sum
 
 c = F.col
@@ -140,6 +142,30 @@ def qa_formats(s, d):
     return out
 
 
+def stream_windows(s, d):
+    """The events as a stream of files, in windows of six hours; the result after all of them."""
+    folder = new_folder(s, "stream")
+    table(s, d, "events").select("ts", "event_type", "value").repartition(4).write.parquet(f"{folder}/in")
+    events = s.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    M.run_to_folder(M.windowed_means(events, "ts", "event_type", "value", "6 hours", "3650 days"), f"{folder}/out", f"{folder}/state")
+    return s.read.parquet(f"{folder}/out").select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+def multiple_choice_train(s, d):
+    """Questions of the validation split, their wrong choices drawn from the training split's values."""
+    people = C.exact_split(table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", 0.2)
+    values = people.where("split = 'train'").select("c_mktsegment").distinct()
+    return E.multiple_choice(people.where("split = 'val'"), "c_custkey", "c_mktsegment", values, "c_mktsegment").select("c_custkey", F.array_join("choices", "|").alias("choices"), "answer")
+
+
+def preview_report(s, d):
+    """The report of the first documents, written to a file and read again."""
+    path = new_folder(s, "report")
+    head = table(s, d, "documents").orderBy("doc_id").limit(20).select("doc_id", F.concat_ws("\n", F.concat(F.lit("id: "), c("doc_id").cast("string")), F.concat(F.lit("source: "), c("source")), clip(c("text"), 200)).alias("report"))
+    S.write_lines(head.orderBy("doc_id"), "report", path)
+    return S.read_lines(s, path).select(c("text").alias("report"))
+
+
 def _path():
     import public_tokenizers
 
@@ -147,6 +173,10 @@ def _path():
 
 
 QUERIES = {
+    "stream_windows": stream_windows,
+    "multiple_choice_train": multiple_choice_train,
+    "preview_report": preview_report,
+    "first_batches": lambda s, d: B.first_batches(table(s, d, "documents").select("doc_id"), "doc_id", 48, 3).select("doc_id", c("batch").cast("bigint").alias("batch"), c("place").cast("bigint").alias("place")),
     "line_sink": line_sink,
     "metric_log": metric_log,
     "vocab_sidecar": vocab_sidecar,
@@ -179,6 +209,10 @@ _PROMPTS = {
     "hellaswag": ("'Context' || c_name || ' Options: ' || c_mktsegment || ', other, ' || c_name || ' Best Answer:'", "CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN 'other' ELSE c_name END"),
 }
 SQL = {
+    "stream_windows": "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
+    "multiple_choice_train": "WITH p AS (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY md5('2357:' || c_custkey), c_custkey) <= ceil(count(*) OVER () * 0.2::DOUBLE) AS val FROM customer), q AS (SELECT c_custkey, c_mktsegment FROM p WHERE val), v AS (SELECT DISTINCT c_mktsegment AS v FROM p WHERE NOT val), o AS (SELECT c_custkey, c_mktsegment AS t, v, row_number() OVER (PARTITION BY c_custkey ORDER BY md5('1:' || c_custkey || '|' || v), v) AS r FROM q JOIN v ON v <> c_mktsegment), k AS (SELECT c_custkey, t, v FROM o WHERE r <= 3 UNION ALL SELECT c_custkey, c_mktsegment, c_mktsegment FROM q), s AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY md5('2:' || c_custkey || '|' || v), v) AS n FROM k) SELECT c_custkey, string_agg(v, '|' ORDER BY n) AS choices, '(' || chr((64 + max(n) FILTER (WHERE v = t))::INTEGER) || ')' AS answer FROM s GROUP BY c_custkey",
+    "preview_report": "SELECT 'id: ' || doc_id || chr(10) || 'source: ' || source || chr(10) || CASE WHEN length(text) > 400 THEN left(text, 200) || ' ... [' || (length(text) - 400) || ' omitted] ... ' || right(text, 200) ELSE text END AS report FROM documents ORDER BY doc_id LIMIT 20",
+    "first_batches": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 48 AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 48 AS place FROM documents ORDER BY doc_id LIMIT 144",
     "line_sink": "SELECT md5(text) AS md5, count(*) AS n FROM documents GROUP BY text",
     "metric_log": "SELECT 'toxic' || toxic || '/n' AS name, k::BIGINT AS step, count(*)::DOUBLE AS value FROM labels, range(1, 3) t(k) WHERE quality < k GROUP BY toxic, k",
     "vocab_sidecar": "SELECT count(DISTINCT ch)::BIGINT AS size, 50304::BIGINT AS missing FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''",

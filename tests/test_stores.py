@@ -179,3 +179,35 @@ def test_templates_are_filled(spark):
 
     texts = [r["text"] for r in Y.arithmetic(spark, 3000, 50, 1).collect()]
     assert sum(map(len, Y.TEMPLATES.values())) == 45 and not any("{" in t for t in texts) and len(set(texts)) > 2500
+
+
+def test_clusters_of_clear_groups(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, (20.0 * np.eye(6)[g] + rng.normal(size=6)).tolist()) for g in range(4) for _ in range(30)]
+    got = A.kmeans_clusters(spark.createDataFrame(rows, "g int, v array<double>"), "v", 4, 4).groupBy("g").agg(F.countDistinct("cluster").alias("n"), F.first("cluster").alias("c")).collect()
+    assert all(r["n"] == 1 for r in got) and len({r["c"] for r in got}) == 4
+
+
+def test_named_shards_are_read(spark, tmp_path):
+    for i in range(4):
+        spark.range(i, i + 1).write.parquet(folder(tmp_path, f"shards/000_{i:05d}.parquet"))
+    assert sorted(r["id"] for r in R.read_shards(spark, folder(tmp_path, "shards"), 1, 3, 4).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        R.shard_names(3, 5, 4)
+
+
+def test_general_tokenizer_equals_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    from loomline.operators import tokens as T
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "Two words", "é ü 中文\n\tx", "<|endoftext|> stays", "a" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lib = tokenizers.Tokenizer.from_file(path)
+    got = {r["id"]: r["ids"] for r in T.encode_file(df, "id", "text", path, 1).collect()}
+    assert got == {i: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    special = T.encode_file(df, "id", "text", path, special=True)
+    assert {r["id"]: r["ids"] for r in special.collect()} == {i: lib.encode(t or "").ids for i, t in enumerate(texts)}
+    assert {r["id"]: r["text"] for r in T.decode_file(special, "id", "ids", path).collect()} == {i: lib.decode(lib.encode(t or "").ids, skip_special_tokens=False) for i, t in enumerate(texts)}
