@@ -23,8 +23,9 @@ def pack_blocks(df: DataFrame, key: str, ids: str, block: int, keep_rest: bool =
     return out if keep_rest else out.where(F.size("ids") == block)
 
 
-def pack_text(df: DataFrame, key: str, text: str, block: int) -> DataFrame:
-    """(block, text) where tokens are characters: the texts in key order, concatenated and cut; the rest is dropped.
+def pack_text(df: DataFrame, key: str, text: str, block: int, keep_rest: bool = False) -> DataFrame:
+    """(block, text, n_docs) where tokens are characters: the texts in key order, concatenated and cut; the rest shorter
+    than a block is dropped unless it is to be kept.
 
     Texts stay strings, and only blocks that hold ends of documents are shuffled.
     """
@@ -35,8 +36,9 @@ def pack_text(df: DataFrame, key: str, text: str, block: int) -> DataFrame:
     parts = F.when(head > 0, F.concat(F.array(F.substring(text, F.lit(1), head)), cut)).otherwise(cut)
     pieces = placed.select(F.col("__start").alias("at"), F.posexplode(parts).alias("i", "part")).select((F.floor(F.col("at") / block) + F.col("i")).alias("block"), "at", "part")
     ends = pieces.where(F.length("part") < block).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
-    met = ends.select("block", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text")).where(F.length("text") == block)
-    return pieces.where(F.length("part") == block).select("block", F.col("part").alias("text")).unionByName(met)
+    met = ends.select("block", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"), F.size("parts").cast("bigint").alias("n_docs"))
+    met = met if keep_rest else met.where(F.length("text") == block)
+    return pieces.where(F.length("part") == block).select("block", F.col("part").alias("text"), F.lit(1).cast("bigint").alias("n_docs")).unionByName(met)
 
 
 def with_end(ids: Column, end) -> Column:
@@ -62,8 +64,9 @@ def window_starts(spark, total: Column, batch_tokens: int, ranks: int, steps: in
     return grid.withColumn("start", ((F.col("rank") + F.col("step") * ranks) * batch_tokens) % total)
 
 
-def gather(windows: DataFrame, blocks: DataFrame, block: int, length: int, total: int) -> DataFrame:
-    """windows (.., start) with `ids`: the `length` tokens from start on, around the end; blocks is (block, ids).
+def gather(windows: DataFrame, blocks: DataFrame, block: int, length: int, total: int, column: str = "ids") -> DataFrame:
+    """windows (.., start) with a column: the `length` tokens from start on, around the end; blocks is (block, column), of
+    lists or, where tokens are characters, of texts.
 
     Each window asks for the few blocks that it touches by an equi-join.
     """
@@ -75,10 +78,13 @@ def gather(windows: DataFrame, blocks: DataFrame, block: int, length: int, total
     asked = rounds.withColumns({"__low": low, "__high": high}).withColumn("block", F.explode(F.sequence(F.floor(F.col("__low") / block), F.floor((F.col("__high") - 1) / block))))
     pos = F.greatest(F.col("__low"), F.col("block") * block)
     runs = asked.select(*names, "block", pos.alias("pos"), (F.col("__round") * total + pos - start).alias("i"), (F.least("__high", (F.col("block") + 1) * block) - pos).alias("n"))
-    met = runs.join(blocks.select(F.col("block"), F.col("ids").alias("__ids")), "block")
-    part = F.slice("__ids", (F.col("pos") - F.col("block") * block + 1).cast("int"), F.col("n").cast("int"))
+    met = runs.join(blocks.select(F.col("block"), F.col(column).alias("__ids")), "block")
+    first, n = (F.col("pos") - F.col("block") * block + 1).cast("int"), F.col("n").cast("int")
+    text = blocks.schema[column].dataType.simpleString() == "string"
+    part = F.substring("__ids", first, n) if text else F.slice("__ids", first, n)
     out = met.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("i", part.alias("part")))).alias("parts"))
-    return out.select(*names, F.flatten(F.transform("parts", lambda p: p["part"])).alias("ids"))
+    parts = F.transform("parts", lambda p: p["part"])
+    return out.select(*names, (F.array_join(parts, "") if text else F.flatten(parts)).alias(column))
 
 
 def shift(ids: str) -> tuple[Column, Column]:

@@ -26,15 +26,20 @@ def _blocks(s, d, block: int, end: bool = True, keep_rest: bool = False):
     return B.pack_blocks(_tokens(s, d, end), "doc_id", "ids", block, keep_rest)
 
 
+def _text_blocks(s, d, block: int, keep_rest: bool = False):
+    docs = table(s, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(END)).alias("text"))
+    return B.pack_text(docs, "doc_id", "text", block, keep_rest)
+
+
 def strided_windows(s, d):
     total = table(s, d, "documents").agg(F.sum(F.length("text") + 1)).first()[0]
     windows = B.window_starts(s, F.lit(total), 300, 4, -(-total // 1200) + 1)  # once through the stream and round its end
-    return B.gather(windows, _blocks(s, d, 1024, keep_rest=True), 1024, 301, total).select("rank", "step", "start", _md5(B.shift("ids")[0]).alias("x_md5"), _md5(B.shift("ids")[1]).alias("y_md5"))
+    md5 = lambda first: F.md5(F.substring("text", first, 300).cast("binary"))
+    return B.gather(windows, _text_blocks(s, d, 1024, keep_rest=True), 1024, 301, total, "text").select("rank", "step", "start", md5(1).alias("x_md5"), md5(2).alias("y_md5"))
 
 
 def shift_xy(s, d):
-    docs = table(s, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(END)).alias("text"))
-    return B.pack_text(docs, "doc_id", "text", 65).select(F.col("block").cast("bigint").alias("block"), F.substring("text", 1, 64).alias("x"), F.substring("text", 2, 64).alias("y"))
+    return _text_blocks(s, d, 65).select(F.col("block").cast("bigint").alias("block"), F.substring("text", 1, 64).alias("x"), F.substring("text", 2, 64).alias("y"))
 
 
 def _sources(s):
@@ -56,7 +61,7 @@ def two_level_draw(s, d):
 
 QUERIES = {
     "pack_blocks": lambda s, d: _blocks(s, d, 256, end=False).select(F.col("block").cast("bigint").alias("block"), _md5("ids").alias("md5"), "n_docs"),
-    "pack_eod": lambda s, d: _blocks(s, d, 513).select(F.col("block").cast("bigint").alias("block"), _md5("ids").alias("md5"), "n_docs"),
+    "pack_eod": lambda s, d: _text_blocks(s, d, 513).select(F.col("block").cast("bigint").alias("block"), F.md5(F.col("text").cast("binary")).alias("md5"), "n_docs"),
     "pack_budget": lambda s, d: B.pack_budget(table(s, d, "documents").select("doc_id", "text"), "doc_id", F.length("text") + 1, 100_000).select("doc_id", "offset", F.col("taken").cast("bigint").alias("taken")),
     "required_sequences": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.ceil(F.sum(F.length("text") + 1) / 513).cast("bigint").alias("sequences")),
     "doc_marks": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.ceil(F.sum(F.length("text") + 1) / 33).cast("bigint").alias("n")).select("source", F.explode(B.document_marks(F.col("n"))).alias("mark")).select("source", F.col("mark").cast("bigint").alias("mark")),

@@ -211,3 +211,14 @@ def test_general_tokenizer_equals_the_library(spark):
     special = T.encode_file(df, "id", "text", path, special=True)
     assert {r["id"]: r["ids"] for r in special.collect()} == {i: lib.encode(t or "").ids for i, t in enumerate(texts)}
     assert {r["id"]: r["text"] for r in T.decode_file(special, "id", "ids", path).collect()} == {i: lib.decode(lib.encode(t or "").ids, skip_special_tokens=False) for i, t in enumerate(texts)}
+
+
+def test_windows_over_texts(spark):
+    texts = ["abc", "", None, "defghij", "kl", "mnopqrstuvw"]
+    stream = "".join(t or "" for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    blocks = B.pack_text(df, "id", "text", 5, keep_rest=True)
+    assert {r["block"]: (r["text"], r["n_docs"]) for r in blocks.collect()} == {0: ("abcde", 2), 1: ("fghij", 1), 2: ("klmno", 2), 3: ("pqrst", 1), 4: ("uvw", 1)}
+    windows = spark.createDataFrame([(s,) for s in range(0, len(stream), 4)], "start long")
+    got = {r["start"]: r["text"] for r in B.gather(windows, blocks, 5, 9, len(stream), "text").collect()}
+    assert got == {s: "".join(stream[(s + k) % len(stream)] for k in range(9)) for s in range(0, len(stream), 4)}
