@@ -233,6 +233,13 @@ def _id_type(df: DataFrame, id_col: str) -> str:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, leaf: int = 4096) -> DataFrame:
     """(id, ids): ids as a binary of little-endian unsigned 32-bit integers, one row per row of docs."""
+    make = lambda ids, blobs: pa.RecordBatch.from_arrays([ids, pa.array(blobs, pa.binary())], ["id", "ids"])
+    return encode_as(docs, make, "ids binary", id_col, text_col, vocabulary, leaf)
+
+
+def encode_as(docs: DataFrame, make, fields: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, leaf: int = 4096) -> DataFrame:
+    """(id, fields): what make(column of ids, encoded texts) gives, in the worker that encodes; make must not need to see
+    several slices of rows at once."""
     vocabulary = vocabulary or default_vocabulary()
     kind = _id_type(docs, id_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -241,11 +248,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, leaf)
         for b in slices(batches):
-            ids = pa.array([enc.ids(t) for t in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["id", "ids"])
+            yield make(b.column(0), [enc.ids(t) for t in b.column(1).to_pylist()])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield make(b.column(0), b.column(1).to_pylist())
 
-    encoded = rows.where(~unsplit).mapInArrow(short, f"id {kind}, ids binary")
-    return encoded.unionByName(_encode_unsplit(rows.where(unsplit), kind, vocabulary, leaf)).select(F.col("id").alias(id_col), "ids")
+    schema = f"id {kind}, {fields}"
+    encoded = rows.where(~unsplit).mapInArrow(short, schema)
+    return encoded.unionByName(_encode_unsplit(rows.where(unsplit), kind, vocabulary, leaf).mapInArrow(joined, schema)).withColumnRenamed("id", id_col)
 
 
 def _encode_unsplit(rows: DataFrame, kind: str, vocabulary: str, leaf: int) -> DataFrame:

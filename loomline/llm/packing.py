@@ -23,8 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import encode
-from .common import free_name, materialise, slices
+from .bpe import encode_as
+from .common import free_name, materialise, slices, small_side
+
+
+#: Counts of lengths in tasks that are broadcast at most; more are merged with the pieces.
+MOST_BROADCAST = 65_536
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -71,37 +75,48 @@ def fullest(counts: dict[int, int], gap: int) -> dict[int, int]:
     return out
 
 
+def piece_rows(ids: pa.Array, blobs: list[bytes | None], capacity: int, end_id: int, keep_ids: bool = False) -> pa.RecordBatch:
+    """(id, piece, start, length, ids_crc32[, ids]) of documents' encoded ids with the end id after them."""
+    end, width = np.asarray([end_id], dtype="<u4").tobytes(), 4 * capacity
+    rows, piece, parts = [], [], []
+    for i, blob in enumerate(blobs):
+        blob = (blob or b"") + end
+        for k, at in enumerate(range(0, len(blob), width)):
+            rows.append(i)
+            piece.append(k)
+            parts.append(blob[at : at + width])
+    n = np.asarray(piece, dtype=np.int32)
+    cols = [
+        ids.take(pa.array(rows, pa.int64())),
+        pa.array(n),
+        pa.array(n.astype(np.int64) * capacity),
+        pa.array([len(x) // 4 for x in parts], pa.int64()),
+        pa.array([zlib.crc32(x) for x in parts], pa.int64()),
+        *[pa.array(parts, pa.binary())] * keep_ids,
+    ]
+    return pa.RecordBatch.from_arrays(cols, ["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
+
+
+PIECE = "piece int, start long, length long, ids_crc32 long"
+
+
 def cut_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document's ids with the end id after them."""
     kind = encoded.schema[id_col].dataType.simpleString()
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-    names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 4 * capacity
         for b in slices(batches):
-            rows, piece, blobs = [], [], []
-            for i, ids in enumerate(b.column(1).to_pylist()):
-                ids = (ids or b"") + end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    rows.append(i)
-                    piece.append(k)
-                    blobs.append(ids[at : at + width])
-            n = np.asarray(piece, dtype=np.int32)
-            cols = [
-                b.column(0).take(pa.array(rows, pa.int64())),
-                pa.array(n),
-                pa.array(n.astype(np.int64) * capacity),
-                pa.array([len(x) // 4 for x in blobs], pa.int64()),
-                pa.array([zlib.crc32(x) for x in blobs], pa.int64()),
-                *[pa.array(blobs, pa.binary())] * keep_ids,
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+            yield piece_rows(b.column(0), b.column(1).to_pylist(), capacity, end_id, keep_ids)
+
+    schema = f"id {kind}, {PIECE}" + ", ids binary" * keep_ids
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(cut, schema).withColumnRenamed("id", id_col)
 
 
+def encoded_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+    """cut_pieces(encode(docs)) without the ids, which never leave the worker that makes them."""
+    return encode_as(docs, lambda ids, blobs: piece_rows(ids, blobs, capacity, end_id), PIECE)
+
+
 def ranked_by_task(pieces: DataFrame, length_col: str, capacity: int, task_col: str, rank_col: str) -> DataFrame:
     """pieces with the number of the task that read them and their rank among its pieces of their length."""
     names, at = pieces.columns, pieces.columns.index(length_col)
@@ -146,9 +161,10 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = 4096) ->
     p_n, p_first, p_many, p_base, p_offset = (np.asarray([r[i] for r in rows], dtype=np.int64) for i in range(5))
     starts = np.searchsorted(p_n, np.arange(capacity + 2))
 
-    # one row for each length in each task; written, so that Spark knows whether it is small enough to be broadcast
+    # one row for each length in each task
     sums = F.sum("__count").over(W.partitionBy("__n").orderBy("__t").rowsBetween(W.unboundedPreceding, -1))
     before = materialise(counted.select(F.col("__n").alias(size), F.col("__t").alias(task), F.coalesce(sums, F.lit(0)).alias(before_col)), "before")
+    before = small_side(before, MOST_BROADCAST)
     known = (stored[length_col].cast("long") == before[size]) & (stored[task] == before[task])
     ranked = stored.join(before, known).select(*[stored[c] for c in names], (before[before_col] + stored[own]).alias(own))
     at = names.index(length_col)
@@ -171,13 +187,13 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = 4096) ->
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack(cut_pieces(encode(docs)))
+    return pack(encoded_pieces(docs))
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: the documents' pieces and their places. Null and empty texts give one piece, repeated rows and null
     ids are packed each for themselves, other columns are dropped, an empty table gives an empty result."""
-    return pack(cut_pieces(encode(docs.select("doc_id", "text"))))
+    return pack(encoded_pieces(docs.select("doc_id", "text")))
 
 
 QUERIES = {"op3_best_fit_packing": op3_best_fit_packing}
