@@ -66,12 +66,22 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
+def small_side(table: DataFrame, most: int) -> DataFrame:
+    """A materialised table of thin rows as a join's other side: broadcast if it has at most so many rows, else sorted and
+    merged, whatever Spark's estimate of it."""
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
+
+
+#: Row numbers that are broadcast at most.
+MOST_GONE = 1_000_000
+
+
 def without(rows: DataFrame, row: str, dropped: DataFrame, name: str) -> DataFrame:
     """Numbered rows but those whose number is in the one column of `dropped`, without their number.
 
-    The numbers are written first: Spark then knows their size and, within its broadcast threshold, moves no text.
+    The numbers are written and counted first: up to MOST_GONE of them are broadcast and no text moves, more are merged.
     """
-    gone = materialise(dropped.toDF("__gone"), name)
+    gone = small_side(materialise(dropped.toDF("__gone"), name), MOST_GONE)
     return rows.join(gone, rows[row] == gone["__gone"], "left_anti").drop(row)
 
 
