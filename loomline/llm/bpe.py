@@ -59,7 +59,7 @@ def default_vocabulary() -> str:
 class Encoder:
     """The tokenizer of one worker, with a bounded cache of encoded runs."""
 
-    def __init__(self, vocabulary: str, leaf: int = 4096, cached: int = 150_000):
+    def __init__(self, vocabulary: str, leaf: int = 4096, cached: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,7 +67,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.leaf, self.cached, self.cache, self.words, self.letters = leaf, cached, {}, {}, byte_letters()
+        self.leaf, self.cached, self.letters = leaf, cached, byte_letters()
+        # two generations of each cache: when the young one is full it becomes the old one, so what is used again stays
+        self.cache, self.old_cache, self.words, self.old_words = {}, {}, {}, {}
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -90,31 +92,42 @@ class Encoder:
     def special_texts(spec: dict) -> list[str]:
         return [a["content"] for a in spec.get("added_tokens") or []]
 
-    def runs(self, words: list[str]) -> None:
-        """Encodes the runs that aren't cached."""
-        cache = self.cache
-        missing = [w for w in dict.fromkeys(words) if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > self.cached:
-                cache.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+    def runs(self, words: list[str]) -> dict[str, bytes]:
+        """The runs' ids, encoded where no cache has them."""
+        young, old = self.cache, self.old_cache
+        wanted = dict.fromkeys(words)
+        missing = []
+        for w in wanted:
+            wanted[w] = young.get(w) or old.get(w)
+            if wanted[w] is None:
+                missing.append(w)
+        for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True) if missing else ():
+            wanted[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        young.update(wanted)
+        if len(young) >= self.cached:
+            self.cache, self.old_cache = {}, young
+        return wanted
 
     def word(self, word: str) -> bytes:
-        """Ids of one lower-cased plain pre-token."""
+        """Ids of one lower-cased plain pre-token that the young cache lacks."""
+        out = self.old_words.get(word)
+        if out is None:
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            out = pack_ids([t.id for t in self.tokenizer.model.tokenize(mapped)])
         if len(self.words) >= self.cached:
-            self.words.clear()
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        out = self.words[word] = pack_ids([t.id for t in self.tokenizer.model.tokenize(mapped)])
+            self.words, self.old_words = {}, self.words
+        self.words[word] = out
         return out
 
     def plain(self, run: str) -> bytes:
-        """Ids of one lower-cased plain run."""
+        """Ids of one lower-cased plain run that the young cache lacks."""
+        out = self.old_cache.get(run)
+        if out is None:
+            known = self.words.get
+            out = b"".join([known(w) or self.word(w) for w in PLAIN_WORD.findall(run)])
         if len(self.cache) >= self.cached:
-            self.cache.clear()
-        known = self.words
-        out = self.cache[run] = b"".join([known.get(w) or self.word(w) for w in PLAIN_WORD.findall(run)])
+            self.cache, self.old_cache = {}, self.cache
+        self.cache[run] = out
         return out
 
     def ids(self, text: str) -> bytes:
@@ -126,8 +139,7 @@ class Encoder:
         try:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
-            self.runs(words)
-            return b"".join(map(self.cache.__getitem__, words))
+            return b"".join(map(self.runs(words).__getitem__, words))
 
     def parts(self, text: str) -> Iterator[tuple[bool, bool, bool, object]]:
         """(is a leaf, begins a pre-token, ends a pre-token, ids or leaf's text) of a text, in order."""
@@ -243,7 +255,7 @@ def encode_as(docs: DataFrame, make, fields: str, id_col: str = "doc_id", text_c
     vocabulary = vocabulary or default_vocabulary()
     kind = _id_type(docs, id_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    unsplit = F.expr(f"text rlike '(?:^|[{SPACE}])[^{SPACE}]{{{leaf + 1}}}'")
+    unsplit = F.expr(f"length(text) > {leaf} AND text rlike '(?:^|[{SPACE}])[^{SPACE}]{{{leaf + 1}}}'")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, leaf)
