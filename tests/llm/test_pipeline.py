@@ -40,6 +40,22 @@ def test_no_row_is_lost_by_its_id(spark, sf):
     assert sorted(r["text"] or "" for r in stages["exact_dedup"](spark, twice, sf).collect()) == sorted(r["text"] or "" for r in stages["exact_dedup"](spark, docs, sf).collect())
 
 
+def test_many_dropped_rows_are_merged(spark, sf, monkeypatch):
+    """Past the number that may be broadcast the result is the same."""
+    from loomline.llm import common, packing
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda: sorted(r["doc_id"] for r in stages["exact_dedup"](spark, docs, sf).collect())
+    places = lambda: sorted((r["doc_id"], r["piece"], r["length"]) for r in stages["best_fit_packing"](spark, docs, sf).collect())
+    small, packed = ids(), places()
+    monkeypatch.setattr(common, "MOST_GONE", 0)
+    monkeypatch.setattr(packing, "MOST_BROADCAST", 0)
+    plan = stages["exact_dedup"](spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and ids() == small and len(small) < docs.count()
+    assert places() == packed
+
+
 def test_run_on_an_empty_table(spark, sf, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
