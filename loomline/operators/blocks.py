@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import even_bucket, rank, running_sum
+from .ordering import hash_bucket, rank, running_sum
 
 
 def pack_blocks(df: DataFrame, key: str, ids: str, block: int, keep_rest: bool = False) -> DataFrame:
@@ -13,7 +13,7 @@ def pack_blocks(df: DataFrame, key: str, ids: str, block: int, keep_rest: bool =
 
     Only the pieces of documents that reach into a block meet: no token is exploded.
     """
-    placed = running_sum(df.select(key, ids, F.size(ids).cast("bigint").alias("__n")), [key], F.col("__n"), even_bucket(df, key), "__start").where("__n > 0")
+    placed = running_sum(df.select(key, ids, F.size(ids).cast("bigint").alias("__n")), [key], F.col("__n"), "__start").where("__n > 0")
     reach = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("__start") / block), F.floor((F.col("__start") + F.col("__n") - 1) / block))))
     first = F.greatest(F.col("block") * block - F.col("__start"), F.lit(0))
     last = F.least((F.col("block") + 1) * block - F.col("__start"), F.col("__n"))
@@ -30,7 +30,7 @@ def pack_text(df: DataFrame, key: str, text: str, block: int, keep_rest: bool =
     Texts stay strings, and only blocks that hold ends of documents are shuffled.
     """
     n = F.length(text)
-    placed = running_sum(df.select(key, text, n.cast("bigint").alias("__n")), [key], F.col("__n"), even_bucket(df, key), "__start").where("__n > 0")
+    placed = running_sum(df.select(key, text, n.cast("bigint").alias("__n")), [key], F.col("__n"), "__start").where("__n > 0")
     head = F.least(F.pmod(-F.col("__start"), F.lit(block)), F.col("__n")).cast("int")
     cut = F.regexp_extract_all(F.substring(text, head + 1, n), F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
     parts = F.when(head > 0, F.concat(F.array(F.substring(text, F.lit(1), head)), cut)).otherwise(cut)
@@ -48,7 +48,7 @@ def with_end(ids: Column, end) -> Column:
 
 def pack_budget(df: DataFrame, key: str, length: Column, budget: int) -> DataFrame:
     """Documents in order until the token budget is spent; `taken` of the last one is cut to fit."""
-    placed = running_sum(df.withColumn("__len", length.cast("bigint")), [key], F.col("__len"), even_bucket(df, key), "offset")
+    placed = running_sum(df.withColumn("__len", length.cast("bigint")), [key], F.col("__len"), "offset")
     return placed.where(F.col("offset") < budget).withColumn("taken", F.least("__len", F.lit(budget) - F.col("offset"))).drop("__len")
 
 
@@ -98,9 +98,10 @@ def batches(df: DataFrame, key: str, size: int, seed: int | None = None) -> Data
     from ..functions.draws import draw_hash
 
     if seed is None:
-        ranked = rank(df, [key], even_bucket(df, key), "__rank")
+        ranked = rank(df, [key], "__rank")
     else:
-        ranked = rank(df.withColumn("__hash", draw_hash(seed, F.col(key))), ["__hash", key], F.substring("__hash", 1, 3), "__rank").drop("__hash")
+        hashed = df.withColumn("__hash", draw_hash(seed, F.col(key)))
+        ranked = rank(hashed, ["__hash", key], "__rank", hash_bucket(hashed, "__hash")).drop("__hash")
     return ranked.withColumns({"batch": F.floor(F.col("__rank") / size), "place": F.col("__rank") % size}).drop("__rank")
 
 

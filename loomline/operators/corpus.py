@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_hash, uniform
-from .ordering import even_bucket, rank, running_sum
+from .ordering import hash_bucket, rank, running_sum
 
 
 def contains_any(column: str, words: Sequence[str]) -> Column:
@@ -20,13 +20,13 @@ def contains_any(column: str, words: Sequence[str]) -> Column:
 def exact_split(df: DataFrame, key: str, fraction: float, seed: int = 2357, names: tuple[str, str] = ("train", "val")) -> DataFrame:
     """Adds `split`: exactly ceil(fraction * n) rows, in the order of a seeded hash, get the second name."""
     hashed = df.withColumn("__hash", draw_hash(seed, F.col(key)))
-    ranked = rank(hashed, ["__hash", key], F.substring("__hash", 1, 3), "__rank")
+    ranked = rank(hashed, ["__hash", key], "__rank", hash_bucket(hashed, "__hash"))
     return _with_count(ranked, lambda n: F.when(F.col("__rank") < F.ceil(n * F.lit(fraction)), names[1]).otherwise(names[0]), "split").drop("__hash", "__rank")
 
 
 def tail_split(df: DataFrame, key: str, fraction: float, names: tuple[str, str] = ("train", "test")) -> DataFrame:
     """Adds `split`: the last ceil(fraction * n) rows by key get the second name."""
-    ranked = rank(df, [key], even_bucket(df, key), "__rank")
+    ranked = rank(df, [key], "__rank")
     return _with_count(ranked, lambda n: F.when(F.col("__rank") >= n - F.ceil(n * F.lit(fraction)), names[1]).otherwise(names[0]), "split").drop("__rank")
 
 
@@ -73,12 +73,12 @@ def decode_characters(df: DataFrame, key: str, ids: str, vocab: DataFrame) -> Da
 
 def offsets(df: DataFrame, key: str, length: Column, name: str = "start") -> DataFrame:
     """Adds where a document's tokens begin in the flat stream in key order."""
-    return running_sum(df, [key], length, even_bucket(df, key), name)
+    return running_sum(df, [key], length, name)
 
 
 def corpus_cut(df: DataFrame, key: str, text: str, share: float) -> DataFrame:
     """Adds `cut`: how many characters of a text lie before floor(share * n) of the whole corpus in key order."""
-    placed = running_sum(df.withColumn("__n", F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")), [key], F.col("__n"), even_bucket(df, key), "__start")
+    placed = running_sum(df.withColumn("__n", F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")), [key], F.col("__n"), "__start")
     total = df.agg(F.coalesce(F.sum(F.length(text).cast("bigint")), F.lit(0)).alias("__total"))
     cut = F.greatest(F.lit(0), F.least(F.col("__n"), F.floor(F.col("__total") * F.lit(share)) - F.col("__start")))
     return placed.join(F.broadcast(total)).withColumn("cut", cut.cast("bigint")).drop("__n", "__start", "__total")
@@ -86,7 +86,7 @@ def corpus_cut(df: DataFrame, key: str, text: str, share: float) -> DataFrame:
 
 def contiguous_shards(df: DataFrame, key: str, n: int, name: str = "shard") -> DataFrame:
     """Adds the number of n balanced contiguous shards; the first count mod n get one row more."""
-    ranked = rank(df, [key], even_bucket(df, key), "__rank")
+    ranked = rank(df, [key], "__rank")
 
     def of(count: Column) -> Column:
         big, size = count % n, F.floor(count / n)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import sql_uniform, uniform
 from ..functions.formats import clip
 from ..operators import corpus as C
-from ..operators.ordering import even_bucket, running_sum
+from ..operators.ordering import running_sum
 from ..session import table
 
 WORDS = ("blog", "/en/", "thth", "example.net", "utm_", "/de/4", "m.th", "#top", "erin", "/fr/7")
@@ -41,7 +41,7 @@ QUERIES = {
     "drop_and_prune": lambda s, d: table(s, d, "documents").drop("text", "n_chars").where("lang = 'de'"),
     "shard_ntile": lambda s, d: C.contiguous_shards(table(s, d, "documents").select("doc_id"), "doc_id", 7).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")),
     "prefix_offsets": lambda s, d: C.offsets(table(s, d, "documents").select("doc_id", (F.length("text") + 1).cast("bigint").alias("len")), "doc_id", F.col("len")),
-    "index_pointers": lambda s, d: running_sum(t := table(s, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("size")), ["doc_id"], F.col("size") * 4, even_bucket(t, "doc_id"), "pointer"),
+    "index_pointers": lambda s, d: running_sum(table(s, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("size")), ["doc_id"], F.col("size") * 4, "pointer"),
     "dtype_choice": lambda s, d: s.range(1).select(F.explode(F.array(*[F.lit(x).cast("bigint") for x in (65, 50257, 65535, 65536, 128256, 4294967295, 4294967296)])).alias("vocab_size")).withColumn("dtype", C.token_type(F.col("vocab_size"))),
     "char_cut_90_10": lambda s, d: table(s, d, "documents").select("doc_id", F.floor(F.length("text") * 0.9).cast("int").alias("cut"), "text").select("doc_id", F.length(F.expr("left(text, cut)")).cast("bigint").alias("n_train"), F.md5(F.expr("substring(text, cut + 1)").cast("binary")).alias("val_md5")),
     "preview_head": lambda s, d: table(s, d, "documents").orderBy("doc_id").limit(20).select("doc_id", F.concat_ws("\n", F.concat(F.lit("id: "), F.col("doc_id").cast("string")), F.concat(F.lit("source: "), F.col("source")), clip(F.col("text"), 100)).alias("report")),

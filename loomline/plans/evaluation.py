@@ -10,7 +10,7 @@ from ..functions.formats import duration, flat_line, tick
 from ..operators import analytics as A
 from ..operators import evaluation as E
 from ..operators import synthesis as Y
-from ..operators.ordering import bounded, even_bucket, rank
+from ..operators.ordering import bounded, rank
 from ..session import table
 from . import scoring as Q
 
@@ -40,7 +40,7 @@ def _pairs(s, d):
 def few_shot(s, d):
     # an item is one text: its last 10 characters are the answer, all before them the question
     rows = table(s, d, "benchmark").select("item_id", F.substring(c("text"), F.lit(1), F.greatest(F.length("text") - 10, F.lit(0))).alias("q"), F.right("text", F.lit(10)).alias("a"))
-    ranked = rank(rows, ["item_id"], even_bucket(rows, "item_id"), "i")
+    ranked = rank(rows, ["item_id"], "i")
     return E.few_shot(ranked, "i", "q", "a", 3, rows.count()).select("item_id", "prompt")
 
 

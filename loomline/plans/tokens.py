@@ -8,7 +8,7 @@ from ..functions.draws import draw_hash
 from ..operators import blocks as B
 from ..operators import synthesis as Y
 from ..operators import tokens as T
-from ..operators.ordering import rank
+from ..operators.ordering import hash_bucket, rank
 from ..session import table
 
 END = 50256
@@ -47,7 +47,7 @@ def mix_synthetic(s, d):
     real = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
     blocks = lambda rows, kind: B.pack_blocks(T.encode(rows, "id", "text", *_vocabulary(), END), "id", "ids", 128).select(F.concat(F.lit(kind), F.col("block").cast("string")).alias("key"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary")).alias("md5"), "n_docs")
     mixed = blocks(made, "s").unionByName(blocks(real, "d")).withColumn("h", draw_hash(42, F.col("key")))
-    return rank(mixed, ["h", "key"], F.substring("h", 1, 3)).select("rank", "key", "md5", "n_docs")
+    return rank(mixed, ["h", "key"], bucket=hash_bucket(mixed, "h")).select("rank", "key", "md5", "n_docs")
 
 
 QUERIES = {"bpe_encode": bpe_encode, "bpe_round_trip": bpe_round_trip, "qa_separate": qa_separate, "store_files": store_files, "mix_synthetic": mix_synthetic}

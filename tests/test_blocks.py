@@ -13,6 +13,11 @@ def test_pack_blocks(spark):
     assert [r["ids"] for r in B.pack_blocks(docs(spark), "id", "ids", 4, keep_rest=True).orderBy("block").collect()][-1] == [0]
 
 
+def test_a_text_without_a_key_comes_last(spark):
+    df = spark.createDataFrame([(None, "zz"), (1, "abc"), (2, "de")], "id long, text string")
+    assert [(r["block"], r["text"]) for r in B.pack_text(df, "id", "text", 3, keep_rest=True).orderBy("block").collect()] == [(0, "abc"), (1, "dez"), (2, "z")]
+
+
 def test_budget_cuts_the_last_document(spark):
     got = B.pack_budget(docs(spark), "id", F.size("ids"), 6).orderBy("id").collect()
     assert [r["taken"] for r in got] == [4, 2]

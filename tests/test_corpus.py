@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.formats import choice_letter, clip, duration, tick
 from loomline.operators import corpus as C
-from loomline.operators.ordering import id_bucket, rank, running_sum
+from loomline.operators.ordering import range_bucket, rank, running_sum
 
 
 def one(spark, column):
@@ -45,9 +45,30 @@ def test_shards_are_balanced(spark):
 
 def test_running_sum_over_buckets(spark):
     df = spark.createDataFrame([(0, 3), (1, 2), (5000, 4), (9000, 1)], "id long, n long")
-    got = {r["id"]: r["start"] for r in running_sum(df, ["id"], F.col("n") * 4, id_bucket("id"), "start").collect()}
+    got = {r["id"]: r["start"] for r in running_sum(df, ["id"], F.col("n") * 4, "start").collect()}
     assert got == {0: 0, 1: 12, 5000: 20, 9000: 36}
-    assert sorted(r["rank"] for r in rank(df, ["id"], id_bucket("id", 10)).collect()) == [0, 1, 2, 3]
+    assert sorted(r["rank"] for r in rank(df, ["id"], bucket=F.floor(F.col("id") / 10)).collect()) == [0, 1, 2, 3]
+
+
+def test_far_ids_fill_buckets_evenly(spark):
+    """One id far away, and a third of the rows with one key, leave the other buckets as they are."""
+    df = spark.range(200_000).select(F.when(F.col("id") == 7, 1 << 60).otherwise(F.col("id")).alias("id"), (F.col("id") % 3).alias("k"))
+    sizes = [r["count"] for r in df.groupBy(range_bucket(df, ["id"]).alias("b")).count().collect()]
+    assert len(sizes) >= 40 and max(sizes) <= 4 * sum(sizes) / len(sizes)
+    hot = df.select(F.when(F.col("k") == 0, 5).otherwise(F.col("id")).alias("k"), "id")
+    sizes = [r["count"] for r in hot.groupBy(range_bucket(hot, ["k", "id"]).alias("b")).count().collect()]
+    assert max(sizes) <= 4 * sum(sizes) / len(sizes)
+    got = rank(df, ["id"]).where(F.col("id").isin(0, 6, 8, 199_999, 1 << 60)).collect()
+    assert {r["id"]: r["rank"] for r in got} == {0: 0, 6: 6, 8: 7, 199_999: 199_998, 1 << 60: 199_999}
+
+
+def test_null_keys_come_last_and_lose_no_row(spark):
+    df = spark.range(100).select("id").unionByName(spark.createDataFrame([(None,)], "id long"))
+    assert C.exact_split(df, "id", 0.1).count() == 101
+    assert [r["id"] for r in C.tail_split(df, "id", 0.01).where("split = 'test'").orderBy("id").collect()] == [None, 99]
+    many = spark.range(10_000).select(F.when(F.col("id") % 5 > 0, F.col("id")).alias("id"))
+    assert sorted(r["rank"] for r in rank(many, ["id"]).collect()) == list(range(10_000))
+    assert rank(many, ["id"]).where("id IS NULL").agg(F.min("rank")).first()[0] == 8000
 
 
 def test_token_types(spark):
