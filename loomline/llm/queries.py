@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, dedup, html, jaccard, packing, pii, quality, topk, warc
+from . import bpe, chat, dedup, html, jaccard, packing, pii, quality, runs, topk, warc
 
-MODULES = (bpe, chat, dedup, html, jaccard, packing, pii, quality, topk, warc)
+MODULES = (bpe, chat, dedup, html, jaccard, packing, pii, quality, runs, topk, warc)
 
 
 def queries() -> dict:
