@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, dedup, divergence, html, jaccard, packing, pii, quality, runs, topk, warc
+from . import bpe, chat, dedup, divergence, fingerprints, html, jaccard, packing, pii, quality, runs, topk, warc
 
-MODULES = (bpe, chat, dedup, divergence, html, jaccard, packing, pii, quality, runs, topk, warc)
+MODULES = (bpe, chat, dedup, divergence, fingerprints, html, jaccard, packing, pii, quality, runs, topk, warc)
 
 
 def queries() -> dict:
