@@ -11,22 +11,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: Rows of a bucket, about; buckets at most (their splitters are a literal of the plan); sampled keys for each bucket.
-ROWS, MOST_BUCKETS, SAMPLED = 4096, 4096, 32
+ROWS, MOST_BUCKETS, SAMPLED = 4096, 1 << 14, 16
 
 
 def _key(order: Sequence[str]) -> Column:
     """The order's columns as one value whose nulls come last."""
-    return F.struct(*[x for c in order for x in (F.isnull(c), F.col(c))])
+    return F.struct(*[x for i, c in enumerate(order) for x in (F.isnull(c).alias(f"n{i}"), F.col(c).alias(f"c{i}"))])
 
 
 def _sorting(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
 
-def splitters(df: DataFrame, order: Sequence[str], rows: int = ROWS, most: int = MOST_BUCKETS) -> list[tuple]:
-    """Keys that cut the rows into ranges of about `rows` rows each, from a random sample of at most about
+def splitters(df: DataFrame, order: Sequence[str], rows: int = ROWS, most: int = MOST_BUCKETS) -> list[str]:
+    """Keys, as JSON, that cut the rows into ranges of about `rows` rows each, from a random sample of at most about
     `SAMPLED * most` keys. The sample moves the cuts, never a result."""
     keys = df.select(*order)
     n = keys.count()
@@ -35,8 +36,8 @@ def splitters(df: DataFrame, order: Sequence[str], rows: int = ROWS, most: int =
         return []
     share = SAMPLED * buckets / n
     sample = keys.where(F.rand(1) < share) if share < 1 else keys
-    found = sample.orderBy(*_sorting(order)).collect()
-    return list(dict.fromkeys(tuple(found[len(found) * i // buckets]) for i in range(1, buckets))) if found else []
+    found = sample.orderBy(*_sorting(order)).select(F.to_json(_key(order)).alias("key")).toArrow().column("key").to_pylist()
+    return list(dict.fromkeys(found[len(found) * i // buckets] for i in range(1, buckets))) if found else []
 
 
 def range_bucket(df: DataFrame, order: Sequence[str], rows: int = ROWS, most: int = MOST_BUCKETS) -> Column:
@@ -44,10 +45,13 @@ def range_bucket(df: DataFrame, order: Sequence[str], rows: int = ROWS, most: in
     cuts = splitters(df, order, rows, most)
     if not cuts:
         return F.lit(0)
-    kinds = [df.schema[c].dataType for c in order]
-    table = F.array(*[F.struct(*[x for v, k in zip(cut, kinds, strict=True) for x in (F.lit(v is None), F.lit(v).cast(k))]) for cut in cuts])
+    table = F.from_json(F.lit(f"[{','.join(cuts)}]"), ArrayType(df.select(_key(order).alias("key")).schema["key"].dataType))  # folded into the plan
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= _key(order), at + step).otherwise(at))
+
+    def place(key: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at))
+
+    return F.get(F.transform(F.array(_key(order)), place), F.lit(0))  # the key is made once
 
 
 def hash_bucket(df: DataFrame, column: str, rows: int = ROWS) -> Column:
