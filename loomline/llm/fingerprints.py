@@ -40,53 +40,73 @@ BUCKET_ROWS = 1024
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _GOLDEN, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Rows that are drawn together, so that what is made of them stays in a core's cache.
+_ROWS = 128
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    """Scrambles 64-bit numbers, one to one."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    """Scrambles 64-bit numbers in place, one to one."""
+    for shift, factor in ((30, _M1), (27, _M2)):
+        x ^= x >> np.uint64(shift)
+        x *= factor
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def _uniform(seeds: np.ndarray, stream: int) -> np.ndarray:
-    """Doubles inside (0, 1)."""
-    return ((_mix(seeds + _GOLDEN * np.uint64(stream)) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    """32-bit floats inside (0, 1), of the upper 23 of 32 bits."""
+    return ((bits >> np.uint32(9)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
+
+
+def _two(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniforms of each 64-bit number."""
+    halves = words.view(np.uint32)
+    return _uniform(halves[:, 0::2]), _uniform(halves[:, 1::2])
 
 
 def draws(terms: list[bytes], weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """For each (term, weight) and sample: ln a in 32 bits that sort as it does, above 32 bits of a hash of (term, t)."""
     term = np.asarray([xxhash.xxh3_64_intdigest(t) for t in terms], dtype=np.uint64)[:, None]
-    with np.errstate(over="ignore"):
-        seeds = _mix(term + _GOLDEN * np.arange(1, samples + 1, dtype=np.uint64))
-        r = -np.log(_uniform(seeds, 1) * _uniform(seeds, 2))
-        ln_c = np.log(-np.log(_uniform(seeds, 3) * _uniform(seeds, 4)))
-        b = _uniform(seeds, 5)
-        t = np.floor(np.log(weights)[:, None] / r + b)
-        code = _mix(seeds ^ _mix(t.astype(np.int64).view(np.uint64) * _GOLDEN)) >> np.uint64(32)
-    bits = (ln_c - r * (t - b) - r).astype(np.float32).view(np.uint32)
-    bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
-    return bits.astype(np.uint64) << np.uint64(32) | code
+    seeds = _mix(term + _GOLDEN * np.arange(1, samples + 1, dtype=np.uint64))
+    u, v = _two(_mix(seeds + _GOLDEN))
+    r = -np.log(u * v)
+    u, v = _two(_mix(seeds ^ _GOLDEN))
+    ln_c = np.log(-np.log(u * v))
+    b = _two(seeds)[0]
+    t = np.floor(np.log(weights)[:, None] / r + b)
+    code = _mix(seeds ^ (t.astype(np.int64).view(np.uint64) * _GOLDEN))
+    bits = (ln_c - r * (t - b + np.float32(1))).view(np.uint32)
+    bits ^= np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(1 << 31))
+    out = bits.astype(np.uint64) << np.uint64(32)
+    out |= code >> np.uint64(32)
+    return out
 
 
 class Sampler:
-    """Fingerprints of texts; keeps the draws of up to KEPT (term, weight) pairs."""
+    """Fingerprints of texts. Keeps the draws of two generations of up to KEPT (term, weight) pairs: a pair of the older one
+    moves up when it is met again."""
 
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
         self.place: dict[tuple[bytes, int], int] = {}
-        self.table = np.empty((KEPT, samples), np.uint64)
+        self.older: dict[tuple[bytes, int], int] = {}
+        self.table, self.older_table = (np.empty((KEPT, samples), np.uint64) for _ in range(2))
 
     def _ensure(self, keys: set[tuple[bytes, int]]) -> None:
         new = [k for k in keys if k not in self.place]
         if len(self.place) + len(new) > KEPT:
-            self.place.clear()
+            self.place, self.older = {}, self.place
+            self.table, self.older_table = self.older_table, self.table
             new = list(keys)
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            first = len(self.place)
-            self.table[first : first + len(part)] = draws([k for k, _ in part], np.asarray([n for _, n in part], np.float64), self.samples)
-            self.place.update((k, first + i) for i, k in enumerate(part))
+        again = [k for k in new if k in self.older]
+        first = len(self.place)
+        self.table[first : first + len(again)] = self.older_table[[self.older[k] for k in again]]
+        fresh = [k for k in new if k not in self.older]
+        for at in range(0, len(fresh), _ROWS):
+            part = fresh[at : at + _ROWS]
+            begin = first + len(again) + at
+            self.table[begin : begin + len(part)] = draws([k for k, _ in part], np.asarray([n for _, n in part], np.float32), self.samples)
+        self.place.update(zip(again + fresh, range(first, first + len(new)), strict=True))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """A row of 16-bit numbers for each text."""
@@ -107,7 +127,7 @@ class Sampler:
     def _meet(self, parts: list[tuple[int, list[tuple[bytes, int]]]], least: np.ndarray) -> None:
         self._ensure({k for _, keys in parts for k in keys})
         for d, keys in parts:
-            rows = self.table[[self.place[k] for k in keys]]
+            rows = self.table.take(list(map(self.place.__getitem__, keys)), axis=0)
             np.minimum(least[d], rows.min(axis=0), out=least[d])
 
 

@@ -24,7 +24,7 @@ def samples_of(text, samples):
     """The samples one by one, from the formula, with the operator's draws of one term at a time."""
     out = []
     for j in range(samples):
-        best = min((int(P.draws([w.encode()], np.asarray([float(n)]), samples)[0, j]) for w, n in weights(text).items()), default=2**64 - 1)
+        best = min((int(P.draws([w.encode()], np.asarray([n], np.float32), samples)[0, j]) for w, n in weights(text).items()), default=2**64 - 1)
         out.append(best & 0xFFFF)
     return out
 
@@ -65,8 +65,8 @@ def test_samples_are_those_of_the_formula(monkeypatch):
 def test_draws_follow_their_distributions():
     """A term of weight S is the least of many with a chance in proportion to S."""
     n = 20_000
-    a = P.draws([b"x"], np.asarray([3.0]), n)[0] >> np.uint64(32)
-    b = P.draws([b"y"], np.asarray([1.0]), n)[0] >> np.uint64(32)
+    a = P.draws([b"x"], np.asarray([3], np.float32), n)[0] >> np.uint64(32)
+    b = P.draws([b"y"], np.asarray([1], np.float32), n)[0] >> np.uint64(32)
     assert abs((a < b).mean() - 0.75) < 0.02
 
 
