@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,12 @@ from ..operators.ordering import range_bucket
 from .common import slices
 
 SAMPLES = 128
-#: (term, weight) pairs whose draws a worker keeps (each takes 8 bytes a sample), and pairs that are met at once.
-KEPT, AT_ONCE = 1 << 16, 1 << 13
+#: (term, weight) pairs whose draws a worker keeps (each takes 6 bytes a sample), and pairs of a text that are met at once.
+KEPT, AT_ONCE = 1 << 16, 1 << 12
 #: Documents of a bucket of neighbours, about.
 BUCKET_ROWS = 1024
-#: What a text without words has as its fingerprint.
-NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: What a text without words has for each sample.
+NONE = np.uint16(0xFFFF)
 
 _GOLDEN, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Rows that are drawn together, so that what is made of them stays in a core's cache.
@@ -53,19 +54,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _uniform(bits: np.ndarray) -> np.ndarray:
-    """32-bit floats inside (0, 1), of the upper 23 of 32 bits."""
-    return ((bits >> np.uint32(9)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
-
-
 def _two(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniforms of each 64-bit number."""
-    halves = words.view(np.uint32)
-    return _uniform(halves[:, 0::2]), _uniform(halves[:, 1::2])
+    """Two 32-bit floats inside (0, 1) of each 64-bit number, each of 23 bits."""
+    bits = words.view(np.uint32) >> np.uint32(9)
+    out = bits.astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-23)
+    return out[:, 0::2], out[:, 1::2]
 
 
-def draws(terms: list[bytes], weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
-    """For each (term, weight) and sample: ln a in 32 bits that sort as it does, above 32 bits of a hash of (term, t)."""
+def draws(terms: list[bytes], weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
+    """(ln a, 16 bits of a hash of (term, t)) for each (term, weight) and sample."""
     term = np.asarray([xxhash.xxh3_64_intdigest(t) for t in terms], dtype=np.uint64)[:, None]
     seeds = _mix(term + _GOLDEN * np.arange(1, samples + 1, dtype=np.uint64))
     u, v = _two(_mix(seeds + _GOLDEN))
@@ -75,60 +74,74 @@ def draws(terms: list[bytes], weights: np.ndarray, samples: int = SAMPLES) -> np
     b = _two(seeds)[0]
     t = np.floor(np.log(weights)[:, None] / r + b)
     code = _mix(seeds ^ (t.astype(np.int64).view(np.uint64) * _GOLDEN))
-    bits = (ln_c - r * (t - b + np.float32(1))).view(np.uint32)
-    bits ^= np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(1 << 31))
-    out = bits.astype(np.uint64) << np.uint64(32)
-    out |= code >> np.uint64(32)
-    return out
+    return ln_c - r * (t - b + np.float32(1)), (code >> np.uint64(48)).astype(np.uint16)
 
 
 class Sampler:
     """Fingerprints of texts. Keeps the draws of two generations of up to KEPT (term, weight) pairs: a pair of the older one
-    moves up when it is met again."""
+    moves up when it is met again. A pair of weight 1 goes by its term alone."""
 
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
-        self.place: dict[tuple[bytes, int], int] = {}
-        self.older: dict[tuple[bytes, int], int] = {}
-        self.table, self.older_table = (np.empty((KEPT, samples), np.uint64) for _ in range(2))
-
-    def _ensure(self, keys: set[tuple[bytes, int]]) -> None:
-        new = [k for k in keys if k not in self.place]
-        if len(self.place) + len(new) > KEPT:
-            self.place, self.older = {}, self.place
-            self.table, self.older_table = self.older_table, self.table
-            new = list(keys)
-        again = [k for k in new if k in self.older]
-        first = len(self.place)
-        self.table[first : first + len(again)] = self.older_table[[self.older[k] for k in again]]
-        fresh = [k for k in new if k not in self.older]
-        for at in range(0, len(fresh), _ROWS):
-            part = fresh[at : at + _ROWS]
-            begin = first + len(again) + at
-            self.table[begin : begin + len(part)] = draws([k for k, _ in part], np.asarray([n for _, n in part], np.float32), self.samples)
-        self.place.update(zip(again + fresh, range(first, first + len(new)), strict=True))
+        self.place: dict = {}
+        self.older: dict = {}
+        self.young, self.old = ((np.empty((KEPT, samples), np.float32), np.empty((KEPT, samples), np.uint16)) for _ in range(2))
+
+    def _places(self, keys: list) -> np.ndarray:
+        """Rows of the young generation that hold the pairs' draws; at most KEPT pairs at once."""
+        if len(self.place) + len(keys) > KEPT:
+            self.place, self.older, self.young, self.old = {}, self.place, self.old, self.young
+        out = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            new = dict.fromkeys([keys[i] for i in missing])
+            again = [k for k in new if k in self.older]
+            fresh = [k for k in new if k not in self.older]
+            first = len(self.place)
+            for at in range(0, len(again), _ROWS):
+                rows = [self.older[k] for k in again[at : at + _ROWS]]
+                for young, old in zip(self.young, self.old, strict=True):
+                    young[first + at : first + at + len(rows)] = old.take(rows, axis=0)
+            for at in range(0, len(fresh), _ROWS):
+                part = [k if isinstance(k, tuple) else (k, 1) for k in fresh[at : at + _ROWS]]
+                begin = first + len(again) + at
+                for young, made in zip(self.young, draws([k for k, _ in part], np.asarray([n for _, n in part], np.float32), self.samples), strict=True):
+                    young[begin : begin + len(part)] = made
+            self.place.update(zip(again + fresh, range(first, first + len(new)), strict=True))
+            out[missing] = [self.place[keys[i]] for i in missing]
+        return out
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """A row of 16-bit numbers for each text."""
-        least = np.full((len(texts), self.samples), NONE)
-        parts: list[tuple[int, list[tuple[bytes, int]]]] = []
-        held = 0
+        least, codes = np.full((len(texts), self.samples), np.inf, np.float32), np.full((len(texts), self.samples), NONE)
+        parts: list[tuple[int, int]] = []
+        keys: list = []
         for d, t in enumerate(texts):
-            terms = list(Counter(t.encode().lower().split()).items())  # bytes: A-Z and ASCII white space alone
+            counted = Counter(t.encode().lower().split())  # bytes: A-Z and ASCII white space alone
+            terms = [w if n == 1 else (w, n) for w, n in counted.items()]
             for at in range(0, len(terms), AT_ONCE):
-                parts.append((d, terms[at : at + AT_ONCE]))
-                held += len(parts[-1][1])
-                if held >= KEPT // 2:
-                    self._meet(parts, least)
-                    parts, held = [], 0
-        self._meet(parts, least)
-        return (least & np.uint64(0xFFFF)).astype(np.uint16)
-
-    def _meet(self, parts: list[tuple[int, list[tuple[bytes, int]]]], least: np.ndarray) -> None:
-        self._ensure({k for _, keys in parts for k in keys})
-        for d, keys in parts:
-            rows = self.table.take(list(map(self.place.__getitem__, keys)), axis=0)
-            np.minimum(least[d], rows.min(axis=0), out=least[d])
+                if len(keys) + AT_ONCE > KEPT // 4:
+                    self._meet(parts, keys, least, codes)
+                    parts, keys = [], []
+                parts.append((d, len(keys)))
+                keys += terms[at : at + AT_ONCE]
+        self._meet(parts, keys, least, codes)
+        return codes
+
+    def _meet(self, parts: list[tuple[int, int]], keys: list, least: np.ndarray, codes: np.ndarray) -> None:
+        """Looks at chunks (text, where its keys begin); of equal least values, the smallest code counts."""
+        if not parts:
+            return
+        places, (values, code) = self._places(keys), self.young
+        for (d, begin), end in zip(parts, [p[1] for p in parts[1:]] + [len(keys)], strict=True):
+            mine = places[begin:end]
+            rows = values.take(mine, axis=0)
+            low = rows.min(axis=0)
+            row, column = np.divmod(np.flatnonzero(rows == low), self.samples)
+            found = np.full(self.samples, NONE)
+            np.minimum.at(found, column, code[mine[row], column])
+            codes[d] = np.where(low < least[d], found, np.where(low > least[d], codes[d], np.minimum(found, codes[d])))
+            np.minimum(least[d], low, out=least[d])
 
 
 def likeness(a: np.ndarray, b: np.ndarray, a_empty: np.ndarray, b_empty: np.ndarray) -> np.ndarray:
