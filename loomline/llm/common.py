@@ -133,6 +133,8 @@ def attach_group(
 BLOOM_SHIFTS = (0, 18, 36)
 #: Fewest and most 64-bit words of a filter: it has 12 bits a key up to about 11 million keys, and 16 MB at most.
 BLOOM_WORDS = (1 << 12, 1 << 21)
+#: Binary digits of the number of words in a chunk, as which a filter reaches the driver.
+BLOOM_CHUNK_BITS = 12
 
 
 def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
@@ -143,10 +145,24 @@ def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
     rows = keys.select(bits.alias("bit")).select(
         F.shiftrightunsigned("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")
     )
-    found = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    whole = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).withColumn("chunk", F.shiftright("word", BLOOM_CHUNK_BITS))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for b in batches:
+            word, mask, chunk = (c.to_numpy() for c in b.columns)
+            for k in np.unique(chunk).tolist():
+                mine = chunk == k
+                chunks.setdefault(k, np.zeros(1 << BLOOM_CHUNK_BITS, dtype=np.int64))[word[mine] & ((1 << BLOOM_CHUNK_BITS) - 1)] = mask[mine]
+        for k, part in chunks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.astype("<i8").tobytes()], pa.binary())], ["chunk", "masks"])
+
+    # a binary row for each chunk of the filter reaches the driver
+    found = whole.select("word", "mask", "chunk").repartition("chunk").mapInArrow(pack, "chunk long, masks binary").toArrow()
     discard(keys)
     out = np.zeros(words, dtype=np.int64)
-    out[found["word"].to_numpy()] = found["mask"].to_numpy()
+    for k, masks in zip(found["chunk"].to_pylist(), found["masks"].to_pylist(), strict=True):
+        out[k << BLOOM_CHUNK_BITS : (k + 1) << BLOOM_CHUNK_BITS] = np.frombuffer(masks, dtype="<i8")
     return out.view(np.uint64)
 
 

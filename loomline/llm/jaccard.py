@@ -48,6 +48,8 @@ PAIRS_A_PLACE = 256
 BLOCK = 1024
 #: Expected candidates at which a class's prefix gets one shingle longer.
 COSTS = (64, 1024, 16_384)
+#: Bytes of the longest words that are hashed all together; longer ones go by a cryptographic hash.
+LONG = 32
 #: Shingles that the sketch counts so often, or so many times its mean, are dealt over groups of their own, by class.
 HEAVY, HEAVY_TIMES = 20_000, 4
 
@@ -81,6 +83,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def long_word(word: bytes) -> int:
+    """The hash of a long word: different words that a polynomial modulo 2^64 can't tell apart have hundreds of letters."""
+    return int.from_bytes(hashlib.blake2b(word.lower(), digest_size=8).digest(), "little")
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
@@ -91,6 +98,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     up, down = powers(len(data))
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(LETTER[data] * up, dtype=np.uint64)])
     word = mix((total[last] - total[first]) * down[first])
+    for i in np.flatnonzero(last - first > LONG).tolist():
+        word[i] = long_word(data[first[i] : last[i]].tobytes())
     bounds = np.searchsorted(first, ends_of)
     full = np.zeros(0, dtype=np.uint64)
     if len(word) >= WORDS:
@@ -478,9 +487,9 @@ def cluster_pairs(known: DataFrame, classes: DataFrame, percent: int) -> DataFra
     """Pairs (a, b) of classes of one cluster and different components whose signatures leave room for the similarity.
 
     All classes of a cluster are compared, in blocks of about BLOCK of them, but only such pairs leave a block. A cluster
-    of two is a star, whose pair is known.
+    of two is a star, whose pair is known; clusters of one component have no such pair and are not sent at all.
     """
-    sizes = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select(F.col("cluster").alias("c"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    sizes = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("size > 2 AND low <> high").select(F.col("cluster").alias("c"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = known.join(sizes, F.col("cluster") == F.col("c")).select(F.col("key").alias("k"), "comp", "cluster", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own"))
     rows = rows.join(classes, F.col("k") == F.col("key")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "comp", "n", "sign")

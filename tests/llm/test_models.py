@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.llm import html, jaccard, pii, quality, topk
@@ -155,6 +156,34 @@ def test_clashing_keys_and_odd_ids(spark):
     assert len(out) == 6 and {r["component_id"] for r in out if r["n_shingles"]} == {7}
 
 
+def test_long_words_that_a_polynomial_confuses_are_told_apart(spark):
+    """The Thue-Morse word and its complement are equal to any polynomial hash modulo 2^64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    sets = jaccard.shingle_sets([one.encode(), other.encode(), one.upper().encode(), (one[:40] + "B").encode(), (one[:40] + "b").encode()])
+    assert sets[0] != sets[1] and sets[0] == sets[2] and sets[3] == sets[4]
+    df = spark.createDataFrame([(1, one), (2, other), (3, one.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_components(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_clusters_of_one_component_send_nothing(spark):
+    known = spark.range(5000).select(F.col("id").alias("key"), F.lit(1).alias("cluster"), F.lit(0).cast("long").alias("comp"))
+    classes = known.select("key", F.lit(3).alias("n"), F.lit(b"01234567").alias("sign"))
+    assert jaccard.cluster_pairs(known, classes, 80).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000, 40_000])
+def test_filters_hold_every_key(spark, n):
+    from loomline.llm.common import bloom_of, bloom_test
+
+    keys = spark.range(n).select(F.xxhash64("id").alias("k"))
+    words = bloom_of(keys, "k")
+    mine = keys.toPandas()["k"].to_numpy().view(np.uint64) if n else np.zeros(0, np.uint64)
+    assert bloom_test(words, mine).all()
+    others = spark.range(1 << 40, (1 << 40) + 2000).select(F.xxhash64("id").alias("k")).toPandas()["k"].to_numpy().view(np.uint64)
+    assert bloom_test(words, others).mean() < 0.1
+
+
 def test_signatures_bound_the_difference():
     rng = np.random.default_rng(9)
     for _ in range(200):
