@@ -110,6 +110,13 @@ def first_batches(df: DataFrame, key: str, size: int, most: int, seed: int | Non
     return batches(df, key, size, seed).where(F.col("batch") < most)
 
 
-def pad_right(ids: Column, n: int, value: Column) -> Column:
-    """A list cut or filled up to n tokens."""
-    return F.slice(F.concat(ids, F.array_repeat(value, F.greatest(F.lit(0), F.lit(n) - F.size(ids)))), 1, n)
+def collate(df: DataFrame, key: str, ids: str, size: int, value) -> DataFrame:
+    """Batches of `size` rows in key order, each list filled with `value` up to the longest of its batch; nothing is cut.
+    `mask` is 1 on tokens and 0 on what was filled. Null lists count as empty."""
+    from pyspark.sql import Window as W
+
+    rows = batches(df.withColumn(ids, F.coalesce(F.col(ids), F.array().cast(df.schema[ids].dataType))), key, size)
+    n, longest = F.size(ids), F.max(F.size(ids)).over(W.partitionBy("batch"))
+    filled = rows.withColumn("__gap", longest - n)
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), F.col("__gap")))
+    return filled.withColumns({"mask": mask, ids: F.concat(F.col(ids), F.array_repeat(F.lit(value).cast(df.schema[ids].dataType.elementType), F.col("__gap")))}).drop("__gap")

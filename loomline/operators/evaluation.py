@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_hash
+from ..functions.draws import draw_hash, uniform
 from ..functions.formats import choice_letter
-from .ordering import bounded
+from .ordering import bounded, rank
 
 
 def micro_perplexity(loss: str, valid: str) -> tuple[Column, Column]:
@@ -81,9 +81,53 @@ def multiple_choice(df: DataFrame, key: str, truth: str, values: DataFrame, valu
     own = df.select(key, F.col(truth).alias("__t")).join(bounded(values.select(F.col(value).alias("__v")), 1000, value), F.col("__t") != F.col("__v"))
     order = W.partitionBy(key).orderBy(draw_hash(seed, F.concat(F.col(key).cast("string"), F.lit("|"), "__v")), "__v")
     others = own.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= wrong).groupBy(key, "__t").agg(F.collect_list("__v").alias("__o"))
-    shuffled = F.array_sort(F.transform(F.array_append("__o", F.col("__t")), lambda v: F.struct(F.md5(F.concat(F.lit(f"{seed + 1}:"), F.col(key).cast("string"), F.lit("|"), v)).alias("h"), v.alias("v"))))
-    out = others.withColumn("choices", F.transform(shuffled, lambda s: s["v"]))
-    return out.select(key, "choices", choice_letter((F.array_position("choices", F.col("__t")) - 1).cast("int")).alias("answer"))
+    return lettered(others, key, "__t", "__o", seed)
+
+
+def distractors(questions: DataFrame, key: str, truth: str, rows: DataFrame, value: str, wrong: int = 3, seed: int = 1, first: int = 8) -> DataFrame:
+    """(key, truth, others): `wrong` different values other than the truth, in the order in which rows drawn at random with
+    replacement bring them, so that frequent values come oftener.
+
+    Draw j of a question takes the row whose number a hash of both says, found by an equi-join on the number; questions
+    that lack values draw on, twice as often each round. Null values are never drawn; questions without a key or a truth
+    are left out. Fewer than `wrong` + 1 different values are an error, as not every question could be answered.
+    """
+    from ..sources.workspace import new_folder
+
+    spark = rows.sparkSession
+    numbered = rank(rows.select(F.col(value).alias("__v")).where("__v IS NOT NULL"), ["__v"], "__place")
+    n, kinds = numbered.count(), numbered.select("__v").distinct().limit(wrong + 1).count()
+    if kinds <= wrong:
+        raise ValueError(f"{value} has no more than {kinds} values")
+    left = questions.select(F.col(key).alias("__q"), F.col(truth).alias("__t")).where("__q IS NOT NULL AND __t IS NOT NULL")
+    found, done, low, many = None, None, 0, first
+    while True:
+        draws = left.select("__q", "__t", F.explode(F.sequence(F.lit(low), F.lit(low + many - 1))).alias("__j"))
+        place = F.floor(uniform(seed, F.concat_ws("|", F.col("__q").cast("string"), F.col("__j").cast("string"))) * n)
+        met = draws.withColumn("__place", place).join(numbered, "__place").where("__v <> __t").select("__q", "__t", "__v", "__j")
+        met = met if found is None else met.unionByName(found)
+        best = met.groupBy("__q", "__t", "__v").agg(F.min("__j").alias("__j"))
+        kept = best.withColumn("__r", F.row_number().over(W.partitionBy("__q", "__t").orderBy("__j"))).where(F.col("__r") <= wrong)
+        counted = kept.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("__q", "__t")))
+        folder = new_folder(spark, "distractors")
+        counted.write.parquet(folder)
+        counted = spark.read.parquet(folder)
+        ready = counted.where(F.col("__n") == wrong)
+        done = ready if done is None else done.unionByName(ready)
+        left = left.join(ready.select("__q", "__t"), ["__q", "__t"], "left_anti")
+        if left.isEmpty():
+            break
+        found = counted.where(F.col("__n") < wrong).select("__q", "__t", "__v", "__j")
+        low, many = low + many, 2 * many
+    out = done.groupBy("__q", "__t").agg(F.array_sort(F.collect_list(F.struct("__j", "__v"))).alias("__o"))
+    return out.select(F.col("__q").alias(key), F.col("__t").alias(truth), F.transform("__o", lambda o: o["__v"]).alias("others"))
+
+
+def lettered(df: DataFrame, key: str, truth: str, others: str, seed: int = 1) -> DataFrame:
+    """(key, choices, answer): truth and others in a seeded order, and the truth's letter."""
+    shuffled = F.array_sort(F.transform(F.array_append(others, F.col(truth)), lambda v: F.struct(F.md5(F.concat(F.lit(f"{seed + 1}:"), F.col(key).cast("string"), F.lit("|"), v)).alias("h"), v.alias("v"))))
+    out = df.withColumn("choices", F.transform(shuffled, lambda s: s["v"]))
+    return out.select(key, "choices", choice_letter((F.array_position("choices", F.col(truth)) - 1).cast("int")).alias("answer"))
 
 
 def flat_results(df: DataFrame, results: str, wanted: list[str]) -> DataFrame:

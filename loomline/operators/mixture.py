@@ -39,6 +39,22 @@ def weighted_draws(spark, sources: DataFrame, source: str, weight: str, n: int,
     return draws.join(parts, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", source)
 
 
+def two_level_draws(spark, groups: DataFrame, group: str, weight: str, folders: DataFrame, folder: str, size: str, n: int, seed: int) -> DataFrame:
+    """(draw, group, folder): a group by its weight, then one of its folders by size. Groups without folders are an error.
+
+    Both lists are broadcast; more than 100,000 entries are an error.
+    """
+    if not groups.where(F.col(weight) > 0).join(folders, group, "left_anti").isEmpty():
+        raise ValueError("a group has no folders")
+    first = weighted_draws(spark, groups, group, weight, n, seed)
+    own = W.partitionBy(group).orderBy(folder)
+    total = F.sum(F.col(size).cast("double")).over(W.partitionBy(group))
+    upper = folders.select(group, folder, (F.sum(F.col(size).cast("double")).over(own.rowsBetween(W.unboundedPreceding, 0)) / total).alias("hi"))
+    parts = bounded(upper.withColumn("lo", F.coalesce(F.lag("hi").over(own), F.lit(0.0))), 100_000, folder)
+    draws = first.withColumn("u", uniform(seed + 1, F.col("draw")))
+    return draws.join(parts, group).where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", group, folder)
+
+
 def pick_rows(draws: DataFrame, rows: DataFrame, source: str, key: str, seed: int) -> DataFrame:
     """(draw, source, key): a uniform row of each draw's source. Rows are ranked within buckets of a source by a hash."""
     hashed = rows.select(source, key).withColumn("__b", F.conv(F.substring(draw_hash("rows", F.col(key)), 1, 2), 16, 10).cast("int"))

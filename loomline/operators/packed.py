@@ -38,6 +38,24 @@ def encode_packed(df: DataFrame, key: str, text: str, path: str, end: int | None
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, data binary, n long").withColumnRenamed("key", key)
 
 
+def packed_lists(df: DataFrame, ids: str, name: str, dtype: str = "uint16") -> DataFrame:
+    """df with the lists of ids as packed bytes, in a column of that name in their place; ids that the type can't hold are
+    an error."""
+    others = [c for c in df.columns if c != ids]
+    limits, schema = np.iinfo(dtype), df.select(*others).schema.add(name, "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype(dtype).newbyteorder("<")
+        for b in batches:
+            lists = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else np.zeros(0, np.int64) for x in b.column(b.num_columns - 1)]
+            if any(len(x) and (x.min() < limits.min or x.max() > limits.max) for x in lists):
+                raise ValueError(f"an id doesn't fit {dtype}")
+            data = pa.array([x.astype(kind).tobytes() for x in lists], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], data], [*others, name])
+
+    return df.select(*others, ids).mapInArrow(run, schema)
+
+
 def size(data: str | Column, width: int) -> Column:
     """Ids in a packed value."""
     return F.expr(f"octet_length({data}) div {width}").cast("bigint") if isinstance(data, str) else F.floor(F.octet_length(data) / width).cast("bigint")

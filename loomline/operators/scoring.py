@@ -152,9 +152,13 @@ def exploded(store: DataFrame, keys: list[str], column: str = "topk") -> DataFra
     return store.select(*keys, F.explode(column).alias("e")).select(*keys, F.col("e.idx").alias("idx"), F.col("e.prob").alias("prob"))
 
 
-def ensemble(stores: list[DataFrame], keys: list[str], out_k: int | None = None) -> DataFrame:
+def ensemble(stores: list[DataFrame], keys: list[str], out_k: int | None = None, fallback: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(keys, topk): the mean of several top-k stores. A token a store lacks counts 0 there; the out_k largest stay, ties
-    in the order of the first store, then by index; their sum is brought to 1. out_k is the largest input k if not given."""
+    in the order of the first store, then by index; their sum is brought to 1. out_k is the largest input k if not given.
+
+    fallback names a list of indices of the first store: where fewer than out_k tokens are known, those of the list that
+    are not among them follow at probability 0. carry names columns of the first store that stay, such as targets.
+    """
     n = len(stores)
     if out_k is None:
         out_k = max(s.agg(F.max(F.size("topk"))).first()[0] or 0 for s in stores)
@@ -165,7 +169,17 @@ def ensemble(stores: list[DataFrame], keys: list[str], out_k: int | None = None)
     means = rows.groupBy(*keys, "idx").agg((F.sum("prob") / n).alias("prob"), F.min(F.struct("model", "__pos")).alias("seen"))
     ranked = means.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.round("prob", 9).desc(), "seen", "idx"))).where(F.col("r") <= out_k)
     packed = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "idx", "prob"))).alias("t"), F.sum("prob").alias("s"))
-    return packed.select(*keys, F.transform("t", lambda e: F.struct(e["idx"].alias("idx"), F.when(F.col("s") > 0, e["prob"] / F.col("s")).otherwise(e["prob"]).alias("prob"))).alias("topk"))
+    out = packed.select(*keys, F.transform("t", lambda e: F.struct(e["idx"].alias("idx"), F.when(F.col("s") > 0, e["prob"] / F.col("s")).otherwise(e["prob"]).alias("prob"))).alias("topk"))
+    if fallback is None and not carry:
+        return out
+    own = stores[0].select(*keys, *carry, *([F.col(fallback).alias("__fallback")] if fallback else []))
+    out = out.join(own, keys)
+    if fallback:
+        kind = out.schema["topk"].dataType.elementType["idx"].dataType
+        unused = F.array_except(F.transform("__fallback", lambda i: i.cast(kind)), F.transform("topk", lambda e: e["idx"]))
+        more = F.slice(unused, F.lit(1), F.greatest(F.lit(out_k) - F.size("topk"), F.lit(0)))
+        out = out.withColumn("topk", F.concat("topk", F.transform(more, lambda i: F.struct(i.alias("idx"), F.lit(0.0).alias("prob")))))
+    return out.select(*keys, *carry, "topk")
 
 
 def sparse_kl(topk: Column, log_q: Column) -> Column:

@@ -61,6 +61,27 @@ def file_order(files: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("place", (F.row_number().over(W.orderBy("step", "ts", name)) - 1).cast("bigint"))
 
 
+def write_named(rows: DataFrame, folder: str, name: str) -> None:
+    """Rows of COLUMNS under the names of their files, in order of row and position."""
+    rows.repartition(name).sortWithinPartitions(name, "row", "t").write.partitionBy(name).parquet(folder)
+
+
+def load_in_order(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The whole store with `sample`, each row's number in the order of files (step, time, name) and of rows in them.
+
+    Files are counted where they lie; their list, one row a file, is broadcast, and more than a million are an error.
+    """
+    from pyspark.sql import Window as W
+
+    from .ordering import bounded
+
+    rows = spark.read.parquet(folder).withColumns({"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    files = file_order(rows.groupBy(name, "__path").agg(F.count(F.lit(1)).alias("__n")), name)
+    before = F.coalesce(F.sum("__n").over(W.orderBy("place", "__path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = bounded(files.select(F.col("__path").alias("__of"), before.alias("__base")), 1_000_000, "the list of files")
+    return rows.join(bases, F.col("__path") == F.col("__of")).withColumn("sample", F.col("__base") + F.col("__row")).drop("__path", "__row", "__of", "__base")
+
+
 def pad_topk(topk: Column, fallback: Column, k: int) -> Column:
     """A list of (idx, prob) filled up to k entries with fallback indices that it doesn't hold, at probability 0."""
     chosen = F.transform(topk, lambda e: e["idx"])

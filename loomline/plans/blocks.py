@@ -8,6 +8,8 @@ from ..functions.draws import sql_uniform
 from ..operators import blocks as B
 from ..operators import mixture as M
 from ..session import table
+from ..sources import readers as R
+from ..sources.workspace import new_folder
 
 WEIGHTS = [("src0", 50.0), ("src1", 25.0), ("src2", 25.0)]
 END = "¶"
@@ -59,7 +61,23 @@ def two_level_draw(s, d):
     return out[0].unionByName(out[1]).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
+LANGS = [("de", 40.0), ("en", 30.0), ("es", 20.0), ("fr", 10.0)]
+
+
+def two_level_files(s, d):
+    """A language by its weight, then one of its folders by the size of the files in it."""
+    root = new_folder(s, "folders")
+    docs = table(s, d, "documents").select(F.concat_ws("-", "lang", "source").alias("folder"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("folder").write.partitionBy("folder").text(root)
+    sizes = R.folder_sizes(s, root, "folder=").select(F.element_at(F.split("folder", "="), -1).alias("folder"), "bytes")
+    sizes = sizes.withColumn("lang", F.substring_index("folder", "-", 1))
+    groups = s.createDataFrame(LANGS, "lang string, weight double")
+    n = table(s, d, "documents").count()
+    return M.two_level_draws(s, groups, "lang", "weight", sizes, "folder", "bytes", n, 21).groupBy("lang", "folder").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "two_level_files": two_level_files,
     "pack_blocks": lambda s, d: _blocks(s, d, 256, end=False).select(F.col("block").cast("bigint").alias("block"), _md5("ids").alias("md5"), "n_docs"),
     "pack_eod": lambda s, d: _text_blocks(s, d, 513).select(F.col("block").cast("bigint").alias("block"), F.md5(F.col("text").cast("binary")).alias("md5"), "n_docs"),
     "pack_budget": lambda s, d: B.pack_budget(table(s, d, "documents").select("doc_id", "text"), "doc_id", F.length("text") + 1, 100_000).select("doc_id", "offset", F.col("taken").cast("bigint").alias("taken")),
@@ -100,6 +118,9 @@ SQL = {
     "weighted_draw": f"WITH {_iv} SELECT draw, source FROM dr",
     "weighted_draw_rows": f"WITH {_iv}, r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY substr(md5('rows:' || doc_id), 1, 2), doc_id) - 1 AS rank, count(*) OVER (PARTITION BY source) AS size FROM documents), z AS (SELECT DISTINCT source, size FROM r), c AS (SELECT draw, dr.source, floor({sql_uniform(12, 'draw')} * size)::BIGINT AS rank FROM dr JOIN z USING (source)) SELECT source, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM c JOIN r USING (source, rank) GROUP BY source",
     "two_level_draw": f"WITH f AS (SELECT i AS draw, CASE WHEN {sql_uniform(21, 'i')} < 0.6 THEN 'de' ELSE 'en' END AS lang, {sql_uniform(22, 'i')} AS u FROM range(1000) t(i)), z AS (SELECT lang, source, sum(octet_length(encode(text)))::DOUBLE AS bytes FROM documents WHERE lang IN ('de', 'en') GROUP BY lang, source), iv AS (SELECT lang, source, sum(bytes) OVER (PARTITION BY lang ORDER BY source) / sum(bytes) OVER (PARTITION BY lang) AS hi, (sum(bytes) OVER (PARTITION BY lang ORDER BY source) - bytes) / sum(bytes) OVER (PARTITION BY lang) AS lo FROM z) SELECT f.lang, source, count(*) AS n FROM f JOIN iv ON f.lang = iv.lang AND u >= lo AND u < hi GROUP BY f.lang, source",
+    "two_level_files": f"""WITH g AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {w}::DOUBLE)" for k, w in LANGS)}) g(lang, weight)), gi AS (SELECT lang, sum(weight) OVER (ORDER BY lang) / sum(weight) OVER () AS hi, (sum(weight) OVER (ORDER BY lang) - weight) / sum(weight) OVER () AS lo FROM g),
+z AS (SELECT lang, lang || '-' || source AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1)::DOUBLE AS bytes FROM documents GROUP BY lang, source), fi AS (SELECT lang, folder, sum(bytes) OVER (PARTITION BY lang ORDER BY folder) / sum(bytes) OVER (PARTITION BY lang) AS hi, (sum(bytes) OVER (PARTITION BY lang ORDER BY folder) - bytes) / sum(bytes) OVER (PARTITION BY lang) AS lo FROM z),
+f AS (SELECT {sql_uniform(21, 'i')} AS u, {sql_uniform(22, 'i')} AS v FROM range((SELECT count(*) FROM documents)) t(i)) SELECT gi.lang, fi.folder, count(*) AS n FROM f JOIN gi ON u >= gi.lo AND u < gi.hi JOIN fi ON fi.lang = gi.lang AND v >= fi.lo AND v < fi.hi GROUP BY gi.lang, fi.folder""",
     "mixture_report": f"WITH {_iv} SELECT w.source, count(draw) AS n, round(count(draw) / sum(count(draw)) OVER (), 6) AS used, round(any_value(weight) / sum(any_value(weight)) OVER (), 6) AS expected, round(count(draw) / sum(count(draw)) OVER () - any_value(weight) / sum(any_value(weight)) OVER (), 6) AS difference FROM w LEFT JOIN dr ON w.source = dr.source GROUP BY w.source",
     "seed_fan_out": "SELECT i AS seed, source, 'out/seed' || i || '/' || source AS path FROM range(1, 7) t(i), (VALUES ('src0'), ('src1'), ('src2')) w(source)",
 }

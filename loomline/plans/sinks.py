@@ -8,13 +8,16 @@ from ..functions.formats import clip
 from ..operators import analytics as A
 from ..operators import blocks as B
 from ..operators import corpus as C
+from ..functions.draws import sql_uniform
 from ..operators import evaluation as E
+from ..operators import packed as N
 from ..operators import prompts as P
 from ..operators import tokens as K
 from ..session import table
 from ..sources import readers as R
 from ..sources import sinks as S
 from ..sources import tokenfiles as T
+from ..sources import tokensource as W
 from ..sources.workspace import new_folder
 from ..streaming import metrics as M
 from .files import _C, _codes, _sum
@@ -29,10 +32,11 @@ def line_sink(s, d):
 
 
 def metric_log(s, d):
+    """Two steps, the second of them written twice: the last write counts, be it the smaller one."""
     folder = new_folder(s, "metrics")
     labels = table(s, d, "labels")
-    for step in (1, 2):
-        rows = labels.where(c("quality") < step).groupBy("toxic").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    for step, below in ((1, 1), (2, 2), (2, 1)):
+        rows = labels.where(c("quality") < below).groupBy("toxic").agg(F.count(F.lit(1)).cast("string").alias("n"))
         maps = rows.select(F.create_map(F.concat(F.lit("toxic"), c("toxic").cast("string"), F.lit("_ppl")), F.create_map(F.lit("alias"), F.lit("x"), F.lit("n"), "n")).alias("results"))
         S.append_metrics(E.flat_results(maps, "results", ["toxic0_ppl", "toxic1_ppl"]), folder, step)
     return S.read_metrics(s, folder)
@@ -62,11 +66,13 @@ def split_reuse(s, d):
     return out.groupBy("corpus", "split").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
-def _bare(s, d, dtype="uint16"):
-    """The whole corpus as one bare file of tokens."""
+def _bare(s, d):
+    """The whole corpus as one bare file of tokens, written by as many tasks as hold its blocks."""
     folder = new_folder(s, "bare")
-    manifest = T.write_flat(B.pack_blocks(_codes(s, d), "doc_id", "ids", 4096, keep_rest=True), folder, dtype, 4096, parts=1)
-    return f"{folder}/{manifest.first()['name']}"
+    blocks = B.pack_blocks(_codes(s, d), "doc_id", "ids", 4096, keep_rest=True)
+    N.packed_lists(blocks.select("block", "ids"), "ids", "data").write.parquet(f"{folder}/blocks")
+    W.write_bin(s.read.parquet(f"{folder}/blocks"), f"{folder}/tokens.bin", 4096, 2)
+    return f"{folder}/tokens.bin"
 
 
 def flat_bare(s, d):
@@ -86,10 +92,20 @@ def indexed_at(s, d):
     return T.read_indexed(s, folder).select("sample", F.size("ids").cast("bigint").alias("n"), _sum("ids").alias("total"))
 
 
-def indexed_pair(s, d):
+def _pair(s, d):
     folder = new_folder(s, "pair")
-    name = T.write_indexed(_codes(s, d), "doc_id", "ids", folder, parts=1).first()["name"]
-    return T.read_pair(s, f"{folder}/{name}", 8).select("sample", F.size("ids").cast("bigint").alias("n"), _sum("ids").alias("total"))
+    return f"{folder}/" + T.write_indexed(_codes(s, d), "doc_id", "ids", folder, parts=1).first()["name"]
+
+
+def indexed_pair(s, d):
+    return W.read_samples(s, _pair(s, d)).select("sample", F.size("ids").cast("bigint").alias("n"), _sum("ids").alias("total"))
+
+
+def indexed_batch(s, d):
+    """One batch of 48 samples from the middle of the pair, and one sample alone: their ranges are all that is read."""
+    prefix, first = _pair(s, d), table(s, d, "documents").count() // 2
+    rows = W.read_samples(s, prefix, first, first + 48, 16).unionByName(W.read_samples(s, prefix, 3, 4))
+    return rows.select("sample", F.size("ids").cast("bigint").alias("n"), _sum("ids").alias("total"))
 
 
 def whole_files(s, d):
@@ -158,6 +174,20 @@ def multiple_choice_train(s, d):
     return E.multiple_choice(people.where("split = 'val'"), "c_custkey", "c_mktsegment", values, "c_mktsegment").select("c_custkey", F.array_join("choices", "|").alias("choices"), "answer")
 
 
+def multiple_choice_rows(s, d):
+    """Questions about the orders of the validation split; their wrong choices are those of randomly drawn training rows, an
+    attribute of more than a thousand values."""
+    orders = C.exact_split(table(s, d, "orders").select("o_orderkey", c("o_custkey").cast("string").alias("value")), "o_orderkey", 0.1)
+    others = E.distractors(orders.where("split = 'val'"), "o_orderkey", "value", orders.where("split = 'train'"), "value")
+    return E.lettered(others, "o_orderkey", "value", "others").select("o_orderkey", F.array_join("choices", "|").alias("choices"), "answer")
+
+
+def collate_pad(s, d):
+    names = table(s, d, "part").select("p_partkey", F.transform(F.filter(F.split("p_name", ""), lambda x: x != ""), lambda x: F.ascii(x)).alias("ids"))
+    text = lambda ids, by: F.array_join(F.transform(ids, lambda i: i.cast("string")), by)
+    return B.collate(names, "p_partkey", "ids", 16, -1).select("p_partkey", c("batch").cast("bigint").alias("batch"), text("ids", " ").alias("ids"), text("mask", "").alias("mask"))
+
+
 def preview_report(s, d):
     """The report of the first documents, written to a file and read again."""
     path = new_folder(s, "report")
@@ -192,7 +222,9 @@ QUERIES = {
     "qa_formats": qa_formats,
     "fixed_choice": lambda s, d: P.fixed_choice(table(s, d, "customer"), "c_custkey", "c_mktsegment", ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD"]).select("c_custkey", F.array_join("choices", "|").alias("choices"), "answer"),
     "corpus_cut_90_10": lambda s, d: C.corpus_cut(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", 0.9).select("doc_id", c("cut").alias("n_train"), F.md5(F.expr("substring(text, cast(cut as int) + 1)").cast("binary")).alias("val_md5")),
-    "collate_pad": lambda s, d: table(s, d, "nation").select("n_nationkey", F.array_join(F.transform(B.pad_right(F.transform(F.filter(F.split("n_name", ""), lambda x: x != ""), lambda x: F.ascii(x)), 12, F.lit(-1)), lambda i: i.cast("string")), " ").alias("ids")),
+    "collate_pad": collate_pad,
+    "indexed_batch": indexed_batch,
+    "multiple_choice_rows": multiple_choice_rows,
     "cosine_columns": lambda s, d: A.cosine_columns(table(s, d, "embeddings"), "embedding").select(c("i").cast("bigint").alias("i"), c("j").cast("bigint").alias("j"), F.round("cosine", 6).alias("cosine")),
     "similarity_order": lambda s, d: s.createDataFrame(list(enumerate(A.similarity_order(A.cosine_columns(table(s, d, "embeddings"), "embedding"), 64, 0.05))), "place bigint, component bigint"),
     "tokenizer_encode": lambda s, d: K.encode_file(table(s, d, "documents"), "doc_id", "text", _path(), 0).select("doc_id", c("len").cast("bigint").alias("n_tokens"), F.element_at("ids", -1).alias("last_id")),
@@ -214,7 +246,7 @@ SQL = {
     "preview_report": "SELECT 'id: ' || doc_id || chr(10) || 'source: ' || source || chr(10) || CASE WHEN length(text) > 400 THEN left(text, 200) || ' ... [' || (length(text) - 400) || ' omitted] ... ' || right(text, 200) ELSE text END AS report FROM documents ORDER BY doc_id LIMIT 20",
     "first_batches": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 48 AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 48 AS place FROM documents ORDER BY doc_id LIMIT 144",
     "line_sink": "SELECT md5(text) AS md5, count(*) AS n FROM documents GROUP BY text",
-    "metric_log": "SELECT 'toxic' || toxic || '/n' AS name, k::BIGINT AS step, count(*)::DOUBLE AS value FROM labels, range(1, 3) t(k) WHERE quality < k GROUP BY toxic, k",
+    "metric_log": "SELECT 'toxic' || toxic || '/n' AS name, k::BIGINT AS step, count(*) FILTER (quality < 1)::DOUBLE AS value FROM labels, range(1, 3) t(k) GROUP BY toxic, k",
     "vocab_sidecar": "SELECT count(DISTINCT ch)::BIGINT AS size, 50304::BIGINT AS missing FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''",
     "split_reuse": "WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5('2357:' || doc_id), doc_id) <= ceil(count(*) OVER () * 0.01::DOUBLE) AS v FROM documents), u AS (SELECT 'own' AS corpus, CASE WHEN lang = 'de' THEN 'val' ELSE 'train' END AS split, doc_id FROM r UNION ALL SELECT 'none', CASE WHEN v THEN 'val' ELSE 'train' END, doc_id FROM r) SELECT corpus, split, count(*) AS n, min(doc_id) AS first_id FROM u GROUP BY corpus, split",
     "flat_bare": f"{_C} SELECT pos // 4096 AS block, count(*) AS n, sum(tok)::BIGINT AS total, min_by(tok, pos)::BIGINT AS first_token FROM t GROUP BY block",
@@ -228,6 +260,13 @@ SQL = {
     "qa_formats": " UNION ALL ".join(f"SELECT '{k}' AS form, c_custkey, md5({p}) AS prompt_md5, {a} AS answer FROM customer" for k, (p, a) in _PROMPTS.items()),
     "fixed_choice": "SELECT c_custkey, 'BUILDING|AUTOMOBILE|MACHINERY|HOUSEHOLD' AS choices, CASE c_mktsegment WHEN 'BUILDING' THEN '(A)' WHEN 'AUTOMOBILE' THEN '(B)' WHEN 'MACHINERY' THEN '(C)' WHEN 'HOUSEHOLD' THEN '(D)' END AS answer FROM customer",
     "corpus_cut_90_10": "WITH t AS (SELECT doc_id, text, length(text) AS n, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, floor(sum(length(text)) OVER () * 0.9::DOUBLE) AS edge FROM documents), k AS (SELECT doc_id, text, greatest(0, least(n, edge - start))::BIGINT AS cut FROM t) SELECT doc_id, cut AS n_train, md5(substr(text, cut + 1)) AS val_md5 FROM k",
-    "collate_pad": "SELECT n_nationkey, array_to_string(list_concat(list_transform(string_split(left(n_name, 12), ''), lambda x: unicode(x)), list_transform(range(greatest(0, 12 - length(n_name))), lambda i: -1)), ' ') AS ids FROM nation",
+    "collate_pad": "WITH t AS (SELECT p_partkey, p_name, length(p_name) AS n, (row_number() OVER (ORDER BY p_partkey) - 1) // 16 AS batch FROM part), m AS (SELECT *, max(n) OVER (PARTITION BY batch) AS longest FROM t) SELECT p_partkey, batch, array_to_string(list_concat(list_transform(list_filter(string_split(p_name, ''), lambda x: x <> ''), lambda x: unicode(x)), list_transform(range(longest - n), lambda i: -1)), ' ') AS ids, repeat('1', n) || repeat('0', (longest - n)::BIGINT) AS mask FROM m",
+    "indexed_batch": f"WITH t AS (SELECT {_N} FROM documents) SELECT * FROM t WHERE sample >= (SELECT count(*) // 2 FROM t) AND sample < (SELECT count(*) // 2 + 48 FROM t) UNION ALL SELECT * FROM t WHERE sample = 3",
+    "multiple_choice_rows": f"""WITH o AS (SELECT o_orderkey AS k, o_custkey::VARCHAR AS v, row_number() OVER (ORDER BY md5('2357:' || o_orderkey), o_orderkey) <= ceil(count(*) OVER () * 0.1::DOUBLE) AS val FROM orders),
+r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS place FROM o WHERE NOT val), n AS (SELECT count(*) AS n FROM r),
+d AS (SELECT k, o.v AS t, j, floor({sql_uniform(1, "k || '|' || j").replace("cast(k || '|' || j AS VARCHAR)", "k || '|' || j")} * n)::BIGINT AS place FROM o, range(60) x(j), n WHERE val),
+m AS (SELECT k, t, r.v AS v, min(j) AS j FROM d JOIN r USING (place) WHERE r.v <> t GROUP BY ALL), f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY j) <= 3),
+a AS (SELECT k, t, v FROM f UNION ALL SELECT DISTINCT k, t, t FROM f), s AS (SELECT k, t, list(v ORDER BY md5('2:' || k || '|' || v), v) AS vs FROM a GROUP BY k, t)
+SELECT k AS o_orderkey, array_to_string(vs, '|') AS choices, '(' || chr((64 + list_position(vs, t))::INTEGER) || ')' AS answer FROM s""",
     "cosine_columns": "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), p AS (SELECT a.i AS i, b.i AS j, sum(a.x * b.x) AS s, sum(a.x * a.x) AS sa, sum(b.x * b.x) AS sb FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i) SELECT i, j, round(s / sqrt(sa) / sqrt(sb), 6) AS cosine FROM p",
 }

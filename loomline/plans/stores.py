@@ -62,7 +62,25 @@ def store_order(s, d):
     return T.file_order(files.distinct(), "file")
 
 
+def store_in_order(s, d):
+    """The store under names of step, rank and time, read again in the order of its files."""
+    name = F.format_string("topk_step%07d_rank%d_%d.npz", "step", "rank", (c("step") * 7 + c("rank") * 13) % 101)
+    folder = new_folder(s, "named")
+    T.write_named(_rows(s, d).withColumn("file", name), folder, "file")
+    return T.load_in_order(s, folder, "file").select("sample", "file", "row", "t", "x", "y")
+
+
+def ensemble_padded(s, d):
+    """Two stores of 3 and 4 entries made 9 long with the first one's own further indices; targets stay."""
+    first, second = _two(s, d)
+    first = first.withColumns({"own": F.transform("topk", lambda e: e["idx"]), "y": c("y").cast("bigint"), "topk": F.slice("topk", 1, 3)})
+    both = S.ensemble([first, second.select("vec_id", F.slice("topk", 1, 4).alias("topk"))], ["vec_id"], 9, "own", ("y",))
+    return _flat(both).join(both.select("vec_id", "y"), "vec_id")
+
+
 QUERIES = {
+    "store_in_order": store_in_order,
+    "ensemble_padded": ensemble_padded,
     "store_round_trip": lambda s, d: _indices(_stored(s, d), *T.COLUMNS[:-1]),
     "store_probabilities": lambda s, d: _stored(s, d).groupBy("step", "rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(S.total(F.transform("topk", lambda e: e["prob"].cast("double")))), 2).alias("mass")),
     "store_latest": lambda s, d: T.latest(_stored(s, d)),
@@ -99,6 +117,8 @@ def _kept(share: float) -> str:
 
 
 SQL = {
+    "store_in_order": f"{_M}, f AS (SELECT *, printf('topk_step%07d_rank%d_%d.npz', step, rank, (step * 7 + rank * 13) % 101) AS file FROM s) SELECT row_number() OVER (ORDER BY step, (step * 7 + rank * 13) % 101, file, row, t) - 1 AS sample, file, row, t, x, y FROM f",
+    "ensemble_padded": _E + ", u AS (SELECT vec_id, idx, ((CASE WHEN ra <= 3 THEN pa ELSE 0 END) + (CASE WHEN rb <= 4 THEN pb ELSE 0 END)) / 2 AS prob, CASE WHEN ra <= 3 THEN ra ELSE 1000 + rb END AS seen FROM p2 WHERE ra <= 3 OR rb <= 4), v AS (SELECT vec_id, idx, prob / sum(prob) OVER (PARTITION BY vec_id) AS prob, row_number() OVER (PARTITION BY vec_id ORDER BY round(prob, 9) DESC, seen, idx) AS n FROM u), k AS (SELECT vec_id, count(*) AS m FROM v GROUP BY vec_id), f AS (SELECT p2.vec_id, idx, m + row_number() OVER (PARTITION BY p2.vec_id ORDER BY ra) AS n FROM p2 JOIN k USING (vec_id) WHERE ra <= 8 AND ra > 3 AND rb > 4), a AS (SELECT vec_id, n - 1 AS pos, idx, round(prob, 6) AS prob FROM v UNION ALL SELECT vec_id, n - 1, idx, 0.0::DOUBLE FROM f WHERE n <= 9) SELECT a.*, label::BIGINT AS y FROM a JOIN embeddings USING (vec_id)",
     "store_round_trip": _T + " SELECT step, rank, row, t, x, y, idx FROM s JOIN q USING (vec_id)",
     "store_probabilities": _T + " SELECT step, rank, count(*) AS n, round(sum(list_sum(pr)), 2) AS mass FROM s JOIN q USING (vec_id) GROUP BY step, rank",
     "store_latest": _T + " SELECT max(step) AS step, max(rank) AS rank, max(list_max(idx)) AS token FROM s JOIN q USING (vec_id)",

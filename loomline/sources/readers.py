@@ -38,6 +38,12 @@ def read_prefix(spark: SparkSession, root: str, prefix: str, fmt: str = "parquet
     return rows.withColumn("source", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
+def folder_sizes(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """(folder, bytes) of the folders under root whose names start with the prefix, from the file system's listing alone."""
+    files = spark.read.format("binaryFile").load(f"{root}/{prefix}*").select("path", "length")
+    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.sum("length").alias("bytes"))
+
+
 def read_subsets(spark: SparkSession, root: str, names: Sequence[str] | None = None, fmt: str = "json") -> DataFrame:
     """Named subsets under root, or all that lie there, as one table, columns by name."""
     from .sinks import folders

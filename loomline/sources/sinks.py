@@ -30,13 +30,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_metrics(rows: DataFrame, folder: str, step: int) -> None:
-    """Appends (name, value) rows with their step to a log of metrics."""
-    rows.select("name", F.col("value").cast("string").alias("value"), F.lit(step).cast("bigint").alias("step")).write.mode("append").parquet(folder)
+    """Appends (name, value) rows with their step to a log of metrics, under the number of the append. One writer at a time."""
+    spark = rows.sparkSession
+    number = (spark.read.parquet(folder).agg(F.max("number")).first()[0] or 0) + 1 if _exists(spark, folder) else 1
+    out = rows.select("name", F.col("value").cast("string").alias("value"), F.lit(step).cast("bigint").alias("step"), F.lit(number).cast("bigint").alias("number"))
+    out.write.mode("append").parquet(folder)
 
 
 def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """(name, step, value), the last write of a name and step; values that are no numbers are null."""
-    return spark.read.parquet(folder).groupBy("name", "step").agg(F.max("value").cast("double").alias("value"))
+    return spark.read.parquet(folder).groupBy("name", "step").agg(F.max_by("value", "number").cast("double").alias("value"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

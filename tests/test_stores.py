@@ -162,16 +162,16 @@ def test_windows_go_round_the_end(spark):
 
 
 def test_buckets_of_sparse_and_far_ids(spark):
-    from loomline.operators.ordering import even_bucket, rank
+    from loomline.operators.ordering import range_bucket, rank
 
     ids = [-(1 << 63), -5, 0, 1, 2, 3, 10**6, 10**12, 10**15, (1 << 63) - 1]
     df = spark.createDataFrame([(i,) for i in ids], "id long")
-    got = rank(df, ["id"], even_bucket(df, "id", 2)).collect()
+    got = rank(df, ["id"], bucket=range_bucket(df, ["id"], 2)).collect()
     assert {r["id"]: r["rank"] for r in got} == {i: k for k, i in enumerate(sorted(ids))}
     sparse = spark.range(0, 10**9, 10**5)
-    assert rank(sparse, ["id"], even_bucket(sparse, "id", 100)).agg(F.max("rank")).first()[0] == 9999
-    assert sparse.select(even_bucket(sparse, "id", 100)).distinct().count() <= 101
-    assert rank(df.limit(0), ["id"], even_bucket(df.limit(0), "id")).count() == 0
+    assert rank(sparse, ["id"], bucket=range_bucket(sparse, ["id"], 100)).agg(F.max("rank")).first()[0] == 9999
+    assert sparse.select(range_bucket(sparse, ["id"], 100)).distinct().count() <= 101
+    assert rank(df.limit(0), ["id"]).count() == 0
 
 
 def test_templates_are_filled(spark):
