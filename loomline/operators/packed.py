@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from .ordering import running_sum
 
 
-def width_of(dtype: str) -> int:
-    return np.dtype(dtype).itemsize
-
-
 def encode_packed(df: DataFrame, key: str, text: str, path: str, end: int | None = None, dtype: str = "uint16") -> DataFrame:
     """(key, data, n): packed ids by the tokenizer in a public JSON file, an end id after them if asked for. Ids that the
     type can't hold are an error; a null text counts as empty."""
