@@ -45,9 +45,9 @@ def shuffled_head(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("__hash", draw_hash(seed, F.col(key))).orderBy("__hash", key).limit(n).drop("__hash")
 
 
-def characters(df: DataFrame, text: str) -> DataFrame:
-    """(ch): every character of every text. Aggregate it at once: map-side sums keep it small."""
-    return df.select(F.explode(F.split(text, "")).alias("ch")).where("ch <> ''")
+def characters(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(.., ch): every character of every text, beside the columns to keep. Aggregate it at once: map-side sums keep it small."""
+    return df.select(*keep, F.explode(F.split(text, "")).alias("ch")).where("ch <> ''")
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_hash, uniform
-from .ordering import bounded
+from .ordering import bounded, hash_bucket
 
 
 def parse_weights(ratio: str) -> list[float]:
@@ -56,11 +56,12 @@ def two_level_draws(spark, groups: DataFrame, group: str, weight: str, folders:
 
 
 def pick_rows(draws: DataFrame, rows: DataFrame, source: str, key: str, seed: int) -> DataFrame:
-    """(draw, source, key): a uniform row of each draw's source. Rows are ranked within buckets of a source by a hash."""
-    hashed = rows.select(source, key).withColumn("__b", F.conv(F.substring(draw_hash("rows", F.col(key)), 1, 2), 16, 10).cast("int"))
+    """(draw, source, key): a uniform row of each draw's source. Rows are ranked by a hash, within as many buckets as they ask for."""
+    hashed = rows.select(source, key, draw_hash("rows", F.col(key)).alias("__h"))
+    hashed = hashed.withColumn("__b", hash_bucket(hashed, "__h"))
     counts = hashed.groupBy(source, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy(source).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = hashed.withColumn("__own", F.row_number().over(W.partitionBy(source, "__b").orderBy(key)) - 1).join(before, [source, "__b"])
+    ranked = hashed.withColumn("__own", F.row_number().over(W.partitionBy(source, "__b").orderBy("__h", key)) - 1).join(before, [source, "__b"])
     ranked = ranked.select(source, key, (F.col("__before") + F.col("__own")).alias("__rank"))
     sizes = rows.groupBy(source).agg(F.count(F.lit(1)).alias("__size"))
     chosen = draws.join(sizes, source).withColumn("__rank", F.floor(uniform(seed, F.col("draw")) * F.col("__size")))

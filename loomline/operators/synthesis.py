@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
 
-#: Each category's share, and its templates; those in ADDS suit additions only and give way to the first of their category.
+#: Each category's share, and its templates; those in ADDS suit additions only.
 SHARES = {"plain": 0.25, "story": 0.35, "choice": 0.25, "check": 0.15}
 TEMPLATES = {
     "plain": [
@@ -37,21 +37,33 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
-def arithmetic(spark, n: int, most: int, seed: int) -> DataFrame:
-    """(id, text): n sentences; differences never fall below 0; a template for additions only gives way to the first of its category."""
-    u = lambda k: uniform(f"{seed}.{k}", F.col("id"))
+def forms() -> list[tuple[float, float, str, str]]:
+    """(from, to, operator, template): the share of [0, 1) of each operator and template. A difference that falls on a
+    template for additions only is drawn again as a whole, so the others share its place in proportion."""
+    weights = [(SHARES[k] / len(kind) / 2, op, t) for k, kind in TEMPLATES.items() for i, t in enumerate(kind) for op in "+-" if op == "+" or i not in ADDS.get(k, ())]
+    total, below, out = sum(w for w, _, _ in weights), 0.0, []
+    for w, op, t in weights:
+        out.append((round(below / total, 9), round((below + w) / total, 9), op, t))
+        below += w
+    return out[:-1] + [(out[-1][0], 1.0, *out[-1][2:])]
+
+
+def sentences(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """Adds `text`, a sentence drawn for each row by its key; numbers are at most `most`, differences never below 0. Rows of
+    one key get one sentence, null keys too."""
+    u = lambda k: uniform(f"{seed}.{k}", F.coalesce(F.col(key).cast("string"), F.lit("")))
     pick = lambda k, size: F.floor(u(k) * size)
-    rows = spark.range(n).select("id", pick("a", most + 1).alias("x"), pick("b", most + 1).alias("y"), F.when(u("op") < 0.5, "+").otherwise("-").alias("op"), u("cat").alias("u"))
-    rows = rows.withColumns({"a": F.when((F.col("op") == "-"), F.greatest("x", "y")).otherwise(F.col("x")), "b": F.when(F.col("op") == "-", F.least("x", "y")).otherwise(F.col("y"))})
-    rows = rows.withColumn("c", F.when(F.col("op") == "+", F.col("a") + F.col("b")).otherwise(F.col("a") - F.col("b")))
-    template, below = None, 0.0
-    for name, share in SHARES.items():
-        kind, adds = TEMPLATES[name], ADDS.get(name, set())
-        at = pick(f"t.{name}", len(kind)).cast("int")
-        at = F.when((F.col("op") == "-") & at.isin(*adds), 0).otherwise(at) if adds else at
-        one = F.element_at(F.array(*map(F.lit, kind)), at + 1)
-        below += share
-        template = F.when(F.col("u") < round(below, 9), one) if template is None else template.when(F.col("u") < round(below, 9), one)
-    wrong = F.col("c") + F.element_at(F.array(*map(F.lit, (-2, -1, 1, 2))), (pick("w", 4) + 1).cast("int"))
-    values = {k: F.col(k) for k in ("a", "op", "b", "c")} | {"w": wrong, "d1": F.col("c") + 1 + pick("d1", 10), "d2": F.col("c") + 11 + pick("d2", 10)}
-    return rows.select("id", fill(template, values).alias("text"))
+    table = F.array(*[F.struct(F.lit(hi).alias("hi"), F.lit(op).alias("op"), F.lit(t).alias("text")) for _, hi, op, t in forms()])
+    form = F.element_at(F.transform(F.array(u("form")), lambda x: F.element_at(F.filter(table, lambda f: f["hi"] > x), 1)), 1)
+    drawn = rows.withColumns({"__form": form, "__x": pick("a", most + 1), "__y": pick("b", most + 1)}).withColumn("__op", F.col("__form.op"))
+    minus = F.col("__op") == "-"
+    drawn = drawn.withColumns({"__a": F.when(minus, F.greatest("__x", "__y")).otherwise(F.col("__x")), "__b": F.when(minus, F.least("__x", "__y")).otherwise(F.col("__y"))})
+    drawn = drawn.withColumn("__c", F.when(minus, F.col("__a") - F.col("__b")).otherwise(F.col("__a") + F.col("__b")))
+    wrong = F.col("__c") + F.element_at(F.array(*map(F.lit, (-2, -1, 1, 2))), (pick("w", 4) + 1).cast("int"))
+    values = {k: F.col(f"__{k}") for k in ("a", "op", "b", "c")} | {"w": wrong, "d1": F.col("__c") + 1 + pick("d1", 10), "d2": F.col("__c") + 11 + pick("d2", 10)}
+    return drawn.select(*rows.columns, fill(F.col("__form.text"), values).alias("text"))
+
+
+def arithmetic(spark, n: int, most: int, seed: int) -> DataFrame:
+    """(id, text): n sentences."""
+    return sentences(spark.range(n), "id", most, seed)

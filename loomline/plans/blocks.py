@@ -11,7 +11,6 @@ from ..session import table
 from ..sources import readers as R
 from ..sources.workspace import new_folder
 
-WEIGHTS = [("src0", 50.0), ("src1", 25.0), ("src2", 25.0)]
 END = "¶"
 
 
@@ -44,14 +43,6 @@ def shift_xy(s, d):
     return _text_blocks(s, d, 65).select(F.col("block").cast("bigint").alias("block"), F.substring("text", 1, 64).alias("x"), F.substring("text", 2, 64).alias("y"))
 
 
-def _sources(s):
-    return s.createDataFrame(WEIGHTS, "source string, weight double")
-
-
-def _draws(s):
-    return M.weighted_draws(s, _sources(s), "source", "weight", 2000, 11)
-
-
 def two_level_draw(s, d):
     docs = table(s, d, "documents")
     groups = s.createDataFrame([("de", 60.0), ("en", 40.0)], "lang string, weight double")
@@ -87,11 +78,7 @@ QUERIES = {
     "shift_xy": shift_xy,
     "batch_sequential": lambda s, d: B.batches(table(s, d, "documents").select("doc_id"), "doc_id", 48).select("doc_id", F.col("batch").cast("bigint").alias("batch"), F.col("place").cast("bigint").alias("place")),
     "batch_shuffled": lambda s, d: B.batches(table(s, d, "documents").select("doc_id"), "doc_id", 48, 5).select("doc_id", F.col("batch").cast("bigint").alias("batch"), F.col("place").cast("bigint").alias("place")),
-    "weighted_draw": lambda s, d: _draws(s),
-    "weighted_draw_rows": lambda s, d: M.pick_rows(_draws(s), table(s, d, "documents"), "source", "doc_id", 12).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")),
     "two_level_draw": two_level_draw,
-    "mixture_report": lambda s, d: M.mixture_report(_draws(s), _sources(s), "source", "weight").select("source", "n", *[F.round(c, 6).alias(c) for c in ("used", "expected", "difference")]),
-    "seed_fan_out": lambda s, d: s.range(1, 7).select(F.col("id").alias("seed")).crossJoin(F.broadcast(_sources(s))).select("seed", "source", F.concat(F.lit("out/seed"), F.col("seed").cast("string"), F.lit("/"), "source").alias("path")),
 }
 
 
@@ -104,7 +91,6 @@ b AS (SELECT block::BIGINT AS block, string_agg(part, '' ORDER BY start) AS text
 """
 
 
-_iv = "w AS (SELECT * FROM (VALUES ('src0', 50.0::DOUBLE), ('src1', 25.0), ('src2', 25.0)) w(source, weight)), iv AS (SELECT source, sum(weight) OVER (ORDER BY source) / sum(weight) OVER () AS hi, (sum(weight) OVER (ORDER BY source) - weight) / sum(weight) OVER () AS lo FROM w), dr AS (SELECT draw, source FROM (SELECT i AS draw, " + sql_uniform(11, "i") + " AS u FROM range(2000) t(i)) JOIN iv ON u >= lo AND u < hi)"
 SQL = {
     "pack_blocks": _packed("", 256) + "SELECT block, md5(text) AS md5, n_docs FROM b",
     "pack_eod": _packed(END, 513) + "SELECT block, md5(text) AS md5, n_docs FROM b",
@@ -115,12 +101,8 @@ SQL = {
     "shift_xy": _packed(END, 65) + "SELECT block, left(text, 64) AS x, right(text, 64) AS y FROM b",
     "batch_sequential": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 48 AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 48 AS place FROM documents",
     "batch_shuffled": "SELECT doc_id, (row_number() OVER (ORDER BY md5('5:' || doc_id), doc_id) - 1) // 48 AS batch, (row_number() OVER (ORDER BY md5('5:' || doc_id), doc_id) - 1) % 48 AS place FROM documents",
-    "weighted_draw": f"WITH {_iv} SELECT draw, source FROM dr",
-    "weighted_draw_rows": f"WITH {_iv}, r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY substr(md5('rows:' || doc_id), 1, 2), doc_id) - 1 AS rank, count(*) OVER (PARTITION BY source) AS size FROM documents), z AS (SELECT DISTINCT source, size FROM r), c AS (SELECT draw, dr.source, floor({sql_uniform(12, 'draw')} * size)::BIGINT AS rank FROM dr JOIN z USING (source)) SELECT source, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM c JOIN r USING (source, rank) GROUP BY source",
     "two_level_draw": f"WITH f AS (SELECT i AS draw, CASE WHEN {sql_uniform(21, 'i')} < 0.6 THEN 'de' ELSE 'en' END AS lang, {sql_uniform(22, 'i')} AS u FROM range(1000) t(i)), z AS (SELECT lang, source, sum(octet_length(encode(text)))::DOUBLE AS bytes FROM documents WHERE lang IN ('de', 'en') GROUP BY lang, source), iv AS (SELECT lang, source, sum(bytes) OVER (PARTITION BY lang ORDER BY source) / sum(bytes) OVER (PARTITION BY lang) AS hi, (sum(bytes) OVER (PARTITION BY lang ORDER BY source) - bytes) / sum(bytes) OVER (PARTITION BY lang) AS lo FROM z) SELECT f.lang, source, count(*) AS n FROM f JOIN iv ON f.lang = iv.lang AND u >= lo AND u < hi GROUP BY f.lang, source",
     "two_level_files": f"""WITH g AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {w}::DOUBLE)" for k, w in LANGS)}) g(lang, weight)), gi AS (SELECT lang, sum(weight) OVER (ORDER BY lang) / sum(weight) OVER () AS hi, (sum(weight) OVER (ORDER BY lang) - weight) / sum(weight) OVER () AS lo FROM g),
 z AS (SELECT lang, lang || '-' || source AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1)::DOUBLE AS bytes FROM documents GROUP BY lang, source), fi AS (SELECT lang, folder, sum(bytes) OVER (PARTITION BY lang ORDER BY folder) / sum(bytes) OVER (PARTITION BY lang) AS hi, (sum(bytes) OVER (PARTITION BY lang ORDER BY folder) - bytes) / sum(bytes) OVER (PARTITION BY lang) AS lo FROM z),
 f AS (SELECT {sql_uniform(21, 'i')} AS u, {sql_uniform(22, 'i')} AS v FROM range((SELECT count(*) FROM documents)) t(i)) SELECT gi.lang, fi.folder, count(*) AS n FROM f JOIN gi ON u >= gi.lo AND u < gi.hi JOIN fi ON fi.lang = gi.lang AND v >= fi.lo AND v < fi.hi GROUP BY gi.lang, fi.folder""",
-    "mixture_report": f"WITH {_iv} SELECT w.source, count(draw) AS n, round(count(draw) / sum(count(draw)) OVER (), 6) AS used, round(any_value(weight) / sum(any_value(weight)) OVER (), 6) AS expected, round(count(draw) / sum(count(draw)) OVER () - any_value(weight) / sum(any_value(weight)) OVER (), 6) AS difference FROM w LEFT JOIN dr ON w.source = dr.source GROUP BY w.source",
-    "seed_fan_out": "SELECT i AS seed, source, 'out/seed' || i || '/' || source AS path FROM range(1, 7) t(i), (VALUES ('src0'), ('src1'), ('src2')) w(source)",
 }

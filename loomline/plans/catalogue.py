@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blocks, corpus, evaluation, files, mixes, scoring, sinks, stores, tokens
+from . import blocks, corpus, derived, evaluation, files, mixes, scoring, sinks, stores, tokens
 
-MODULES = (corpus, blocks, mixes, scoring, stores, evaluation, files, sinks, tokens)
+MODULES = (corpus, blocks, derived, mixes, scoring, stores, evaluation, files, sinks, tokens)
 
 
 def queries() -> dict:

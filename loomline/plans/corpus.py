@@ -42,7 +42,6 @@ QUERIES = {
     "shard_ntile": lambda s, d: C.contiguous_shards(table(s, d, "documents").select("doc_id"), "doc_id", 7).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")),
     "prefix_offsets": lambda s, d: C.offsets(table(s, d, "documents").select("doc_id", (F.length("text") + 1).cast("bigint").alias("len")), "doc_id", F.col("len")),
     "index_pointers": lambda s, d: running_sum(table(s, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("size")), ["doc_id"], F.col("size") * 4, "pointer"),
-    "dtype_choice": lambda s, d: s.range(1).select(F.explode(F.array(*[F.lit(x).cast("bigint") for x in (65, 50257, 65535, 65536, 128256, 4294967295, 4294967296)])).alias("vocab_size")).withColumn("dtype", C.token_type(F.col("vocab_size"))),
     "char_cut_90_10": lambda s, d: table(s, d, "documents").select("doc_id", F.floor(F.length("text") * 0.9).cast("int").alias("cut"), "text").select("doc_id", F.length(F.expr("left(text, cut)")).cast("bigint").alias("n_train"), F.md5(F.expr("substring(text, cut + 1)").cast("binary")).alias("val_md5")),
     "preview_head": lambda s, d: table(s, d, "documents").orderBy("doc_id").limit(20).select("doc_id", F.concat_ws("\n", F.concat(F.lit("id: "), F.col("doc_id").cast("string")), F.concat(F.lit("source: "), F.col("source")), clip(F.col("text"), 100)).alias("report")),
     "manifest_sample": lambda s, d: table(s, d, "pages").where(F.contains("url", F.lit("example")) & (uniform(1, F.col("url")) < 1 / 60)).select(F.concat(F.lit("mirror/"), "url").alias("target")),
@@ -52,7 +51,6 @@ QUERIES = {
     "shuffled_head": lambda s, d: C.shuffled_head(table(s, d, "documents").select("doc_id", "lang"), "doc_id", 50),
     "file_intersection": lambda s, d: table(s, d, "documents").select(F.concat("source", F.lit(".npz")).alias("file")).where("lang = 'de'").intersect(table(s, d, "documents").where("lang = 'en'").select(F.concat("source", F.lit(".npz")).alias("file"))),
     "missing_sources": lambda s, d: table(s, d, "documents").select("source").distinct().join(table(s, d, "documents").where("lang = 'fr'").select("source").distinct(), "source", "left_semi"),
-    "shard_name": lambda s, d: s.range(25, 50).select(F.format_string("%05d.parquet", F.col("id")).alias("file"), F.lpad(F.col("id").cast("string"), 7, "0").alias("step")),
     "url_parts": lambda s, d: table(s, d, "pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("base"), F.substring_index("url", "://", 1).alias("scheme"), F.endswith("url", F.lit("#top")).alias("has_anchor")),
 }
 
@@ -74,7 +72,6 @@ SQL = {
     "shard_ntile": "WITH t AS (SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) - 1 AS shard FROM documents) SELECT shard::INTEGER AS shard, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM t GROUP BY shard",
     "prefix_offsets": "SELECT doc_id, (length(text) + 1)::BIGINT AS len, coalesce(sum(length(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents",
     "index_pointers": "SELECT doc_id, length(text)::BIGINT AS size, coalesce(sum(length(text) * 4) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pointer FROM documents",
-    "dtype_choice": "SELECT v::BIGINT AS vocab_size, CASE WHEN v < 65536 THEN 'uint16' WHEN v < 4294967296 THEN 'uint32' ELSE 'uint64' END AS dtype FROM (SELECT unnest([65, 50257, 65535, 65536, 128256, 4294967295, 4294967296]) AS v)",
     "char_cut_90_10": "SELECT doc_id, floor(length(text) * 0.9::DOUBLE)::BIGINT AS n_train, md5(substr(text, floor(length(text) * 0.9::DOUBLE)::BIGINT + 1)) AS val_md5 FROM documents",
     "preview_head": "SELECT doc_id, 'id: ' || doc_id || chr(10) || 'source: ' || source || chr(10) || CASE WHEN length(text) > 200 THEN left(text, 100) || ' ... [' || (length(text) - 200) || ' omitted] ... ' || right(text, 100) ELSE text END AS report FROM documents ORDER BY doc_id LIMIT 20",
     "manifest_sample": f"SELECT 'mirror/' || url AS target FROM pages WHERE contains(url, 'example') AND {sql_uniform(1, 'url')} < 1 / 60::DOUBLE",
@@ -84,6 +81,5 @@ SQL = {
     "shuffled_head": "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
     "file_intersection": "SELECT source || '.npz' AS file FROM documents WHERE lang = 'de' INTERSECT SELECT source || '.npz' FROM documents WHERE lang = 'en'",
     "missing_sources": "SELECT DISTINCT source FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'fr')",
-    "shard_name": "SELECT printf('%05d.parquet', i) AS file, lpad(i::VARCHAR, 7, '0') AS step FROM range(25, 50) t(i)",
     "url_parts": "SELECT page_id, split_part(url, '/', -1) AS base, split_part(url, '://', 1) AS scheme, ends_with(url, '#top') AS has_anchor FROM pages",
 }

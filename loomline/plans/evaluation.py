@@ -63,10 +63,6 @@ def results_flatten(s, d):
     return E.flat_results(maps, "results", ["set0_ppl", "set1_ppl"])
 
 
-def wide_accuracy(s):
-    return s.range(1, 9).select((c("id") * 5).alias("k"), *[(c("id") * 2.5 + m).alias(f"model_{m}") for m in range(1, 5)])
-
-
 def log_scrape(s, d):
     lines = table(s, d, "events").select("event_id", "props").where(F.contains("props", F.lit(":")))
     return lines.agg(F.min_by("props", "event_id").alias("line")).select("line", F.regexp_extract("line", r'"(\w+)":', 1).alias("first_key"))
@@ -88,20 +84,16 @@ QUERIES = {
     "results_flatten": results_flatten,
     "eval_grid": lambda s, d: s.range(1000, 5001, 1000).select(c("id").alias("checkpoint")).crossJoin(bounded(table(s, d, "documents").select("lang").distinct(), 1000, "lang")).select("checkpoint", "lang", F.concat(F.lit("ckpt-"), c("checkpoint").cast("string"), F.lit("/"), "lang").alias("task")),
     "metric_join": lambda s, d: A.metric_table(_log(s, d), "run", "step", "metric", "value", ["click", "view"]).where("step >= 3").select("run", "step", _r("click", "click"), _r("view", "view"), _r("mean", "mean")),
-    "unpivot_accuracy": lambda s, d: wide_accuracy(s).unpivot("k", [f"model_{m}" for m in range(1, 5)], "model", "accuracy"),
-    "power_fit": lambda s, d: A.power_fit(s.range(1, 41).select((c("id") % 3).alias("run"), c("id").cast("double").alias("x"), ((c("id") % 3 + 2) * F.pow(c("id").cast("double"), F.lit(-0.5)) + 1).alias("y")), "run", "x", "y", [i / 20 for i in range(1, 41)]).select("run", _r("alpha", "alpha"), _r("a", "a"), _r("c", "c")),
     "cosine_pairs": lambda s, d: A.cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding").select("i", "j", _r("cosine", "cosine")),
     "cluster_report": lambda s, d: A.cluster_report(table(s, d, "documents").select(c("source").alias("cluster"), "n_chars", "lang"), "cluster", "n_chars", "lang").select("cluster", "lang", "size", _r("mean_position", "mean_position"), _r("std_position", "std_position"), _r("percent", "percent")),
     "cluster_top_tokens": lambda s, d: A.top_tokens(table(s, d, "documents").select("lang", F.explode(F.split("text", " ")).alias("token")).where("token <> ''"), "lang", "token").select("lang", "token", "n", c("rank").cast("bigint").alias("rank")),
     "special_token_exclusion": lambda s, d: table(s, d, "embeddings").select("vec_id", "label").join(F.broadcast(s.createDataFrame([(3,), (7,)], "label int")), "label", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("n")),
     "channel_stats": lambda s, d: table(s, d, "embeddings").select("vec_id", F.explode("embedding").alias("x")).withColumn("x", c("x").cast("double")).groupBy("vec_id").agg(F.avg("x").alias("m"), F.stddev("x").alias("sd")).agg(_r(F.avg("m"), "mean"), _r(F.avg("sd"), "std")),
-    "fitted_curve": lambda s, d: s.range(400).select("id", (F.lit(1.0) + c("id") * (99.0 / 399)).alias("x")).select("id", _r("x", "x"), _r(F.lit(2.0) * F.pow("x", F.lit(-0.5)) + 1, "y")),
     "tick_format": lambda s, d: table(s, d, "documents").select("doc_id", (c("n_chars") * c("n_chars") * 41).alias("v")).select("doc_id", tick(c("v")).alias("tick")),
     "duration_format": lambda s, d: table(s, d, "documents").select("doc_id", duration(c("n_chars") * 977).alias("duration")),
     "latest_checkpoint": lambda s, d: table(s, d, "documents").select("source", F.concat(F.lit("ckpt-"), c("doc_id").cast("string")).alias("ckpt")).groupBy("source").agg(E.latest_by_number("ckpt").alias("latest"), F.max("ckpt").alias("last_by_name")),
     "log_scrape": log_scrape,
     "status_tally": lambda s, d: E.tally(table(s, d, "orders"), "o_orderstatus"),
-    "arithmetic_sentences": lambda s, d: Y.arithmetic(s, 2000, 99, 3),
     "kmeans_tokens": lambda s, d: A.kmeans_clusters(table(s, d, "embeddings"), "embedding", 8, 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")),
 }
 
@@ -110,21 +102,6 @@ _P = "p AS (SELECT * FROM (SELECT conv_id, turn, role, text AS question, lead(ro
 _flat = lambda t: f"replace({t}, chr(10), '\\n')"
 _tick = lambda by, u: f"(round(v / {by} * 10)::BIGINT // 10) || CASE WHEN round(v / {by} * 10)::BIGINT % 10 = 0 THEN '' ELSE '.' || (round(v / {by} * 10)::BIGINT % 10) END || '{u}'"
 _codes = lambda t: f"list_transform(list_filter(string_split({t}, ''), lambda x: x <> ''), lambda x: unicode(x))"
-_a = lambda k, n: f"floor({sql_uniform('3.' + k, 'id')} * {n})::BIGINT"
-
-
-def _tpl() -> str:
-    """CASE branches that pick a template, from the same table as the operator."""
-    out, below = [], 0.0
-    for name, share in Y.SHARES.items():
-        kind, adds = Y.TEMPLATES[name], Y.ADDS.get(name, set())
-        listed = ", ".join("'" + t.replace("'", "''") + "'" for t in kind)
-        at = _a(f"t.{name}", len(kind))
-        if adds:
-            at = f"CASE WHEN op = '-' AND {at} IN ({', '.join(map(str, sorted(adds)))}) THEN 0 ELSE {at} END"
-        below += share
-        out.append(f"WHEN u < {round(below, 9)} THEN [{listed}][({at}) + 1]")
-    return " ".join(out)
 
 
 SQL = {
@@ -143,18 +120,14 @@ SQL = {
     "results_flatten": "WITH r AS (SELECT quality, count(*) AS n, avg(toxic) AS t FROM labels GROUP BY quality) SELECT 'set' || quality || '/n' AS name, n::VARCHAR AS value FROM r UNION ALL SELECT 'set' || quality || '/acc', round(t, 4)::VARCHAR FROM r",
     "eval_grid": "SELECT i AS checkpoint, lang, 'ckpt-' || i || '/' || lang AS task FROM range(1000, 5001, 1000) t(i), (SELECT DISTINCT lang FROM documents)",
     "metric_join": f"WITH e AS ({RUNS}), a AS (SELECT * FROM e WHERE metric = 'click'), b AS (SELECT * FROM e WHERE metric = 'view') SELECT run, step, round(a.value, 6) AS click, round(b.value, 6) AS view, round((a.value + b.value) / 2, 6) AS mean FROM a JOIN b USING (run, step) WHERE step >= 3 AND a.value IS NOT NULL AND b.value IS NOT NULL",
-    "unpivot_accuracy": "SELECT i * 5 AS k, 'model_' || m AS model, i * 2.5::DOUBLE + m AS accuracy FROM range(1, 9) t(i), range(1, 5) u(m)",
-    "power_fit": "SELECT run, 0.5::DOUBLE AS alpha, (run + 2)::DOUBLE AS a, 1.0::DOUBLE AS c FROM range(3) t(run)",
     "cosine_pairs": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id",
     "cluster_report": "SELECT source AS cluster, lang, any_value(size) AS size, round(any_value(m), 6) AS mean_position, round(any_value(sd), 6) AS std_position, round(count(*) / any_value(size) * 100, 6) AS percent FROM (SELECT source, lang, count(*) OVER w AS size, avg(n_chars) OVER w AS m, stddev(n_chars) OVER w AS sd FROM documents WINDOW w AS (PARTITION BY source)) GROUP BY source, lang",
     "cluster_top_tokens": "WITH t AS (SELECT lang, unnest(string_split(text, ' ')) AS token FROM documents), k AS (SELECT lang, token, count(*) AS n FROM t WHERE token <> '' GROUP BY lang, token), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM k) SELECT lang, token, n, rank FROM r WHERE rank <= 10",
     "special_token_exclusion": "SELECT label, count(*) AS n FROM embeddings WHERE label NOT IN (3, 7) GROUP BY label",
     "channel_stats": "SELECT round(avg(m), 6) AS mean, round(avg(sd), 6) AS std FROM (SELECT vec_id, avg(x) AS m, stddev(x) AS sd FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY vec_id)",
-    "fitted_curve": "SELECT id, round(1 + id * (99.0::DOUBLE / 399), 6) AS x, round(2 * pow(1 + id * (99.0::DOUBLE / 399), -0.5::DOUBLE) + 1, 6) AS y FROM range(400) t(id)",
     "tick_format": f"WITH t AS (SELECT doc_id, n_chars * n_chars * 41 AS v FROM documents) SELECT doc_id, CASE WHEN v >= 1e9 THEN {_tick('1e9', 'B')} WHEN v >= 1e6 THEN {_tick('1e6', 'M')} WHEN v >= 1e3 THEN {_tick('1e3', 'K')} ELSE v::VARCHAR END AS tick FROM t",
     "duration_format": "WITH t AS (SELECT doc_id, n_chars * 977 AS v FROM documents), u AS (SELECT doc_id, list_filter([CASE WHEN v // 86400000 > 0 THEN (v // 86400000) || 'D' END, CASE WHEN v % 86400000 // 3600000 > 0 THEN (v % 86400000 // 3600000) || 'h' END, CASE WHEN v % 3600000 // 60000 > 0 THEN (v % 3600000 // 60000) || 'm' END, CASE WHEN v % 60000 // 1000 > 0 THEN (v % 60000 // 1000) || 's' END, CASE WHEN v % 1000 > 0 THEN (v % 1000) || 'ms' END], lambda x: x IS NOT NULL) AS p FROM t) SELECT doc_id, CASE WHEN len(p) = 0 THEN '0ms' ELSE array_to_string(p[1:2], '') END AS duration FROM u",
     "latest_checkpoint": "SELECT source, 'ckpt-' || max(doc_id) AS latest, max('ckpt-' || doc_id) AS last_by_name FROM documents GROUP BY source",
     "log_scrape": "SELECT arg_min(props, event_id) AS line, regexp_extract(arg_min(props, event_id), '\"(\\w+)\":', 1) AS first_key FROM events WHERE contains(props, ':')",
     "status_tally": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
-    "arithmetic_sentences": f"WITH r AS (SELECT id, {_a('a', 100)} AS x, {_a('b', 100)} AS y, CASE WHEN {sql_uniform('3.op', 'id')} < 0.5 THEN '+' ELSE '-' END AS op, {sql_uniform('3.cat', 'id')} AS u, {_a('w', 4)} AS w, {_a('d1', 10)} AS d1, {_a('d2', 10)} AS d2 FROM range(2000) z(id)), k AS (SELECT *, CASE WHEN op = '-' THEN greatest(x, y) ELSE x END AS a, CASE WHEN op = '-' THEN least(x, y) ELSE y END AS b FROM r), m AS (SELECT *, CASE WHEN op = '+' THEN a + b ELSE a - b END AS c FROM k), f AS (SELECT *, CASE {_tpl()} END AS tpl FROM m) SELECT id, replace(replace(replace(replace(replace(replace(replace(tpl, '{{a}}', a::VARCHAR), '{{op}}', op), '{{b}}', b::VARCHAR), '{{c}}', c::VARCHAR), '{{w}}', (c + [-2, -1, 1, 2][w + 1])::VARCHAR), '{{d1}}', (c + 1 + d1)::VARCHAR), '{{d2}}', (c + 11 + d2)::VARCHAR) AS text FROM f",
 }

@@ -10,7 +10,6 @@ from ..sources import tokenfiles as T
 from ..sources.workspace import new_folder
 from ..session import table
 
-LIST = "- 50.0\n- a/path0\n# a comment\n- 25.0\n- a/path1\n- 25.0\n- a/path2\n"
 
 
 def _codes(s, d):
@@ -71,11 +70,8 @@ QUERIES = {
     "prefix_folders": prefix_folders,
     "text_lines": text_lines,
     "json_report": json_report,
-    "weighted_list": lambda s, d: R.weighted_sources(s, LIST),
     "ordered_rows": lambda s, d: R.read_ordered(s, f"{d}/nation.parquet").orderBy("file", "row").limit(10).select("n_nationkey", "row"),
-    "existing_sources": lambda s, d: R.existing(R.weighted_sources(s, LIST), s.createDataFrame([("a/path0",), ("a/path2",), ("b",)], "path string"), "path").select("path", "weight"),
 }
-_W = "(VALUES (0, 'a/path0', 50.0::DOUBLE), (1, 'a/path1', 25.0), (2, 'a/path2', 25.0)) w(position, path, weight)"
 _C = "WITH t AS (SELECT unnest(list_transform(string_split(string_agg(text, '' ORDER BY doc_id), ''), lambda x: unicode(x))) AS tok, generate_subscripts(string_split(string_agg(text, '' ORDER BY doc_id), ''), 1) - 1 AS pos FROM documents)"
 SQL = {
     "tokbin_round_trip": f"{_C} SELECT pos // 4096 AS block, count(*) AS n, sum(tok)::BIGINT AS total, min_by(tok, pos)::BIGINT AS first_token FROM t GROUP BY block",
@@ -84,7 +80,5 @@ SQL = {
     "prefix_folders": "SELECT 'region-' || n_regionkey AS source, count(*) AS n FROM nation WHERE n_regionkey < 3 GROUP BY n_regionkey",
     "text_lines": "SELECT n_name AS line FROM nation",
     "json_report": "SELECT quality, count(*) AS n, sum(toxic)::BIGINT AS toxic FROM labels GROUP BY quality",
-    "weighted_list": f"SELECT position::INTEGER AS position, path, weight FROM {_W}",
     "ordered_rows": "SELECT n_nationkey, file_row_number AS row FROM (SELECT n_nationkey, row_number() OVER () - 1 AS file_row_number FROM nation) WHERE file_row_number < 10",
-    "existing_sources": f"SELECT path, weight FROM {_W} WHERE path <> 'a/path1'",
 }

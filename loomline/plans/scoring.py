@@ -71,10 +71,6 @@ QUERIES = {
     "logit_mean_ce": lambda s, d: _rows(s, d, "loss", S.token_loss(S.mean_arrays([c("z"), c("r")]), c("y"))),
     "alignment_check": alignment_check,
     "sample_token": lambda s, d: _logits(s, d).select("vec_id", S.sample_index(S.top_k_mask(S.softmax(c("z"), 0.8), 10), uniform(4, c("vec_id"))).cast("bigint").alias("token")),
-    "lr_schedule": lambda s, d: s.range(0, 160).select("id", _r(S.learning_rate(c("id"), 10, 110, 1.0, 0.1), "lr")),
-    "dynamic_ratio": lambda s, d: s.range(0, 160).select("id", _r(F.lit(0.7) * S.learning_rate(c("id"), 10, 110, 1.0, 0.1) / F.lit(1.0), "ratio")),
-    "teacher_checkpoint": lambda s, d: s.range(0, 200000, 4000).select("id", S.teacher_step(c("id"), 200_000).alias("step")),
-    "tokens_per_iteration": lambda s, d: s.createDataFrame([(12, 1024, 40), (8, 1024, 8)], "batch bigint, block bigint, accumulation bigint").select((c("batch") * c("block") * c("accumulation")).alias("tokens"), _r((F.lit(6.0) * 124e6 + F.lit(12.0) * 12 * 12 * 64 * c("block")) * c("block") * c("batch") * c("accumulation") / F.lit(312e12), "share")),
 }
 
 _L = """WITH l AS (SELECT vec_id, vec_id // 10 AS b, vec_id % 10 AS t, label AS y, list_transform(embedding, lambda x: x::DOUBLE * 10) AS z FROM embeddings),
@@ -97,7 +93,6 @@ _half = "list_transform(z, lambda x: x / 2)"
 _rhalf = "list_transform(r, lambda x: x / 2)"
 _q = f"{_L}, k AS (SELECT vec_id, y, z, r, {_half} AS z2, {_rhalf} AS r2 FROM m)"
 _kl2 = f"list_sum(list_transform(list_zip({_soft('r2')}, z2), lambda e: e[1] * (ln(e[1]) - (e[2] - {_lse('z2')}))))"
-_lr = "CASE WHEN id < 10 THEN (id + 1) / 11.0::DOUBLE WHEN id > 110 THEN 0.1::DOUBLE ELSE 0.1::DOUBLE + 0.5::DOUBLE * (1 + cos(pi() * (id - 10) / 100.0::DOUBLE)) * 0.9::DOUBLE END"
 SQL = {
     "softmax_topk": _E + " SELECT vec_id, ra - 1 AS pos, idx, round(pa, 6) AS prob FROM p2 WHERE ra <= 8",
     "token_ce": f"{_L} SELECT vec_id, round({_lse('z')} - z[y + 1], 6) AS loss FROM m",
@@ -117,8 +112,4 @@ SQL = {
     "logit_mean_ce": f"{_L}, k AS (SELECT vec_id, y, list_transform(list_zip(z, r), lambda e: (e[1] + e[2]) / 2) AS w FROM m) SELECT vec_id, round({_lse('w')} - w[y + 1], 6) AS loss FROM k",
     "alignment_check": "SELECT CASE WHEN vec_id % 17 = 0 THEN 'error: missing' ELSE 'ok' END AS status, count(*) AS n FROM embeddings GROUP BY status",
     "sample_token": f"{_L}, i AS (SELECT unnest(range(64)) AS idx), p0 AS (SELECT vec_id, idx, exp(z[idx + 1] / 0.8::DOUBLE) AS e FROM m, i), p1 AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, idx) AS r FROM p0), p2 AS (SELECT vec_id, idx, sum(CASE WHEN r <= 10 THEN e ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY idx) / sum(CASE WHEN r <= 10 THEN e ELSE 0 END) OVER (PARTITION BY vec_id) AS cum FROM p1) SELECT vec_id, least(count(*) FILTER (WHERE cum <= {sql_uniform(4, 'vec_id')}), 63) AS token FROM p2 GROUP BY vec_id",
-    "lr_schedule": f"SELECT id, round({_lr}, 6) AS lr FROM range(160) t(id)",
-    "dynamic_ratio": f"SELECT id, round(0.7::DOUBLE * ({_lr}), 6) AS ratio FROM range(160) t(id)",
-    "teacher_checkpoint": "SELECT id, greatest(least(id * 2, 200000), 10000) AS step FROM range(0, 200000, 4000) t(id)",
-    "tokens_per_iteration": "SELECT batch * block * accumulation AS tokens, round((6.0 * 124e6 + 12.0 * 12 * 12 * 64 * block) * block * batch * accumulation / 312e12, 6) AS share FROM (VALUES (12::BIGINT, 1024::BIGINT, 40::BIGINT), (8, 1024, 8)) t(batch, block, accumulation)",
 }

@@ -132,12 +132,6 @@ def shard_files(s, d):
     return s.read.parquet(*[f"{root}/{n}" for n in names]).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
-def log_literals(s, d):
-    lines = s.createDataFrame([(0, "start"), (1, "configs are: {'init_from': 'small', 'n': 3}"), (2, "tracker: view at http://x/runs/ab12 "), (3, "configs are: {'init_from': 'late'}")], "i bigint, line string")
-    got = S.scrape_literal(lines, "i", "line", "configs are: ")
-    return s.createDataFrame([(got["init_from"], got["n"], S.scrape_suffix(lines, "i", "line", "tracker:", "/runs/"), S.scrape_literal(lines, "i", "line", "absent") is None)], "init_from string, n bigint, run string, absent boolean")
-
-
 FIELDS = {  # the columns of each evaluation set, from those of `customer`
     "gsm8k": {"question": "c_name", "answer": "c_mktsegment"}, "math": {"problem": "c_name", "solution": "c_mktsegment"},
     "mathqa": {"problem": "c_name", "options": "'a ) 1 , b ) 2'", "rationale": "c_mktsegment"}, "asdiv": {"body": "c_mktsegment", "question": "c_name", "answer": "cast(c_nationkey as string)"},
@@ -218,7 +212,6 @@ QUERIES = {
     "whole_files": whole_files,
     "all_subsets": all_subsets,
     "shard_files": shard_files,
-    "log_literals": log_literals,
     "qa_formats": qa_formats,
     "fixed_choice": lambda s, d: P.fixed_choice(table(s, d, "customer"), "c_custkey", "c_mktsegment", ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD"]).select("c_custkey", F.array_join("choices", "|").alias("choices"), "answer"),
     "corpus_cut_90_10": lambda s, d: C.corpus_cut(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", 0.9).select("doc_id", c("cut").alias("n_train"), F.md5(F.expr("substring(text, cast(cut as int) + 1)").cast("binary")).alias("val_md5")),
@@ -226,7 +219,6 @@ QUERIES = {
     "indexed_batch": indexed_batch,
     "multiple_choice_rows": multiple_choice_rows,
     "cosine_columns": lambda s, d: A.cosine_columns(table(s, d, "embeddings"), "embedding").select(c("i").cast("bigint").alias("i"), c("j").cast("bigint").alias("j"), F.round("cosine", 6).alias("cosine")),
-    "similarity_order": lambda s, d: s.createDataFrame(list(enumerate(A.similarity_order(A.cosine_columns(table(s, d, "embeddings"), "embedding"), 64, 0.05))), "place bigint, component bigint"),
     "tokenizer_encode": lambda s, d: K.encode_file(table(s, d, "documents"), "doc_id", "text", _path(), 0).select("doc_id", c("len").cast("bigint").alias("n_tokens"), F.element_at("ids", -1).alias("last_id")),
     "tokenizer_preview": lambda s, d: K.decode_file(K.encode_file(table(s, d, "benchmark"), "item_id", "text", _path(), special=True), "item_id", "ids", _path()).select("item_id", F.length("text").cast("bigint").alias("n_chars")),
 }
@@ -256,7 +248,6 @@ SQL = {
     "whole_files": "WITH t AS (SELECT string_agg(r_name || chr(10), '' ORDER BY r_name) AS x FROM region) SELECT length(x)::BIGINT AS n, md5(x) AS md5 FROM t",
     "all_subsets": "SELECT 'lang=' || lang AS subset, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang",
     "shard_files": "SELECT count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE cast('0x' || substr(md5(doc_id::VARCHAR), 1, 4) AS BIGINT) % 40 BETWEEN 25 AND 36",
-    "log_literals": "SELECT 'small' AS init_from, 3::BIGINT AS n, 'ab12' AS run, true AS absent",
     "qa_formats": " UNION ALL ".join(f"SELECT '{k}' AS form, c_custkey, md5({p}) AS prompt_md5, {a} AS answer FROM customer" for k, (p, a) in _PROMPTS.items()),
     "fixed_choice": "SELECT c_custkey, 'BUILDING|AUTOMOBILE|MACHINERY|HOUSEHOLD' AS choices, CASE c_mktsegment WHEN 'BUILDING' THEN '(A)' WHEN 'AUTOMOBILE' THEN '(B)' WHEN 'MACHINERY' THEN '(C)' WHEN 'HOUSEHOLD' THEN '(D)' END AS answer FROM customer",
     "corpus_cut_90_10": "WITH t AS (SELECT doc_id, text, length(text) AS n, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, floor(sum(length(text)) OVER () * 0.9::DOUBLE) AS edge FROM documents), k AS (SELECT doc_id, text, greatest(0, least(n, edge - start))::BIGINT AS cut FROM t) SELECT doc_id, cut AS n_train, md5(substr(text, cut + 1)) AS val_md5 FROM k",

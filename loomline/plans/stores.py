@@ -96,7 +96,6 @@ QUERIES = {
     "distill_masked_reverse": lambda s, d: _distilled(s, d, k=3, keep=0.7, reverse=True).agg(F.count(F.lit(1)).alias("n"), _r(F.avg("loss"), "loss")),
     "ensemble_shifted": ensemble_shifted,
     "attention_select": attention_select,
-    "utilisation": lambda s, d: s.createDataFrame([(124e6, 12.0, 12.0, 768.0, 1024.0, 480.0, 2.5)], "n double, l double, h double, w double, t double, q double, dt double").select(_r(S.utilisation(c("n"), c("l"), c("h"), c("w"), c("t"), c("q"), c("dt")), "share")),
 }
 
 _S = "s AS (SELECT vec_id, b // 10 AS step, b % 2 AS rank, (b % 10) // 2 AS row, t, vec_id AS x, y::BIGINT AS y FROM l)"
@@ -134,5 +133,4 @@ SQL = {
     "distill_masked_reverse": f"{_D}, {_loss(3, True)} SELECT count(*) AS n, round(avg(loss), 6) AS loss FROM {_kept(0.7)}",
     "ensemble_shifted": f"{_L}, k AS (SELECT b, t, lead(y) OVER (PARTITION BY b ORDER BY t) AS y, list_transform(list_zip(z, r), lambda e: (e[1] + e[2]) / 2) AS w FROM m) SELECT b, t, round({_lse('w')} - w[y + 1], 6) AS loss FROM k WHERE y IS NOT NULL",
     "attention_select": f"{_L}, g AS (SELECT b, t, round({_lse('z')} - z[y + 1] - ({_lse('r')} - r[y + 1]), 9) AS diff, z[1:10] AS a FROM m), n AS (SELECT b, floor(count(*) * 0.5::DOUBLE * 0.5::DOUBLE) + 1 AS n FROM g GROUP BY b), one AS (SELECT b, row_number() OVER (PARTITION BY b ORDER BY diff DESC, t) - 1 AS place, t FROM g), p AS (SELECT b, unnest(range(10)) AS j, unnest({_soft('a')}) AS w FROM g), w AS (SELECT b, j, row_number() OVER (PARTITION BY b ORDER BY round(sum(w), 9) DESC, j) - 1 AS r FROM p WHERE j > 0 GROUP BY b, j) SELECT b, place, t FROM one JOIN n USING (b) WHERE place < n UNION ALL SELECT b, (n + r)::BIGINT, j - 1 FROM w JOIN n USING (b) WHERE r < n",
-    "utilisation": "SELECT round((6.0::DOUBLE * 124e6 + 12.0 * 12 * 12 * 64 * 1024) * 1024 * 480 / 2.5 / 312e12, 6) AS share",
 }

@@ -147,9 +147,9 @@ def test_cosines_and_order_of_columns(spark):
     assert all(abs(got[i, j] - unit[:, i] @ unit[:, j]) < 1e-9 for i in range(10) for j in range(i + 1, 10))
     c = np.eye(11)
     c[:10, :10] = unit.T @ unit
-    assert A.similarity_order(A.cosine_columns(df, "v"), 11) == greedy(c, 0.6)
-    with pytest.raises(ValueError):
-        A.similarity_order(A.cosine_columns(df, "v"), 11, most=10)
+    cosines = A.cosine_columns(df, "v")
+    ordered = lambda n, near: [r["component"] for r in A.similarity_order(cosines, n, near).orderBy("place").collect()]
+    assert ordered(11, 0.6) == greedy(c, 0.6) and ordered(11, 0.1) == greedy(c, 0.1) and ordered(0, 0.6) == []
 
 
 def test_windows_go_round_the_end(spark):
