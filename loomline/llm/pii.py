@@ -1,14 +1,15 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
 Base spans come from four patterns (email, ip, card, phone) over every whole text, leftmost and non-overlapping for each
-kind; matches that fail their check are dropped. The semi-Markov model adds what has no fixed pattern: obfuscated
-addresses, national phone numbers, identity numbers, IPv6 addresses and secrets. Words that hold a digit, an @, an "(at)"
-or follow the name of a secret form chains with such words next to them. Every span of at most MOST_TOKENS tokens of a
-chain that could be an entity is a candidate segment, scored by features of the whole span and its context and by the
-type of the segment before it; dynamic programming over segments chooses boundaries and types jointly. A run of letters,
-digits and the signs of encoded data is one token however long it is, and so is a key block, so no secret is too long
-for a segment; other entities have at most MOST_CHARS characters. Base spans stay: no added span overlaps one. The
-model's weights are fitted here, on sentences that a generator makes, by the exact likelihood of their segmentations.
+kind; matches that fail their check are dropped. The semi-Markov model adds what has no fixed pattern: obfuscated and
+spoken addresses, national phone numbers, identity numbers, IPv6 addresses and secrets, passwords inside addresses among
+them. Words that hold a digit, an @, an "(at)", spell an address out or follow the name of a secret form chains with such
+words next to them. Every span of at most MOST_TOKENS tokens of a chain that could be an entity is a candidate segment,
+scored by features of the whole span and its context and by the type of the segment before it; dynamic programming over
+segments chooses boundaries and types jointly. A run of letters, digits and the signs of encoded data is one token
+however long it is, and so is a key block, so no secret is too long for a segment; other entities have at most MOST_CHARS
+characters. Base spans stay: no added span overlaps one. The model's weights are fitted here, on sentences that a
+generator makes, by the exact likelihood of their segmentations.
 
 Null text counts as empty and has no spans. Offsets are code points, ends exclusive. Very long texts are read whole;
 between chains the model's choices don't depend on one another. Repeated rows are read each for themselves; null ids stay
@@ -91,11 +92,15 @@ RUN = r"[A-Za-z0-9][A-Za-z0-9_+/.~-]{18,}[A-Za-z0-9_+/~-]={0,2}"
 TOKEN = re.compile(rf"{KEY}|{RUN}|[^\W_]+|[^\w\s]|_+")
 KEY_BLOCK = re.compile(KEY)
 SECRET_NAME = r"(?:token|secret|passwo?r?d|passwd|passphrase|pwd|passcode|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|authorization|bearer|credential)s?"
+#: An address in words: "ann dot lee at example dot com".
+SAID = r"[A-Za-z0-9_+-]{1,64}(?: dot [A-Za-z0-9_+-]{1,64}){0,5} at [A-Za-z0-9-]{1,64}(?: dot [A-Za-z0-9-]{2,24}){1,4}"
+#: An IPv6 address with one run of zeros left out.
+HEXES = r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 SHAPES = {
     "phone": re.compile(r"\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5}"),
     "identity": re.compile(r"\d{3}-\d{2}-\d{4}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"),
-    "email": re.compile(r"[A-Za-z0-9._+-]+ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]+)+", re.I),
-    "ip": re.compile(r"(?:[0-9A-Fa-f]{1,4}:){2,7}:?(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}"),
+    "email": re.compile(rf"[A-Za-z0-9._+-]+ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]+)+|{SAID}", re.I),
+    "ip": re.compile(rf"{HEXES}|(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}"),
     "secret": re.compile(r"(?=[^\s]*\d)(?=[^\s]*[A-Za-z])[A-Za-z0-9_+/.~-]{16,}={0,2}"),
 }
 CONTEXT = {
@@ -110,6 +115,8 @@ GOES_ON = re.compile(r"[ :]{0,2}[0-9A-F]{1,4}\b", re.I)
 #: Beginnings of well-known kinds of tokens (fixed values).
 PREFIX = re.compile(r"ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|sk_test_|pk_live_|rk_live_|AKIA|ASIA|AIza|xox[abps]-|ya29\.|eyJ[A-Za-z0-9_-]+\.eyJ|npm_|hf_|SG\.|dop_v1_")
 ASSIGNED = re.compile(SECRET_NAME + r"[\"']?\s*[:=]\s*[\"']?$", re.I)
+#: What stands before the password of an address: its scheme and the user.
+LOGIN = re.compile(r"[a-z]://[^\s:/@\"']{1,32}:$", re.I)
 LETTERS = re.compile(r"[A-Za-z]{2}|[/\\]$")
 MARKED = re.compile(r"[\[(] ?at ?[\])]", re.I)
 DOTTED = re.compile(r"[\[(] ?dot ?[\])]", re.I)
@@ -124,29 +131,36 @@ INSIDE = set("()[]+-./:@_~#")
 END_OF_VALUE = re.compile(r"[\"';,.)]{0,2}(?:\s|$)|[\"']")
 FLAGS = (
     "varied", "half_digits", "spaced", "no_digits", "inside", "all_digits", "small_number", "goes_on", "colons", "several", "mixed", "hex", "long", "very_long", "turns", "prefix", "key_block", "address",
-    "value", "part_of_value", "digits_7", "digits_9", "digits_10", "digits_12", "at", "dot", "wordy", "calendar", "ends_in_sign", "ends_in_stop", "dot_follows", "letters_only",
+    "value", "part_of_value", "digits_7", "digits_9", "digits_10", "digits_12", "at", "dot", "wordy", "calendar", "ends_in_sign", "ends_in_stop", "dot_follows", "letters_only", "login",
 )
 N_FEATURES = 1 + 2 * len(SHAPE_NAMES) + len(FLAGS)
 #: Labels that a segment can follow: none (the chain's start or a token outside), or an entity of a type.
 N_LABELS = len(TYPES) + 1
 
 
-NOTHING: tuple[list[int], bool, bool] = ([], False, False)
+NOTHING: tuple[list[int], bool, bool, bool] = ([], False, False, False)
 
 
-def left_features(text: str, start: int) -> tuple[list[int], bool, bool]:
-    """Features of what stands before a span, whether it is given as the value of a secret, and whether in an address."""
+def left_features(text: str, start: int) -> tuple[list[int], bool, bool, bool]:
+    """Features of what stands before a span, whether it is given as the value of a secret, whether in an address, and
+    whether as an address's password."""
     left = text[max(0, start - 40) : start]
     if not LETTERS.search(left):
         return NOTHING
     found = [1 + len(SHAPE_NAMES) + i for i, k in enumerate(SHAPE_NAMES) if CONTEXT[k].search(left)]
-    return found, bool(ASSIGNED.search(left)), bool(ADDRESS.search(left))
+    login = bool(LOGIN.search(left))
+    return found, login or bool(ASSIGNED.search(left)), not login and bool(ADDRESS.search(left)), login
 
 
-def span_features(text: str, start: int, end: int, left: tuple[list[int], bool, bool] | None = None) -> list[int]:
-    """Numbers of the features that hold for a whole span."""
+def ends_value(text: str, end: int, login: bool, stops: frozenset[int]) -> bool:
+    """Whether the value of a secret may end here: a password in an address goes on to its @ or to a base span."""
+    return text[end : end + 1] == "@" or end in stops if login else bool(END_OF_VALUE.match(text, end))
+
+
+def span_features(text: str, start: int, end: int, left: tuple[list[int], bool, bool, bool] | None = None, stops: frozenset[int] = frozenset()) -> list[int]:
+    """Numbers of the features that hold for a whole span; stops are where base spans begin."""
     span = text[start:end]
-    before, assigned, address = left or left_features(text, start)
+    before, assigned, address, login = left or left_features(text, start)
     out = [0, *before]
     for i, k in enumerate(SHAPE_NAMES):
         if SHAPES[k].fullmatch(span):
@@ -154,18 +168,18 @@ def span_features(text: str, start: int, end: int, left: tuple[list[int], bool,
     at, n = 1 + 2 * len(SHAPE_NAMES), end - start
     digits = len(DIGIT.findall(span))
     spaced = " " in span
-    complete = bool(END_OF_VALUE.match(text, end)) and not spaced
+    complete = ends_value(text, end, login, stops) and not spaced
     one = n >= 16 and not spaced
     flags = (
         n >= 20 and len(set(span)) >= 10,
         digits * 2 >= n,
         spaced,
         not digits,
-        start > 0 and (text[start - 1].isalnum() or text[start - 1] in "._-+/") or end < len(text) and (text[end].isalnum() or text[end] in "_-+/@"),
+        not (login and complete) and (start > 0 and (text[start - 1].isalnum() or text[start - 1] in "._-+/") or end < len(text) and (text[end].isalnum() or text[end] in "_-+/@")),
         digits == n,
         1 <= digits <= 4 and n < 12,
         bool(GOES_ON.match(text, end)),
-        start > 1 and text[start - 1] == ":" and text[start - 2].isalnum() or text[end : end + 1] == ":",
+        not login and (start > 1 and text[start - 1] == ":" and text[start - 2].isalnum() or text[end : end + 1] == ":"),
         not span.isalnum(),
         one and digits > 0 and span.lower() != span and span.upper() != span,
         bool(HEX.fullmatch(span)),
@@ -189,6 +203,7 @@ def span_features(text: str, start: int, end: int, left: tuple[list[int], bool,
         span[-1] in ",.;:",
         bool(DOT_FOLLOWS.match(text, end)),
         span.isalpha(),
+        login and complete,
     )
     return out + [at + i for i, f in enumerate(flags) if f]
 
@@ -201,6 +216,7 @@ def candidates(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int,
     groups. What is given as the value of a secret has at least 4 characters and goes on to white space or a quote.
     """
     out = []
+    stops = frozenset(x for x, _ in taken)
     free = [True] * len(tokens)
     for x, y in taken:
         for t in range(max(0, bisect.bisect_left(tokens, (x, x)) - 1), bisect.bisect_left(tokens, (y, y))):
@@ -232,9 +248,9 @@ def candidates(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int,
                 break
             if b - a < (4 if value else 7) or not (signal or value or b - a >= 20) or plain and digits < 7 and not value:
                 continue
-            if value and j > i and not END_OF_VALUE.match(text, b) or not value and not (text[b - 1].isalnum() or text[b - 1] in "=-~_"):
+            if value and (j > i or left[3]) and not ends_value(text, b, left[3], stops) or not value and not (text[b - 1].isalnum() or text[b - 1] in "=-~_"):
                 continue
-            out.append((i, j + 1, span_features(text, a, b, left)))
+            out.append((i, j + 1, span_features(text, a, b, left, stops)))
     return out
 
 
@@ -339,20 +355,22 @@ def generated(seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]
         lambda: (r.choice(["", "", name()]), jwt()),
         lambda: ("", x(r.choice([44, 64, 88, 240]), mixed + "+/") + r.choice(["", "=", "=="])),
         lambda: (r.choice(["password: ", "Password: ", "pwd=", "passwd: ", 'password = "', "secret: "]), password().ljust(6, "x")),
+        lambda: (f"{r.choice(['postgres', 'mysql', 'redis', 'amqp', 'https', 'ftp', 'mongodb'])}://{word()}:", r.choice([password(), x(r.randint(6, 24), mixed), x(r.randint(6, 14), mixed[:52]), word() + d(2), word() + word()])),
         lambda: ("", f"-----BEGIN {r.choice(['RSA ', '', 'EC '])}PRIVATE KEY-----\n" + "\n".join(x(64, mixed + "+/") for _ in range(r.randint(1, 6))) + f"\n-----END {r.choice(['RSA ', ''])}PRIVATE KEY-----"),
     ]
     yes = {
         "secret": lambda: r.choice(secrets)(),
         "phone": lambda: (r.choice(["", "", "call ", "phone: ", "tel "]), r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}"])),
         "identity": lambda: (r.choice(["", "SSN ", "ssn: "]), f"{d(3)}-{d(2)}-{d(4)}") if r.random() < 0.6 else (r.choice(["", "IBAN "]), r.choice([f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", f"GB{d(2)} {x(4, 'ABCDWXYZ')} {d(4)} {d(4)} {d(4)} {d(2)}", f"DE{d(20)}"])),
-        "email": lambda: (r.choice(["", "contact "]), r.choice([f"{word()} [at] {word()} [dot] com", f"{word()}.{d(2)}(at){word()}.org", f"{word()}[at]{word()}[dot]net", f"{word()} (at) {word()} (dot) {word()} (dot) com", f"{word()}(at){word()}.de"])),
-        "ip": lambda: (r.choice(["", "host "]), ":".join(x(4) for _ in range(8)) if r.random() < 0.6 else f"{x(4)}:{x(3)}::{x(4)}:{x(2)}"),
+        "email": lambda: (r.choice(["", "contact "]), r.choice([f"{word()} [at] {word()} [dot] com", f"{word()}.{d(2)}(at){word()}.org", f"{word()}[at]{word()}[dot]net", f"{word()} (at) {word()} (dot) {word()} (dot) com", f"{word()}(at){word()}.de", f"{word()} dot {word()} at {word()} dot {r.choice(['com', 'org', 'net', 'de'])}", f"{word()}{d(2)} at {word()} dot {word()} dot com", f"{word()} at {word()} dot net"])),
+        "ip": lambda: (r.choice(["", "host "]), ":".join(x(4) for _ in range(8)) if r.random() < 0.5 else r.choice([f"{x(4)}:{x(3)}::{x(4)}:{x(2)}", f"2001:db8::{x(r.randint(1, 4))}", f"fe80::{x(4)}:{x(4)}:{x(4)}:{x(4)}", f"{x(4)}:{x(4)}:{x(4)}::{d(1)}", f"fd{x(2)}:{x(r.randint(1, 4))}::{d(r.randint(1, 3))}"])),
     }
     no = [
         lambda: d(16), lambda: f"version {d(1)}.{d(1)}", lambda: f"{d(2)}/{d(2)}/19{d(2)}", lambda: f"x = {d(5)}", lambda: f"({d(4)})", lambda: f"{d(1)}.{d(2)}.{d(1)}", lambda: f"[{word()}]",
         lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"id={word()}", lambda: f"${d(3)},{d(3)}.{d(2)}", lambda: f"{word()}-{word()}-{word()}-{d(2)}", lambda: f"https://{word()}.com/{word()}/{d(6)}", lambda: f"{word()}{d(2)}.{word()}.html", lambda: x(40), lambda: f"sha1 {x(40)}", lambda: f"{d(3)} {d(3)} {d(3)} {d(3)}", lambda: f"commit {x(32)}",
         lambda: d(r.randint(7, 15)), lambda: f"{d(2)} {d(2)} {d(4)} {d(1)}", lambda: f"sha256:{x(64)}", lambda: f"{x(8)}-{x(4)}-{x(4)}-{x(4)}-{x(12)}", lambda: f"{word()}_{word()}_{d(3)}.{word()}", lambda: f"ISBN {d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"{word()}/{word()}/{word()}-{d(4)}/{word()}.txt", lambda: f"{d(2)}:{d(2)}", lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"{word()}.{word()}.{word()}({word()}, {d(2)})", lambda: f"the {r.choice(['password', 'token', 'secret', 'api key'])} {word()} {word()}",
         lambda: f"https://{word()}.org/{word()}?{word()}={d(4)}&{word()}={word()}", lambda: f"{word()}{word()}{word()}{word()}{word()}", lambda: f"{d(4)}/{d(4)}/{d(4)}", lambda: f"no. {d(4)} {d(4)}", lambda: f"@{word()}{d(2)}", lambda: f"{d(2)}% of {d(4)}", lambda: f"{r.choice(['password', 'token', 'auth'])}: {word()}", lambda: f"the password is {word()}", lambda: f"{r.choice(['tokens', 'keys'])}: {d(4)}",
+        lambda: f"{word()} at {word()}, {word()} dot {word()}", lambda: f"at {d(2)}:{d(2)}:{d(2)}", lambda: f"{word()}::{word()}{d(1)}({d(2)})", lambda: f"http://{word()}:{d(4)}/{word()}", lambda: f"the dot at the {word()} dot", lambda: f"{d(1)}::{d(2)}",
     ]
     out = []
     for i in range(n):
@@ -363,7 +381,7 @@ def generated(seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]
                 before, span = yes[kind]()
                 text += before
                 spans.append((len(text), len(text) + len(span), kind))
-                text += span + (r.choice(['" ', '", ', '"']) if before.endswith('"') else r.choice([" ", ". ", ", "]) if not before.lower().startswith("p") else " ")
+                text += span + (f"@{word()}{r.choice(['', ':' + d(4)])}/{word()} " if "://" in before else r.choice(['" ', '", ', '"']) if before.endswith('"') else r.choice([" ", ". ", ", "]) if not before.lower().startswith("p") else " ")
             else:
                 text += r.choice(no)() + r.choice([" ", ". ", ", "])
             text += words(r.randint(1, 4)) + " "
@@ -372,7 +390,7 @@ def generated(seed: int, n: int) -> list[tuple[str, list[tuple[int, int, str]]]]
 
 
 @functools.lru_cache(maxsize=4)
-def fitted(sentences: int = 700, steps: int = 45, ridge: float = 0.01, seed: int = 7) -> tuple[tuple[float, ...], ...]:
+def fitted(sentences: int = 1000, steps: int = 45, ridge: float = 0.01, seed: int = 7) -> tuple[tuple[float, ...], ...]:
     """A row of weights for each type, then one for each label of what may follow it; by gradient ascent (Adagrad) on the
     likelihood of a fixed number of generated sentences."""
     data = []
@@ -426,6 +444,7 @@ SIGNAL = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 MARK = re.compile(r"(?:(?<!\S)\S{1,64} ?)?[\[(] ?(?:at|dot) ?[\])](?: ?\S+)?", re.I)
 GIVEN = re.compile(SECRET_NAME + r"[\"']?[ \t]*[:=][ \t]*[\"']?(?=\S)([^\s\"']+)", re.I)
 BETWEEN = re.compile(r"[ \t]{0,2}|[ \t]?[A-Z]{4}[ \t]?")
+SPOKEN = re.compile(rf"(?<![^\s(]){SAID}(?![A-Za-z0-9_-])", re.I)
 MAY_HOLD = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]|-----BEGIN |(?:pass|pwd|secret|token|key|auth|bearer|credential)[a-z]{0,8}[\"']?[ \t]*[:=]", re.I)
 
 
@@ -434,6 +453,8 @@ def chains(text: str) -> Iterator[tuple[int, int]]:
     found = [m.span() for m in SIGNAL.finditer(text)]
     if "(" in text or "[" in text:
         found += [m.span() for m in MARK.finditer(text)]
+    if " dot " in text:
+        found += [m.span() for m in SPOKEN.finditer(text)]
     found += [m.span(1) for m in GIVEN.finditer(text)]
     if "-----BEGIN " in text:
         found += [m.span() for m in KEY_BLOCK.finditer(text)]
@@ -468,7 +489,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights) -> list[tu
 
 def all_spans(text: str, weights) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, base and added spans), by start, then kind, then end."""
-    if not MAY_HOLD.search(text):
+    if not MAY_HOLD.search(text) and " dot " not in text:
         return [], []
     base = base_spans(text)
     rank = {k: i for i, k in enumerate((*BASE, "identity", "secret"))}
