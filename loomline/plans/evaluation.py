@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.draws import sql_uniform
 from ..functions.formats import duration, flat_line, tick
 from ..operators import analytics as A
 from ..operators import evaluation as E
-from ..operators import synthesis as Y
 from ..operators.ordering import bounded, rank
 from ..session import table
 from . import scoring as Q
