@@ -16,20 +16,18 @@ from .ordering import running_sum
 def encode_packed(df: DataFrame, key: str, text: str, path: str, end: int | None = None, dtype: str = "uint16") -> DataFrame:
     """(key, data, n): packed ids by the tokenizer in a public JSON file, an end id after them if asked for. Ids that the
     type can't hold are an error; a null text counts as empty."""
-    from .tokens import tokenizer
+    from .tokens import runs
 
-    kind, limit = df.schema[key].dataType.simpleString(), np.iinfo(dtype).max
+    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, tail, packed = tokenizer(path), [] if end is None else [end], np.dtype(dtype).newbyteorder("<")
+        encode, width = runs(path, dtype), np.dtype(dtype).itemsize
+        tail = b"" if end is None else encode.pack([end])
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [np.asarray(tok.encode(t or "", add_special_tokens=False).ids + tail, dtype=np.int64) for t in part.column(1).to_pylist()]
-                if any(len(i) and i.max() > limit for i in ids):
-                    raise ValueError(f"an id doesn't fit {dtype}")
-                columns = [part.column(0), pa.array([i.astype(packed).tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "data", "n"])
+                data = [encode(t or "") + tail for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary()), pa.array([len(x) // width for x in data], pa.int64())], ["key", "data", "n"])
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, data binary, n long").withColumnRenamed("key", key)
 

@@ -13,6 +13,7 @@ from ..operators import mixer as M
 from ..operators import packed as K
 from ..operators.ordering import rank
 from ..session import table
+from ..sources.workspace import stored
 
 c = F.col
 LENGTH, WINDOW = 513, 300
@@ -30,6 +31,11 @@ def _bytes(s, d):
     return table(s, d, "documents").select("doc_id", "source", c("text").cast("binary").alias("data"))
 
 
+def _encoded(s, d):
+    """Ids with an end id after each text, encoded once: placing a stream reads its rows several times."""
+    return stored(K.encode_packed(table(s, d, "documents"), "doc_id", "text", _path(), END_ID), "encoded")
+
+
 def _ids(s, d):
     docs = table(s, d, "documents").select(F.struct("doc_id", "source").alias("key"), "text")
     return K.encode_packed(docs, "key", "text", _path()).select("key.doc_id", "key.source", "data")
@@ -96,7 +102,7 @@ def windows_bytes(s, d):
 
 
 def windows_bpe(s, d):
-    return _windows(K.encode_packed(table(s, d, "documents"), "doc_id", "text", _path(), END_ID), 2)
+    return _windows(_encoded(s, d), 2)
 
 
 def batch_permuted(s, d):
