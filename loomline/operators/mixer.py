@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
+from ..sources.workspace import stored
 from .mixture import intervals
 from .ordering import bounded, rank, running_sum
 from .packed import met_blocks, pieces, size
@@ -21,8 +22,9 @@ MOST_SOURCES = 100_000
 
 
 def numbered_rows(rows: DataFrame, source: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with `place`, their number in order of source and key; (source, first, rows) of each source)."""
-    placed = rank(rows, [source, key], "place")
+    """(rows with `place`, their number in order of source and key; (source, first, rows) of each source). The rows are
+    placed once and written: the draws read their lengths alone."""
+    placed = stored(rank(rows, [source, key], "place"), "placed")
     return placed, placed.groupBy(source).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"))
 
 
@@ -41,10 +43,11 @@ def mix(rows: DataFrame, source: str, key: str, data: str, weights: DataFrame, w
     weights is (source, weight); sources without rows or weight are never drawn, and no source at all is an error.
     """
     spark, width = rows.sparkSession, len(end)
-    placed, counted = numbered_rows(rows.select(source, key, F.concat(F.coalesce(F.col(data), F.lit(b"")), F.lit(end)).alias("__data")), source, key)
+    ended = rows.select(source, key, F.concat(F.coalesce(F.col(data), F.lit(b"")), F.lit(end)).alias("__data"))
+    placed, counted = numbered_rows(ended.withColumn("n", size("__data", width)), source, key)
     kept = weights.where(F.col(weight) > 0).join(counted, source)
     parts = bounded(intervals(kept, source, weight).join(counted, source), MOST_SOURCES, source)
-    thin = placed.select("place", size("__data", width).alias("n"))
+    thin = placed.select("place", "n")
     total = sequences * length
     mean = thin.agg(F.avg("n")).first()[0]
     if mean is None or kept.isEmpty():

@@ -38,7 +38,7 @@ def _encoded(s, d):
 
 def _ids(s, d):
     docs = table(s, d, "documents").select(F.struct("doc_id", "source").alias("key"), "text")
-    return K.encode_packed(docs, "key", "text", _path()).select("key.doc_id", "key.source", "data")
+    return stored(K.encode_packed(docs, "key", "text", _path()).select("key.doc_id", "key.source", "data"), "encoded")
 
 
 def _weights(s, d):

@@ -42,7 +42,7 @@ def test_runs_are_the_library_s_ids():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = T.tokenizer(path)
-    texts = ["", "  á ́b\tA'S  don't\n", "<|endoftext|> x<|startoftext|>y", " a b\x1fc\x85d", "ΑΣ Σ ΟΔΟΣ.", "İ 가 ᅡ", "1234 " * 9, "w" * 100 + " " + "😀" * 60, "̈́ ̈́"]
+    texts = ["", "Don't ÀÉ'S we'll ... (x1y22) ßé_!", "a×b ÷ ªº", "  á ́b\tA'S  don't\n", "<|endoftext|> x<|startoftext|>y", " a b\x1fc\x85d", "ΑΣ Σ ΟΔΟΣ.", "İ 가 ᅡ", "1234 " * 9, "w" * 100 + " " + "😀" * 60, "̈́ ̈́"]
     for kept in (3, 1000):
         encode = T.Runs(path, "uint16", kept)
         assert encode.spaced
@@ -51,3 +51,7 @@ def test_runs_are_the_library_s_ids():
     small = T.Runs(path, "uint8")
     with pytest.raises(ValueError, match="doesn't fit"):
         small("hello world")
+
+
+def test_mix_pack_bpe_encodes_once(spark, sf, tmp_path, monkeypatch):
+    encodes_once(spark, sf, tmp_path, monkeypatch, mixes.mix_pack_bpe)
