@@ -93,7 +93,7 @@ def pack_bytes(s, d):
 
 
 def pack_bpe(s, d):
-    packed = K.pack_stream(K.encode_packed(table(s, d, "documents"), "doc_id", "text", _path(), END_ID), "doc_id", "data", LENGTH, 2)
+    packed = K.pack_stream(_encoded(s, d), "doc_id", "data", LENGTH, 2)
     return packed.select(c("block").cast("bigint").alias("block"), F.md5("data").alias("md5"), "n_docs")
 
 

@@ -55,3 +55,7 @@ def test_runs_are_the_library_s_ids():
 
 def test_mix_pack_bpe_encodes_once(spark, sf, tmp_path, monkeypatch):
     encodes_once(spark, sf, tmp_path, monkeypatch, mixes.mix_pack_bpe)
+
+
+def test_pack_bpe_encodes_once(spark, sf, tmp_path, monkeypatch):
+    encodes_once(spark, sf, tmp_path, monkeypatch, mixes.pack_bpe)
