@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from loomline.operators import analytics as A
 from loomline.operators import packed as K
 from loomline.operators import tokens as T
 from loomline.plans import mixes
@@ -59,3 +60,9 @@ def test_mix_pack_bpe_encodes_once(spark, sf, tmp_path, monkeypatch):
 
 def test_pack_bpe_encodes_once(spark, sf, tmp_path, monkeypatch):
     encodes_once(spark, sf, tmp_path, monkeypatch, mixes.pack_bpe)
+
+
+def test_cosine_pairs_shuffles_no_vectors(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, v array<float>")
+    plan = A.cosine_pairs(rows, "id", "v", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
