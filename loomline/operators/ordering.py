@@ -72,7 +72,8 @@ def running_sum(df: DataFrame, order: Sequence[str], value: Column, name: str, b
     totals = rows.groupBy(F.col("__bucket").alias("__of")).agg(F.sum("__value").alias("__total"))
     before = totals.select("__of", F.coalesce(F.sum("__total").over(W.orderBy(F.col("__of").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     within = F.coalesce(F.sum("__value").over(W.partitionBy("__bucket").orderBy(*_sorting(order)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    met = rows.withColumn("__within", within).join(before, F.col("__bucket").eqNullSafe(F.col("__of")))
+    # one row for some thousands of rows: broadcast, or the rows would move a second time for the join
+    met = rows.withColumn("__within", within).join(F.broadcast(before), F.col("__bucket").eqNullSafe(F.col("__of")))
     return met.withColumn(name, F.col("__base") + F.col("__within")).drop("__bucket", "__of", "__value", "__within", "__base")
 
 

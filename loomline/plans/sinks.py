@@ -93,8 +93,9 @@ def indexed_at(s, d):
 
 
 def _pair(s, d):
-    folder = new_folder(s, "pair")
-    return f"{folder}/" + T.write_indexed(_codes(s, d), "doc_id", "ids", folder, parts=1).first()["name"]
+    prefix = f"{new_folder(s, 'pair')}/all"
+    W.write_pair(_codes(s, d), "doc_id", "ids", prefix)
+    return prefix
 
 
 def indexed_pair(s, d):

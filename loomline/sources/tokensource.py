@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..operators.ordering import rank, running_sum
+from ..operators.packed import packed_lists
 from .tokenfiles import CODES, MAGIC, VERSION, _open
+from .workspace import stored
 
 HEAD = struct.Struct("<QBQQ")
 
@@ -47,7 +50,7 @@ class Written(WriterCommitMessage):
 
 
 class FlatWriter(DataSourceArrowWriter):
-    """Writes each block at block * step bytes of one file."""
+    """Writes each block at block * step bytes of one file; with a step of 1, values of any length at bytes of their own."""
 
     def __init__(self, path: str, token: str, step: int, total: int):
         self.path, self.held, self.step, self.total = local_path(path), f"{local_path(path)}.{token}", step, total
@@ -63,7 +66,7 @@ class FlatWriter(DataSourceArrowWriter):
             for b in iterator:
                 for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     at = block * self.step
-                    if at + len(data) > self.total or len(data) > self.step:
+                    if at + len(data) > self.total or 1 < self.step < len(data):
                         raise ValueError(f"block {block} doesn't fit the file")
                     f.seek(at)
                     f.write(data)
@@ -117,6 +120,60 @@ def write_bin(blocks: DataFrame, path: str, block: int, width: int) -> int:
     return total // width
 
 
+#: Samples of a piece of an index that one task makes.
+PIECE = 1 << 16
+
+
+def _write_at(rows: DataFrame, path: str, total: int) -> None:
+    """Rows (at, data): values at bytes of one file that they fill."""
+    if not total:
+        FlatWriter(path, "empty", 1, 0).allocate()
+        os.replace(f"{local_path(path)}.empty", local_path(path))
+        return
+    rows.sparkSession.dataSource.register(FlatTokens)
+    rows.select(F.col("at").cast("bigint").alias("block"), "data").write.format("flat_tokens").mode("append").options(token=uuid.uuid4().hex, step=1, total=total).save(path)
+
+
+def write_pair(rows: DataFrame, key: str, ids: str, prefix: str, dtype: str = "int32", per_document: int = 100) -> int:
+    """Writes sequences in key order, null keys last, as prefix.idx and prefix.bin; gives their number. A document ends after
+    every `per_document` sequences and at the end. Null lists count as empty.
+
+    Many tasks write one file: bytes go to the places that prefix sums of the lengths give them, and so do pieces of the
+    index, so that no task holds or writes more than its share.
+    """
+    spark, width = rows.sparkSession, np.dtype(dtype).itemsize
+    code = next((k for k, v in CODES.items() if v == dtype), None)
+    if code is None:
+        raise ValueError(f"the index has no code for {dtype}")
+    data = packed_lists(rows.select(F.col(key).alias("key"), F.col(ids).alias("ids")), "ids", "data", dtype).withColumn("n", F.octet_length("data").cast("bigint"))
+    placed = stored(running_sum(stored(data, "packed"), ["key"], F.col("n"), "at"), "placed")
+    n, total = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    _write_at(placed.where("n > 0").select("at", "data"), f"{prefix}.bin", total)
+    # equal keys keep the order in which they were placed
+    numbered = rank(placed.select("key", "at", "n"), ["key", "at", "n"], "number").select(F.expr(f"number div {PIECE}").alias("piece"), "number", "at", "n")
+    start = len(MAGIC) + HEAD.size
+
+    def pieces(t: pa.Table) -> pa.Table:
+        t = t.sort_by("number")
+        first = t.column("number")[0].as_py()
+        sizes, pointers = (t.column("n").to_numpy() // width).astype("<i4"), t.column("at").to_numpy().astype("<i8")
+        return pa.table({"at": pa.array([start + 4 * first, start + 4 * n + 8 * first], pa.int64()), "data": pa.array([sizes.tobytes(), pointers.tobytes()], pa.binary())})
+
+    marks = -(-n // per_document) + 1
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                some = np.minimum(np.arange(k, min(k + PIECE, marks), dtype=np.int64) * per_document, n).astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([start + 12 * n + 8 * k], pa.int64()), pa.array([some], pa.binary())], ["at", "data"])
+
+    head = spark.createDataFrame([(0, bytearray(MAGIC + HEAD.pack(VERSION, code, n, marks)))], "at bigint, data binary")
+    index = head.unionByName(numbered.groupBy("piece").applyInArrow(pieces, "at bigint, data binary"))
+    index = index.unionByName(spark.range(0, marks, PIECE).mapInArrow(ends, "at bigint, data binary"))
+    _write_at(index, f"{prefix}.idx", start + 12 * n + 8 * marks)
+    return n
+
+
 @dataclass
 class Samples(InputPartition):
     first: int

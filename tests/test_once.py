@@ -10,6 +10,8 @@ from loomline.operators import analytics as A
 from loomline.operators import packed as K
 from loomline.operators import tokens as T
 from loomline.plans import mixes
+from loomline.sources import tokenfiles as F
+from loomline.sources import tokensource as W
 
 
 def counted(df, folder):
@@ -66,3 +68,34 @@ def test_cosine_pairs_shuffles_no_vectors(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, v array<float>")
     plan = A.cosine_pairs(rows, "id", "v", 5)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "collect_list" not in plan
+
+
+def test_a_pair_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "PIECE", 64)
+    lists = [list(range(i % 7)) if i % 11 else None for i in range(1000)]
+    rows = spark.createDataFrame([(i // 2, x) for i, x in enumerate(lists)] + [(None, [5, 6])], "id long, ids array<long>").repartition(5)
+    prefix = f"file://{tmp_path}/p"
+    assert W.write_pair(rows, "id", "ids", prefix, per_document=30) == 1001
+    dtype, sizes, pointers, marks = F.parse_index((tmp_path / "p.idx").read_bytes())
+    assert dtype == "int32" and marks.tolist() == [*range(0, 1001, 30), 1001] and sizes.sum() * 4 == (tmp_path / "p.bin").stat().st_size
+    assert (np.cumsum(np.r_[0, sizes[:-1]]) * 4 == pointers).all()
+    got = {r["sample"]: r["ids"] for r in W.read_samples(spark, prefix).collect()}
+    want = [*lists, [5, 6]]
+    assert [sorted([got[2 * i], got[2 * i + 1]]) for i in range(500)] == [sorted([want[2 * i] or [], want[2 * i + 1] or []]) for i in range(500)] and got[1000] == [5, 6]
+    assert W.write_pair(rows.limit(0), "id", "ids", f"file://{tmp_path}/none") == 0
+    assert W.read_samples(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_rows_are_taken_in_small_slices(spark):
+    b = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x" * 10_000] * 999 + ["y" * 3_000_000])], ["id", "text"])
+    parts = list(T.slices(iter([b])))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([b])) and max(p.nbytes for p in parts[:-1]) <= 1 << 20 and max(p.num_rows for p in parts) <= 256
+
+
+def test_the_rows_of_a_prefix_sum_move_once(spark):
+    from pyspark.sql import functions as S
+
+    from loomline.operators.ordering import running_sum
+
+    plan = running_sum(spark.range(9).withColumn("data", S.lit("x")), ["id"], S.lit(1), "start")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
