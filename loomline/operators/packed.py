@@ -16,18 +16,16 @@ from .ordering import running_sum
 def encode_packed(df: DataFrame, key: str, text: str, path: str, end: int | None = None, dtype: str = "uint16") -> DataFrame:
     """(key, data, n): packed ids by the tokenizer in a public JSON file, an end id after them if asked for. Ids that the
     type can't hold are an error; a null text counts as empty."""
-    from .tokens import runs
+    from .tokens import runs, slices
 
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, width = runs(path, dtype), np.dtype(dtype).itemsize
         tail = b"" if end is None else encode.pack([end])
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                data = [encode(t or "") + tail for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary()), pa.array([len(x) // width for x in data], pa.int64())], ["key", "data", "n"])
+        for part in slices(batches):
+            data = [encode(t or "") + tail for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary()), pa.array([len(x) // width for x in data], pa.int64())], ["key", "data", "n"])
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, data binary, n long").withColumnRenamed("key", key)
 
@@ -36,11 +34,13 @@ def packed_lists(df: DataFrame, ids: str, name: str, dtype: str = "uint16") -> D
     """df with the lists of ids as packed bytes, in a column of that name in their place; ids that the type can't hold are
     an error."""
     others = [c for c in df.columns if c != ids]
+    from .tokens import slices
+
     limits, schema = np.iinfo(dtype), df.select(*others).schema.add(name, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.dtype(dtype).newbyteorder("<")
-        for b in batches:
+        for b in slices(batches):
             lists = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else np.zeros(0, np.int64) for x in b.column(b.num_columns - 1)]
             if any(len(x) and (x.min() < limits.min or x.max() > limits.max) for x in lists):
                 raise ValueError(f"an id doesn't fit {dtype}")
