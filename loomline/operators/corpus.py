@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_hash, uniform
 from .ordering import hash_bucket, rank, running_sum
+from .tokens import slices
 
 
 def contains_any(column: str, words: Sequence[str]) -> Column:
@@ -54,21 +57,60 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     """(ch, id): distinct characters in code-point order. Bounded by Unicode, so one task may rank it."""
     from pyspark.sql import Window as W
 
-    # the characters of a document are made distinct before any is exploded
-    own = df.select(F.explode(F.array_distinct(F.split(text, ""))).alias("ch")).where("ch <> ''")
-    return own.distinct().select("ch", (F.row_number().over(W.orderBy("ch")) - 1).alias("id"))
+
+    def own(batches):
+        """The distinct characters of a task's rows."""
+        seen = np.zeros(0x110000, bool)
+        for b in slices(batches):
+            seen[np.frombuffer("".join(t or "" for t in b.column(0).to_pylist()).encode("utf-32-le"), "<u4")] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(chr, np.flatnonzero(seen).tolist())), pa.string())], ["ch"])
+
+    return df.select(text).mapInArrow(own, "ch string").distinct().select("ch", (F.row_number().over(W.orderBy("ch")) - 1).alias("id"))
+
+
+def _code_points(vocab: DataFrame) -> tuple[list[int], list[int]]:
+    """The vocabulary's code points and ids, a list bounded by Unicode."""
+    found = vocab.select("ch", F.col("id").cast("long").alias("id")).toArrow()
+    return [ord(ch) for ch in found["ch"].to_pylist()], found["id"].to_pylist()
 
 
 def encode_characters(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """(key, ids): character ids, through a map that is bounded by Unicode; an unknown character gives null."""
-    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("__map"))
-    ids = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.element_at("__map", c))
-    return df.join(F.broadcast(table)).select(key, ids.alias("ids"))
+    """(key, ids): character ids, each by one look-up in a table of code points; an unknown character gives null."""
+    (points, numbers), kind, of = _code_points(vocab), df.schema[key].dataType.simpleString(), vocab.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        table = np.full(0x110000, -1, np.int64)
+        table[points] = numbers
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            ids = table[np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), "<u4")]
+            ends = np.cumsum([0, *(len(t or "") for t in texts)])
+            starts = pa.array(ends, pa.int32(), mask=np.array([*(t is None for t in texts), False]))
+            values = pa.array(ids, mask=ids < 0).cast(pa.int32() if of == "int" else pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(starts, values)], ["key", "ids"])
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<{of}>").withColumnRenamed("key", key)
 
 
 def decode_characters(df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
-    table = vocab.agg(F.map_from_entries(F.collect_list(F.struct("id", "ch"))).alias("__map"))
-    return df.join(F.broadcast(table)).select(key, F.array_join(F.transform(ids, lambda i: F.element_at("__map", i)), "").alias("text"))
+    """(key, text): unknown and null ids give no character, a null list gives null."""
+    (points, numbers), kind = _code_points(vocab), df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        table = np.full(max(numbers, default=0) + 2, -1, np.int64)
+        table[numbers] = points
+        for b in slices(batches):
+            out = []
+            for x in b.column(1):
+                if not x.is_valid:
+                    out.append(None)
+                    continue
+                found = x.values.drop_null().to_numpy().astype(np.int64)
+                found = table[np.where((found < 0) | (found >= len(table)), len(table) - 1, found)]
+                out.append(found[found >= 0].astype("<u4").tobytes().decode("utf-32-le"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["key", "text"])
+
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def offsets(df: DataFrame, key: str, length: Column, name: str = "start") -> DataFrame:

@@ -91,3 +91,13 @@ def test_formats(spark):
 def test_unknown_template():
     with pytest.raises(ValueError):
         C.template("poem", "id", {"story": "x"})
+
+
+def test_character_codes_use_no_map(spark):
+    docs = spark.createDataFrame([(1, "a😀é"), (2, None), (3, ""), (4, "zé")], "id long, text string")
+    vocab = C.vocabulary(docs.where("id < 4"), "text")
+    coded = C.encode_characters(docs, "id", "text", vocab)
+    assert {r["id"]: r["ids"] for r in coded.collect()} == {1: [0, 2, 1], 2: None, 3: [], 4: [None, 1]}
+    back = C.decode_characters(coded, "id", "ids", vocab)
+    assert {r["id"]: r["text"] for r in back.collect()} == {1: "a😀é", 2: None, 3: "", 4: "é"}
+    assert "element_at" not in back._jdf.queryExecution().optimizedPlan().toString()  # a map is searched from its start
