@@ -20,7 +20,7 @@ from ..sources import tokenfiles as T
 from ..sources import tokensource as W
 from ..sources.workspace import new_folder
 from ..streaming import metrics as M
-from .files import _C, _codes, _sum
+from .files import _C, _code_blocks, _codes, _sum
 
 c = F.col
 
@@ -69,8 +69,7 @@ def split_reuse(s, d):
 def _bare(s, d):
     """The whole corpus as one bare file of tokens, written by as many tasks as hold its blocks."""
     folder = new_folder(s, "bare")
-    blocks = B.pack_blocks(_codes(s, d), "doc_id", "ids", 4096, keep_rest=True)
-    N.packed_lists(blocks.select("block", "ids"), "ids", "data").write.parquet(f"{folder}/blocks")
+    N.packed_lists(_code_blocks(s, d, 4096), "ids", "data").write.parquet(f"{folder}/blocks")
     W.write_bin(s.read.parquet(f"{folder}/blocks"), f"{folder}/tokens.bin", 4096, 2)
     return f"{folder}/tokens.bin"
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.packed import packed_lists
+
 #: Fixed values of the indexed format: its magic, version, and codes of types.
 MAGIC, VERSION = b"MMIDIDX\x00\x00", 1
 CODES = {1: "uint8", 2: "int8", 3: "int16", 4: "int32", 5: "int64", 6: "float64", 7: "float32", 8: "uint16"}
@@ -47,7 +49,6 @@ def write_flat(blocks: DataFrame, folder: str, dtype: str, block: int, parts: in
     A task holds one block at a time. Ids that the type can't hold are an error, and so are more tokens than `capacity`,
     before anything is written.
     """
-    limits = np.iinfo(dtype)
     if parts is None or capacity is not None:
         tokens = blocks.agg(F.sum(F.size("ids").cast("long"))).first()[0] or 0
         if capacity is not None and tokens > capacity:
@@ -59,22 +60,21 @@ def write_flat(blocks: DataFrame, folder: str, dtype: str, block: int, parts: in
 
         task, out, first, n, name = TaskContext.get(), None, 0, 0, ""
         for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = ids.values.to_numpy().astype(np.int64)
-                if len(ids) and (ids.min() < limits.min or ids.max() > limits.max):
-                    raise ValueError(f"an id doesn't fit {dtype}")
+            for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if out is None:
                     first, name = k * block, f"part-{k:012d}-{task.taskAttemptId()}.bin"
                     store, base = _open(folder)
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
-                out.write(ids.astype(np.dtype(dtype).newbyteorder("<")).tobytes())
-                n += len(ids)
+                out.write(data.as_buffer())
+                n += len(data.as_buffer()) // np.dtype(dtype).itemsize
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"first": [first], "n": [n], "name": [name], "dtype": [dtype]})
 
-    manifest = blocks.select(F.col("block").cast("long").alias("block"), "ids").repartitionByRange(parts, "block").sortWithinPartitions("block").mapInArrow(run, "first long, n long, name string, dtype string")
+    # bytes are moved and sorted, not lists of numbers; an id that doesn't fit fails here
+    packed = packed_lists(blocks.select(F.col("block").cast("long").alias("block"), "ids"), "ids", "data", dtype)
+    manifest = packed.repartitionByRange(parts, "block").sortWithinPartitions("block").mapInArrow(run, "first long, n long, name string, dtype string")
     manifest.write.parquet(f"{folder}/manifest")
     return blocks.sparkSession.read.parquet(f"{folder}/manifest")
 

@@ -99,3 +99,12 @@ def test_the_rows_of_a_prefix_sum_move_once(spark):
 
     plan = running_sum(spark.range(9).withColumn("data", S.lit("x")), ["id"], S.lit(1), "start")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
+
+
+def test_character_blocks_move_as_text(spark, sf):
+    from loomline.plans import blocks, files
+
+    for made in (blocks.QUERIES["pack_blocks"](spark, sf), files._code_blocks(spark, sf, 4096)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.rindex("Window") :]  # what is placed has no list of characters
+        assert "split(" not in below
