@@ -5,6 +5,7 @@ caches in each worker; for texts in ASCII and Latin-1 letters the vocabulary's p
 longer than `leaf` characters is unsplit text: its pre-tokens are halved until they are at most `leaf` characters, the
 leaves are encoded by parallel tasks, and neighbours are joined pairwise, level by level: a window of tokens around the
 join is encoded again and grows until its first tokens agree with the left side and its last tokens with the right side.
+A task gets branches of the tree of halves, of up to `DEALT` characters: a row for each small leaf would cost more than it.
 
 Null text counts as empty; empty text gives no tokens. Repeated rows give repeated rows; null ids stay null. Columns
 other than the id and the text are dropped, so clashing names do no harm.
@@ -48,6 +49,10 @@ def pack_ids(ids: list[int]) -> bytes:
 
 #: Tokens at each edge of a window that must agree.
 AGREE = 2
+#: Characters of a branch, the part of a tree that one task gets, unless leaves are longer.
+DEALT = 4096
+#: Characters of the longest run or word that a cache keeps, so that a bound on their number bounds their room.
+KEPT = 48
 
 
 def default_vocabulary() -> str:
@@ -57,9 +62,9 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """The tokenizer of one worker, with a bounded cache of encoded runs."""
+    """The tokenizer of one worker, with a bounded cache of short encoded runs."""
 
-    def __init__(self, vocabulary: str, leaf: int = 4096, cached: int = 400_000):
+    def __init__(self, vocabulary: str, leaf: int = 4096, cached: int = 400_000, dealt: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,7 +72,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.leaf, self.cached, self.letters = leaf, cached, byte_letters()
+        self.leaf, self.dealt, self.cached, self.letters = leaf, max(leaf, dealt), cached, byte_letters()
         # two generations of each cache: when the young one is full it becomes the old one, so what is used again stays
         self.cache, self.old_cache, self.words, self.old_words = {}, {}, {}, {}
         with open(vocabulary, encoding="utf-8") as f:
@@ -103,7 +108,7 @@ class Encoder:
                 missing.append(w)
         for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True) if missing else ():
             wanted[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        young.update(wanted)
+        young.update((w, ids) for w, ids in wanted.items() if len(w) <= KEPT)
         if len(young) >= self.cached:
             self.cache, self.old_cache = {}, young
         return wanted
@@ -114,9 +119,10 @@ class Encoder:
         if out is None:
             mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             out = pack_ids([t.id for t in self.tokenizer.model.tokenize(mapped)])
-        if len(self.words) >= self.cached:
-            self.words, self.old_words = {}, self.words
-        self.words[word] = out
+        if len(word) <= KEPT:
+            if len(self.words) >= self.cached:
+                self.words, self.old_words = {}, self.words
+            self.words[word] = out
         return out
 
     def plain(self, run: str) -> bytes:
@@ -125,9 +131,10 @@ class Encoder:
         if out is None:
             known = self.words.get
             out = b"".join([known(w) or self.word(w) for w in PLAIN_WORD.findall(run)])
-        if len(self.cache) >= self.cached:
-            self.cache, self.old_cache = {}, self.cache
-        self.cache[run] = out
+        if len(run) <= KEPT:
+            if len(self.cache) >= self.cached:
+                self.cache, self.old_cache = {}, self.cache
+            self.cache[run] = out
         return out
 
     def ids(self, text: str) -> bytes:
@@ -142,7 +149,7 @@ class Encoder:
             return b"".join(map(self.runs(words).__getitem__, words))
 
     def parts(self, text: str) -> Iterator[tuple[bool, bool, bool, object]]:
-        """(is a leaf, begins a pre-token, ends a pre-token, ids or leaf's text) of a text, in order."""
+        """(is a branch, begins a pre-token, ends a pre-token, ids or branch's text) of a text, in order."""
         at, flat = 0, b""
         for m in RUN.finditer(text):
             if m.end() - m.start() <= self.leaf:
@@ -162,7 +169,7 @@ class Encoder:
             yield False, True, True, flat
 
     def _long(self, run: str) -> Iterator[tuple[bool, bool, bool, object]]:
-        """The parts of one long run: special tokens, short pre-tokens, and the halved leaves of long ones."""
+        """The parts of one long run: special tokens, short pre-tokens, and the branches of long ones."""
         one = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
         spans, at = [], 0
         for m in self.special_pattern.finditer(run) if self.special_pattern else ():
@@ -180,9 +187,9 @@ class Encoder:
                 if len(piece) <= self.leaf:
                     yield False, True, True, one([t.id for t in self.tokenizer.model.tokenize(piece)])
                 else:
-                    leaves = halves(piece, self.leaf)
-                    for i, x in enumerate(leaves):
-                        yield True, i == 0, i == len(leaves) - 1, x
+                    branches = halves(piece, self.dealt)
+                    for i, x in enumerate(branches):
+                        yield True, i == 0, i == len(branches) - 1, x
 
     def piece(self, text: str, ends: bool) -> list[int]:
         """Ids of a part of a pre-token, with or without its end."""
@@ -208,18 +215,23 @@ class Encoder:
                 return left[: len(left) - len(a)] + mid + right[len(b) :]
             k *= 2
 
-    def tree(self, leaves: list[list[int]]) -> list[int]:
-        """Joins the encoded leaves of one pre-token pairwise, level by level."""
+    def tree(self, leaves: list[list[int]], ends: bool = True) -> list[int]:
+        """Joins encoded leaves or branches of one pre-token pairwise, level by level; ends: the last one ends it."""
         while len(leaves) > 1:
             n = len(leaves)
-            leaves = [self.join(leaves[i], leaves[i + 1], i + 2 >= n) if i + 1 < n else leaves[i] for i in range(0, n, 2)]
+            leaves = [self.join(leaves[i], leaves[i + 1], ends and i + 2 >= n) if i + 1 < n else leaves[i] for i in range(0, n, 2)]
         return leaves[0] if leaves else []
 
+    def branch(self, text: str, ends: bool) -> list[int]:
+        """Ids of a branch: its leaves encoded and joined."""
+        leaves = halves(text, self.leaf)
+        return self.tree([self.piece(x, ends and i == len(leaves) - 1) for i, x in enumerate(leaves)], ends)
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(vocabulary: str, leaf: int) -> Encoder:
     """The worker's own encoder: tasks that follow one another in a worker share it."""
-    return Encoder(vocabulary, leaf)
+    return Encoder(vocabulary, leaf, dealt=DEALT)
 
 
 @functools.lru_cache(maxsize=2)
@@ -255,7 +267,8 @@ def encode_as(docs: DataFrame, make, fields: str, id_col: str = "doc_id", text_c
     vocabulary = vocabulary or default_vocabulary()
     kind = _id_type(docs, id_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    unsplit = F.expr(f"length(text) > {leaf} AND text rlike '(?:^|[{SPACE}])[^{SPACE}]{{{leaf + 1}}}'")
+    # not by F.expr: SQL literals lose the pattern's backslashes
+    unsplit = (F.length("text") > leaf) & F.col("text").rlike(f"(?:^|[{SPACE}])[^{SPACE}]{{{leaf + 1}}}")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, leaf)
@@ -272,35 +285,28 @@ def encode_as(docs: DataFrame, make, fields: str, id_col: str = "doc_id", text_c
 
 
 def _encode_unsplit(rows: DataFrame, kind: str, vocabulary: str, leaf: int) -> DataFrame:
-    """The rows that hold long unsplit text: leaves are dealt to all tasks, then joined within each document."""
-    keyed = rows.groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", F.sha2("text", 256))
+    """The rows that hold long unsplit text: branches are dealt to all tasks, then joined within each document."""
+    keyed = rows.groupBy("id", "text").agg(F.count(F.lit(1)).alias("copies")).select("id", F.sha2("text", 256).alias("key"), "copies", "text")
     schema = f"id {kind}, key string, copies long, part int, leaf boolean, first boolean, last boolean, payload binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, leaf)
-        for b in batches:
-            for i in range(b.num_rows):
-                parts = list(enc.parts(b.column("text")[i].as_py())) or [(False, True, True, b"")]
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b.column("id")[i].as_py()] * n, b.schema.field("id").type),
-                        pa.array([b.column("key")[i].as_py()] * n, pa.string()),
-                        pa.array([b.column("copies")[i].as_py()] * n, pa.int64()),
-                        pa.array(range(n), pa.int32()),
-                        pa.array([p[0] for p in parts], pa.bool_()),
-                        pa.array([p[1] for p in parts], pa.bool_()),
-                        pa.array([p[2] for p in parts], pa.bool_()),
-                        pa.array([p[3].encode() if p[0] else p[3] for p in parts], pa.binary()),
-                    ],
-                    ["id", "key", "copies", "part", "leaf", "first", "last", "payload"],
-                )
+        for b in slices(batches):
+            at, part, found = [], [], []
+            for i, text in enumerate(b.column(3).to_pylist()):
+                parts = list(enc.parts(text)) or [(False, True, True, b"")]
+                at += [i] * len(parts)
+                part += range(len(parts))
+                found += parts
+            flags = [pa.array([p[k] for p in found], pa.bool_()) for k in range(3)]
+            payload = pa.array([p[3].encode() if p[0] else p[3] for p in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in b.columns[:3]], pa.array(part, pa.int32()), *flags, payload], ["id", "key", "copies", "part", "leaf", "first", "last", "payload"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, leaf)
-        for b in batches:
+        for b in slices(batches):
             out = [
-                np.asarray(enc.piece(p.decode(), last), dtype="<u4").tobytes() if is_leaf else p
+                np.asarray(enc.branch(p.decode(), last), dtype="<u4").tobytes() if is_leaf else p
                 for p, is_leaf, last in zip(b.column("payload").to_pylist(), b.column("leaf").to_pylist(), b.column("last").to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], b.schema.names)

@@ -48,6 +48,33 @@ def test_tree_concatenation(library):
         assert out + enc.tree(leaves) == library.encode(s, add_special_tokens=False).ids
 
 
+def test_branches_are_joined_like_leaves(library):
+    enc, r = bpe.Encoder(bpe.default_vocabulary(), leaf=16, dealt=64), random.Random(3)
+    for _ in range(100):
+        s = "".join(r.choice("aaabcdeétion") for _ in range(r.randint(65, 600)))
+        parts = list(enc.parts(s))
+        assert all(is_branch and 16 < len(x) <= 64 for is_branch, _, _, x in parts)
+        assert enc.tree([enc.branch(x, last) for _, _, last, x in parts]) == library.encode(s, add_special_tokens=False).ids
+
+
+def test_long_runs_of_any_letters_are_unsplit_text(spark, library, monkeypatch):
+    plain, seen = bpe._encode_unsplit, []
+    monkeypatch.setattr(bpe, "_encode_unsplit", lambda rows, *a: seen.append(sorted(r["id"] for r in rows.collect())) or plain(rows, *a))
+    texts = ["ab" * 600, "x " * 900, "é" * 1001, "a" * 1000, "tail\n" + "Qz" * 501 + " 1", "x20-" * 300, "1 " * 600 + "w" * 1001, None]
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), leaf=1000).collect()
+    assert seen == [[0, 2, 4, 5, 6]]
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_caches_keep_no_long_runs(library):
+    """Whole texts as single runs filled the caches, which bounded only their number."""
+    enc = bpe.Encoder(bpe.default_vocabulary())
+    for i in range(40):
+        for s in (f"{chr(97 + i % 26)}{'bcd' * i}" * 90, f"a{i}_" * 100, f"中{i}文" * 100, "short words"):
+            assert np.frombuffer(enc.ids(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids
+    assert 0 < max(len(w) for kept in (enc.cache, enc.old_cache, enc.words, enc.old_words) for w in kept) < 100
+
+
 def test_query_against_the_library(spark, sf, library):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in bpe.op8_bpe_encode_decode(spark, sf).collect():
