@@ -30,6 +30,41 @@ def encode_packed(df: DataFrame, key: str, text: str, path: str, end: int | None
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, data binary, n long").withColumnRenamed("key", key)
 
 
+def encode_ranks(df: DataFrame, key: str, text: str, ranks: str, pattern: str, end: int | None = None, dtype: str = "uint16") -> DataFrame:
+    """(key, data, n): as encode_packed, by a file of ranks and the pattern that splits text; special tokens in a text are
+    ordinary text. No list of Python numbers is made."""
+    from .tokens import encoding, slices
+
+    kind, limit = df.schema[key].dataType.simpleString(), np.iinfo(dtype).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, packed = encoding(ranks, pattern), np.dtype(dtype).newbyteorder("<")
+        tail = np.array([] if end is None else [end], dtype=np.uint32)
+        for part in slices(batches):
+            ids = [np.concatenate([enc.encode_to_numpy(t or "", disallowed_special=()), tail]) for t in part.column(1).to_pylist()]
+            if any(len(x) and x.max() > limit for x in ids):
+                raise ValueError(f"an id doesn't fit {dtype}")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(packed).tobytes() for x in ids], pa.binary()), pa.array(map(len, ids), pa.int64())], ["key", "data", "n"])
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, data binary, n long").withColumnRenamed("key", key)
+
+
+def spelled(df: DataFrame, data: str, name: str, dtype: str = "uint16") -> DataFrame:
+    """df with the packed ids as decimal numbers with a space between, in a column of that name in their place."""
+    from .tokens import slices
+
+    others = [c for c in df.columns if c != data]
+    schema = df.select(*others).schema.add(name, "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.dtype(dtype).newbyteorder("<")
+        for b in slices(batches):
+            texts = [None if x is None else " ".join(map(str, np.frombuffer(x, packed).tolist())) for x in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*others, name])
+
+    return df.select(*others, data).mapInArrow(run, schema)
+
+
 def packed_lists(df: DataFrame, ids: str, name: str, dtype: str = "uint16") -> DataFrame:
     """df with the lists of ids as packed bytes, in a column of that name in their place; ids that the type can't hold are
     an error."""

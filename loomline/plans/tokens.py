@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_hash
-from ..operators import blocks as B
+from ..operators import packed as K
 from ..operators import synthesis as Y
 from ..operators import tokens as T
 from ..operators.ordering import hash_bucket, rank
 from ..session import table
+from ..sources.workspace import stored
 
 END = 50256
 
@@ -45,8 +46,14 @@ def mix_synthetic(s, d):
     """Synthetic and real text, each encoded and cut into blocks of 128 tokens; all blocks with their places in a seeded shuffle."""
     made = Y.arithmetic(s, 200, 99, 3).select("id", "text")
     real = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    blocks = lambda rows, kind: B.pack_blocks(T.encode(rows, "id", "text", *_vocabulary(), END), "id", "ids", 128).select(F.concat(F.lit(kind), F.col("block").cast("string")).alias("key"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary")).alias("md5"), "n_docs")
-    mixed = blocks(made, "s").unionByName(blocks(real, "d")).withColumn("h", draw_hash(42, F.col("key")))
+    # encoded once and cut once: placing and ranking read their rows several times
+
+    def blocks(rows, kind):
+        coded = stored(K.encode_ranks(rows, "id", "text", *_vocabulary(), END), "encoded")
+        cut = K.spelled(K.pack_stream(coded, "id", "data", 128, 2).select("block", "n_docs", "data"), "data", "ids")
+        return cut.select(F.concat(F.lit(kind), F.col("block").cast("string")).alias("key"), F.md5(F.col("ids").cast("binary")).alias("md5"), "n_docs")
+
+    mixed = stored(blocks(made, "s").unionByName(blocks(real, "d")).withColumn("h", draw_hash(42, F.col("key"))), "mixed")
     return rank(mixed, ["h", "key"], bucket=hash_bucket(mixed, "h")).select("rank", "key", "md5", "n_docs")
 
 

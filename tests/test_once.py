@@ -64,6 +64,28 @@ def test_pack_bpe_encodes_once(spark, sf, tmp_path, monkeypatch):
     encodes_once(spark, sf, tmp_path, monkeypatch, mixes.pack_bpe)
 
 
+def test_mix_synthetic_encodes_once_without_lists(spark, sf, tmp_path, monkeypatch):
+    pytest.importorskip("tiktoken")
+    from loomline.plans import tokens
+
+    plain = K.encode_ranks
+    monkeypatch.setattr(tokens.K, "encode_ranks", lambda *a, **k: counted(plain(*a, **k), str(tmp_path)))
+    monkeypatch.setattr(tokens.T, "encode", None)
+    assert tokens.mix_synthetic(spark, sf).count() > 0
+    assert rows_made(tmp_path) == spark.read.parquet(f"{sf}/documents.parquet").count() + 200
+
+
+def test_packed_ids_by_ranks(spark):
+    pytest.importorskip("tiktoken")
+    from loomline.plans.tokens import END, _vocabulary
+
+    rows = spark.createDataFrame([(0, "It's <|endoftext|> 中文 é"), (1, ""), (2, None), (None, "a b")], "id long, text string")
+    got = {r["id"]: r["text"] for r in K.spelled(K.encode_ranks(rows, "id", "text", *_vocabulary(), END), "data", "text").collect()}
+    assert got == {r["id"]: " ".join(map(str, r["ids"])) for r in T.encode(rows, "id", "text", *_vocabulary(), END).collect()}
+    with pytest.raises(Exception, match="doesn't fit"):
+        K.encode_ranks(rows, "id", "text", *_vocabulary(), END, "uint8").collect()
+
+
 def test_cosine_pairs_shuffles_no_vectors(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, v array<float>")
     plan = A.cosine_pairs(rows, "id", "v", 5)._jdf.queryExecution().executedPlan().toString()
