@@ -82,6 +82,17 @@ def test_cosine_pairs_of_many_blocks(spark):
         assert all((r["cosine"] is None) == (r["i"] == 0 or r["j"] == 60) for r in got)
 
 
+def test_cosine_pairs_of_blocks_without_vectors(spark):
+    kind = "id long, v array<float>"
+    for none in (None, []):
+        got = A.cosine_pairs(spark.createDataFrame([(i, none) for i in range(20)], kind), "id", "v", 5).collect()
+        assert sorted(map(tuple, got)) == [(i, j, None) for i, j in itertools.combinations(range(20), 2)]
+    data = [(i, [float(i), 1.0] if i % 2 else None) for i in range(20)]
+    got = {(r["i"], r["j"]): r["cosine"] for r in A.cosine_pairs(spark.createDataFrame(data, kind), "id", "v", 1).collect()}
+    assert set(got) == set(itertools.combinations(range(20), 2))
+    assert all((x is not None) == (i % 2 == j % 2 == 1) for (i, j), x in got.items())
+
+
 def test_mix_synthetic_gives_every_block(spark, sf):
     pytest.importorskip("tiktoken")
     from loomline.operators import synthesis as Y
